@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, token_store
+from . import bpe, common, jaccard, repetition, token_store
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -29,5 +29,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
 ORACLE: dict[str, str] = {}

@@ -147,3 +147,25 @@ def gather(offs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = offs[chosen + 1] - offs[chosen]
     out = np.concatenate([[0], np.cumsum(n)])
     return np.repeat(offs[chosen] - out[:-1], n) + np.arange(out[-1]), out
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays of numbers as one compressed value."""
+    import zstandard
+
+    head = b"".join(a.dtype.str.encode().ljust(4) + len(a).to_bytes(4, "little") for a in arrays)
+    return zstandard.ZstdCompressor(level=level).compress(bytes([len(arrays)]) + head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(blob)
+    n, out = plain[0], []
+    at = 1 + 8 * n
+    for k in range(n):
+        kind = np.dtype(plain[1 + 8 * k : 5 + 8 * k].decode().strip())
+        size = int.from_bytes(plain[5 + 8 * k : 9 + 8 * k], "little")
+        out.append(np.frombuffer(plain, kind, size, at))
+        at += size * kind.itemsize
+    return out

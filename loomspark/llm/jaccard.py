@@ -24,11 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, sketch
 
 SIZE, PERCENT = 5, 75
-#: Counters of the sketch: fixed, so what is broadcast doesn't grow with the corpus.
-SKETCH_BITS, SLICES = 22, 64
 #: Candidate lengths l of matches, and the work to verify a candidate against reading one entry.
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
@@ -72,53 +70,23 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (node, tie, n, fp, fq) and, one set for each task, slices of its counts (slice, task, blob)."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = sketch.empty()
         names = ["node", "tie", "n", "fp", "fq", "slice", "task", "blob"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         task = TaskContext.get().partitionId()
         for batch in common.slices(batches, "text"):
             sets = shingle_sets(common.as_text(batch.column("text")), size)
-            every = np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)
-            counts += np.bincount(every.astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            sketch.add(counts, np.concatenate(sets))
             prints = [fingerprint(s) for s in sets]
             n = len(sets)
             values = [batch.column("node"), batch.column("tie"), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [None] * n, [None] * n, [None] * n]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, list) else v for v, k in zip(values, kinds)], names)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blobs = [pack(part.tobytes()) for part in np.split(counts, SLICES)]
-        values = [[None] * SLICES] * 5 + [list(range(SLICES)), [task] * SLICES, blobs]
+        values = [[None] * sketch.SLICES] * 5 + list(sketch.packed(counts, task))
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
     return docs.select("node", "tie", "text").mapInArrow(run, "node long, tie long, n long, fp long, fq long, slice int, task long, blob binary")
 
 
-def _added(rows: DataFrame, key: list) -> DataFrame:
-    def add(group):
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
-        slice_ = task = None
-        for batch in group:
-            for s, t, blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "task", "blob"))):
-                slice_, task = s, t
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
-        blob = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([slice_], pa.int32()), "task": pa.array([task], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
-    def whole(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(add(iter(table.to_batches()))))
-
-    return rows.groupBy(*key).applyInArrow(whole, "slice int, task long, blob binary")
-
-
-def _sketch(first: DataFrame) -> np.ndarray:
-    """The counts of all tasks, added in two steps so that no group holds more than some hundred of them. Its size is fixed."""
-    rows = first.filter("slice is not null").select("slice", "task", "blob")
-    rows = _added(_added(rows, ["slice", (F.col("task") / 256).cast("long")]), ["slice"])
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
-    for r in rows.select("slice", "blob").collect():  # SLICES rows
-        out[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["blob"])), np.uint32)
-    return out.reshape(-1)
-
-
 def choose_prefix(s: np.ndarray, level: np.ndarray, excess: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """(prefix shingles, l) of one set. level: the order's first key of each shingle; excess: its estimated other documents."""
     n = len(s)
@@ -136,14 +104,14 @@ def choose_prefix(s: np.ndarray, level: np.ndarray, excess: np.ndarray, percent:
     return s[order[: best[2]]], best[1]
 
 
-def _lists(docs: DataFrame, sketch: np.ndarray, buckets: int, size: int, percent: int) -> DataFrame:
+def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent: int) -> DataFrame:
     """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, tail, times).
 
     Blobs of a batch are keyed by bucket; a set that occurs again in a batch is sent once, and again once in a bucket. A
     list of more than PIECE documents becomes pieces; `tail` marks where a row's second piece begins (0: one piece).
     """
-    total = float(sketch.sum(dtype=np.float64)) / len(sketch)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    mean = float(counts.sum(dtype=np.float64)) / len(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = np.dtype([("token", "<u8"), ("doc", "<u4")])
 
     def emit(batches):
@@ -158,8 +126,8 @@ def _lists(docs: DataFrame, sketch: np.ndarray, buckets: int, size: int, percent
             rows = sorted(first.values())
             parts, match = [], []
             for k in rows:
-                c = counts[sets[k] & np.uint64(len(counts) - 1)].astype(np.float64)
-                excess = np.maximum(c - total - 3 * math.sqrt(total + 1), 0)
+                c = counts[sketch.place(sets[k])].astype(np.float64)
+                excess = np.maximum(c - mean - 3 * math.sqrt(mean + 1), 0)
                 level = np.floor(4 * np.log2(excess + 1)).astype(np.int64)
                 prefix, l = choose_prefix(sets[k], level, excess, percent)
                 parts.append(prefix)
@@ -379,9 +347,9 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     first = common.materialize(_first_pass(docs, size), "sets")
     own = first.filter("node is not null")
     shingles, rows = own.agg(F.sum("n"), F.count("*")).first()
-    sketch = _sketch(first)
+    counts = sketch.collected(first.filter("slice is not null").select("slice", "task", "blob"))
     buckets = max(1, -(-(shingles or 0) * 4 // BUCKET_BYTES))
-    lists = common.materialize(_lists(docs, sketch, buckets, size, percent), "lists")
+    lists = common.materialize(_lists(docs, counts, buckets, size, percent), "lists")
     wanted = lists.select(F.explode("docs").alias("node")).distinct()
     texts = common.materialize(_packed(docs, wanted), "texts")
     text_bytes = 3 * (texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0)

@@ -2,7 +2,8 @@
 
 Shingles have one order for all documents: frequency in the corpus, estimated by a sketch of fixed size, then their hash.
 Two sets that share t shingles share at least l among the first |x| - t + l of each. A document takes the l whose prefix
-promises the least work (entries to read, and candidates that reach l matches); pairs need the smaller l of the two.
+promises the least work (entries to read, and candidates that reach l matches). How many matches a pair needs follows
+from both prefixes and sizes.
 
 1. sketch    one pass counts shingles in a table of fixed size and gives each document the fingerprint of its set
 2. lists     prefix shingles are dealt to buckets; a bucket keeps shingles of two sets or more, as lists of documents
@@ -212,53 +213,77 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
     return lists.groupBy("docs", "ns", "ls", "tail").agg(F.sum("times").alias("times"))
 
 
+def least_shared(na, la, nb, lb, percent: int = PERCENT):
+    """Prefix shingles that two similar sets share at least; na, nb: their sizes, la, lb: the matches they chose.
+
+    Similar sets share t = percent / (100 + percent) of na + nb. All shared ones up to the end of the prefix that ends
+    first are in both prefixes; the others are behind it, where that set has n - |prefix| shingles.
+    """
+    t = -(-percent * (na + nb) // (100 + percent))
+    behind = np.maximum(-(-percent * na // 100) - la, -(-percent * nb // 100) - lb)
+    return t - behind
+
+
+def _pairs(rows: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """Pairs (a, b) of documents of a list, with the prefix shingles that they share at least and do share in the lists.
+
+    stars: each document with the first of its list in some orders that are the same for all lists; the pairs needn't be
+    all. Else all pairs of different components.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], [], [], []]
+            held = 0
+            for row in range(batch.num_rows):
+                node, n, l = (np.asarray(batch.column(c)[row].values, dtype=np.int64) for c in ("docs", "ns", "ls"))
+                tail, times = batch.column("tail")[row].as_py(), batch.column("times")[row].as_py()
+                if stars:
+                    tops = {int(np.argmin(node))} | {int(np.argmin(common.mix(node.astype(np.uint64) * np.uint64(r)))) for r in (3, 5, 7)}
+                    i = np.repeat(np.array(sorted(tops)), len(node))
+                    j = np.tile(np.arange(len(node)), len(tops))
+                    ok = node[i] != node[j]
+                else:
+                    component = np.asarray(batch.column("components")[row].values, dtype=np.int64)
+                    i, j = np.triu_indices(len(node), 1)
+                    ok = component[i] != component[j]
+                    if tail:
+                        ok &= (i < tail) & (j >= tail)
+                i, j = i[ok], j[ok]
+                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                for x, v in zip(found, (np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i], l[i], n[j], l[j], percent), np.full(len(i), times))):
+                    x.append(v)
+                held += len(i)
+                if held > 500_000 or row == batch.num_rows - 1:
+                    a, b, need, shared = (np.concatenate(x) for x in found)
+                    found, held = [[], [], [], []], 0
+                    if len(a):
+                        order = np.lexsort((b, a))
+                        a, b, need, shared = a[order], b[order], need[order], shared[order]
+                        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a[first], b[first], need[first], np.add.reduceat(shared, first))], ["a", "b", "need", "shared"])
+
+    pairs = rows.mapInArrow(emit, "a long, b long, need long, shared long")
+    return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+
+
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Few pairs of each list: each document with the least one and with the next in order of size."""
-    return (
-        lists.filter("tail = 0")
-        .select(F.array_min("docs").alias("top"), "docs", "ns")
-        .select("top", F.posexplode("docs").alias("i", "doc"), "docs", "ns")
-        .select(F.explode(F.expr("array(struct(top as x, doc as y), struct(doc as x, coalesce(get(docs, i + 1), doc) as y))")).alias("p"))
-        .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
-        .filter("a < b")
-        .distinct()
-    )
+    """Few pairs of each list or pair of pieces; half of the shared shingles suffice, as a pair is not formed in all of its lists."""
+    return _pairs(lists, percent, stars=True).filter("2 * shared >= need").select("a", "b")
 
 
 def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents of different components with enough common prefix shingles and close enough sizes."""
     keyed = lists.select(F.xxhash64("docs", "tail", F.lit(1)).alias("k1"), F.xxhash64("docs", "tail", F.lit(2)).alias("k2"), "tail", "times", "docs", "ns", "ls")
     entries = keyed.select("k1", "k2", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
-    entries = entries.select("k1", "k2", "tail", "times", "at", F.col("e.docs").alias("node"), F.col("e.ns").alias("n"), F.col("e.ls").alias("l"))
-    known = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("tail").alias("tail"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("at", "node", "n", "l", "component"))).alias("es"))
-    mixed = mixed.filter("lo < hi").select("tail", "times", "es")
-
-    def cross(batches):
-        for batch in batches:
-            left, right, need, times = [], [], [], []
-            for row in batch.to_pylist():
-                node, n, l, comp = (np.array([e[c] for e in row["es"]], np.int64) for c in ("node", "n", "l", "component"))
-                i, j = np.triu_indices(len(node), 1)
-                if row["tail"]:
-                    across = (i < row["tail"]) & (j >= row["tail"])
-                    i, j = i[across], j[across]
-                ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j = i[ok], j[ok]
-                left.append(np.minimum(node[i], node[j]))
-                right.append(np.maximum(node[i], node[j]))
-                need.append(np.minimum(l[i], l[j]))
-                times.append(np.full(len(i), row["times"]))
-            if left:
-                a, b, l, t = (np.concatenate(x) for x in (left, right, need, times))
-                order = np.lexsort((b, a))
-                a, b, l, t = a[order], b[order], l[order], t[order]
-                if len(a):
-                    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(l[first]), pa.array(np.add.reduceat(t, first))], ["a", "b", "need", "shared"])
-
-    pairs = mixed.mapInArrow(cross, "a long, b long, need long, shared long")
-    return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).filter("shared >= need").select("a", "b")
+    known = entries.withColumn("node", F.col("e.docs")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = known.groupBy("k1", "k2").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("tail").alias("tail"), F.first("times").alias("times"),
+        F.array_sort(F.collect_list(F.struct("at", F.col("e.docs").alias("doc"), F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), "component"))).alias("es"),
+    )
+    mixed = whole.filter("lo < hi").selectExpr("tail", "times", "es.doc as docs", "es.n as ns", "es.l as ls", "es.component as components")
+    return _pairs(mixed, percent, stars=False).filter("shared >= need").select("a", "b")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:

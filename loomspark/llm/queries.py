@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, jaccard, repetition, token_store
+from . import bpe, common, decontaminate, jaccard, main_text, repetition, substrings, token_store, url_filter
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -25,10 +25,50 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_ids(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=END_ID, id_bytes=2, by_word=True)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed by the query's contract: verdict, and host with path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.rule_table(spark, URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT row_number() OVER () AS row, page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), rules(rhost, rpath, rverdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fit AS (
+  SELECT s.row, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY s.row ORDER BY length(rhost || rpath) DESC) AS k
+  FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict
+FROM s LEFT JOIN fit ON fit.row = s.row AND k = 1
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"))
 
@@ -37,5 +77,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
+ORACLE: dict[str, str] = {"op7_url_filter": OP7_SQL}

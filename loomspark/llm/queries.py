@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, jaccard, main_text, repetition, substrings, token_store, toxicity, url_filter
+from . import bpe, common, decontaminate, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, url_filter
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -37,6 +37,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,5 +86,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
 ORACLE: dict[str, str] = {"op7_url_filter": OP7_SQL}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans.oracle import ORACLE
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

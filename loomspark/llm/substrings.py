@@ -1,7 +1,8 @@
 """Removal of long byte strings that a document with a smaller id has too, by suffix arrays where such strings can be.
 
 1. counts    a sketch of fixed size counts seeds: each string of LENGTH bytes chooses its seed of least hash
-2. seeds     seeds go to buckets by their hash; those of two documents or more are reported to the documents' groups
+2. seeds     seeds go to buckets by their hash; those of two texts or more are reported to the documents' groups. Equal texts
+             are found by their digest: all but the first lose all, and take no part in what follows
 3. pieces    the strings around a shared seed are one piece, sent to a bucket by the seed; a piece that several documents
              of a group have is sent once. Around a very frequent seed (by the sketch, so that all agree) each string is a
              piece of its own and goes by its own bytes, so no bucket gathers all that surrounds a common passage.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +29,9 @@ from . import common, sketch
 LENGTH, SEED = 50, 20
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of texts in a group, bytes of texts for a bucket of seeds and for a bucket of pieces.
-GROUP_BYTES, SEED_BYTES, PIECE_BYTES = 4 << 20, 24 << 20, 8 << 20
+GROUP_BYTES, SEED_BYTES, PIECE_BYTES = 4 << 20, 24 << 20, 3 << 20
+#: Bytes of texts whose seeds are chosen at once.
+RUN_BYTES = 1 << 20
 #: A seed is very frequent from so many places on, and from so many times the mean of a counter.
 FREQUENT, TIMES_MEAN = 2000, 8
 NULL_ID = -(1 << 63)
@@ -51,7 +55,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0]
 
 
-def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(data: np.ndarray, offs: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds chosen by the strings of `length` bytes of each text: (hash, place of the seed, first and last string that chose it).
 
     Every string chooses its seed of least hash, the first of several; so equal strings choose equal seeds at the same
@@ -88,6 +92,19 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int
     return h[place[new]], place[new], at[new], at[last] if len(at) else at
 
 
+def runs_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_runs over some texts at a time, so that its arrays stay small whatever the batch."""
+    parts, at, n = [], 0, len(offs) - 1
+    while at < n:
+        end = min(max(int(np.searchsorted(offs, offs[at] + RUN_BYTES, "right")) - 1, at + 1), n)
+        h, place, first, last = _runs(data[offs[at] : offs[end]], offs[at : end + 1] - offs[at], length, seed)
+        parts.append((h, place + offs[at], first + offs[at], last + offs[at]))
+        at = end
+    if not parts:
+        return _runs(data[:0], offs[:1], length, seed)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def refine(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Bucket pointers after `length` bytes: equal for the places of data from which equal strings of that length begin.
 
@@ -96,46 +113,55 @@ def refine(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarr
     updated serve the next one, which so looks twice as far. A bucket of one place is finished and is never sorted again.
     """
     n = len(data)
-    pointer = np.full(n, -1, np.int64)
+    pointer = np.full(n, -1, np.int32)
     depth = min(8, length)
-    live = np.flatnonzero(left >= depth)
+    live = np.flatnonzero(left >= depth).astype(np.int32)
     key = np.zeros(len(live), np.uint64)
     for k in range(depth):
-        key = (key << np.uint64(8)) | data[live + k]
-    pointer[live] = np.unique(key, return_inverse=True)[1]
+        key <<= np.uint64(8)
+        key |= data[live + np.int32(k)]
+    pointer[live] = _ranks(key)
     while depth < length:
         step = min(depth, length - depth)
         size = np.bincount(pointer[live])
         live = live[left[live] >= depth + step]
-        again = live[size[pointer[live]] > 1]
-        lone = np.setdiff1d(live, again, assume_unique=True)
-        old, later = pointer[again], pointer[again + step]
-        pair = np.unique(old * (int(pointer.max(initial=0)) + 1) + later, return_inverse=True)[1]
-        new = np.full(n, -1, np.int64)
-        # a refined bucket keeps its place among the others by counting from their end
-        new[again] = pair
-        new[lone] = np.arange(len(lone)) + (int(pair.max()) + 1 if len(pair) else 0)
+        crowded = size[pointer[live]] > 1
+        again, lone = live[crowded], live[~crowded]
+        pair = pointer[again].astype(np.int64) << np.int64(32) | pointer[again + np.int32(step)]
+        new = np.full(n, -1, np.int32)
+        new[again] = _ranks(pair)
+        new[lone] = np.arange(len(lone)) + (int(new.max(initial=-1)) + 1)
         pointer, depth = new, depth + step
     return pointer
 
 
-def covered_strings(pieces: list[np.ndarray], first_doc: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each distinct piece, which of its strings of `length` bytes is also in a piece of a smaller document.
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    s = keys[order]
+    out = np.empty(len(keys), np.int32)
+    if len(keys):
+        out[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1], dtype=np.int32)])
+    return out
+
+
+def covered_strings(data: np.ndarray, sizes: np.ndarray, first_doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For pieces behind one another, of sizes bytes: at which places a string begins that a smaller document's piece has too.
 
     first_doc: the least document that has the piece.
     """
-    sizes = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(sizes)
-    data = np.concatenate(pieces)
-    left = np.repeat(ends, sizes) - np.arange(len(data))
-    pointer = refine(data, left, length)
+    pointer = refine(data, (np.repeat(ends, sizes) - np.arange(len(data))).astype(np.int32), length)
     at = np.flatnonzero(pointer >= 0)
-    owner = np.repeat(first_doc, sizes)[at]
-    least = np.full(int(pointer.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, pointer[at], owner)
+    owner = np.repeat(first_doc, np.maximum(sizes - length + 1, 0))
+    order = np.argsort(pointer[at], kind="stable")
+    s = pointer[at][order]
     hit = np.zeros(len(data), bool)
-    hit[at] = least[pointer[at]] < owner
-    return [hit[e - s : e - length + 1] for e, s in zip(ends.tolist(), sizes.tolist())]
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        least = np.minimum.reduceat(owner[order], first)
+        hit[at[order]] = np.repeat(least, np.diff(np.append(first, len(s)))) < owner[order]
+    return hit
 
 
 def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +228,10 @@ def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: in
             base += len(node)
         node, tie, group, row, h, start = (np.concatenate(x) for x in parts)
         order = np.argsort(h, kind="stable")
-        s, n = h[order], node[row[order]]
+        s, t = h[order], tie[row[order]]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        shared = np.minimum.reduceat(n, first) < np.maximum.reduceat(n, first)
+        # copies of one text are known as such, so a seed matters if two texts have it
+        shared = np.minimum.reduceat(t, first) < np.maximum.reduceat(t, first)
         keep = order[np.repeat(shared, np.diff(np.append(first, len(s))))]
         rows = list(_by_group(group.astype(np.int64), node, tie, row[keep], start[keep]))
         return pa.table({"g": pa.array([g for g, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
@@ -239,6 +266,13 @@ def _slots(node: np.ndarray, tie: np.ndarray, blobs: list[bytes]) -> tuple[np.nd
     return (np.concatenate(rows), *(np.concatenate(v) for v in zip(*values)))
 
 
+def _copies(node: np.ndarray, tie: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Which documents of a group the table names as copies of an earlier one."""
+    held = table.filter(pc.is_valid(table.column("node")))
+    keys = set(zip(held.column("node").to_pylist(), held.column("tie").to_pylist()))
+    return np.array([key in keys for key in zip(node.tolist(), tie.tolist())], bool)
+
+
 def _pieces(texts: pa.Table, seeds: pa.Table, frequent: Frequent, buckets: int, length: int, seed: int) -> pa.Table:
     """(bucket, blob): the distinct pieces of a group with the places that have them."""
     out: dict[str, list] = {"bucket": [], "blob": []}
@@ -246,89 +280,82 @@ def _pieces(texts: pa.Table, seeds: pa.Table, frequent: Frequent, buckets: int,
         g = texts.column("g")[0].as_py()
         node, tie = _ids(texts)
         column = common.as_text(texts.column("text"))
-        row, *start = _slots(node, tie, seeds.column("blob").to_pylist())
+        row, *start = _slots(node, tie, [x for x in seeds.column("blob").to_pylist() if x is not None])
+        copies = _copies(node, tie, seeds)
         data, offs = common.raw(column)
         wanted = np.unique(offs[row] + start[0]) if start else np.zeros(0, np.int64)
         # equal rows (one id, one text) are found as the first of them
-        parts = []
-        at = 0
-        while at < len(node):  # a long group is worked through in steps
-            end = min(max(int(np.searchsorted(offs, offs[at] + GROUP_BYTES, "right")) - 1, at + 1), len(node))
-            h, place, lo, hi = runs_of(data[offs[at] : offs[end]], offs[at : end + 1] - offs[at], length, seed)
-            often = frequent.of(h)
-            keep = often | np.isin(place + offs[at], wanted)
-            parts.append((h[keep], lo[keep] + offs[at], hi[keep] + offs[at], often[keep]))
-            at = end
-        h, lo, hi, often = (np.concatenate(x) for x in zip(*parts))
+        h, place, lo, hi = runs_of(data, offs, length, seed)
+        often = frequent.of(h)
+        keep = (often | np.isin(place, wanted)) & ~copies[np.searchsorted(offs, lo, "right") - 1]
+        h, lo, hi, often = h[keep], lo[keep], hi[keep], often[keep]
         n = hi[often] - lo[often] + 1
         single = np.repeat(lo[often] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         lo, hi = np.concatenate([lo[~often], single]), np.concatenate([hi[~often], single])
         h = np.concatenate([h[~often], np.zeros(len(single), np.uint64)])
-        view = memoryview(data)
-        digest = xxhash.xxh3_64_intdigest
-        own = np.fromiter((digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo))
+        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        text = [view[a:b] for a, b in zip(lo.tolist(), (hi + length).tolist())]
+        own = np.fromiter(map(digest, text), np.uint64, len(lo))
         h[len(h) - len(single) :] = common.mix(own[len(h) - len(single) :])
         doc = np.searchsorted(offs, lo, "right") - 1
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((lo, own, bucket))
+        order = np.lexsort((own, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             at = order[cuts[b] : cuts[b + 1]]
             new = np.concatenate([[True], own[at[1:]] != own[at[:-1]]])
             used, local = np.unique(doc[at], return_inverse=True)
             kept = at[new]
-            text = np.concatenate([data[x : y + length] for x, y in zip(lo[kept].tolist(), hi[kept].tolist())])
+            plain = np.frombuffer(b"".join([text[k] for k in kept.tolist()]), np.uint8)
             out["bucket"].append(b)
-            out["blob"].append(common.pack(np.array([g]), node[used], tie[used], local.astype(np.uint32), (np.cumsum(new) - 1).astype(np.uint32), (lo[at] - offs[doc[at]]).astype(np.uint32), own[kept], (hi[kept] - lo[kept]).astype(np.uint8 if length <= 256 else np.uint32), text, level=3))
+            out["blob"].append(common.pack(np.array([g]), node[used], tie[used], local.astype(np.uint32), (np.cumsum(new) - 1).astype(np.uint32), (lo[at] - offs[doc[at]]).astype(np.uint32), own[kept], (hi[kept] - lo[kept]).astype(np.uint8 if length <= 256 else np.uint32), plain, level=3))
     return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
 
 def _covered(table: pa.Table, length: int) -> pa.Table:
     """(g, blob): by group of documents the ranges of bytes that a smaller document has."""
-    groups, nodes, ties, docs, which, starts, owns, wides, texts = ([] for _ in range(9))
+    parts: list[list[np.ndarray]] = [[] for _ in range(9)]
     n_docs = n_pieces = 0
     for blob in table.column("blob"):
         g, node, tie, doc, piece, start, own, wide, text = common.unpack(blob.as_py())
-        groups.append(np.repeat(g, len(node)))
-        for x, v in zip((nodes, ties, docs, which, starts, owns, wides), (node, tie, doc.astype(np.int64) + n_docs, piece.astype(np.int64) + n_pieces, start, own, wide)):
+        for x, v in zip(parts, (np.repeat(g, len(node)), node, tie, doc.astype(np.int64) + n_docs, piece.astype(np.int64) + n_pieces, start.astype(np.int64), own, wide.astype(np.int64), text)):
             x.append(v)
-        ends = np.cumsum(wide.astype(np.int64) + length)
-        texts += np.split(text, ends[:-1])
         n_docs, n_pieces = n_docs + len(node), n_pieces + len(own)
-    group, node, tie, doc, which, start, own, wide = (np.concatenate(x) for x in (groups, nodes, ties, docs, which, starts, owns, wides))
-    # equal pieces of several groups become one; a hash and the length name them, and their bytes are compared
-    key = own ^ common.mix(wide.astype(np.uint64) + np.uint64(7))
-    _, one, same = np.unique(key, return_index=True, return_inverse=True)
-    for k in np.flatnonzero(one[same] != np.arange(len(own))).tolist():
-        if not np.array_equal(texts[k], texts[one[same[k]]]):  # one hash, two texts
-            same[k] = len(one)
-            one = np.append(one, k)
-    piece = same[which]
+    group, node, tie, doc, which, start, own, wide, text = (np.concatenate(x) for x in parts)
+    # equal pieces of several groups become one; a hash of 64 bits and the length name them
+    _, one, same = np.unique(own ^ common.mix(wide.astype(np.uint64) + np.uint64(7)), return_index=True, return_inverse=True)
+    at, _ = common.gather(np.concatenate([[0], np.cumsum(wide + length)]), one)
+    text, wide, piece = text[at], wide[one], same[which]
     first = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(first, piece, node[doc])
-    hits = covered_strings([texts[k] for k in one], first, length)
-    spans: list[list[tuple[int, int]]] = []
-    for hit in hits:
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        spans.append(list(zip(edge[::2].tolist(), (edge[1::2] + length - 1).tolist())))
+    hit = covered_strings(text, wide + length, first, length)
+    # ranges of bytes of each piece that are covered in its least document
+    cuts = np.concatenate([[0], np.cumsum(wide + length)])
+    flag = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+    begin, end = np.flatnonzero(flag > 0), np.flatnonzero(flag < 0) + length - 1
+    of = np.searchsorted(cuts, begin, "right") - 1
+    spans = np.searchsorted(of, np.arange(len(one) + 1))
     later = node[doc] > first[piece]
-    row, lo, hi = [doc[later]], [start[later].astype(np.int64)], [start[later].astype(np.int64) + wide[one][piece[later]] + length]
-    some = np.flatnonzero(~later & np.fromiter((len(s) > 0 for s in spans), bool, len(spans))[piece])
-    extra = [(doc[k], int(start[k]) + a, int(start[k]) + b) for k in some.tolist() for a, b in spans[piece[k]]]
-    if extra:
-        row.append(np.array([e[0] for e in extra]))
-        lo.append(np.array([e[1] for e in extra]))
-        hi.append(np.array([e[2] for e in extra]))
+    row, lo, hi = [doc[later]], [start[later]], [start[later] + wide[piece[later]] + length]
+    some = np.flatnonzero(~later)
+    at, ends = common.gather(spans, piece[some])
+    mine = np.repeat(some, np.diff(ends))
+    row.append(doc[mine])
+    lo.append(start[mine] + begin[at] - cuts[of[at]])
+    hi.append(start[mine] + end[at] - cuts[of[at]])
     row, lo, hi = (np.concatenate(x) for x in (row, lo, hi))
     rows = list(_by_group(group, node, tie, row, lo.astype(np.uint32), hi.astype(np.uint32)))
     return pa.table({"g": pa.array([g for g, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
 
-def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str]) -> pa.Table:
+def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str], length: int) -> pa.Table:
     node, tie = _ids(texts)
     data, offs = common.raw(common.as_text(texts.column("text")))
-    row, *ends = _slots(node, tie, ranges.column("blob").to_pylist())
+    row, *ends = _slots(node, tie, [x for x in ranges.column("blob").to_pylist() if x is not None])
     change = np.zeros(len(data) + 1, np.int32)
+    whole = np.flatnonzero(_copies(node, tie, ranges) & (np.diff(offs) >= length))
+    np.add.at(change, offs[whole], 1)
+    np.add.at(change, offs[whole + 1], -1)
     if ends:
         # ranges of one document never leave it, so one count over the whole group serves
         np.add.at(change, offs[row] + ends[0], 1)
@@ -369,7 +396,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     groups = max(1, -(-total // GROUP_BYTES))
     keyed = keyed.withColumn("g", F.pmod(F.xxhash64("node", "tie"), F.lit(groups)))
     frequent = docs.sparkSession.sparkContext.broadcast(Frequent(_count(keyed, length, seed)))
-    seeds = common.materialize(_shared_seeds(keyed, frequent, max(1, -(-total // SEED_BYTES)), length, seed), "seeds")
+    # rows of equal texts but the first, by group; (node, tie, digest) has no text and so is small
+    slim = keyed.select("node", "tie", "g", F.sha2("text", 256).alias("digest"))
+    copies = slim.join(slim.groupBy("digest").agg(F.min("node").alias("first")), "digest").filter("node > first").select("g", "node", "tie").distinct()
+    copies = copies.withColumn("blob", F.lit(None).cast("binary"))
+    none = F.lit(None).cast("long")
+    seeds = _shared_seeds(keyed, frequent, max(1, -(-total // SEED_BYTES)), length, seed).select("g", none.alias("node"), none.alias("tie"), "blob")
+    seeds = common.materialize(seeds.unionByName(copies), "seeds")
     buckets = max(1, -(-total // PIECE_BYTES))
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -381,11 +414,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     passed = [c for c in keyed.columns if c in columns]
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _remove(left, right, passed)
+        return _remove(left, right, passed, length)
 
     dealt = keyed.groupBy("g")
     found = dealt.cogroup(seeds.groupBy("g")).applyInArrow(pieces, "bucket int, blob binary")
-    ranges = found.groupBy("bucket").applyInArrow(covered, "g long, blob binary")
+    ranges = found.groupBy("bucket").applyInArrow(covered, "g long, blob binary").select("g", none.alias("node"), none.alias("tie"), "blob")
+    ranges = ranges.unionByName(seeds.filter("node is not null"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
     return keyed.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(remove, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -16,6 +16,11 @@ def text_or_empty(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+def strip(x: Column | str) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(_c(x), P.unicode(r"^\s+|\s+$"), "")
+
+
 def found(x: Column, pattern: str, flags: str = "") -> Column:
     return x.rlike(P.unicode(pattern, flags))
 
@@ -44,7 +49,7 @@ def id_prefix(task_id: Column | str) -> Column:
 
 def task_scope(explicit: Column | str, task_id: Column | str, prompt: Column | str) -> Column:
     """An explicit category, else a category that the id names, else the classifier's."""
-    given, prefix = F.trim(text_or_empty(explicit)), id_prefix(text_or_empty(task_id))
+    given, prefix = strip(text_or_empty(explicit)), id_prefix(text_or_empty(task_id))
     return F.when(given != "", given).when(prefix.isin(*P.CATEGORIES), prefix).otherwise(classify(prompt))
 
 
@@ -59,7 +64,7 @@ def labeled_line(x: Column | str, label: str) -> Column:
     """What follows `label:` on the last line that has it; markdown stars around it are dropped."""
     line = P.unicode(rf"^\s*\**\Q{label}\E\**\s*[:=]\s*\**\s*(.+?)\s*$", "i")
     lines = F.filter(F.split(text_or_empty(x), r"\r\n|[\n\r]"), lambda s: s.rlike(line))
-    return F.trim(F.regexp_extract(F.try_element_at(lines, F.lit(-1)), line, 1))
+    return strip(F.regexp_extract(F.try_element_at(lines, F.lit(-1)), line, 1))
 
 
 def numbers_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
@@ -71,7 +76,7 @@ def numbers_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 def sentence_count(x: Column | str) -> Column:
     """Sentences by their end signs; common abbreviations and decimals don't end one."""
     t = F.regexp_replace(text_or_empty(x), P.unicode(r"\b(e\.g|i\.e|etc|vs|Mr|Mrs|Ms|Dr|St)\."), "$1")
-    t = F.trim(F.regexp_replace(t, P.unicode(r"\d+\.\d+"), "0"))
+    t = strip(F.regexp_replace(t, P.unicode(r"\d+\.\d+"), "0"))
     return F.size(F.filter(F.split(t, P.unicode(r"[.!?]+(?:\s|$)")), lambda s: F.regexp_replace(s, P.unicode(r"\s"), "") != ""))
 
 
@@ -84,7 +89,7 @@ def extract_code(x: Column | str) -> Column:
     raw = text_or_empty(x)
     fence = r"(?is)```(?:python|py)?\s*\n(.*?)```"
     start = r"(?sm)(^def \w+.*)"
-    return F.when(raw.rlike(fence), F.trim(F.regexp_extract(raw, fence, 1))).when(raw.rlike(start), F.trim(F.regexp_extract(raw, start, 1))).otherwise("")
+    return F.when(raw.rlike(fence), strip(F.regexp_extract(raw, fence, 1))).when(raw.rlike(start), strip(F.regexp_extract(raw, start, 1))).otherwise("")
 
 
 def summary_constraints(prompt: Column | str) -> Column:
@@ -115,12 +120,12 @@ def summary_violations(answer: Column | str, constraints: Column) -> Column:
 def without_expression(x: Column | str) -> Column:
     """The text without its `Expression:` lines."""
     lines = F.filter(F.split(text_or_empty(x), r"\r\n|[\n\r]"), lambda s: ~s.rlike(P.unicode(P.EXPRESSION_LINE, "i")))
-    return F.trim(F.array_join(lines, "\n"))
+    return strip(F.array_join(lines, "\n"))
 
 
 def enforced_summary(x: Column | str, constraints: Column) -> Column:
     """The text forced into the constraints: sentences joined by semicolons, surplus words cut."""
-    t = F.trim(text_or_empty(x))
+    t = strip(text_or_empty(x))
     joined = F.concat(F.regexp_replace(F.regexp_replace(t, r"[.!?]+$", ""), r"[.!?]+\s+", "; "), F.lit("."))
     t = F.when((constraints["sentences_exact"] == 1) & (t != ""), joined).otherwise(t)
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
@@ -129,7 +134,7 @@ def enforced_summary(x: Column | str, constraints: Column) -> Column:
 
 
 def looks_confident(x: Column | str, least: int = 15) -> Column:
-    a = F.trim(text_or_empty(x))
+    a = strip(text_or_empty(x))
     return (F.length(a) >= least) & ~found(a, P.HEDGE, "i")
 
 
@@ -148,7 +153,7 @@ def settled_sentiment(x: Column | str) -> Column:
 
 def entity_lines_ok(x: Column | str) -> Column:
     """Whether there are lines and each is `entity - type`."""
-    lines = F.filter(F.transform(F.split(text_or_empty(x), r"\r\n|[\n\r]"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text_or_empty(x), r"\r\n|[\n\r]"), lambda s: strip(s)), lambda s: s != "")
     return (F.size(lines) > 0) & F.forall(lines, lambda s: s.rlike(P.unicode(P.ENTITY_LINE, "i")))
 
 
@@ -178,12 +183,12 @@ def masked(x: Column | str) -> Column:
     """A prompt with numbers and proper names masked, in lower case, white space collapsed."""
     t = F.regexp_replace(text_or_empty(x), P.unicode(r"(?<!\w)(?:[$£€]\s*)?[+-]?(?:\d+(?:[.,]\d+)*)(?:%|st|nd|rd|th)?(?!\w)", "i"), " <num> ")
     t = F.regexp_replace(t, P.unicode(r"\b(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,})(?:\s+(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,}))*\b"), " <name> ")
-    return F.trim(F.regexp_replace(F.lower(t), P.unicode(r"\s+"), " "))
+    return strip(F.regexp_replace(F.lower(t), P.unicode(r"\s+"), " "))
 
 
 def canonical_template(scope: Column, prompt: Column, explicit: Column | None = None) -> Column:
     """Scope and masked prompt, without wording that only varies between siblings; or scope and an explicit template."""
-    t, s = F.trim(text_or_empty(prompt)), F.lower(scope)
+    t, s = strip(text_or_empty(prompt)), F.lower(scope)
     codegen = F.regexp_replace(t, r"(?i)^(?:write|implement|create)\s+(?:a\s+)?python\s+function\s+(?:that|which)\s+", "")
     body = F.regexp_extract(t, r"(?s)(\bdef\s+[A-Za-z_]\w*\s*\(.*)", 1)
     debug = F.when(body != "", F.regexp_replace(body, r"(?is)\s+(?:find\s+and\s+fix\s+it|identify\s+the\s+bug.*)$", "")).otherwise(t)
@@ -192,7 +197,7 @@ def canonical_template(scope: Column, prompt: Column, explicit: Column | None =
     out = F.concat(scope, F.lit("\n"), masked(t))
     if explicit is None:
         return out
-    given = F.trim(text_or_empty(explicit))
+    given = strip(text_or_empty(explicit))
     return F.when(given != "", F.concat(scope, F.lit("\nexplicit:"), given)).otherwise(out)
 
 
@@ -219,7 +224,7 @@ def spec_tests(prompt: Column | str) -> Column:
 def smoke_tests(code: Column | str) -> Column:
     """One call (JSON) with an argument that fits the name of a function's only parameter."""
     inside = F.regexp_extract(text_or_empty(code), r"def \w+\(([^)]*)\)", 1)
-    names = F.transform(F.filter(F.split(inside, ","), lambda s: F.trim(s) != ""), lambda s: F.trim(F.regexp_extract(F.trim(s), r"^([^:=]*)", 1)))
+    names = F.transform(F.filter(F.split(inside, ","), lambda s: strip(s) != ""), lambda s: strip(F.regexp_extract(strip(s), r"^([^:=]*)", 1)))
     names = F.filter(names, lambda s: s != "self")
     name = F.lower(F.get(names, F.lit(0)))
     call = F.when(name.rlike("num|lst|list|arr|items|values|data|seq"), '[{"args":[[3,1,2]]}]').when(name.rlike("s$|str|text|word|sentence"), '[{"args":["hello"]}]').when(name.rlike("n$|num|count|x$|k$"), '[{"args":[5]}]')
@@ -233,4 +238,4 @@ def placeholder(x: Column | str) -> Column:
 
 def csv_items(x: Column | str) -> Column:
     """Trimmed items of a comma list, empty ones left out."""
-    return F.filter(F.transform(F.split(text_or_empty(x), ","), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text_or_empty(x), ","), lambda s: strip(s)), lambda s: s != "")

@@ -25,7 +25,7 @@ def grade(kind: Column, expected: Column, answer: Column, prompt: Column | None
     expected: a number or text for number, label and contains; a JSON array for contains_any, contains_all and entities
     (name:type); an object with keyterms for summary.
     """
-    a = F.trim(T.text_or_empty(answer))
+    a = T.strip(T.text_or_empty(answer))
     low = F.lower(a)
     among = lambda x: F.filter(x, lambda e: F.contains(low, F.lower(e)))
     names = F.transform(items(expected), lambda e: F.lower(F.split(e, ":")[0]))

@@ -10,11 +10,23 @@ from ..functions import patterns as P
 
 
 
+def nearest_rank(records: DataFrame, value: str, *keys: str, share: float = 0.9) -> DataFrame:
+    """(keys, value): by keys the value at place int(share * n) of all in order, counted from 0 and at most the last.
+
+    Equal values are counted before they are put in order, so a key costs its distinct values, and no array holds them.
+    """
+    counts = records.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy(value))
+    n = F.sum("m").over(Window.partitionBy(*keys))
+    place = F.least(n - 1, F.floor(F.lit(share) * n))
+    return counts.select(*keys, value, (upto > place).alias("reached")).filter("reached").groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def category_stats(records: DataFrame, *keys: str) -> DataFrame:
     """Counts, accuracy, Wilson's bound of the unverified answers and nearest-rank p90s, by keys."""
     good, seen = F.col("correct"), F.col("verified")
     unverified, right = F.count_if(~seen), F.count_if(good & ~seen)
-    return records.groupBy(*keys).agg(
+    counts = records.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.round(F.count_if(good) / F.count("*"), 3).alias("accuracy"),
         F.count_if(good & seen).alias("verified_correct"),
@@ -22,9 +34,12 @@ def category_stats(records: DataFrame, *keys: str) -> DataFrame:
         unverified.alias("unverified_count"),
         F.round(F.try_divide(right, unverified), 4).alias("unverified_accuracy"),
         F.round(N.wilson_lower(right, unverified), 4).alias("unverified_wilson"),
-        F.coalesce(N.nearest_rank(F.collect_list("completion_tokens")), F.lit(0)).alias("p90_tokens"),
-        F.round(F.coalesce(N.nearest_rank(F.collect_list("latency_s")), F.lit(0.0)), 3).alias("p90_latency"),
     )
+    tokens = nearest_rank(records, "completion_tokens", *keys)
+    latency = nearest_rank(records, "latency_s", *keys)
+    out = counts.join(tokens, list(keys), "left").join(latency, list(keys), "left")
+    p90 = [F.coalesce("completion_tokens", F.lit(0)).alias("p90_tokens"), F.round(F.coalesce("latency_s", F.lit(0.0)), 3).alias("p90_latency")]
+    return out.select(*counts.columns, *p90)
 
 
 def policy(records: DataFrame, key: str = "category") -> DataFrame:

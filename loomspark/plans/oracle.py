@@ -191,7 +191,7 @@ SELECT *, call_errors = 0 AND accuracy >= 0.9 AS safe, CAST(row_number() OVER (O
     "stratum_counts": f"WITH {RECORDS} SELECT category, label, count(*) AS n FROM records GROUP BY ALL",
     "subset_picks": f"WITH {RECORDS}, o AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM records) SELECT category, id, CAST(k AS INT) AS k FROM o WHERE k IN (0, n // 2, n - 1)",
     "running_ids": f"WITH {RECORDS} SELECT id, category || '_' || lpad(CAST(row_number() OVER (PARTITION BY category ORDER BY id) AS VARCHAR), 6, '0') AS name FROM records",
-    "record_digests": "WITH f AS (SELECT lang || '/' || source AS path, sha256(coalesce(text, '')) AS d FROM documents), p AS (SELECT path, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM f GROUP BY path) SELECT sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) AS digest FROM p",
+    "record_digests": "WITH f AS (SELECT lang || '/' || source AS path, sha256(coalesce(text, '')) AS d FROM documents), p AS (SELECT path, sha256(count(*) || ':' || CAST(sum(CAST('0x' || d[1:8] AS BIGINT)) AS BIGINT)) AS digest FROM f GROUP BY path) SELECT sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) AS digest FROM p",
     "waived_digest": "SELECT sha256(string_agg(n_name || chr(0) || sha256(n_name) || chr(10), '' ORDER BY n_name)) AS digest FROM nation",
     "label_violations": f"""WITH {RECORDS}, v AS (SELECT unnest(CASE WHEN len(b) = 0 THEN [NULL] ELSE b END) AS rule FROM (SELECT list_filter([CASE WHEN id % 9 = 0 THEN 'label is unknown' END, CASE WHEN id % 9 = 0 THEN 'label contradicts correct' END, CASE WHEN id % 6 = 0 THEN 'latency_s is negative or no number' END, CASE WHEN id % 8 = 0 THEN 'model is blank' END], lambda x: x IS NOT NULL) AS b FROM records)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
     "request_guards": f"WITH {PROMPTS} SELECT CASE WHEN trim(prompt) = '' THEN 'blank' WHEN length(trim(prompt)) > 8000 THEN 'too long' WHEN strlen(prompt) > 24000 THEN 'too large' ELSE 'ok' END AS reason, count(*) AS n FROM prompts GROUP BY ALL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,11 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at once, whatever the partition's size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
+#: Rows that Spark hands to Python at once; what belongs together is put together there, up to a number of bytes.
+ARROW_ROWS = 1000
 
 U64 = np.uint64
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tune(df: DataFrame) -> DataFrame:
+    """Keeps batches between the JVM and Python small in the frame's session, and returns the frame."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,17 +98,33 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of `column`; one value is never divided."""
+    """The same rows in batches of about `most` bytes of `column`; one value is never divided."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = raw(as_text(batch.column(column)))
         at = 0
         while at < batch.num_rows:
-            end = int(np.searchsorted(offs, offs[at] + most, "right")) - 1
-            end = min(max(end, at + 1), batch.num_rows)
-            yield batch.slice(at, end - at)
+            end = int(np.searchsorted(offs, offs[at] + most - size, "right")) - 1
+            end = min(max(end, at + (not held)), batch.num_rows)
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(offs[end] - offs[at])
+            if end < batch.num_rows or size >= most:
+                yield _one(held)
+                held, size = [], 0
+                trim()
             at = end
+    if held:
+        yield _one(held)
+        held = []
+        trim()
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -142,6 +178,30 @@ def shingles(h: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np
     return mix(key), out
 
 
+def grouped(f):
+    """A function of one group's table that gives back its memory when it is done."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            trim()
+
+    return run
+
+
+def cogrouped(f):
+    """The same for a group of two tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            trim()
+
+    return run
+
+
 def gather(offs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the runs offs[c]:offs[c + 1] for every chosen c behind one another, and their offsets."""
     n = offs[chosen + 1] - offs[chosen]

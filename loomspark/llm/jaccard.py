@@ -8,7 +8,7 @@ from both prefixes and sizes.
 1. sketch    one pass counts shingles in a table of fixed size and gives each document the fingerprint of its set
 2. lists     prefix shingles are dealt to buckets; a bucket keeps shingles of two sets or more, as lists of documents
 3. stars     each list proposes few pairs; verified ones already join most copies into components
-4. rest      lists that still hold several components propose every pair across them; verified again
+4. rest      components that still meet in lists often enough are compared, in blocks of their documents
 
 Pairs inside one component are never formed, so a group of copies costs its size, not its square.
 """
@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,7 +32,13 @@ SIZE, PERCENT = 5, 75
 #: Candidate lengths l of matches, and the work to verify a candidate against reading one entry.
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
-BUCKET_BYTES, PIECE, GROUP_BYTES = 12 << 20, 512, 6 << 20
+BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 6 << 20
+#: Bytes of texts whose shingles are held at once.
+TEXT_BYTES = 3 << 20
+#: Entries of lists that one task takes of lists with one least component.
+HELD = 400_000
+#: Bits of the map of wanted documents that is broadcast: fixed, so a larger corpus only lets more documents pass it.
+WANTED_BITS = 23
 NULL_ID = -(1 << 63)
 
 
@@ -75,7 +82,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
         names = ["node", "tie", "n", "fp", "fq", "slice", "task", "blob"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         task = TaskContext.get().partitionId()
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(common.as_text(batch.column("text")), size)
             sketch.add(counts, np.concatenate(sets))
             prints = [fingerprint(s) for s in sets]
@@ -106,10 +113,11 @@ def choose_prefix(s: np.ndarray, level: np.ndarray, excess: np.ndarray, percent:
 
 
 def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent: int) -> DataFrame:
-    """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, tail, times).
+    """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, family, tail, times).
 
     Blobs of a batch are keyed by bucket; a set that occurs again in a batch is sent once, and again once in a bucket. A
-    list of more than PIECE documents becomes pieces; `tail` marks where a row's second piece begins (0: one piece).
+    list of more than PIECE documents becomes pieces of one family (0: a list of one piece); `tail` marks where a row's second
+    piece begins (0: one piece).
     """
     mean = float(counts.sum(dtype=np.float64)) / len(counts)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -117,7 +125,7 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
 
     def emit(batches):
         counts, pack = shared.value, zstandard.ZstdCompressor(level=1).compress
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(common.as_text(batch.column("text")), size)
             nodes = np.asarray(batch.column("node"), dtype=np.int64)
             first: dict[bytes, int] = {}
@@ -191,26 +199,27 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
                 seen[key][1] += 1
             else:
                 seen[key] = [doc[lo:hi], 1]
-        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "tail", "times")}
+        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "family", "tail", "times")}
 
-        def put(members: np.ndarray, tail: int, times: int) -> None:
-            for c, v in zip(out, (least[members], sizes[members], matches[members], tail, times)):
+        def put(members: np.ndarray, family: int, tail: int, times: int) -> None:
+            for c, v in zip(out, (least[members], sizes[members], matches[members], family, tail, times)):
                 out[c].append(v)
 
         for members, times in seen.values():
             members = members[np.lexsort((least[members], sizes[members]))]
             pieces = [members[i : i + PIECE] for i in range(0, len(members), PIECE)]
+            family = xxhash.xxh3_64_intdigest(least[members].tobytes()) >> 1 if len(pieces) > 1 else 0
             for i, a in enumerate(pieces):
-                put(a, 0, times)
+                put(a, family, 0, times)
                 for b in pieces[i + 1 :]:
                     if 100 * sizes[a[-1]] >= percent * sizes[b[0]]:
-                        put(np.concatenate([a, b]), len(a), times)
+                        put(np.concatenate([a, b]), family, len(a), times)
         arrays = pa.list_(pa.int64())
         return pa.table({c: pa.array(out[c], arrays if c in ("docs", "ns", "ls") else pa.int64()) for c in out})
 
     blobs = docs.select("node", "text").mapInArrow(emit, "bucket int, blob binary")
-    lists = blobs.groupBy("bucket").applyInArrow(meet, "docs array<long>, ns array<long>, ls array<long>, tail long, times long")
-    return lists.groupBy("docs", "ns", "ls", "tail").agg(F.sum("times").alias("times"))
+    lists = blobs.groupBy("bucket").applyInArrow(common.grouped(meet), "docs array<long>, ns array<long>, ls array<long>, family long, tail long, times long")
+    return lists.groupBy("docs", "ns", "ls", "family", "tail").agg(F.sum("times").alias("times"))
 
 
 def least_shared(na, la, nb, lb, percent: int = PERCENT):
@@ -224,104 +233,171 @@ def least_shared(na, la, nb, lb, percent: int = PERCENT):
     return t - behind
 
 
-def _pairs(rows: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """Pairs (a, b) of documents of a list, with the prefix shingles that they share at least and do share in the lists.
+def _with_totals(lists: DataFrame) -> DataFrame:
+    """Adds ts: for each document of a list the prefix shingles of it that any other document has too, in all lists."""
+    totals = lists.filter("tail = 0").select("times", F.explode("docs").alias("doc")).groupBy("doc").agg(F.sum("times").alias("t"))
+    keyed = lists.select(F.xxhash64("docs", "tail", F.lit(1)).alias("k1"), F.xxhash64("docs", "tail", F.lit(2)).alias("k2"), "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
+    known = keyed.withColumn("doc", F.col("e.docs")).join(totals, "doc")
+    whole = known.groupBy("k1", "k2").agg(
+        F.first("family").alias("family"), F.first("tail").alias("tail"), F.first("times").alias("times"),
+        F.array_sort(F.collect_list(F.struct("at", "doc", F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), "t"))).alias("es"),
+    )
+    return whole.selectExpr("k1", "k2", "family", "tail", "times", "es.doc as docs", "es.n as ns", "es.l as ls", "es.t as ts")
+
 
-    stars: each document with the first of its list in some orders that are the same for all lists; the pairs needn't be
-    all. Else all pairs of different components.
+def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Few pairs of each list or pair of pieces: each document with the first in some orders that all lists have in common.
+
+    Half of the least shared shingles suffice, as a pair is not formed in all of its lists.
     """
 
     def emit(batches):
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], [], []]
-            held = 0
-            for row in range(batch.num_rows):
-                node, n, l = (np.asarray(batch.column(c)[row].values, dtype=np.int64) for c in ("docs", "ns", "ls"))
-                tail, times = batch.column("tail")[row].as_py(), batch.column("times")[row].as_py()
-                if stars:
-                    tops = {int(np.argmin(node))} | {int(np.argmin(common.mix(node.astype(np.uint64) * np.uint64(r)))) for r in (3, 5, 7)}
-                    i = np.repeat(np.array(sorted(tops)), len(node))
-                    j = np.tile(np.arange(len(node)), len(tops))
-                    ok = node[i] != node[j]
-                else:
-                    component = np.asarray(batch.column("components")[row].values, dtype=np.int64)
-                    i, j = np.triu_indices(len(node), 1)
-                    ok = component[i] != component[j]
-                    if tail:
-                        ok &= (i < tail) & (j >= tail)
-                i, j = i[ok], j[ok]
-                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                i, j = i[ok], j[ok]
-                for x, v in zip(found, (np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i], l[i], n[j], l[j], percent), np.full(len(i), times))):
-                    x.append(v)
-                held += len(i)
-                if held > 500_000 or row == batch.num_rows - 1:
-                    a, b, need, shared = (np.concatenate(x) for x in found)
-                    found, held = [[], [], [], []], 0
-                    if len(a):
-                        order = np.lexsort((b, a))
-                        a, b, need, shared = a[order], b[order], need[order], shared[order]
-                        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a[first], b[first], need[first], np.add.reduceat(shared, first))], ["a", "b", "need", "shared"])
-
-    pairs = rows.mapInArrow(emit, "a long, b long, need long, shared long")
-    return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+            for lo in range(0, batch.num_rows, 200):
+                yield _summed(_stars_of(batch.slice(lo, 200), percent), ["a", "b"])
 
+    pairs = lists.mapInArrow(emit, "a long, b long, need long, shared long")
+    pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    return pairs.filter("2 * shared >= need").select(F.array("a").alias("left"), F.array("b").alias("right"), F.col("b").alias("hub"))
 
-def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Few pairs of each list or pair of pieces; half of the shared shingles suffice, as a pair is not formed in all of its lists."""
-    return _pairs(lists, percent, stars=True).filter("2 * shared >= need").select("a", "b")
 
+def _arrays(batch, row: int, *names: str) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)[row].values, dtype=np.int64) for c in names]
 
-def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different components with enough common prefix shingles and close enough sizes."""
-    keyed = lists.select(F.xxhash64("docs", "tail", F.lit(1)).alias("k1"), F.xxhash64("docs", "tail", F.lit(2)).alias("k2"), "tail", "times", "docs", "ns", "ls")
-    entries = keyed.select("k1", "k2", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
-    known = entries.withColumn("node", F.col("e.docs")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = known.groupBy("k1", "k2").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("tail").alias("tail"), F.first("times").alias("times"),
-        F.array_sort(F.collect_list(F.struct("at", F.col("e.docs").alias("doc"), F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), "component"))).alias("es"),
-    )
-    mixed = whole.filter("lo < hi").selectExpr("tail", "times", "es.doc as docs", "es.n as ns", "es.l as ls", "es.component as components")
-    return _pairs(mixed, percent, stars=False).filter("shared >= need").select("a", "b")
+
+def _stars_of(batch, percent: int) -> list[tuple[np.ndarray, ...]]:
+    found = []
+    for row, times in enumerate(batch.column("times").to_pylist()):
+        node, n, l, t = _arrays(batch, row, "docs", "ns", "ls", "ts")
+        # of near copies, that with the most common prefix shingles has the fewest of its own and so is nearest to all
+        central = np.lexsort((node, -t / (n - -(-percent * n // 100) + l)))[0]
+        tops = {int(np.argmin(node)), int(central)} | {int(np.argmin(common.mix(node.astype(np.uint64) * np.uint64(r)))) for r in (3, 5)}
+        i = np.repeat(np.array(sorted(tops)), len(node))
+        j = np.tile(np.arange(len(node)), len(tops))
+        ok = (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i], l[i], n[j], l[j], percent), np.full(len(i), times)))
+    return found
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether the intersection has at least `percent` of the union of two sorted sets."""
-    if not len(x) or not len(y):
-        return False
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _summed(found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    """Rows with equal keys as one: the least need, the sum of shared. found: keys, need and shared."""
+    *keys, need, shared = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort(keys[::-1])
+    keys, need, shared = [k[order] for k in keys], need[order], shared[order]
+    first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])) if len(need) else np.zeros(0, np.int64)
+    values = [*(k[first] for k in keys), np.minimum.reduceat(need, first) if len(first) else need, np.add.reduceat(shared, first) if len(first) else shared]
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], [*names, "need", "shared"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, text_bytes: int, size: int, percent: int) -> DataFrame:
-    """Those pairs that are similar, less ones whose documents the others found in the same group connect already.
+def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Blocks of documents of different components that may still be similar (left, right, hub).
 
-    A pair is checked where its greater document is; the smaller one's text goes there once for each group. The greater
-    documents of very many pairs are spread over several groups by the smaller ones.
+    Two components meet in lists; what any of their documents share is at most the lists where they meet. Only components
+    that meet often enough for the least demand of their documents are compared.
+    """
+    entries = lists.select("k1", "k2", "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls", "ts")).alias("at", "e"))
+    known = entries.withColumn("node", F.col("e.docs")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = known.groupBy("k1", "k2").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("family").alias("family"), F.first("tail").alias("tail"), F.first("times").alias("times"),
+        F.array_sort(F.collect_list(F.struct("at", F.col("e.docs").alias("doc"), F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), F.col("e.ts").alias("t"), "component"))).alias("es"),
+    )
+    mixed = whole.filter("lo < hi").selectExpr("k1", "lo", "size(es) as held", "family", "tail", "times", "es.n as ns", "es.l as ls", "es.t as ts", "es.component as components")
+    # lists of the same documents mostly share their least component; where they come together, each pair is one row
+    mixed = common.materialize(mixed, "met")
+    load = mixed.groupBy("lo").agg(F.sum("held").alias("load"))
+    mixed = mixed.join(load, "lo").repartition("lo", F.pmod("k1", F.ceil(F.col("load") / HELD)))
+
+    def meet(batches):
+        found, held = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, l, t, component = _arrays(batch, row, "ns", "ls", "ts", "components")
+                tail, times, family = (batch.column(c)[row].as_py() for c in ("tail", "times", "family"))
+                names, own = np.unique(component, return_inverse=True)
+                # documents alike in all that counts here need one row
+                own, n, l, t, second = np.unique(np.stack([own, n, l, t, np.arange(len(n)) >= tail if tail else np.zeros(len(n), bool)]), axis=1)
+                i, j = np.triu_indices(len(own), 1)
+                ok = (own[i] != own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                if tail:
+                    ok &= second[i] != second[j]
+                i, j = i[ok], j[ok]
+                need = least_shared(n[i], l[i], n[j], l[j], percent)
+                ok = need <= np.minimum(t[i], t[j])  # neither shares more with all others together
+                i, j, need = i[ok], j[ok], need[ok]
+                if len(i):
+                    pair = np.minimum(own[i], own[j]) * len(names) + np.maximum(own[i], own[j])
+                    at = np.argsort(pair, kind="stable")
+                    pair, need = pair[at], need[at]
+                    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                    pair, k = pair[first], len(first)
+                    found.append((np.full(k, family), names[pair // len(names)], names[pair % len(names)], np.minimum.reduceat(need, first), np.full(k, times)))
+                    held += k
+                    if held > 1 << 20:
+                        rows = _summed(found, ["family", "a", "b"])
+                        found, held = [tuple(np.asarray(c) for c in rows.columns)], rows.num_rows
+                        if held > 1 << 19:
+                            yield rows
+                            found, held = [], 0
+        if found:
+            # lists of one piece have one family, 0, and so are added here
+            yield _summed(found, ["family", "a", "b"])
+
+    met = mixed.mapInArrow(meet, "family long, a long, b long, need long, shared long")
+    met = met.groupBy("family", "a", "b").agg(F.min("need").alias("need"), F.when(F.col("family") == 0, F.sum("shared")).otherwise(F.max("shared")).alias("shared"))
+    met = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).filter("shared >= need").select("a", "b")
+    nodes = lists.select(F.explode("docs").alias("node")).distinct().join(labels, "node", "left")
+    # a component's documents in blocks of bounded size
+    size = nodes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"))
+    dealt = nodes.withColumn("component", F.coalesce("component", "node")).join(size, "component")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PIECE)))
+    blocks = dealt.groupBy("component", "block").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    one = blocks.select(F.col("component").alias("a"), F.col("nodes").alias("x"))
+    two = blocks.select(F.col("component").alias("b"), F.col("nodes").alias("y"))
+    both = met.join(one, "a").join(two, "b")
+    larger = F.size("x") >= F.size("y")
+    return both.select(F.when(larger, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(larger, F.col("x")).otherwise(F.col("y")).alias("right")).withColumn("hub", F.xxhash64("right"))
+
+
+def first_similar(z: np.ndarray, flat: np.ndarray, ends: np.ndarray, percent: int) -> int:
+    """The first of the sets flat[ends[k]:ends[k + 1]] that is similar to z; -1: none."""
+    if not len(z) or not len(flat):
+        return -1
+    at = np.minimum(np.searchsorted(z, flat), len(z) - 1)
+    both = np.diff(np.concatenate([[0], np.cumsum(z[at] == flat)])[ends])
+    n = np.diff(ends)
+    good = np.flatnonzero((both > 0) & (100 * both >= percent * (n + len(z) - both)))
+    return int(good[0]) if len(good) else -1
+
+
+def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between blocks: for each document of the smaller side the first similar one of the larger side.
+
+    One is enough, as the larger side is in one component, and none is sought where links of the same group connect both
+    already. A block is compared where its `hub` is; what stands against a hub with very many blocks is spread.
     """
-    groups = max(1, -(-2 * text_bytes // GROUP_BYTES), -(-pairs.count() // 100_000))
-    load = pairs.groupBy("b").agg(F.count("*").alias("load"))
-    dealt = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("b", F.when(F.col("load") > 2000, F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / 2000))).otherwise(0)), F.lit(groups)).alias("g"))
-    wanted = dealt.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = wanted.join(texts, "node").select("g", "node", F.lit(None).cast("long").alias("other"), "packed")
-    rows = shipped.unionByName(dealt.select("g", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("packed")))
+    texts = common.materialize(_packed(docs, blocks), "texts")
+    packed = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+    work = blocks.agg(F.sum(F.size("left") * F.size("right"))).first()[0] or 0
+    # compressed texts are about a third of the texts, and a text may go to several groups
+    groups = max(1, -(-6 * packed // GROUP_BYTES), -(-work // 200_000))
+    load = blocks.groupBy("hub").agg(F.sum(F.size("left")).alias("load"))
+    spread = F.when(F.col("load") > 1000, F.pmod(F.xxhash64("left"), F.ceil(F.col("load") / 1000))).otherwise(0)
+    dealt = blocks.join(load, "hub").select("left", "right", "hub", F.pmod(F.xxhash64("hub", spread), F.lit(groups)).alias("g"))
+    wanted = _documents(dealt, "g").distinct()
+    none = F.lit(None).cast("array<long>")
+    shipped = wanted.join(texts, "node").select("g", "node", "packed", none.alias("left"), none.alias("right"))
+    rows = shipped.unionByName(dealt.select("g", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("packed"), "left", "right"))
 
     def check(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        node, other, packed = (group.column(c).to_pylist() for c in ("node", "other", "packed"))
         sets: dict[int, list[np.ndarray]] = {}
-        held = [k for k, p in enumerate(packed) if p is not None]
-        for lo in range(0, len(held), 1000):
-            part = held[lo : lo + 1000]
-            for k, s in zip(part, shingle_sets(pa.array([unpack(packed[k]).decode() for k in part], pa.large_string()), size)):
-                sets.setdefault(node[k], []).append(s)
-            for k in part:
-                packed[k] = None
+        texts_ = group.filter(pc.is_valid(group.column("packed")))
+        for lo in range(0, texts_.num_rows, 1000):
+            part = texts_.slice(lo, 1000)
+            plain = pa.array([unpack(x.as_py()).decode() for x in part.column("packed")], pa.large_string())
+            for node, s in zip(part.column("node").to_pylist(), shingle_sets(plain, size)):
+                sets.setdefault(node, []).append(s)
         top: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -330,26 +406,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, text_bytes: int, size: int, pe
                 x = top[x]
             return x
 
+        pairs = group.filter(pc.is_valid(group.column("left")))
         out = []
-        for a, b in sorted((a, b) for a, b in zip(node, other) if b is not None):
-            ra, rb = root(a), root(b)
-            if ra != rb and any(similar(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())):
-                top[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
+        for left, right in sorted(zip(pairs.column("left").to_pylist(), pairs.column("right").to_pylist())):
+            own = [(y, s) for y in right for s in sets.get(y, ())]
+            flat = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.uint64)
+            ends = np.concatenate([[0], np.cumsum([len(s) for _, s in own], dtype=np.int64)])
+            for x in left:
+                if root(x) == root(right[0]):
+                    continue
+                for z in sets.get(x, ()):
+                    k = first_similar(z, flat, ends, percent)
+                    if k >= 0:
+                        a, b = sorted((x, own[k][0]))
+                        ra, rb = root(a), root(b)
+                        top[max(ra, rb)] = min(ra, rb)
+                        out.append((a, b))
+                        break
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return rows.groupBy("g").applyInArrow(check, "a long, b long")
+    return rows.groupBy("g").applyInArrow(common.grouped(check), "a long, b long")
+
+
+def _documents(blocks: DataFrame, *keys: str) -> DataFrame:
+    """The documents of blocks, by keys; those of a hub once, however many blocks it is in."""
+    hubs = blocks.select(*keys, "hub", "right").dropDuplicates([*keys, "hub"])
+    return hubs.select(*keys, F.explode("right").alias("node")).unionByName(blocks.select(*keys, F.explode("left").alias("node")))
 
 
-def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Compressed texts (node, packed) of the wanted documents, a text once for each document."""
+def _packed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Compressed texts (node, packed) of the blocks' documents. A map of fixed size drops most others before the join."""
+    wanted = _documents(blocks).select("node").distinct()
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << WANTED_BITS))
+    words = wanted.select(F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
+    bits = np.zeros((1 << WANTED_BITS) // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # one row for each word of the map at most
+        bits[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["node", "packed"])
+            at = np.asarray(batch.column("place"), dtype=np.int64)
+            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["node", "packed"])
 
-    return docs.select("node", "text").join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(pack, "node long, packed binary")
+    return docs.select("node", "text", place.alias("place")).mapInArrow(pack, "node long, packed binary").join(wanted, "node", "left_semi")
 
 
 def _shared_ids(own: DataFrame, same: DataFrame) -> DataFrame:
@@ -367,27 +469,26 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     counts as the least id and is returned as null; rows with one doc_id are one document in the links, whatever their
     texts. Equal texts share a set and so a component. Texts of any length are taken whole. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    common.tune(docs)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     first = common.materialize(_first_pass(docs, size), "sets")
     own = first.filter("node is not null")
     shingles, rows = own.agg(F.sum("n"), F.count("*")).first()
     counts = sketch.collected(first.filter("slice is not null").select("slice", "task", "blob"))
     buckets = max(1, -(-(shingles or 0) * 4 // BUCKET_BYTES))
-    lists = common.materialize(_lists(docs, counts, buckets, size, percent), "lists")
-    wanted = lists.select(F.explode("docs").alias("node")).distinct()
-    texts = common.materialize(_packed(docs, wanted), "texts")
-    text_bytes = 3 * (texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0)
+    bare = common.materialize(_lists(docs, counts, buckets, size, percent), "lists")
+    lists = common.materialize(_with_totals(bare), "lists")
+    common.discard(bare)
     stars = common.materialize(_star_pairs(lists, percent), "pairs")
-    found = common.materialize(_verified(stars, texts, text_bytes, size, percent), "links")
+    found = common.materialize(_verified(stars, docs, size, percent), "links")
     # documents with one set have one node in the lists, whichever they are
     same = own.filter("n > 0").groupBy("fp", "fq").agg(F.min("node").alias("rep"))
     labels = common.materialize(graph.components(found), "labels")
     rest = common.materialize(_rest_pairs(lists, labels, percent), "pairs")
-    more = common.materialize(_verified(rest, texts, text_bytes, size, percent), "links")
+    more = common.materialize(_verified(rest, docs, size, percent), "links")
     final = graph.components(found.unionByName(more).unionByName(_shared_ids(own, same)))
     final = common.materialize(final, "labels")
-    for done in (lists, texts, stars, rest, labels):
+    for done in (lists, stars, rest, labels, found, more):
         common.discard(done)
     linked = own.filter("n > 0").join(same, ["fp", "fq"])
     linked = linked.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tie", "n", F.least("node", F.coalesce("component", "rep")).alias("component"))

@@ -17,12 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: that with the least doc_id, and of several such rows one."""
-    keyed = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     groups = jaccard.classes(docs)
-    first = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id"), F.col("tie").alias("t"))
-    first = first.groupBy("id").agg(F.min("t").alias("t"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tie"]).select(*docs.columns)
+    first = groups.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("tie").alias("__t"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

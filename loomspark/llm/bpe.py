@@ -20,7 +20,13 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Symbols of words handled at once.
-INDEX_SYMBOLS = 4 << 20
+INDEX_SYMBOLS = 1 << 20
+#: Bytes of texts whose distinct words are handled together.
+WORD_BYTES = 4 << 20
+#: Words whose ids a task keeps from one batch to the next; beyond that it starts anew.
+WORDS_KEPT = 150_000
+
+_coded: dict[str, tuple] = {}
 
 
 class Merges:
@@ -62,7 +68,7 @@ def merge_words(m: Merges, sym: np.ndarray, offs: np.ndarray) -> tuple[np.ndarra
     if not m.rising:
         return _one_by_one(m, sym, offs)
     sym = sym.copy()
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     full = offs[:-1][np.diff(offs) > 0]
     ends = offs[1:][np.diff(offs) > 0] - 1
     nxt[ends], prv[full] = -1, -1
@@ -227,22 +233,32 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return " ".join(names[i] if i in names else m.tokens[i] for i in ids.tolist() if i in names or 0 <= i < m.size)
 
 
-def _joined(parts: list[str], offs: np.ndarray) -> pa.Array:
-    """For each run of parts its strings, each behind one space."""
-    ends = offs.tolist()
-    return pa.array(["".join(parts[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.large_string())
-
-
 def code_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
     """n_tokens of each text; then for all words in order ' id id' and ' token token', and the words' offsets by text."""
     m, _, _, special = load(path)
+    known, id_text, token_text = _coded.setdefault(path, ({}, [f" {i}" for i in range(m.size)], [f" {t}" for t in m.tokens]))
+    names = {i: f" {s}" for s, i in special.items()}
     codes, offs, distinct = common.words_of(texts)
-    ids, word_offs = encode_words(distinct.to_pylist(), path)
-    names = {i: s for s, i in special.items()}
-    each = ids.tolist()
-    as_ids = _joined([f" {i}" for i in each], word_offs).take(pa.array(codes))
-    as_text = _joined([" " + (names[i] if i in names else m.tokens[i]) for i in each], word_offs).take(pa.array(codes))
-    n = np.concatenate([[0], np.cumsum(np.diff(word_offs)[codes])])[offs]
+    words = distinct.to_pylist()
+    rows = [known.get(w) for w in words]
+    new = [k for k, r in enumerate(rows) if r is None]
+    ids, ends = encode_words([words[k] for k in new], path)
+    again = (np.bincount(codes, minlength=len(words)) > 1).tolist()
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    each, ends = ids.tolist(), ends.tolist()
+    for k, a, b in zip(new, ends[:-1], ends[1:]):
+        own = each[a:b]
+        if special and not names.keys().isdisjoint(own):
+            rows[k] = (b - a, "".join([f" {i}" for i in own]), "".join([names[i] if i in names else token_text[i] for i in own]))
+        else:
+            rows[k] = (b - a, "".join([id_text[i] for i in own]), "".join([token_text[i] for i in own]))
+        if again[k]:
+            known[words[k]] = rows[k]
+    sizes = np.fromiter((r[0] for r in rows), np.int64, len(rows))
+    at = pa.array(codes)
+    as_ids, as_text = (pa.array([r[c] for r in rows], pa.large_string()).take(at) for c in (1, 2))
+    n = np.concatenate([[0], np.cumsum(sizes[codes])])[offs]
     return np.diff(n), as_ids, as_text, offs
 
 
@@ -262,11 +278,14 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in common.slices(batches, "text", 2 * common.BATCH_BYTES):
+        for batch in common.slices(batches, "text", WORD_BYTES):
             n, ids, text, offs = code_batch(common.as_text(batch.column("text")), path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests(ids, offs)), pa.array(digests(text, offs))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        for words, *_ in _coded.values():
+            words.clear()
+        common.trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.tune(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

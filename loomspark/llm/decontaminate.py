@@ -149,7 +149,7 @@ def find(texts: pa.Array, items: Items, least: float = LEAST_SCORE) -> dict[str,
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The items (item_id, text) in blocks of bounded size; a larger benchmark gives more blocks, never a larger one."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    items = common.tune(benchmark).select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * total // BLOCK_BYTES)
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]

@@ -115,6 +115,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     of any length are scanned whole; other columns are ignored; no rows give no rows.
     """
     known = Templates(templates)
+    common.tune(docs)
 
     def run(batches):
         for batch in common.slices(batches, "text"):

@@ -229,4 +229,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return common.tune(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

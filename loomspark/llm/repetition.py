@@ -177,6 +177,7 @@ def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MA
     Null texts have no words and fail the base rule. Long texts are measured whole. Equal rows get equal verdicts. An
     empty table gives an empty one. Other columns are ignored or, with keep_columns, passed on untouched.
     """
+    common.tune(docs)
     if keep_columns:
 
         def keep(batches):

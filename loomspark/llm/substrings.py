@@ -30,8 +30,10 @@ LENGTH, SEED = 50, 20
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of texts in a group, bytes of texts for a bucket of seeds and for a bucket of pieces.
 GROUP_BYTES, SEED_BYTES, PIECE_BYTES = 4 << 20, 24 << 20, 3 << 20
+#: Bytes of texts whose seeds one row of blobs holds.
+SLICE_BYTES = 4 << 20
 #: Bytes of texts whose seeds are chosen at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 512 << 10
 #: A seed is very frequent from so many places on, and from so many times the mean of a counter.
 FREQUENT, TIMES_MEAN = 2000, 8
 NULL_ID = -(1 << 63)
@@ -42,7 +44,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64."""
     if 0 not in _powers or len(_powers[0][0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, RUN_BYTES + 1)
         up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
         up[0] = down[0] = 1
         step, back, have = BASE, pow(BASE, -1, 1 << 64), 1
@@ -171,7 +173,7 @@ def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
 def _count(docs: DataFrame, length: int, seed: int) -> np.ndarray:
     def run(batches):
         counts, task = sketch.empty(), TaskContext.get().partitionId()
-        for batch in common.slices(batches, "text", GROUP_BYTES):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             sketch.add(counts, runs_of(*common.raw(common.as_text(batch.column("text"))), length, seed)[0])
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(sketch.packed(counts, task), (pa.int32(), pa.int64(), pa.binary()))], ["slice", "task", "blob"])
 
@@ -193,7 +195,7 @@ def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: in
     """(g, blob): by group of documents the places of seeds that two documents or more have; very frequent ones are left out."""
 
     def emit(batches):
-        for batch in common.slices(batches, "text", 2 * GROUP_BYTES):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             data, offs = common.raw(common.as_text(batch.column("text")))
             node, tie = _ids(batch)
             group = np.asarray(batch.column("g"), dtype=np.int64)
@@ -236,7 +238,7 @@ def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: in
         rows = list(_by_group(group.astype(np.int64), node, tie, row[keep], start[keep]))
         return pa.table({"g": pa.array([g for g, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
-    return docs.select("node", "tie", "g", "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "g long, blob binary")
+    return docs.select("node", "tie", "g", "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(common.grouped(meet), "g long, blob binary")
 
 
 class Frequent:
@@ -385,12 +387,15 @@ def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str], length: int) -
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Each row of documents with n_bytes, n_removed, n_spans and kept (the remaining bytes); other columns stay.
 
+    Columns of those names, or named node, tie or g, are not carried along.
+
     A byte goes if a string of `length` bytes that covers it also begins in a document with a smaller doc_id, in the
     texts as they were. Null texts count as empty, texts shorter than `length` lose nothing, and texts of any length are
     taken whole. A null doc_id counts as the least. Rows with one doc_id do not affect each other. An empty table gives
     an empty one.
     """
-    columns = [c for c in docs.columns if c != "text"]
+    common.tune(docs)
+    columns = [c for c in docs.columns if c not in ("text", "node", "tie", "g", "n_bytes", "n_removed", "n_spans", "kept")]
     keyed = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.xxhash64("text").alias("tie"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
@@ -417,11 +422,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
         return _remove(left, right, passed, length)
 
     dealt = keyed.groupBy("g")
-    found = dealt.cogroup(seeds.groupBy("g")).applyInArrow(pieces, "bucket int, blob binary")
-    ranges = found.groupBy("bucket").applyInArrow(covered, "g long, blob binary").select("g", none.alias("node"), none.alias("tie"), "blob")
+    found = dealt.cogroup(seeds.groupBy("g")).applyInArrow(common.cogrouped(pieces), "bucket int, blob binary")
+    ranges = found.groupBy("bucket").applyInArrow(common.grouped(covered), "g long, blob binary").select("g", none.alias("node"), none.alias("tie"), "blob")
     ranges = ranges.unionByName(seeds.filter("node is not null"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    return keyed.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(remove, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return keyed.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(common.cogrouped(remove), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,9 @@ CHECKSUM_FLAG = 0x80
 #: Bytes of ids after which a frame is closed.
 FRAME_BYTES = 256 << 10
 
-#: Words of which a worker keeps the ids from one batch to the next; beyond that it starts anew.
+#: Bytes of texts whose distinct words are encoded together.
+WORD_BYTES = 16 << 20
+#: Words of which a task keeps the ids from one batch to the next; beyond that it starts anew.
 WORDS_KEPT = 600_000
 
 _encoders: dict[str, object] = {}
@@ -190,7 +192,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     then by it; such rows can lie in neighbouring shards. Other columns are ignored. No documents give no shards. A task
     that is run again writes its own temporary file and renames it, so a shard is whole or absent.
     """
-    spark = docs.sparkSession
+    spark = common.tune(docs).sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -201,7 +203,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         name = f"{base}/ids-{task.partitionId():06d}.zst"
         part, writer, total = f"{name}.{task.taskAttemptId()}.part", None, 0
-        for batch in common.slices(batches, "text", 2 * common.BATCH_BYTES):
+        for batch in common.slices(batches, "text", WORD_BYTES):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(part)
@@ -211,6 +213,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                 one = ids[offs[k] : offs[k + 1]]
                 writer.add(doc, one if end_id is None else np.append(one, np.uint32(end_id)))
             total += len(ids) + (end_id is not None) * batch.num_rows
+        _words.clear()
         if writer is not None:
             writer.close()
             out.close()

@@ -244,7 +244,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     Only the text counts. Null and empty texts have no words and get the score of a text without toxic words. Texts of
     any length are read whole; equal texts score alike; other columns are ignored; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = common.tune(docs).sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         for batch in common.slices(batches, "text"):

@@ -53,7 +53,7 @@ PREFILL_RATIO, TASK_OVERHEAD_S, DEFAULT_CAP, DEFAULT_HEADROOM, DEFAULT_REMOTE_CA
 TRUST_ACC, ALWAYS_ESCALATE_ACC, MIN_UNVERIFIED, WILSON_Z = 0.90, 0.70, 10, 1.96
 REACTIVE_DEADLINE_S, MIN_REMOTE_WINDOW_S, MIN_SLOW_RECALL = 25.0, 8.0, 0.90
 ROUTE_NONE = 1.01
-FALLBACK_ANSWER = "Unable to determine."
+FALLBACK_ANSWER = "Unable to fully determine the answer within the time limit."
 SIMILAR_TEMPLATE, SEQUENCE_ESCAPE = 0.82, 0.94
 # Prompts whose wording implies tests, tried in order; (pattern, [(arguments, expected)]).
 SPEC_TESTS = [
@@ -69,3 +69,7 @@ SPEC_TESTS = [
     (r"\b(is )?prime\b", '[{"args":[7],"expected":true},{"args":[8],"expected":false}]'),
     (r"\bfizz ?buzz\b", "[]"),
 ]
+# Names of models by likely size, and of larger ones.
+SMALL_MODEL = r"(^|[^0-9])(0\.5|1|1\.5|2|3|4)b\b|mini|small|tiny|nano|flash|lite"
+MID_MODEL = r"(^|[^0-9])(7|8|9|11|12|13|14)b\b"
+LARGE_HINTS = ("pro", "k2", "large", "70b", "405b")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions import patterns as P
 
 
 def feature_counts(tasks: DataFrame, key: str, prompt: str, category: Column, dimension: int) -> DataFrame:
@@ -74,9 +75,30 @@ def consensus(a: Column, b: Column, agree: Column, vote: Column) -> Column:
     return F.when(~there(b), a).when(~there(a), b).when(agree | F.coalesce(vote == "A", F.lit(False)), a).otherwise(b)
 
 
-def preferred(models: DataFrame, hints: list[str], key: str = "model", place: str = "idx") -> DataFrame:
-    """The first model of the first hint that any name contains, else the first one; a row or none."""
-    rank = F.lit(len(hints))
-    for k in range(len(hints) - 1, -1, -1):
-        rank = F.when(F.lower(key).contains(hints[k]), k).otherwise(rank)
+def preferred(models: DataFrame, hints: list[str], key: str = "model", place: str = "idx", patterns: tuple[str, ...] = ()) -> DataFrame:
+    """The first model of the first hint that any name contains, then of the first pattern that any matches, else the first one; a row or none."""
+    tests = [F.lower(key).contains(h) for h in hints] + [F.col(key).rlike(f"(?i){p}") for p in patterns]
+    rank = F.lit(len(tests))
+    for k in range(len(tests) - 1, -1, -1):
+        rank = F.when(tests[k], k).otherwise(rank)
     return models.withColumn("hint", rank).orderBy("hint", place).limit(1)
+
+
+def distinct_model(models: DataFrame, exclude: list[str], hints: list[str], key: str = "model", place: str = "idx") -> DataFrame:
+    """Another model than those excluded, by hints and then by names of larger ones."""
+    return preferred(models.filter(~F.col(key).isin(exclude)) if exclude else models, [*hints, *P.LARGE_HINTS], key, place)
+
+
+def configured_model(models: DataFrame, configured: str, hints: list[str], last: bool = False, key: str = "model", place: str = "idx") -> DataFrame:
+    """The configured model, which must be among the models; without one the first of the first hint, else the first or last of all."""
+    if configured:
+        chosen = models.filter(F.col(key) == configured)
+        if chosen.isEmpty():
+            raise ValueError("the configured model is not an allowed one")
+        return chosen.limit(1)
+    hit = F.lit(False)
+    for h in hints:
+        hit = hit | F.col(key).rlike(f"(?i){h}")
+    if last and models.filter(hit).isEmpty():
+        return models.orderBy(F.col(place).desc()).limit(1)
+    return preferred(models, [], key, place, tuple(hints)).drop("hint")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from loomspark.functions import patterns as P
 from loomspark.operators import evaluate as E
 from loomspark.operators import policy as S
 from loomspark.operators import quality as Q
@@ -165,3 +166,15 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(60)
     rows = lambda df: sorted(map(tuple, df.select("runId", "events", "failed", "complete").collect()))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(V.lifecycle(readers.events(spark, str(source)))) == [("r1", 3, False, True), ("r2", 1, True, False)]
+
+
+def test_model_choice(spark):
+    m = spark.createDataFrame([("org/big-70b", 0), ("org/x-7b", 1), ("org/mini", 2), ("org/pro", 3)], "model string, idx int")
+    name = lambda df: df.first()["model"]
+    assert name(R.preferred(m, ["zz", "x-"])) == "org/x-7b" and name(R.preferred(m, [])) == "org/big-70b"
+    assert name(R.preferred(m, [], patterns=(P.SMALL_MODEL, P.MID_MODEL))) == "org/mini"
+    assert name(R.distinct_model(m, ["org/pro"], [])) == "org/big-70b" and name(R.distinct_model(m, [], ["7b"])) == "org/x-7b"
+    assert name(R.configured_model(m, "org/mini", [])) == "org/mini" and name(R.configured_model(m, "", ["none"], last=True)) == "org/pro"
+    with pytest.raises(ValueError):
+        R.configured_model(m, "other", [])
+    assert E.named(m, "mini").count() == 1 and E.grid(m, ["a", "b"], ["c"]).count() == 8

@@ -386,7 +386,7 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     dealt = blocks.join(load, "hub").select("left", "right", "hub", F.pmod(F.xxhash64("hub", spread), F.lit(groups)).alias("g"))
     wanted = _documents(dealt, "g").distinct()
     none = F.lit(None).cast("array<long>")
-    shipped = wanted.join(texts, "node").select("g", "node", "packed", none.alias("left"), none.alias("right"))
+    shipped = texts.join(wanted.hint("shuffle_hash"), "node").select("g", "node", "packed", none.alias("left"), none.alias("right"))
     rows = shipped.unionByName(dealt.select("g", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("packed"), "left", "right"))
 
     def check(group: pa.Table) -> pa.Table:
@@ -451,7 +451,8 @@ def _packed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 > 0))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["node", "packed"])
 
-    return docs.select("node", "text", place.alias("place")).mapInArrow(pack, "node long, packed binary").join(wanted, "node", "left_semi")
+    # the same way at every size: the ids are the side that is hashed
+    return docs.select("node", "text", place.alias("place")).mapInArrow(pack, "node long, packed binary").join(wanted.hint("shuffle_hash"), "node", "left_semi")
 
 
 def _shared_ids(own: DataFrame, same: DataFrame) -> DataFrame:

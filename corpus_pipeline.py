@@ -45,7 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of every remaining document's ids and of the text that they decode to."""
-    return bpe.encode_decode(docs, vocabulary())
+    return bpe.encode_decode(docs, vocabulary(), word_bytes=4 << 20)  # workers still hold what earlier stages loaded
 
 
 STAGES = [

@@ -21,8 +21,8 @@ from . import common
 
 #: Symbols of words handled at once.
 INDEX_SYMBOLS = 1 << 20
-#: Bytes of texts whose distinct words are handled together.
-WORD_BYTES = 4 << 20
+#: Bytes of texts whose distinct words are handled together; more of them share more words and take more memory.
+WORD_BYTES = 16 << 20
 #: Words whose ids a task keeps from one batch to the next; beyond that it starts anew.
 WORDS_KEPT = 150_000
 
@@ -270,7 +270,7 @@ def digests(strings: pa.Array, offs: np.ndarray) -> list[str]:
     return [hashlib.sha256(view[min(a + 1, b) : b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, word_bytes: int = WORD_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded text).
 
     Null texts count as empty: no ids and an empty decoded text. A long text is handled whole; repeated rows give
@@ -278,7 +278,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in common.slices(batches, "text", WORD_BYTES):
+        for batch in common.slices(batches, "text", word_bytes):
             n, ids, text, offs = code_batch(common.as_text(batch.column("text")), path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests(ids, offs)), pa.array(digests(text, offs))],

@@ -208,7 +208,7 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
         for members, times in seen.values():
             members = members[np.lexsort((least[members], sizes[members]))]
             pieces = [members[i : i + PIECE] for i in range(0, len(members), PIECE)]
-            family = xxhash.xxh3_64_intdigest(least[members].tobytes()) >> 1 if len(pieces) > 1 else 0
+            family = xxhash.xxh3_64_intdigest(b"".join(v[members].tobytes() for v in (least, sizes, matches))) >> 1 if len(pieces) > 1 else 0
             for i, a in enumerate(pieces):
                 put(a, family, 0, times)
                 for b in pieces[i + 1 :]:
@@ -234,9 +234,13 @@ def least_shared(na, la, nb, lb, percent: int = PERCENT):
 
 
 def _with_totals(lists: DataFrame) -> DataFrame:
-    """Adds ts: for each document of a list the prefix shingles of it that any other document has too, in all lists."""
+    """Adds ts: for each document of a list the prefix shingles of it that any other document has too, in all lists.
+
+    k1 and k2 name a row by all that `_lists` keeps apart: long lists can begin alike, and rows of one doc_id can have sets of several sizes.
+    """
     totals = lists.filter("tail = 0").select("times", F.explode("docs").alias("doc")).groupBy("doc").agg(F.sum("times").alias("t"))
-    keyed = lists.select(F.xxhash64("docs", "tail", F.lit(1)).alias("k1"), F.xxhash64("docs", "tail", F.lit(2)).alias("k2"), "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
+    row = ("docs", "ns", "ls", "family", "tail")
+    keyed = lists.select(F.xxhash64(*row, F.lit(1)).alias("k1"), F.xxhash64(*row, F.lit(2)).alias("k2"), "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
     known = keyed.withColumn("doc", F.col("e.docs")).join(totals, "doc")
     whole = known.groupBy("k1", "k2").agg(
         F.first("family").alias("family"), F.first("tail").alias("tail"), F.first("times").alias("times"),

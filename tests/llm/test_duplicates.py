@@ -87,6 +87,20 @@ def test_similarity_join(spark, monkeypatch, piece):
     assert got == brute.components(docs)
 
 
+def test_long_lists_that_begin_alike_both_count(spark):
+    kind = "docs array<long>, ns array<long>, ls array<long>, family long, tail long, times long"
+    row = lambda docs, family, tail: (docs, [10] * len(docs), [1] * len(docs), family, tail, 1)
+    # lists 1 2 3 4 and 1 2 5 6 in pieces of two; 1 and 2 share both, as many as they need
+    lists = [row([1, 2], f, 0) for f in (11, 22)] + [row([3, 4], 11, 0), row([1, 2, 3, 4], 11, 2), row([5, 6], 22, 0), row([1, 2, 5, 6], 22, 2)]
+    full = jaccard._with_totals(spark.createDataFrame(lists, kind))
+    assert sorted((r["docs"], r["family"], r["times"]) for r in full.filter("tail = 0").collect()) == [([1, 2], 11, 1), ([1, 2], 22, 1), ([3, 4], 11, 1), ([5, 6], 22, 1)]
+    pairs = jaccard._rest_pairs(full, spark.createDataFrame([], "node long, component long"), 75)
+    assert [sorted(r["left"] + r["right"]) for r in pairs.collect()] == [[1, 2]]
+    # one list of two documents, where one doc_id has sets of two sizes
+    two = [([1, 2], [n, 10], [1, 1], 0, 0, 1) for n in (10, 11)]
+    assert jaccard._with_totals(spark.createDataFrame(two, kind)).count() == 2
+
+
 def test_similarity_join_on_tables(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A node's density is its characters per tag, adjusted by how much of the text is links. A node's sum adds the densities of
-its children; the article is around the node with the greatest sum. On its path to the body, nodes as dense as the body
-count as text; of these a wider one is taken if it also holds a main heading or sections with a sum of their own.
+its children; the article is around the node with the greatest sum. The least density on its path to the body is the
+threshold: blocks beside the path count as text if they or their children together are as dense, if they hold a main
+heading, or if they are paragraphs, headings, lists and the like. An article or main element on the path is taken whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ BOILERPLATE = frozenset(
 )
 #: An article that carries such a word on itself is kept all the same.
 ROOTS = frozenset(["html", "body", "main", "article"])
-LINK_PART, SECTION_PART = 0.6, 0.25
+LINK_PART = 0.6
+#: Blocks of running text, which count beside the densest node however short they are.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol dl table figure figcaption details summary li dt dd".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -157,7 +160,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def article(root: Node) -> Node | None:
-    """The node that holds the main text."""
+    """The node that holds the main text; what is beside it and is no text is marked as skipped."""
     nodes = [n for n in measure(root) if n.chars]
     if not nodes:
         return None
@@ -168,14 +171,17 @@ def article(root: Node) -> Node | None:
     for n in reversed(path):
         if n.tag in ("article", "main"):
             return n
-    threshold, held = path[-1].density, best
-    for n in path[1:]:
-        if n.tag in ("body", "html") or n.density < threshold:
-            break
-        beside = [p for p in n.parts if not isinstance(p, str) and not p.skipped and p is not path[path.index(n) - 1]]
-        if sum(p.sum for p in beside if p.chars) >= SECTION_PART * best.sum or any(x.tag == "h1" and x.chars for p in beside for x in _order(p)):
-            held = n
-    return held
+    threshold = min(n.density for n in path)
+    for inner, n in zip(path, path[1:]):
+        loose = [p for p in n.parts if isinstance(p, str) or p is not inner and not p.skipped and p.tag not in BLOCK]
+        links = [p.link_chars for p in loose if not isinstance(p, str)]
+        if sum(links) > LINK_PART * sum(len("".join(p.split())) if isinstance(p, str) else p.chars for p in loose):
+            n.parts = [p for p in n.parts if not any(p is x for x in loose)]  # a bare row of links
+        for p in n.parts:
+            # what is beside the path is text if it is dense itself or holds dense parts; lines of text and headings need not be
+            if not isinstance(p, str) and p is not inner and not p.skipped and p.chars:
+                p.skipped = p.tag in BLOCK and p.tag not in TEXT and max(p.density, p.sum) < threshold and not any(x.tag == "h1" and x.chars for x in _order(p))
+    return path[-1]
 
 
 def blocks(root: Node) -> list[str]:

@@ -152,6 +152,22 @@ def test_main_text():
     assert main_text.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_main_text_beside_the_densest_node():
+    line = "A sentence of the text, long enough to be one of many that a reader meets on a page like this."
+    many = [f"{line} Number {k}." for k in range(10)]
+    tags = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    page = "<html><body><nav><a href=x>Home</a></nav><div class=post>{}</div><div><a href=y>One</a> <a href=z>Two</a></div></body></html>"
+    # paragraphs of their own beside the densest node, short ones too
+    assert main_text.main_text(page.format(f"<p>{line}</p><p>Short.</p><div>{tags(many)}</div><p>End.</p>")) == "\n".join([line, "Short.", *many, "End."])
+    # a short section beside a long one, and one whose lines lie deeper
+    assert main_text.main_text(page.format(f"<section>{tags(many)}</section><section><h2>Last</h2>{tags(many[:2])}</section>")) == "\n".join([*many, "Last", *many[:2]])
+    assert main_text.main_text(page.format(f"<div>{tags(many)}</div><div><div>{tags(many[:3])}</div></div>")) == "\n".join([*many, *many[:3]])
+    # a bare row of links is no text
+    assert main_text.main_text(f"<body><a href=x>Home</a> | <a href=y>About us</a><div><div>{tags(many)}</div><p>{line}</p></div></body>") == "\n".join([*many, line])
+    # sections without a node around them
+    assert main_text.main_text(f"<body><h1>Top</h1><p>{line}</p><div>{tags(many)}</div></body>") == "\n".join(["Top", line, *many])
+
+
 def test_main_text_of_tables(spark, sf):
     import html
     import re

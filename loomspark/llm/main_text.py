@@ -185,7 +185,7 @@ def article(root: Node) -> Node | None:
 
 
 def blocks(root: Node) -> list[str]:
-    """Texts of the blocks below root in page order, white space made one space; lists of links are left out."""
+    """Texts of the blocks below root in page order, white space made one space; outside an article or main, lists of links are left out."""
     out: list[str] = []
     line: list[str] = []
 
@@ -205,7 +205,7 @@ def blocks(root: Node) -> list[str]:
         elif x.tag == "br":
             line.append(" ")
         elif not x.skipped:
-            if x.tag in ("ul", "ol", "div", "section", "p", "table", "dl") and x is not root and x.link_tags > 1 and x.link_chars > LINK_PART * x.chars:
+            if x.tag in ("ul", "ol", "div", "section", "p", "table", "dl") and x is not root and not x.article and x.link_tags > 1 and x.link_chars > LINK_PART * x.chars:
                 continue
             if x.tag in BLOCK:
                 end()

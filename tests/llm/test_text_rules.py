@@ -168,6 +168,15 @@ def test_main_text_beside_the_densest_node():
     assert main_text.main_text(f"<body><h1>Top</h1><p>{line}</p><div>{tags(many)}</div></body>") == "\n".join(["Top", line, *many])
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_links_of_an_article_are_text(tag):
+    links = [f"<a href=/{k}>A long title of work number {k}</a>" for k in range(3)]
+    inside = f"<p>Text of some length, with no link at all.</p><p>{links[0]} and {links[1]}</p><ul>{''.join(f'<li>{x}</li>' for x in links)}</ul><table><tr><td>{links[0]}<td>{links[1]}</table>"
+    lines = [f"A long title of work number {k}" for k in range(3)]
+    page = f"<body><ul><li><a href=a>Home</a><li><a href=b>About</a></ul><{tag}>{inside}<nav>{links[2]}</nav></{tag}></body>"
+    assert main_text.main_text(page) == "\n".join(["Text of some length, with no link at all.", f"{lines[0]} and {lines[1]}", *lines, *lines[:2]])
+
+
 def test_main_text_of_tables(spark, sf):
     import html
     import re

@@ -9,6 +9,8 @@ only windows with a shingle of a template are hashed.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from .decontaminate import tokens
 
 #: Words of a shingle, orders with a band each, the least containment of a template in a window.
 SHINGLE, BANDS, LEAST = 3, 16, 0.8
-#: Public wordings: notices by which texts name their license, and the beginnings of common licenses.
+#: Public wordings: notices by which texts name their license, the beginnings of common ones, and whole texts (a file each).
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -38,7 +40,7 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
-    "BSD-3-Clause": [
+    "BSD": [  # the opening alone doesn't tell which
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ],
     "MPL-2.0": [
@@ -46,6 +48,56 @@ TEMPLATES = {
     ],
 }
 
+#: Words that must stand in a window too, for the templates of a license that hold them, and words that must not.
+DECIDING = {
+    "Apache-2.0": ["Apache License, Version 2.0", "under the Apache License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"],
+    "BSD-3-Clause": ["endorse or promote products"],
+    "ISC": ["provided that the above"],
+    "GFDL-1.2": ["Version 1.2, November 2002"],
+    "GFDL-1.3": ["Version 1.3, 3 November 2008"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1"],
+}
+UNLESS = {"BSD-2-Clause": ["endorse or promote products"], "0BSD": ["provided that the above"]}
+
+
+def _add(name: str, wordings: list[str], deciding: list[str]) -> None:
+    known = TEMPLATES.setdefault(name, [])
+    known += [w for w in wordings if w not in known]
+    DECIDING.setdefault(name, []).extend(deciding)
+
+
+def _bundle() -> None:
+    for kind, full, versions in (("GPL", "GNU General Public License", ("1", "2", "3")), ("LGPL", "GNU Library General Public License", ("2",)), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
+        for v in versions:
+            wordings = [
+                f"This work is licensed under the {full}, version {v}.",
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the {full} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.",
+                f"This program is free software; you can redistribute it and/or modify it under the terms of the {full} version {v} as published by the Free Software Foundation.",
+            ]
+            # a later license quotes the names of others, so its title decides on the whole text
+            _add(f"{kind}-{v if '.' in v else v + '.0'}", wordings, [full, f"License, version {v}", f"either version {v}", *([f"Version {v}, 29 June 2007"] if v == "3" else [])])
+    parts = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    for short, full in parts.items():
+        for v, scope in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            old = full.replace("NoDerivatives", "NoDerivs") if v != "4.0" else full
+            _add(f"CC-{short}-{v}", [f"Licensed under CC {short} {v}.", f"This work is licensed under a Creative Commons {old} {v} {scope} License."], [f"CC {short} {v}", f"Commons {old} {v}"])
+    named = {
+        "MIT": ["MIT License"], "ISC": ["ISC License"], "Zlib": ["zlib License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "BSL-1.0": ["Boost Software License, Version 1.0"],
+        "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License v1.0"], "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"],
+        "Apache-1.0": ["Apache License, Version 1.0"], "Apache-1.1": ["Apache License, Version 1.1"], "Apache-2.0": ["Apache License, Version 2.0"],
+        "MPL-1.1": ["Mozilla Public License, Version 1.1"], "MPL-2.0": ["Mozilla Public License, Version 2.0"], "CC0-1.0": ["CC0 1.0 Universal License"], "Unlicense": ["Unlicense License"],
+    }
+    for name, full in named.items():
+        _add(name, [f"{verb} under the {x}." for x in full for verb in ("Released", "Licensed")], [f"the {x}" for x in full])
+    _add("CC0-1.0", ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."], [])
+    _add("Unlicense", ["This is free and unencumbered software released into the public domain."], [])
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        _add(path.stem, [path.read_text(encoding="utf-8")], [])
+
+
+_bundle()
+
 
 class Templates:
     """Templates with their shingles, least hashes and window classes."""
@@ -59,7 +111,10 @@ class Templates:
         self.sets = [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         if any(not len(s) for s in self.sets):
             raise ValueError("a template is shorter than a shingle")
-        self.every = np.unique(np.concatenate(self.sets))
+        whole = [w.tobytes() for w in (words[a:b] for a, b in zip(offs[:-1], offs[1:]))]
+        self.must = [self.phrases(DECIDING.get(r[0], ()), t) for r, t in zip(rows, whole)]
+        self.never = [self.phrases(UNLESS.get(r[0], ()), None) for r in rows]
+        self.every = np.unique(np.concatenate([*self.sets, *self.never]))
         self.least = np.stack([self.signature(s) for s in self.sets])
         # classes of length: the longest of a class is under one and a half times its shortest
         self.classes: list[tuple[list[int], int, int]] = []
@@ -71,6 +126,16 @@ class Templates:
             stride = max(1, short // 2)
             self.classes.append((own, int(self.sizes[own[-1]]) + stride, stride))
 
+    @staticmethod
+    def phrases(phrases, held: bytes | None) -> np.ndarray:
+        """Shingles of the phrases; with `held`, of those that these words hold."""
+        out = [np.zeros(0, np.uint64)]
+        for p in phrases:
+            words, offs = tokens(pa.array([p], pa.large_string()))
+            if held is None or words.tobytes() in held:
+                out.append(common.shingles(words, offs, SHINGLE)[0])
+        return np.unique(np.concatenate(out))
+
     def signature(self, grams: np.ndarray) -> np.ndarray:
         return np.array([self.ordered(grams, b).min() for b in range(self.bands)], np.uint64)
 
@@ -95,15 +160,21 @@ def find(texts: pa.Array, templates: Templates, least: float = LEAST) -> list[tu
         n = last - first + 1
         start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         windows = np.unique(np.stack([np.repeat(row, n), start * stride]), axis=1).T.tolist() if len(start) else []
+        fewest = least * min(len(templates.sets[t]) for t in own)
         for r, at in windows:
-            held = grams[ends[r] + at : min(ends[r] + at + span, ends[r + 1])]
-            some = held[np.isin(held, templates.every)]
+            lo, hi = ends[r] + at, min(ends[r] + at + span, ends[r + 1])
+            a, b = np.searchsorted(hit, (lo, hi))
+            if b - a < fewest:  # too few shingles of any template for the least containment
+                continue
+            held = grams[lo:hi]
+            some = grams[hit[a:b]]
             # the least hash of a window counts only if a template's shingle has it
-            bands = np.array([templates.ordered(held, b).min() for b in range(templates.bands)], np.uint64) if len(some) else None
-            for t in own:
-                if bands is not None and (bands == templates.least[t]).any():
-                    score = float(np.isin(templates.sets[t], held).mean())
-                    if score >= least and (-score, at) < (-best.get((r, t), (0.0, 0, 0))[0], best.get((r, t), (0.0, 1 << 60, 0))[1]):
+            bands = np.array([templates.ordered(held, b).min() for b in range(templates.bands)], np.uint64)
+            near = (bands == templates.least[own]).any(axis=1)
+            for t in np.array(own)[near].tolist():
+                score = float(np.isin(templates.sets[t], some).mean())
+                if score >= least and np.isin(templates.must[t], some).all() and not (len(templates.never[t]) and np.isin(templates.never[t], some).all()):
+                    if (-score, at) < (-best.get((r, t), (0.0, 0, 0))[0], best.get((r, t), (0.0, 1 << 60, 0))[1]):
                         best[r, t] = (score, at, width)
     return [(r, t, score, at, min(width, int(offs[r + 1] - offs[r]) - at)) for (r, t), (score, at, width) in sorted(best.items())]
 

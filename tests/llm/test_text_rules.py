@@ -114,6 +114,30 @@ def test_licenses(spark):
     assert all(x["doc_id"] < 5000 for x in got) and licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Licensed under the Apache License, Version 1.1.", {"Apache-1.1"}),
+        ("Licensed under the Apache License, Version 9.9.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0"}),
+        ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}),
+        ("Licensed under the MIT License.", {"MIT"}),
+    ],
+)
+def test_name_and_version_decide_on_a_license(text, names):
+    known = licenses.Templates()
+    assert {known.names[f[1]] for f in licenses.find(pa.array([f"some words {text} and more"]), known)} == names
+
+
+@pytest.mark.parametrize("name", ["BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "GFDL-1.2", "GFDL-1.3", "MPL-2.0", "Apache-2.0"])
+def test_whole_texts_of_licenses(name):
+    known = licenses.Templates()
+    found = [known.names[f[1]] for f in licenses.find(pa.array([licenses.TEMPLATES[name][-1]]), known) if known.sizes[f[1]] > 80]
+    assert name in found and set(found) <= {name} | ({"MIT"} if name == "MIT" else set())
+
+
 def test_url_rules_against_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")

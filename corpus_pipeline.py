@@ -16,12 +16,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the least doc_id, and of several such rows one."""
-    keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = jaccard.classes(docs)
-    first = groups.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("tie").alias("__t"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
+    """One row of each group of similar texts: that with the least doc_id (null is the least), and of several such rows one.
+
+    Each row counts by itself, whatever other rows have its doc_id; only rows with one doc_id and one text are one.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard.classes(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__class")).distinct()
+    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("__id"))
+    first = groups.join(ids, "__key").groupBy("__class").agg(F.min(F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__key")).alias("__first"))
+    kept = keyed.join(first.select(F.col("__first.__key").alias("__key")), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_stages_return_the_columns_of_documents(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_unlike_rows_of_one_id_are_kept(spark, sf):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    near = texts[1] + " more"
+    rows = [(None, texts[0], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (7, texts[3], "s"), (7, texts[4], "s"), (9, near, "s"), (8, texts[3], "s"), (5, texts[4], "s"), (3, texts[5], "s"), (3, texts[5], "s"), (4, None, "s"), (6, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    want = [(None, t, "s") for t in texts[:3]] + [(7, texts[3], "s"), (5, texts[4], "s"), (3, texts[5], "s"), (4, None, "s"), (6, "", "s")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

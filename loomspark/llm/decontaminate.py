@@ -42,9 +42,14 @@ class Items:
         self.words, self.offs = tokens(pa.array(texts, pa.large_string()))
         self.size = GRAM
         grams, ends = common.shingles(self.words, self.offs, GRAM)
-        # an item shorter than an n-gram has one of its whole length less none: it can't be found by seeds
         item = np.repeat(np.arange(len(ids)), np.diff(ends))
         place = np.arange(len(grams)) - ends[item]
+        # an item shorter than an n-gram is found as a whole: its seed is all of its words
+        n = np.diff(self.offs)
+        self.short = [(k, {self.words[self.offs[i] : self.offs[i + 1]].tobytes(): [] for i in np.flatnonzero(n == k)}) for k in range(1, GRAM)]
+        for k, known in self.short:
+            for i in np.flatnonzero(n == k).tolist():
+                known[self.words[self.offs[i] : self.offs[i + 1]].tobytes()].append(i)
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.place = grams[order], item[order], place[order]
         self.keys, self.first = np.unique(self.grams, return_index=True)
@@ -64,6 +69,22 @@ class Items:
         ok = self.keys[at] == grams[some]
         return some[ok], at[ok]
 
+    def whole(self, words: np.ndarray, offs: np.ndarray):
+        """(row, item, begin, words) of the first place of each short item in each text that holds it."""
+        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        for k, known in self.short:
+            if not known or len(words) < k:
+                continue
+            first = np.unique(np.array([np.frombuffer(x, np.uint64)[0] for x in known], np.uint64))
+            at = np.flatnonzero(np.isin(words[: len(words) - k + 1], first))
+            at = at[row[at] == row[at + k - 1]]
+            seen: set[tuple[int, bytes]] = set()
+            for p, r in zip(at.tolist(), row[at].tolist()):
+                key = words[p : p + k].tobytes()
+                if key in known and (r, key) not in seen:
+                    seen.add((r, key))
+                    yield from ((r, i, p - int(offs[r]), k) for i in known[key])
+
     def keep_rare(self, counts: np.ndarray) -> None:
         """counts: of each key in the corpus. Keeps each item's rarest part, ties included."""
         each = counts[np.repeat(np.arange(len(self.keys)), self.ends - self.first)]
@@ -138,6 +159,9 @@ def find(texts: pa.Array, items: Items, least: float = LEAST_SCORE) -> dict[str,
                 base = int(lo[k] - offs[row[first[k]]])
                 for c, v in zip(out, (int(row[first[k]]), int(item[first[k]]), float(score[g]), base + int(end[g]) - f, base + int(end[g]))):
                     out[c].append(v)
+    for r, i, at, k in items.whole(words, offs):
+        for c, v in zip(out, (r, i, 1.0, at, at + k)):
+            out[c].append(v)
     found = {c: np.array(v, np.float64 if c == "score" else np.int64) for c, v in out.items()}
     order = np.lexsort((found["begin"], -found["score"], found["item"], found["row"]))
     found = {c: v[order] for c, v in found.items()}
@@ -181,7 +205,7 @@ def seeds(docs: DataFrame, block: DataFrame) -> Items:
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Pairs of a document and a test item that it holds, whole or edited: doc_id, item_id, score, begin, end (words).
 
-    Null and empty texts match nothing, nor do items shorter than a seed. Equal rows match alike. Of several places for
+    Null and empty texts match nothing. Items shorter than a seed match where all their words stand in order. Equal rows match alike. Of several places for
     one item the best counts, then the first. Texts of any length are read whole; other columns are ignored; no items or
     no documents give no rows.
     """

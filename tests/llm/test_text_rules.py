@@ -79,6 +79,15 @@ def test_decontamination(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_benchmark_items_of_one_or_two_words(spark):
+    docs = [(1, "it says: Two words. here, two words"), (2, "two other words"), (3, "Word!"), (4, "two"), (5, "words two"), (6, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two words"), (2, "word"), (3, "Two, words"), (4, "..."), (5, None)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.matches(df, bench).collect())
+    assert got == [(1, 1, 1.0, 2, 4), (1, 3, 1.0, 2, 4), (3, 2, 1.0, 0, 1)]
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {2, 4, 5, 6, 7}
+
+
 def test_alignment_equals_plain_one():
     r = random.Random(3)
     for _ in range(60):

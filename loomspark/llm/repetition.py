@@ -4,6 +4,8 @@ Suffixes are ranked by prefix doubling; the common prefix of neighbours in suffi
 neighbours that share a prefix are the longest-common-prefix intervals: each is a substring that occurs as often as the
 interval has suffixes, and it is a maximal repeat if its occurrences differ in the word before. The spans of all
 occurrences of maximal repeats of some length are united; the covered fraction and the longest repeat are limited.
+The query takes the same spans from neighbours' prefixes; `intervals` and `maximal_repeats` are there to test them. With
+the limits as they are the covered fraction is the base rule's, and only the longest repeat rejects more.
 """
 
 from __future__ import annotations

@@ -475,10 +475,10 @@ def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trained_router(spark: SparkSession, sf: str) -> DataFrame:
-    """A few epochs on user prompts: the weights as a table."""
+    """All epochs of the operator on user prompts: the weights as a table."""
     tasks = user_tasks(spark, sf).withColumn("category", F.lit("factual"))
     labels = tasks.select("id", F.when(F.length("prompt") > 120, 1).otherwise(0).alias("label"))
-    bias, weights = L.fit(L.features(tasks, 256), labels, 256, epochs=3)
+    bias, weights = L.fit(L.features(tasks), labels)
     return spark.createDataFrame([(-1, bias), *weights.items()], "idx int, weight double").select("idx", F.round("weight", 6).alias("weight"))
 
 

@@ -48,3 +48,13 @@ def test_entry_without_the_corpus_modules(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("loomspark.llm", "corpus_pipeline") else find(name, *a))
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
+
+
+def test_trained_router_uses_the_operator_s_defaults(spark, sf, monkeypatch):
+    from loomspark.plans import queries as plans
+
+    seen = []
+    monkeypatch.setattr(plans.L, "fit", lambda features, labels, *a, **k: seen.append((features, a, k)) or (0.0, {0: 1.0}))
+    plans.trained_router(spark, sf)
+    ((features, a, k),) = seen
+    assert not a and not k and features.agg({"idx": "max"}).first()[0] >= 256

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at once, whatever the partition's size.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once; what belongs together is put together there, up to a number of bytes.
 ARROW_ROWS = 1000
 
+#: Bytes of input that one partition of an exchange by group or bucket is meant to hold.
+PART_BYTES = 128 << 20
+
 U64 = np.uint64
 
 
@@ -77,6 +80,20 @@ def text_groups(df: DataFrame, group_bytes: int = BATCH_BYTES) -> int:
     return max(1, -(-int(total) // group_bytes))
 
 
+def dealt(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df by key in partitions of about PART_BYTES of `size`; where the session's number of partitions does, that is left to it."""
+    parts = -(-int(size) // PART_BYTES)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def present(bucket: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket (then by ties), and (bucket, begin, end) in that order of each bucket that occurs."""
+    order = np.lexsort((*ties[::-1], bucket)) if ties else np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    return order, list(zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)]))
+
+
 def as_text(arr) -> pa.Array:
     """One array of strings without nulls (null: empty)."""
     if isinstance(arr, pa.ChunkedArray):

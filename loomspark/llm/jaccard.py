@@ -34,7 +34,7 @@ MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
 BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 6 << 20
 #: Bytes of texts whose shingles are held at once.
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 2 << 20
 #: Entries of lists that one task takes of lists with one least component.
 HELD = 400_000
 #: Bits of the map of wanted documents that is broadcast: fixed, so a larger corpus only lets more documents pass it.
@@ -151,10 +151,8 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
             table["fp"] = [fingerprint(sets[k])[0] for k in rows]
             table["n"] = [len(sets[k]) for k in rows]
             where = (common.mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((entries["token"], where))
-            entries, where = entries[order], where[order]
-            cuts = np.searchsorted(where, np.arange(buckets + 1))
-            found = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+            order, found = common.present(where, entries["token"])
+            entries = entries[order]
             blobs = []
             for _, lo, hi in found:
                 part = entries[lo:hi]

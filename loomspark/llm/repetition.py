@@ -3,9 +3,9 @@
 Suffixes are ranked by prefix doubling; the common prefix of neighbours in suffix order comes from the same ranks. Runs of
 neighbours that share a prefix are the longest-common-prefix intervals: each is a substring that occurs as often as the
 interval has suffixes, and it is a maximal repeat if its occurrences differ in the word before. The spans of all
-occurrences of maximal repeats of some length are united; the covered fraction and the longest repeat are limited.
-The query takes the same spans from neighbours' prefixes; `intervals` and `maximal_repeats` are there to test them. With
-the limits as they are the covered fraction is the base rule's, and only the longest repeat rejects more.
+occurrences of maximal repeats of MIN_REPEAT words or more are united; the covered fraction and the longest repeat are
+limited. Short repeats count too, so a text of words that are each said four times is rejected, which has no window of five words
+twice.
 """
 
 from __future__ import annotations
@@ -20,21 +20,26 @@ from . import common
 #: Words of the windows of the base rule, and the base rule's limits.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 #: A repeat counts from so many words on; the verdict's limits.
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 5, 0.20, 60
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 3, 0.50, 60
+#: Words of texts that share one suffix array; a longer text has one of its own.
+ARRAY_WORDS = 150_000
 SYMBOLS = b"#*$%&|<>"
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of a sequence, and the common prefix of each suffix with the one before it in that order (first: 0)."""
+    """Suffix order of a sequence, and the common prefix of each suffix with the one before it in that order (first: 0).
+
+    Ranks of all doublings are held: 4 bytes a word for each doubling of the longest repeat.
+    """
     n = len(codes)
     if n < 2:
         return np.arange(n), np.zeros(n, np.int64)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
+    rank = (np.unique(codes, return_inverse=True)[1] + 1).astype(np.int32)
     levels, k = [(1, rank)], 1
     while k < n and rank.max() < n:
-        later = np.zeros(n, np.int64)
-        later[: n - k] = rank[k:]
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
+        key = rank.astype(np.int64) * (n + 1)
+        key[: n - k] += rank[k:]
+        rank = (np.unique(key, return_inverse=True)[1] + 1).astype(np.int32)
         k *= 2
         levels.append((k, rank))
     order = np.argsort(rank, kind="stable")
@@ -51,46 +56,80 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], lcp])
 
 
-def intervals(lcp: np.ndarray, least: int):
-    """Longest-common-prefix intervals (first, last, length) of the suffix order with a length of at least `least`."""
-    stack: list[tuple[int, int]] = []
-    for i, h in enumerate([*lcp.tolist(), 0]):
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest-common-prefix intervals of the suffix order with a length of at least `least`: (first, last, length), and the interval of each place of lcp that has its length (-1: none).
+
+    Only places with a common prefix of that length are visited.
+    """
+    firsts: list[int] = []
+    lasts: list[int] = []
+    lengths: list[int] = []
+    owner = np.full(len(lcp), -1, np.int64)
+    at = np.flatnonzero(lcp >= least)
+    stack: list[int] = []
+    before = -2
+    own = []
+    for i, h in zip(at.tolist(), lcp[at].tolist()):
+        if i != before + 1:  # all that are open end with the run
+            for k in stack:
+                lasts[k] = before
+            stack.clear()
         first = i - 1
-        while stack and stack[-1][1] > h:
-            first, length = stack.pop()
-            yield first, i - 1, length
-        if h >= least and (not stack or stack[-1][1] < h):
-            stack.append((first, h))
+        while stack and lengths[stack[-1]] > h:
+            k = stack.pop()
+            lasts[k], first = i - 1, firsts[k]
+        if not stack or lengths[stack[-1]] < h:
+            stack.append(len(lengths))
+            firsts.append(first)
+            lengths.append(h)
+            lasts.append(i)
+        own.append(stack[-1])
+        before = i
+    for k in stack:
+        lasts[k] = before
+    owner[at] = own
+    return np.array(firsts, np.int64), np.array(lasts, np.int64), np.array(lengths, np.int64), owner
+
+
+def maximal(codes: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, last, length) of the intervals, whether each is a maximal repeat, and the deepest interval of each place of the order (-1: none)."""
+    order, lcp = suffix_array(codes)
+    first, last, length, owner = intervals(lcp, least)
+    # a repeat can be lengthened to the left if the word before is one and the same everywhere; a text's first word has none
+    prior = np.where(order > 0, codes[order - 1], -1) if len(codes) else order
+    change = np.concatenate([[0], np.cumsum((prior[1:] != prior[:-1]) | (prior[1:] < 0))]) if len(codes) else order
+    wide = change[last] > change[first] if len(first) else np.zeros(0, bool)
+    after, held = np.append(lcp[1:], 0), np.append(owner[1:], -1)
+    deepest = np.where(after > lcp, held, owner) if len(codes) else owner
+    return order, first, last, length, wide, deepest
 
 
 def maximal_repeats(codes: np.ndarray, least: int = MIN_REPEAT) -> list[tuple[int, list[int]]]:
     """(length, starts) of every substring that occurs twice and can't be lengthened on either side in all its occurrences."""
-    order, lcp = suffix_array(codes)
-    out = []
-    for first, last, length in intervals(lcp, least):
-        starts = order[first : last + 1]
-        before = {int(codes[s - 1]) if s else -1 for s in starts}
-        if len(before) > 1 or 0 in starts:
-            out.append((length, sorted(starts.tolist())))
-    return out
+    order, first, last, length, wide, _ = maximal(codes, least)
+    return [(int(length[k]), sorted(order[first[k] : last[k] + 1].tolist())) for k in np.flatnonzero(wide).tolist()]
 
 
-def repeated(codes: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, int]:
-    """Which positions an occurrence of a maximal repeat covers, and the longest repeat's length.
+def repeated(codes: np.ndarray, least: int = MIN_REPEAT) -> np.ndarray:
+    """For each position the length of the longest maximal repeat that begins there (0: none of `least` words).
 
-    An occurrence at p that reaches furthest is the larger of the common prefixes that p's suffix has with its two
-    neighbours, and every shorter repeat that begins at p lies in it; so the union needs one span for each suffix.
+    The spans of these cover all that maximal repeats cover: what else begins at a position is shorter.
     """
-    n = len(codes)
-    order, lcp = suffix_array(codes)
-    reach = np.zeros(n, np.int64)
-    if n:
-        reach[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    long = np.flatnonzero(reach >= least)
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, long, 1)
-    np.add.at(change, long + reach[long], -1)
-    return np.cumsum(change[:-1]) > 0, int(reach.max(initial=0)) if len(long) else 0
+    order, _, _, length, wide, deepest = maximal(codes, least)
+    reach = np.zeros(len(codes), np.int64)
+    some = np.flatnonzero(deepest >= 0)
+    some = some[wide[deepest[some]]]
+    reach[order[some]] = length[deepest[some]]
+    return reach
+
+
+def spans(reach: np.ndarray, least: int) -> np.ndarray:
+    """Positions in spans of at least `least` that begin at each position."""
+    at = np.flatnonzero(reach >= least)
+    change = np.zeros(len(reach) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + reach[at], -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def twice(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -106,14 +145,6 @@ def twice(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(at: np.ndarray, size: int, total: int) -> np.ndarray:
-    """Positions in windows of `size` that begin at `at`."""
-    change = np.zeros(total + 1, np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + size, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def dup_lines(data: np.ndarray, offs: np.ndarray, texts: list[bytes], some: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of the text, for the texts in `some`."""
     out = np.zeros(len(offs) - 1, np.int64)
@@ -123,6 +154,34 @@ def dup_lines(data: np.ndarray, offs: np.ndarray, texts: list[bytes], some: np.n
     return out
 
 
+def _repeats(codes: np.ndarray, words: np.ndarray, texts: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in repeats of min_repeat, words in repeats of WINDOW, longest repeat) of the chosen texts, by suffix arrays over many of them."""
+    out = [np.zeros(len(texts), np.int64) for _ in range(3)]
+    size, top = np.diff(words)[texts], int(codes.max(initial=0)) + 1
+    at = 0
+    while at < len(texts):
+        end = max(int(np.searchsorted(np.cumsum(size[at:]), ARRAY_WORDS, "right")), 1) + at
+        some = texts[at:end]
+        # a word of its own behind each text: no repeat crosses it
+        n = size[at:end] + 1
+        ends = np.concatenate([[0], np.cumsum(n)])
+        whole = np.empty(ends[-1], np.int64)
+        marks = ends[1:] - 1
+        inside = np.ones(ends[-1], bool)
+        inside[marks] = False
+        whole[marks] = top + np.arange(len(some))
+        whole[inside] = codes[common.gather(words, some)[0]] if len(some) else 0
+        # so that equal texts of different documents don't count, each text's words are its own
+        whole += np.repeat(np.arange(len(some)), n) * (top + len(some))
+        reach = repeated(whole, min(min_repeat, WINDOW))
+        for k, least in ((0, min_repeat), (1, WINDOW)):
+            out[k][at:end] = np.add.reduceat(spans(reach, least), ends[:-1])
+        longest = np.maximum.reduceat(reach, ends[:-1])
+        out[2][at:end] = np.where(longest >= min_repeat, longest, 0)
+        at = end
+    return tuple(out)
+
+
 def measure(texts: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     """The base counts and the repetition of every text of a batch."""
     data, offs = common.raw(texts)
@@ -133,21 +192,20 @@ def measure(texts: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarr
     total = np.concatenate([[0], np.cumsum(chars[codes])])
     flag = np.zeros(256, bool)
     flag[list(SYMBOLS)] = True
-    symbols = np.concatenate([[0], np.cumsum(flag[data])])
+    symbols = np.concatenate([[0], np.cumsum(flag[data], dtype=np.int32)])
+    n_symbols = np.diff(symbols[offs])
+    del symbols
+    # a text without a window of the shorter kind twice has no repeats; equal windows have equal hashes
     hashes = common.mix(np.arange(1, len(distinct) + 1, dtype=np.uint64))[codes]
-    keys, ends = common.shingles(hashes, words, WINDOW)
+    keys, ends = common.shingles(hashes, words, min(WINDOW, min_repeat))
+    del hashes
     owner = np.repeat(np.arange(n), np.diff(ends))
-    again = np.flatnonzero(twice(keys, owner))
-    starts = again - ends[owner[again]] + words[owner[again]]
-    cover = np.concatenate([[0], np.cumsum(covered(starts, WINDOW, len(codes)))])
-    newlines = np.concatenate([[0], np.cumsum(data == 10)])
+    suspect = np.unique(owner[twice(keys, owner)])
+    del keys, owner
+    n_covered, n_repeat, longest = (np.zeros(n, np.int64) for _ in range(3))
+    n_covered[suspect], n_repeat[suspect], longest[suspect] = _repeats(codes, words, suspect, min_repeat)
+    newlines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
     lines = (newlines[offs[1:]] - newlines[offs[:-1]]) > 0
-    # A repeat of at least WINDOW words holds a repeated window, so other texts have none.
-    suspect = np.unique(owner[again]) if min_repeat >= WINDOW else np.flatnonzero(n_words)
-    n_covered, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for k in suspect.tolist():
-        mask, longest[k] = repeated(codes[words[k] : words[k + 1]], min_repeat)
-        n_covered[k] = mask.sum()
     plain = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
     some = np.flatnonzero(lines)
     held = plain.take(pa.array(some)).to_pylist()
@@ -155,9 +213,9 @@ def measure(texts: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarr
     return {
         "n_words": n_words,
         "word_chars": np.diff(total[words]),
-        "n_symbols": np.diff(symbols[offs]),
+        "n_symbols": n_symbols,
         "n_dup_lines": dup_lines(data, offs, rows, some),
-        "n_repeat_words": np.diff(cover[words]),
+        "n_repeat_words": n_repeat,
         "n_covered": n_covered,
         "longest_repeat": longest,
     }

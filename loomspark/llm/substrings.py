@@ -29,13 +29,14 @@ from . import common, sketch
 LENGTH, SEED = 50, 20
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of texts in a group, bytes of texts for a bucket of seeds and for a bucket of pieces.
-GROUP_BYTES, SEED_BYTES, PIECE_BYTES = 4 << 20, 24 << 20, 3 << 20
+GROUP_BYTES, SEED_BYTES, PIECE_BYTES = 4 << 20, 8 << 20, 3 << 20
 #: Bytes of texts whose seeds one row of blobs holds.
 SLICE_BYTES = 4 << 20
 #: Bytes of texts whose seeds are chosen at once.
 RUN_BYTES = 512 << 10
 #: A seed is very frequent from so many places on, and from so many times the mean of a counter.
 FREQUENT, TIMES_MEAN = 2000, 8
+#: Stands for a null doc_id, which counts as less than all others.
 NULL_ID = -(1 << 63)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -191,8 +192,9 @@ def _by_group(group: np.ndarray, node: np.ndarray, tie: np.ndarray, row: np.ndar
         yield int(g[lo]), common.pack(node[used], tie[used], at.astype(np.uint32), *(v[lo:hi] for v in values))
 
 
-def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: int) -> DataFrame:
+def _shared_seeds(docs: DataFrame, frequent, total: int, length: int, seed: int) -> DataFrame:
     """(g, blob): by group of documents the places of seeds that two documents or more have; very frequent ones are left out."""
+    buckets = max(1, -(-total // SEED_BYTES))
 
     def emit(batches):
         for batch in common.slices(batches, "text", SLICE_BYTES):
@@ -204,13 +206,10 @@ def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: in
             h, place = h[keep], place[keep]
             row = np.searchsorted(offs, place, "right") - 1
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order, parts = common.present(bucket)
             found, blobs = [], []
-            for b in range(buckets):
-                at = order[cuts[b] : cuts[b + 1]]
-                if not len(at):
-                    continue
+            for b, lo, hi in parts:
+                at = order[lo:hi]
                 used, doc = np.unique(row[at], return_inverse=True)
                 low = h[at] & np.uint64((1 << 40) - 1)
                 start = place[at] - offs[row[at]]
@@ -225,20 +224,27 @@ def _shared_seeds(docs: DataFrame, frequent, buckets: int, length: int, seed: in
         base = 0
         for blob in table.column("blob"):
             node, tie, group, doc, high, low, step = common.unpack(blob.as_py())
-            for x, v in zip(parts, (node, tie, group, doc.astype(np.int64) + base, (high.astype(np.uint64) << np.uint64(32)) | low, np.cumsum(step).astype(np.uint32))):
+            for x, v in zip(parts, (node, tie, group, doc.astype(np.uint32) + np.uint32(base), (high.astype(np.uint64) << np.uint64(32)) | low, np.cumsum(step).astype(np.uint32))):
                 x.append(v)
             base += len(node)
         node, tie, group, row, h, start = (np.concatenate(x) for x in parts)
-        order = np.argsort(h, kind="stable")
-        s, t = h[order], tie[row[order]]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        parts.clear()
+        order = np.argsort(h, kind="stable").astype(np.uint32)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(first, len(h)))
+        del h
         # copies of one text are known as such, so a seed matters if two texts have it
+        t = tie[row[order]]
         shared = np.minimum.reduceat(t, first) < np.maximum.reduceat(t, first)
-        keep = order[np.repeat(shared, np.diff(np.append(first, len(s))))]
+        del t, first
+        keep = order[np.repeat(shared, times)]
+        del order, times, shared
         rows = list(_by_group(group.astype(np.int64), node, tie, row[keep], start[keep]))
         return pa.table({"g": pa.array([g for g, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
-    return docs.select("node", "tie", "g", "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(common.grouped(meet), "g long, blob binary")
+    sent = docs.select("node", "tie", "g", "text").mapInArrow(emit, "bucket int, blob binary")
+    return common.dealt(sent, "bucket", total).groupBy("bucket").applyInArrow(common.grouped(meet), "g long, blob binary")
 
 
 class Frequent:
@@ -301,33 +307,41 @@ def _pieces(texts: pa.Table, seeds: pa.Table, frequent: Frequent, buckets: int,
         h[len(h) - len(single) :] = common.mix(own[len(h) - len(single) :])
         doc = np.searchsorted(offs, lo, "right") - 1
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((own, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            at = order[cuts[b] : cuts[b + 1]]
+        order, parts = common.present(bucket, own)
+        for b, begin, end in parts:
+            at = order[begin:end]
             new = np.concatenate([[True], own[at[1:]] != own[at[:-1]]])
+            for k in np.flatnonzero(~new).tolist():  # the digest is only a guess
+                new[k] = text[at[k]] != text[at[k - 1]]
             used, local = np.unique(doc[at], return_inverse=True)
             kept = at[new]
             plain = np.frombuffer(b"".join([text[k] for k in kept.tolist()]), np.uint8)
             out["bucket"].append(b)
-            out["blob"].append(common.pack(np.array([g]), node[used], tie[used], local.astype(np.uint32), (np.cumsum(new) - 1).astype(np.uint32), (lo[at] - offs[doc[at]]).astype(np.uint32), own[kept], (hi[kept] - lo[kept]).astype(np.uint8 if length <= 256 else np.uint32), plain, level=3))
+            out["blob"].append(common.pack(np.array([g]), node[used], tie[used], local.astype(np.uint32), (np.cumsum(new) - 1).astype(np.uint32), (lo[at] - offs[doc[at]]).astype(np.uint32), (hi[kept] - lo[kept]).astype(np.uint8 if length <= 256 else np.uint32), plain, level=3))
     return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
 
 def _covered(table: pa.Table, length: int) -> pa.Table:
     """(g, blob): by group of documents the ranges of bytes that a smaller document has."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(9)]
+    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
     n_docs = n_pieces = 0
     for blob in table.column("blob"):
-        g, node, tie, doc, piece, start, own, wide, text = common.unpack(blob.as_py())
-        for x, v in zip(parts, (np.repeat(g, len(node)), node, tie, doc.astype(np.int64) + n_docs, piece.astype(np.int64) + n_pieces, start.astype(np.int64), own, wide.astype(np.int64), text)):
+        g, node, tie, doc, piece, start, wide, text = common.unpack(blob.as_py())
+        for x, v in zip(parts, (np.repeat(g, len(node)), node, tie, doc.astype(np.int64) + n_docs, piece.astype(np.int64) + n_pieces, start.astype(np.int64), wide.astype(np.int64), text)):
             x.append(v)
-        n_docs, n_pieces = n_docs + len(node), n_pieces + len(own)
-    group, node, tie, doc, which, start, own, wide, text = (np.concatenate(x) for x in parts)
-    # equal pieces of several groups become one; a hash of 64 bits and the length name them
-    _, one, same = np.unique(own ^ common.mix(wide.astype(np.uint64) + np.uint64(7)), return_index=True, return_inverse=True)
-    at, _ = common.gather(np.concatenate([[0], np.cumsum(wide + length)]), one)
-    text, wide, piece = text[at], wide[one], same[which]
+        n_docs, n_pieces = n_docs + len(node), n_pieces + len(wide)
+    group, node, tie, doc, which, start, wide, text = (np.concatenate(x) for x in parts)
+    parts.clear()
+    # equal pieces of several groups become one, by all their bytes
+    plain, cuts = text.tobytes(), np.concatenate([[0], np.cumsum(wide + length)])
+    known: dict[bytes, int] = {}
+    same = np.array([known.setdefault(plain[a:b], len(known)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], np.int64)
+    del plain
+    text = np.frombuffer(b"".join(known), np.uint8)
+    one = np.zeros(len(known), np.int64)
+    one[same] = np.arange(len(same))
+    known.clear()
+    wide, piece = wide[one], same[which]
     first = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(first, piece, node[doc])
     hit = covered_strings(text, wide + length, first, length)
@@ -350,7 +364,7 @@ def _covered(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"g": pa.array([g for g, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
 
-def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str], length: int) -> pa.Table:
+def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str], length: int, as_text: bool) -> pa.Table:
     node, tie = _ids(texts)
     data, offs = common.raw(common.as_text(texts.column("text")))
     row, *ends = _slots(node, tie, [x for x in ranges.column("blob").to_pylist() if x is not None])
@@ -374,40 +388,51 @@ def _remove(texts: pa.Table, ranges: pa.Table, passed: list[str], length: int) -
     source = [first.setdefault(key, k) for k, key in enumerate(zip(node.tolist(), tie.tolist()))]
     rest = [kept[cut[k] : cut[k + 1]] for k in source]
     source = np.array(source, np.int64)
-    columns = {c: texts.column(c) for c in passed}
-    columns |= {
+    columns = {c: texts.column(c) for c in passed} | {
         "n_bytes": pa.array(np.diff(offs), pa.int64()),
         "n_removed": pa.array(np.diff(total[offs])[source], pa.int64()),
         "n_spans": pa.array(np.diff(spans[offs])[source], pa.int64()),
-        "kept": pa.array(rest, pa.binary()),
+        "kept": pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary()),
     }
     return pa.table(columns)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Each row of documents with n_bytes, n_removed, n_spans and kept (the remaining bytes); other columns stay.
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
+#: Parts into which rows of one text are split before their least id is sought and told.
+COPY_PARTS = 64
+
 
-    Columns of those names, or named node, tie or g, are not carried along.
+def _later_copies(keyed: DataFrame) -> DataFrame:
+    """(g, node, tie) of the rows whose text a row with a lesser id has too.
 
-    A byte goes if a string of `length` bytes that covers it also begins in a document with a smaller doc_id, in the
-    texts as they were. Null texts count as empty, texts shorter than `length` lose nothing, and texts of any length are
-    taken whole. A null doc_id counts as the least. Rows with one doc_id do not affect each other. An empty table gives
-    an empty one.
+    A text that very many rows have is looked at in COPY_PARTS parts; texts of one row take no part in the join.
+    """
+    slim = keyed.select("node", "tie", "g", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("node", "tie"), F.lit(COPY_PARTS)).alias("part"))
+    parts = slim.groupBy("digest", "part").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    whole = parts.groupBy("digest").agg(F.min("least").alias("first"), F.max("most").alias("last"), F.collect_list("part").alias("parts"))
+    firsts = whole.filter("first < last").select("digest", "first", F.explode("parts").alias("part"))
+    return slim.join(firsts, ["digest", "part"]).filter("node > first").select("g", "node", "tie").distinct()
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, as_text: bool = False) -> DataFrame:
+    """Each row of documents with n_bytes, n_removed, n_spans and kept (the remaining bytes); all other columns but text stay.
+
+    With as_text kept is a string, without the characters of which only a part remains.
+    Columns that already have one of the four names are replaced. A byte goes if a string of `length` bytes that covers it
+    also begins in a document with a smaller doc_id, in the texts as they were. Null texts count as empty, texts shorter
+    than `length` lose nothing, and texts of any length are taken whole. A null doc_id counts as the least, as does the
+    least 64-bit number. Rows with one doc_id do not affect each other. An empty table gives an empty one.
     """
     common.tune(docs)
-    columns = [c for c in docs.columns if c not in ("text", "node", "tie", "g", "n_bytes", "n_removed", "n_spans", "kept")]
-    keyed = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.xxhash64("text").alias("tie"))
+    columns = [c for c in docs.columns if c != "text" and c not in RESULTS]
+    passed = [f"c{k}" for k in range(len(columns))]  # so no name meets one of the steps'
+    keyed = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(columns, passed)), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.xxhash64("text").alias("tie"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    keyed = keyed.withColumn("g", F.pmod(F.xxhash64("node", "tie"), F.lit(groups)))
+    keyed = keyed.withColumn("g", F.pmod(F.xxhash64("node", "tie"), F.lit(max(1, -(-total // GROUP_BYTES)))))
     frequent = docs.sparkSession.sparkContext.broadcast(Frequent(_count(keyed, length, seed)))
-    # rows of equal texts but the first, by group; (node, tie, digest) has no text and so is small
-    slim = keyed.select("node", "tie", "g", F.sha2("text", 256).alias("digest"))
-    copies = slim.join(slim.groupBy("digest").agg(F.min("node").alias("first")), "digest").filter("node > first").select("g", "node", "tie").distinct()
-    copies = copies.withColumn("blob", F.lit(None).cast("binary"))
     none = F.lit(None).cast("long")
-    seeds = _shared_seeds(keyed, frequent, max(1, -(-total // SEED_BYTES)), length, seed).select("g", none.alias("node"), none.alias("tie"), "blob")
-    seeds = common.materialize(seeds.unionByName(copies), "seeds")
+    seeds = _shared_seeds(keyed, frequent, total, length, seed).select("g", none.alias("node"), none.alias("tie"), "blob")
+    seeds = common.materialize(seeds.unionByName(_later_copies(keyed).withColumn("blob", F.lit(None).cast("binary"))), "seeds")
     buckets = max(1, -(-total // PIECE_BYTES))
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -416,17 +441,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     def covered(table: pa.Table) -> pa.Table:
         return _covered(table, length)
 
-    passed = [c for c in keyed.columns if c in columns]
-
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _remove(left, right, passed, length)
-
-    dealt = keyed.groupBy("g")
-    found = dealt.cogroup(seeds.groupBy("g")).applyInArrow(common.cogrouped(pieces), "bucket int, blob binary")
-    ranges = found.groupBy("bucket").applyInArrow(common.grouped(covered), "g long, blob binary").select("g", none.alias("node"), none.alias("tie"), "blob")
-    ranges = ranges.unionByName(seeds.filter("node is not null"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    return keyed.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(common.cogrouped(remove), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+        return _remove(left, right, passed, length, as_text)
+
+    texts = common.dealt(keyed, "g", total).groupBy("g")
+    found = texts.cogroup(common.dealt(seeds, "g", total).groupBy("g")).applyInArrow(common.cogrouped(pieces), "bucket int, blob binary")
+    ranges = common.dealt(found, "bucket", total).groupBy("bucket").applyInArrow(common.grouped(covered), "g long, blob binary").select("g", none.alias("node"), none.alias("tie"), "blob")
+    ranges = common.dealt(ranges.unionByName(seeds.filter("node is not null")), "g", total)
+    kinds = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, passed))
+    out = texts.cogroup(ranges.groupBy("g")).applyInArrow(common.cogrouped(remove), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return out.select(*(F.col(p).alias(c) for c, p in zip(columns, passed)), *RESULTS)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -79,8 +79,19 @@ def repeats(words, least):
                 longest = size
                 for k in places:
                     cover |= set(range(k, k + size))
+        if longest < size:
+            break  # nothing longer occurs twice either
     return cover, longest
 
 
+def quality(text, min_repeat=3, max_covered=0.5, max_repeat=60):
+    """n_words to n_repeat_words, n_covered, longest_repeat, base_failed, kept."""
+    base = base_counts(text)
+    w = WORD.findall(text or "")
+    cover, longest = repeats(w, min_repeat) if len({tuple(w[k : k + min_repeat]) for k in range(len(w) - min_repeat + 1)}) < len(w) - min_repeat + 1 else (set(), 0)
+    failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+    return *base, len(cover), longest, failed, not failed and len(cover) <= max_covered * base[0] and longest <= max_repeat
+
+
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()

@@ -2,20 +2,13 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loomspark.llm import repetition
-
 from . import brute
 
 
 def test_pipeline_equals_plain_version(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    kept = []
-    for i, t in rows:
-        n, _, _, _, repeat = brute.base_counts(t)
-        cover, longest = brute.repeats(brute.WORD.findall(t), repetition.MIN_REPEAT) if repeat else (set(), 0)
-        if n >= 10 and 100 * repeat <= 20 * n and len(cover) <= repetition.MAX_COVERED * n and longest <= repetition.MAX_REPEAT:
-            kept.append((i, t))
+    kept = [(i, t) for i, t in rows if brute.quality(t)[-1]]
     top = brute.components(kept)
     kept = [(i, t) for i, t in kept if top[i][1] == i]
     kept = [(x[0], x[4].decode("utf-8", "ignore")) for x in brute.without_repeats(kept) if x[4].decode("utf-8", "ignore") or not x[2]]

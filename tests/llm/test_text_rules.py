@@ -23,25 +23,37 @@ def test_suffix_arrays_and_repeats():
         for x in range(1, len(c)):
             s, t = c[order[x - 1] :], c[order[x] :]
             assert lcp[x] == next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t)))
-        for least in (2, 3):
+        for least in (1, 2, 3):
             cover, longest = brute.repeats(c, least)
-            mask, most = repetition.repeated(a, least)
-            assert set(np.flatnonzero(mask)) == cover and most == longest
-            union = {k for n, at in repetition.maximal_repeats(a, least) for p in at for k in range(p, p + n)}
-            assert union == cover
-
-
-def test_quality_rows(spark, sf):
-    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [None, "", " \n \n", "a b c d e a b c d e", "x|y\n\nx|y", "long " * 3000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit(1))
-    for r in repetition.judge(df).collect():
-        want = brute.base_counts(texts[r["doc_id"]])
-        assert tuple(r[c] for c in repetition.COUNTS[:5]) == want
-        base = want[0] < 10 or 100 * want[4] > 20 * want[0]
-        assert r["base_failed"] == base and not (base and r["kept"])
-    assert repetition.judge(df.limit(0)).count() == 0
+            reach = repetition.repeated(a, least)
+            assert set(np.flatnonzero(repetition.spans(reach, least))) == cover and reach.max(initial=0) == longest
+            found = repetition.maximal_repeats(a, least)
+            assert {k for n, at in found for p in at for k in range(p, p + n)} == cover
+            # each occurs at all its places and nowhere else, and neither side can be lengthened
+            for n, at in found:
+                assert at == [k for k in range(len(c) - n + 1) if c[k : k + n] == c[at[0] : at[0] + n]]
+                assert len({c[k - 1] if k else None for k in at}) > 1 or 0 in at
+                assert len({c[k + n] if k + n < len(c) else None for k in at}) > 1 or at[-1] + n == len(c)
+
+
+@pytest.mark.parametrize("words", [150_000, 50])
+def test_quality_rows(spark, sf, monkeypatch, words):
+    monkeypatch.setattr(repetition, "ARRAY_WORDS", words)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += [None, "", " \n \n", "a b c d e a b c d e", "x|y\n\nx|y", "long " * 300, "a b c " * 4, " ".join(f"{w} {w} {w} {w}" for w in "abcdefghij"), "same text of some words in a row, said once here", "same text of some words in a row, said once here"]
+    rows = {k: r for k, r in zip(range(len(texts)), map(brute.quality, texts))}
+    batches = repetition.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit(1))).collect()
+    assert {r["doc_id"]: tuple(r[c] for c in (*repetition.COUNTS, "base_failed", "kept")) for r in batches} == rows
+    # the method's verdict is not the base rule's
+    assert any(not r["base_failed"] and not r["kept"] for r in batches)
+
+
+def test_quality_keeps_columns(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("x"))
+    df = df.unionByName(df.limit(3))
     kept = repetition.judge(df, keep_columns=True)
     assert kept.columns == df.columns and kept.count() == repetition.judge(df).filter("kept").count()
+    assert repetition.judge(df.limit(0)).count() == 0 and repetition.judge(df.limit(0), keep_columns=True).count() == 0
 
 
 def test_a_long_repeat_is_rejected_below_the_base_limit(spark):

@@ -1,8 +1,11 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, token ids."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, token ids.
+
+All stages but the last take a table with doc_id and text and return its columns, whatever others it has and however those
+are named. A null text counts as empty, a null doc_id as an id less than all others, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,47 +13,50 @@ from loomspark.llm import bpe, common, decontaminate, jaccard, repetition, subst
 from loomspark.llm.queries import vocabulary
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """The same rows with doc_id, text and all other columns named c0, c1, ... by place, so that none meets a name of a step."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. Null and empty texts have too few words and go; equal rows stay or go together."""
     return repetition.judge(docs, keep_columns=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts: that with the least doc_id (null is the least), and of several such rows one.
+    """One row of each group of similar texts: that with the least doc_id (null is the least), of several such that with the least hash.
 
-    Each row counts by itself, whatever other rows have its doc_id; only rows with one doc_id and one text are one.
+    Each row counts by itself, whatever other rows have its doc_id; only rows with one doc_id and one text are one. Null
+    and empty texts are similar to nothing and stay, one row for each doc_id.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    groups = jaccard.classes(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__class")).distinct()
-    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("__id"))
-    first = groups.join(ids, "__key").groupBy("__class").agg(F.min(F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__key")).alias("__first"))
-    kept = keyed.join(first.select(F.col("__first.__key").alias("__key")), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    keyed = _bare(docs).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard.classes(keyed.select(F.col("key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("class")).distinct()
+    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"))
+    first = groups.join(ids, "key").groupBy("class").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key")).alias("first"))
+    kept = keyed.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    return kept.drop("key").toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that an earlier one has; cut characters go, and so do documents of which nothing is left."""
-    out = substrings.remove_repeats(docs)
+    """Documents without the bytes that one with a lesser doc_id has too; characters of which a part is cut go, and so do documents of which nothing is left.
 
-    def text(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string()), *(batch.column(c) for c in batch.schema.names if c != "kept")], ["text", *(c for c in batch.schema.names if c != "kept")])
-
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    cut = out.select(*rest, "n_removed", "kept").mapInArrow(text, f"text string, {kinds}, n_removed long").filter("text <> '' or n_removed = 0")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    Rows with one doc_id do not affect each other. n_chars, if it is there, is counted anew; null texts come back empty.
+    """
+    bare = _bare(docs)
+    out = substrings.remove_repeats(bare, as_text=True).filter("kept <> '' or n_removed = 0")
+    again = {"text": F.col("kept"), **({f"c{docs.columns.index('n_chars')}": F.length("kept").cast("long")} if "n_chars" in docs.columns else {})}
+    return out.select(*(again.get(c, F.col(c)).alias(c) for c in bare.columns)).toDF(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, whole or edited."""
+    """Documents that hold no benchmark item, whole or edited. Null and empty texts hold none and stay; equal rows stay or go together."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of every remaining document's ids and of the text that they decode to."""
-    return bpe.encode_decode(docs, vocabulary(), word_bytes=4 << 20)  # workers still hold what earlier stages loaded
+    """Counts and digests of every remaining document's ids and of the text that they decode to; a row for each row."""
+    return bpe.encode_decode(docs, vocabulary(), word_bytes=2 << 20)  # workers still hold what earlier stages loaded
 
 
 STAGES = [

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
+from .token_store import words_apart
 
 #: Symbols of words handled at once.
 INDEX_SYMBOLS = 1 << 20
@@ -155,7 +156,11 @@ def load(path: str):
         special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         if t.decoder is not None:
             raise ValueError("this decoder joins tokens by one space; the file names another")
-        _loaded[path] = Merges(path), t.normalizer, t.pre_tokenizer, special
+        if not words_apart(path):
+            raise ValueError("this tokenizer looks across white space")
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        plain = [x for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(letters))] == [letters.lower()] if t.normalizer and t.pre_tokenizer else False
+        _loaded[path] = Merges(path), t.normalizer, t.pre_tokenizer, special, plain
     return _loaded[path]
 
 
@@ -175,7 +180,7 @@ def _cut(word: str, special: dict[str, int]) -> list[str | int]:
 
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word (a piece of text without ASCII white space) and their offsets."""
-    m, normalizer, pre, special = load(path)
+    m, normalizer, pre, special, plain = load(path)
     pieces: list[list[str | int]] = []
     marks = tuple(special)
     for w in words:
@@ -187,7 +192,7 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         for p in parts:
             if isinstance(p, int):
                 row.append(p)
-            elif p.isascii() and p.isalpha():
+            elif plain and p.isascii() and p.isalpha():
                 row.append(p.lower())
             else:
                 row += [x for x, _ in pre.pre_tokenize_str(normalizer.normalize_str(p))]
@@ -226,16 +231,22 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, np.int64), np.array(ends, np.int64)
 
 
+def spoken(ids: list[int], tokens: list[str], names: dict[int, str]) -> str:
+    """The tokens of ids, a space before each, special ones included; ids without a token are left out."""
+    if names.keys().isdisjoint(ids):
+        return "".join([tokens[i] for i in ids if 0 <= i < len(tokens)])
+    return "".join([names[i] if i in names else tokens[i] for i in ids if i in names or 0 <= i < len(tokens)])
+
+
 def decode_ids(ids: np.ndarray, path: str) -> str:
-    """The text of ids: their tokens joined by one space, special tokens included; ids without a token are left out."""
-    m, _, _, special = load(path)
-    names = {i: s for s, i in special.items()}
-    return " ".join(names[i] if i in names else m.tokens[i] for i in ids.tolist() if i in names or 0 <= i < m.size)
+    """The text of ids: their tokens joined by one space."""
+    m, _, _, special, _ = load(path)
+    return spoken(ids.tolist(), [f" {t}" for t in m.tokens], {i: f" {s}" for s, i in special.items()})[1:]
 
 
 def code_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
     """n_tokens of each text; then for all words in order ' id id' and ' token token', and the words' offsets by text."""
-    m, _, _, special = load(path)
+    m, _, _, special, _ = load(path)
     known, id_text, token_text = _coded.setdefault(path, ({}, [f" {i}" for i in range(m.size)], [f" {t}" for t in m.tokens]))
     names = {i: f" {s}" for s, i in special.items()}
     codes, offs, distinct = common.words_of(texts)
@@ -249,10 +260,7 @@ def code_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Arr
     each, ends = ids.tolist(), ends.tolist()
     for k, a, b in zip(new, ends[:-1], ends[1:]):
         own = each[a:b]
-        if special and not names.keys().isdisjoint(own):
-            rows[k] = (b - a, "".join([f" {i}" for i in own]), "".join([names[i] if i in names else token_text[i] for i in own]))
-        else:
-            rows[k] = (b - a, "".join([id_text[i] for i in own]), "".join([token_text[i] for i in own]))
+        rows[k] = (b - a, "".join([f" {i}" if i >= m.size else id_text[i] for i in own]), spoken(own, token_text, names))
         if again[k]:
             known[words[k]] = rows[k]
     sizes = np.fromiter((r[0] for r in rows), np.int64, len(rows))

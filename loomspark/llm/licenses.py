@@ -1,14 +1,16 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Templates of like length share windows of one and a half times the longest, which begin every half length of the
-shortest; so an occurrence lies in some window whole, and the two share at least a third to a half of their shingles. A
-band is the least hash of one order, so a window misses a template in all bands with probability (1 - J)^BANDS, under
-one in 4000 for J of 0.4. A window's least hash can only equal a template's if that very shingle is in the window, so
-only windows with a shingle of a template are hashed.
+Templates of like length share windows: as long as the longest of them and the distance between two windows, which is a
+quarter of the shortest; so an occurrence lies in some window whole. From a template's shingles, the window's and the least
+containment follows the least similarity J of the two. A band is the least hash of one order, so a window misses a template in
+all bands with probability (1 - J)^bands; there are so many bands that this is under MISS for every template. A window's
+least hash can only equal a template's if that very shingle is in the window, so only windows with enough shingles of
+templates are hashed.
 """
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
 import numpy as np
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame
 from . import common
 from .decontaminate import tokens
 
-#: Words of a shingle, orders with a band each, the least containment of a template in a window.
-SHINGLE, BANDS, LEAST = 3, 16, 0.8
+#: Words of a shingle, the least containment of a template in a window, the greatest chance that bands miss such a window.
+SHINGLE, LEAST, MISS = 3, 0.8, 1e-6
 #: Public wordings: notices by which texts name their license, the beginnings of common ones, and whole texts (a file each).
 TEMPLATES = {
     "Apache-2.0": [
@@ -48,7 +50,7 @@ TEMPLATES = {
     ],
 }
 
-#: Words that must stand in a window too, for the templates of a license that hold them, and words that must not.
+#: Words that must stand in a window too, for the templates of a license that hold them, and words that must not, nor beside it.
 DECIDING = {
     "Apache-2.0": ["Apache License, Version 2.0", "under the Apache License"],
     "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"],
@@ -102,9 +104,9 @@ _bundle()
 class Templates:
     """Templates with their shingles, least hashes and window classes."""
 
-    def __init__(self, templates: dict[str, list[str]] | None = None, bands: int = BANDS):
+    def __init__(self, templates: dict[str, list[str]] | None = None, least: float = LEAST):
         rows = [(name, k, text) for name, texts in (templates or TEMPLATES).items() for k, text in enumerate(texts)]
-        self.names, self.numbers, self.bands = [r[0] for r in rows], [r[1] for r in rows], bands
+        self.names, self.numbers, self.containment = [r[0] for r in rows], [r[1] for r in rows], least
         words, offs = tokens(pa.array([r[2] for r in rows], pa.large_string()))
         grams, ends = common.shingles(words, offs, SHINGLE)
         self.sizes = np.diff(offs)
@@ -115,16 +117,23 @@ class Templates:
         self.must = [self.phrases(DECIDING.get(r[0], ()), t) for r, t in zip(rows, whole)]
         self.never = [self.phrases(UNLESS.get(r[0], ()), None) for r in rows]
         self.every = np.unique(np.concatenate([*self.sets, *self.never]))
-        self.least = np.stack([self.signature(s) for s in self.sets])
-        # classes of length: the longest of a class is under one and a half times its shortest
+        # classes of length: the longest of a class is at most a quarter longer than its shortest
         self.classes: list[tuple[list[int], int, int]] = []
         left = sorted(range(len(rows)), key=lambda k: self.sizes[k])
+        alike = 1.0
         while left:
             short = int(self.sizes[left[0]])
-            own = [k for k in left if self.sizes[k] * 2 <= short * 3]
+            own = [k for k in left if self.sizes[k] * 4 <= short * 5]
             left = left[len(own) :]
-            stride = max(1, short // 2)
-            self.classes.append((own, int(self.sizes[own[-1]]) + stride, stride))
+            stride = max(1, short // 4)
+            width = int(self.sizes[own[-1]]) + stride
+            self.classes.append((own, width, stride))
+            for k in own:
+                n = len(self.sets[k])
+                both = math.ceil(least * n)
+                alike = min(alike, both / (width - SHINGLE + 1 + n - both))
+        self.bands = 1 if alike >= 1 else math.ceil(math.log(MISS) / math.log(1 - alike))
+        self.least = np.stack([self.signature(s) for s in self.sets])
 
     @staticmethod
     def phrases(phrases, held: bytes | None) -> np.ndarray:
@@ -144,14 +153,18 @@ class Templates:
         return common.mix(grams ^ common.mix(np.array([band + 1], np.uint64)))
 
 
-def find(texts: pa.Array, templates: Templates, least: float = LEAST) -> list[tuple[int, int, float, int, int]]:
-    """(row, template, containment, first word, words) of the best window of each template that a text holds."""
+def find(texts: pa.Array, templates: Templates, bands: bool = True) -> list[tuple[int, int, float, int, int]]:
+    """(row, template, containment, first word, words) of each occurrence of a template, from its first to its last shingle there.
+
+    Of windows that overlap by over half a template's words the one with the greatest containment counts, then the first.
+    Without bands every window is compared with every template of its class.
+    """
     words, offs = tokens(texts)
     grams, ends = common.shingles(words, offs, SHINGLE)
     hit = np.flatnonzero(np.isin(grams, templates.every))
     row = np.searchsorted(ends, hit, "right") - 1
     place = hit - ends[row]
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    seen: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for own, width, stride in templates.classes:
         span = width - SHINGLE + 1  # shingles of a window
         # windows that hold the shingle begin at multiples of stride
@@ -159,38 +172,44 @@ def find(texts: pa.Array, templates: Templates, least: float = LEAST) -> list[tu
         first = np.maximum(-(-(place - span + 1) // stride), 0)
         n = last - first + 1
         start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        windows = np.unique(np.stack([np.repeat(row, n), start * stride]), axis=1).T.tolist() if len(start) else []
-        fewest = least * min(len(templates.sets[t]) for t in own)
-        for r, at in windows:
+        windows, held_by = np.unique(np.stack([np.repeat(row, n), start * stride]), axis=1, return_counts=True) if len(start) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        fewest = templates.containment * min(len(templates.sets[t]) for t in own)
+        for r, at in windows[:, held_by >= fewest].T.tolist():  # others have too few shingles of any template
             lo, hi = ends[r] + at, min(ends[r] + at + span, ends[r + 1])
             a, b = np.searchsorted(hit, (lo, hi))
-            if b - a < fewest:  # too few shingles of any template for the least containment
-                continue
-            held = grams[lo:hi]
             some = grams[hit[a:b]]
-            # the least hash of a window counts only if a template's shingle has it
-            bands = np.array([templates.ordered(held, b).min() for b in range(templates.bands)], np.uint64)
-            near = (bands == templates.least[own]).any(axis=1)
+            near = np.ones(len(own), bool)
+            if bands:
+                held = grams[lo:hi]
+                least = np.array([templates.ordered(held, b).min() for b in range(templates.bands)], np.uint64)
+                near = (least == templates.least[own]).any(axis=1)
             for t in np.array(own)[near].tolist():
                 score = float(np.isin(templates.sets[t], some).mean())
-                if score >= least and np.isin(templates.must[t], some).all() and not (len(templates.never[t]) and np.isin(templates.never[t], some).all()):
-                    if (-score, at) < (-best.get((r, t), (0.0, 0, 0))[0], best.get((r, t), (0.0, 1 << 60, 0))[1]):
-                        best[r, t] = (score, at, width)
-    return [(r, t, score, at, min(width, int(offs[r + 1] - offs[r]) - at)) for (r, t), (score, at, width) in sorted(best.items())]
+                if score >= templates.containment and np.isin(templates.must[t], some).all() and not (len(templates.never[t]) and np.isin(templates.never[t], grams[max(lo - span, ends[r]) : min(hi + span, ends[r + 1])]).all()):
+                    at_ = hit[a:b][np.isin(some, templates.sets[t])] - ends[r]
+                    seen.setdefault((r, t), []).append((score, int(at_[0]), int(at_[-1]) + SHINGLE))
+    out = []
+    for (r, t), found in sorted(seen.items()):
+        kept: list[tuple[int, int]] = []
+        for score, begin, end in sorted(set(found), key=lambda x: (-x[0], x[1], x[2])):
+            if all(2 * (min(end, e) - max(begin, b)) <= templates.sizes[t] for b, e in kept):
+                kept.append((begin, end))
+                out.append((r, t, score, begin, end - begin))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, license, template (its number), containment, first_word and n_words of the best window.
+    """doc_id, license, template (its number), containment, first_word and n_words of each occurrence.
 
     Null and empty texts hold none. Equal rows give equal rows. Of windows with one containment the first counts. Texts
     of any length are scanned whole; other columns are ignored; no rows give no rows.
     """
-    known = Templates(templates)
+    known = Templates(templates, least)
     common.tune(docs)
 
     def run(batches):
         for batch in common.slices(batches, "text"):
-            found = find(common.as_text(batch.column("text")), known, least)
+            found = find(common.as_text(batch.column("text")), known)
             ids = batch.column("doc_id").cast(pa.int64()).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([known.names[f[1]] for f in found], pa.string()), pa.array([known.numbers[f[1]] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (3, 4))],

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "ids")
-    return token_store.store_ids(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=END_ID, id_bytes=2, by_word=True)
+    return token_store.store_ids(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=END_ID, id_bytes=2)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ CHECKSUM_FLAG = 0x80
 #: Bytes of ids after which a frame is closed.
 FRAME_BYTES = 256 << 10
 
+#: Bytes of texts of a shard.
+LEAST_SHARD, MOST_SHARD = 8 << 20, 256 << 20
 #: Bytes of texts whose distinct words are encoded together.
 WORD_BYTES = 16 << 20
 #: Words of which a task keeps the ids from one batch to the next; beyond that it starts anew.
@@ -42,6 +44,7 @@ WORDS_KEPT = 600_000
 
 _encoders: dict[str, object] = {}
 _words: dict[str, dict[str, bytes]] = {}
+_apart: dict[str, bool] = {}
 
 
 def encoder(path: str):
@@ -56,6 +59,32 @@ def encoder(path: str):
     return _encoders[path]
 
 
+#: Normalizers that change no text across white space; Replace counts only for white space itself.
+LOCAL_NORMALIZERS = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Strip"])
+
+
+def words_apart(path: str) -> bool:
+    """Whether a tokenizer drops white space and never looks across it, so that words between it can be encoded by themselves."""
+    if path not in _apart:
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+
+        def flat(part: dict | None, inner: str) -> list[dict]:
+            return [] if not part else [x for p in part[inner] for x in flat(p, inner)] if part["type"] == "Sequence" else [part]
+
+        tok, white = encoder(path), " \t\n\r\x0b\x0c"
+        local = all(n["type"] in LOCAL_NORMALIZERS or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in flat(conf["normalizer"], "normalizers"))
+        first = next(iter(flat(conf["pre_tokenizer"], "pretokenizers")), {"type": ""})
+        drops = first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]
+        marks = all(not (set(t["content"]) & set(white)) and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in conf["added_tokens"])
+        # and by trial: nothing is left of white space, alone or between words
+        tried = not tok.encode(white, add_special_tokens=False).ids and all(
+            tok.encode(f"{a}{c}{b}", add_special_tokens=False).ids == [i for x in (a, b) for i in tok.encode(x, add_special_tokens=False).ids] for a in ("Ab", "3", "é.", "'") for b in ("s", "4", "...") for c in white
+        )
+        _apart[path] = local and drops and marks and tried
+    return _apart[path]
+
+
 def encode(texts: pa.Array, path: str, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order and n + 1 offsets.
 
@@ -110,6 +139,8 @@ class ShardWriter:
         self.docs.append(doc_id)
         self.sizes.append(len(ids))
         self.frames.append(self.n_frames)
+        if len(ids) and int(ids.max()) > np.iinfo(self.width).max:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width.itemsize} bytes")
         self.open.append(ids.astype(self.width))
         self.held += len(ids) * self.width.itemsize
         if self.held >= FRAME_BYTES:
@@ -185,15 +216,21 @@ def opened(uri: str):
     return fs.open_input_file(path)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, id_bytes: int = 4, by_word: bool = False, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, id_bytes: int = 4, by_word: bool | None = None, shards: int | None = None) -> DataFrame:
     """Writes the ids of documents (doc_id, text) as shards in ascending doc_id order; returns a manifest (shard, path, n_docs, n_tokens).
 
     Null texts count as empty, a null doc_id comes first, rows with one doc_id are ordered by a hash of their text and
     then by it; such rows can lie in neighbouring shards. Other columns are ignored. No documents give no shards. A task
-    that is run again writes its own temporary file and renames it, so a shard is whole or absent.
+    that is run again writes its own temporary file and renames it, so a shard is whole or absent. An id that does not
+    fit id_bytes is an error. by_word encodes each distinct word once (None: where the tokenizer allows that).
+
+    There are as many shards as the session has partitions, fewer where they had under LEAST_SHARD bytes of text, and more
+    where they had over MOST_SHARD.
     """
     spark = common.tune(docs).sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_word = words_apart(tokenizer) if by_word is None else by_word
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_SHARD)), -(-total // MOST_SHARD))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -225,8 +262,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """The documents of all shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32. One task reads a shard, a frame at a time."""
-    spark = manifest.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, manifest.count())  # a task for each file
     # one row for each file, so this order without a partition stays small
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = manifest.withColumn("before", before).repartition(n, "shard")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words of the filter for each rule (64 bits each), bits set for a key, rules whose join may be a broadcast.
 WORDS_PER_RULE, PROBES, MOST_BROADCAST = 1, 3, 100_000
+#: Keys of one URL that may pass the filter to be looked up in place; rows with more are spread and put together again.
+IN_PLACE = 4
 #: Words of the filter that are held as a literal; a longer rule list uses a table of words, joined by word.
 MOST_WORDS = 1 << 16
 SCHEMA = "host string, path string, verdict string"
@@ -60,8 +62,8 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
 
     rules: host, path, verdict; a rule fits its host and all subdomains where the path begins with the rule's. The
     longest rule is that of most characters, of equal ones the one with the longer host. Of rules given twice `allow`
-    wins. A null URL has an empty host and path and fits no rule. Rows that occur several times are judged once and
-    returned as often. Other columns are ignored.
+    wins. A null URL has an empty host and path and fits no rule. Equal rows are judged alike and all returned. Other
+    columns are ignored. No pages give no rows, and without rules all get `otherwise`.
     """
     spark = pages.sparkSession
     texts = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"), "verdict").filter("rule is not null and host <> ''")
@@ -70,27 +72,37 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     n, most = texts.agg(F.count("*"), F.max(F.length("rule"))).first()
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None] if n else []  # a few lengths
     words = max(1, 1 << math.ceil(math.log2(max(1, WORDS_PER_RULE * n))))
-    counted = pages.groupBy("page_id", "url").agg(F.count("*").alias("times"))
     host, path = split_url(F.col("url"))
-    split = counted.withColumn("host", host).withColumn("path", path)
+    rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     keys = candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
     keys = F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
     filled = bloom(texts, words)
+    fits = texts.select("rule", F.struct(F.length("rule").alias("n"), "host_length", F.col("rule").alias("rule"), "rule_verdict").alias("fit"))
+    broadcast = n <= MOST_BROADCAST and (most or 0) <= 2048
     if words <= MOST_WORDS:
         held = {r["word"]: r["bits"] for r in filled.collect()}  # bounded by MOST_WORDS
         table = F.array(*[F.lit(held.get(k, 0)).cast("long") for k in range(words)]) if words <= 256 else _literal(spark, held, words)
-        passed = F.filter(keys, lambda k: F.get(table, _word(k, words)).bitwiseAND(_bits(k)) == _bits(k))
-        possible = split.withColumn("hits", passed)
-        hits = possible.select("page_id", "url", "times", "host", "path", F.explode_outer("hits").alias("rule"))
+        rows = rows.withColumn("possible", F.filter(keys, lambda k: F.get(table, _word(k, words)).bitwiseAND(_bits(k)) == _bits(k)))
     else:
-        spread = split.select("page_id", "url", "times", "host", "path", F.explode_outer(keys).alias("rule")).withColumn("word", _word(F.col("rule"), words))
-        hits = spread.join(filled, "word", "left").withColumn("rule", F.when(F.col("bits").bitwiseAND(_bits(F.col("rule"))) == _bits(F.col("rule")), F.col("rule")))
-    exact = F.broadcast(texts) if n <= MOST_BROADCAST and (most or 0) <= 2048 else texts
-    judged = hits.join(exact, "rule", "left")
-    best = F.max(F.when(F.col("rule_verdict").isNotNull(), F.struct(F.length("rule").alias("n"), "host_length", "rule", "rule_verdict")))
-    rows = judged.groupBy("page_id", "url", "times", "host", "path").agg(best.alias("best"))
-    rows = rows.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(otherwise)).alias("verdict"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one"))
-    return rows.drop("one")
+        rows = rows.withColumn("possible", keys)
+    known = ["page_id", "url", "host", "path"]
+    judged = []
+    if broadcast:
+        # one hash join for each of the few keys that pass; nothing is shuffled
+        few = rows.filter(F.size("possible") <= IN_PLACE)
+        for k in range(IN_PLACE):
+            few = few.withColumn("key", F.get("possible", F.lit(k))).join(F.broadcast(fits.select(F.col("rule").alias("key"), F.col("fit").alias(f"fit{k}"))), "key", "left").drop("key")
+        judged.append(few.select(*known, F.greatest(*(f"fit{k}" for k in range(IN_PLACE))).alias("best")))
+        rows = rows.filter(F.size("possible") > IN_PLACE)
+    # a row that several keys fit comes together again by its place, never with others like it
+    spread = rows.withColumn("row", F.monotonically_increasing_id()).select("row", *known, F.explode_outer("possible").alias("rule"))
+    if words > MOST_WORDS:
+        spread = spread.withColumn("word", _word(F.col("rule"), words)).join(filled, "word", "left")
+        spread = spread.withColumn("rule", F.when(F.col("bits").bitwiseAND(_bits(F.col("rule"))) == _bits(F.col("rule")), F.col("rule")))
+    spread = spread.join(F.broadcast(fits) if broadcast else fits, "rule", "left")
+    judged.append(spread.groupBy("row", *known).agg(F.max("fit").alias("best")).drop("row"))
+    out = judged[0].unionByName(judged[1]) if len(judged) == 2 else judged[0]
+    return out.select(*known, F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def _literal(spark: SparkSession, held: dict[int, int], words: int) -> Column:

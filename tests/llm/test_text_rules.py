@@ -100,17 +100,56 @@ def test_benchmark_items_of_one_or_two_words(spark):
     assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {2, 4, 5, 6, 7}
 
 
+def plain_score(a, b):
+    h, best = [0] * (len(b) + 1), 0
+    for x in a:
+        left, old = 0, h
+        h = [0]
+        for j, y in enumerate(b):
+            left = max(0, old[j] + (2 if x == y else -1), old[j + 1] - 1, left - 1)
+            h.append(left)
+        best = max(best, *h)
+    return best
+
+
 def test_alignment_equals_plain_one():
     r = random.Random(3)
     for _ in range(60):
         a, b = ([r.randint(1, 4) for _ in range(r.randint(1, 9))] for _ in range(2))
-        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
-            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
         top, end = decontaminate.align([np.array(a, np.uint64)], [np.array(b, np.uint64)])
-        assert top[0] == max(map(max, h))
+        assert top[0] == plain_score(a, b)
         if top[0]:
-            assert max(h[i][end[0]] for i in range(len(a) + 1)) == top[0]
+            assert plain_score(a, b[: end[0]]) == top[0]
+
+
+@pytest.mark.parametrize("cells, block", [(1 << 18, 8 << 20), (200, 1500)])
+def test_every_alignment_is_found(spark, monkeypatch, cells, block):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(11)
+    voc = [f"w{k}" for k in range(60)]
+    tests = [[r.choice(voc) for _ in range(r.randint(3, 24))] for _ in range(25)]
+    edits = {
+        "third": lambda w: [x if k % 3 < 2 else "edit" for k, x in enumerate(w)],
+        "apart": lambda w: [x for y in w for x in (y, "between")],
+        "less": lambda w: [x for k, x in enumerate(w) if k % 4],
+        "mixed": lambda w: [x for y in w for x in ([y] if r.random() < 0.7 else r.choice([[], ["new"], [y, "more"]]))],
+    }
+    docs = [[r.choice(voc) for _ in range(r.randint(0, 30))] + f(t) + [r.choice(voc) for _ in range(r.randint(0, 30))] for t in tests for f in edits.values()]
+    docs += [[r.choice(voc[:5]) for _ in range(300)], tests[0] * 40]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(tests)], "item_id long, text string")
+    want = {(k, i): s / 2 / len(t) for k, d in enumerate(docs) for i, t in enumerate(tests) if (s := plain_score(t, d)) >= len(t)}
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.matches(df, bench).collect()}
+    assert got == want and len(want) > 100
+    assert {x["doc_id"] for x in decontaminate.clean(df, bench).collect()} == set(range(len(docs))) - {k for k, _ in want}
+
+
+def test_benchmark_against_a_long_text():
+    text = pa.array(["a b c d e f g h " * 40_000, "x " * 10], pa.large_string())
+    known = decontaminate.Items([1, 2], ["a b c d e f g h i j k l", "h a b c"])
+    found = decontaminate.find(text, known)
+    assert found["item"].tolist() == [0, 1] and found["score"].tolist() == [8 / 12, 1.0]
 
 
 def test_benchmark_passages_in_tables(spark, sf):
@@ -159,6 +198,28 @@ def test_whole_texts_of_licenses(name):
     assert name in found and set(found) <= {name} | ({"MIT"} if name == "MIT" else set())
 
 
+def test_license_bands_miss_nothing(sf, spark):
+    r, voc, _ = items()
+    known = licenses.Templates()
+    assert known.bands < 64
+    docs = [x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            w = t.split()
+            for share in (0.0, 0.03, 0.06):
+                docs.append(" ".join([r.choice(voc) for _ in range(r.randint(0, 40))] + [r.choice(voc) if r.random() < share else x for x in w[:400]] + [r.choice(voc) for _ in range(9)]))
+    texts = pa.array(docs, pa.large_string())
+    every = licenses.find(texts, known, bands=False)
+    assert licenses.find(texts, known) == every and len({f[1] for f in every}) > 60
+
+
+def test_every_occurrence_of_a_license_counts(spark):
+    t = "Licensed under the Apache License, Version 2.0."
+    df = spark.createDataFrame([(1, f"one {t} two {t} {'word ' * 30} {t}"), (1, t), (1, t)], "doc_id long, text string")
+    got = sorted((x["first_word"], x["n_words"]) for x in licenses.scan(df).collect() if (x["license"], x["template"]) == ("Apache-2.0", 0))
+    assert got == [(0, 7), (0, 7), (1, 7), (9, 7), (46, 7)]
+
+
 def test_url_rules_against_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
@@ -171,9 +232,12 @@ def fits(host, path, rules):
     return max(found)[2:] if found else (None, "allow")
 
 
-def test_url_rules_of_every_kind(spark):
+@pytest.mark.parametrize("place, most, words", [(4, 100_000, 1 << 16), (2, 100_000, 1 << 16), (4, 0, 1 << 16), (4, 0, 1)])
+def test_url_rules_of_every_kind(spark, monkeypatch, place, most, words):
+    for name, value in (("IN_PLACE", place), ("MOST_BROADCAST", most), ("MOST_WORDS", words)):
+        monkeypatch.setattr(url_filter, name, value)
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "", "block"), ("a.b", "/x", "block"), *((f"h{k}.org", "/p", "block") for k in range(300))]
-    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "https://example.com/en", "https://EXAMPLE.com/en/#x", "x://net", "x://sub.net?q", "x://com", "x://com/", "x://notcom/", "http://a.b/xyz", "http://z.a.b/x", "http://a.b:80/x", "x://h7.org/pq", "x://www.h299.org/p", "x://h7.org/q", "http://É.com/", "x://com/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "https://example.com/en", "https://EXAMPLE.com/en/#x", "x://net", "x://sub.net?q", "x://com", "x://com/", "x://notcom/", "http://a.b/xyz", "http://z.a.b/x", "http://a.b:80/x", "x://h7.org/pq", "x://www.h299.org/p", "x://h7.org/q", "http://É.com/", "x://com/", "x://" + "a." * 600 + "com/" + "p" * 50_000]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(3, urls[3]), (None, None)], "page_id long, url string").withColumn("host", F.lit(1))
     got = url_filter.judge(pages, spark.createDataFrame(rules, url_filter.SCHEMA)).collect()
     assert len(got) == len(urls) + 2

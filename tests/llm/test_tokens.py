@@ -98,3 +98,30 @@ def test_shards_decompress_only_what_is_wanted():
     broken[at + 20] ^= 255
     with pytest.raises(Exception):
         token_store.ShardReader(io.BytesIO(bytes(broken))).ids(0)
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    w = token_store.ShardWriter(io.BytesIO(), 2)
+    w.add(1, np.array([65535], np.uint32))
+    with pytest.raises(ValueError):
+        w.add(2, np.array([70_000], np.uint32))
+
+
+def test_words_apart_only_where_white_space_is_dropped(tmp_path):
+    import json
+
+    assert token_store.words_apart(PATH) and not token_store.words_apart(public_tokenizers.path("byte_bpe_50k.json"))
+    conf = json.load(open(PATH, encoding="utf-8"))
+    for part in ({"normalizer": {"type": "Prepend", "prepend": "x"}}, {"pre_tokenizer": None}, {"added_tokens": [{**conf["added_tokens"][0], "lstrip": True}]}):
+        other = tmp_path / f"{len(part)}{next(iter(part))}.json"
+        other.write_text(json.dumps({**conf, **part}), encoding="utf-8")
+        assert not token_store.words_apart(str(other))
+
+
+@pytest.mark.parametrize("least, most", [(1 << 10, 256 << 20), (8 << 20, 4 << 10)])
+def test_shards_by_size(spark, monkeypatch, least, most):
+    monkeypatch.setattr(token_store, "LEAST_SHARD", least)
+    monkeypatch.setattr(token_store, "MOST_SHARD", most)
+    df = spark.createDataFrame([(k, f"w{k} " * 50) for k in range(300)], "doc_id long, text string")
+    manifest = token_store.write_shards(df, common.new_folder(spark, "t"), PATH).collect()
+    assert sum(r["n_docs"] for r in manifest) == 300 and (len(manifest) == 4 if most > 1 << 20 else 8 < len(manifest) <= 18)

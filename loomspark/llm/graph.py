@@ -21,19 +21,22 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node hangs on two others, or on one that hangs on another itself: else all edges (a, b) form stars around b."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b); component: the least node of its component.
 
     Each round is written to the shared folder, so lineage stays short. A node with very many edges only meets a sum of
     its least neighbour, and joins that Spark can split.
     """
-    now = common.materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
-        # one row: the edges as a number that doesn't depend on their order
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
-        if new == state or not new[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state, last = new, now
+    now = common.materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while _unfinished(now):
+        last = now
         now = common.materialize(_stars(_stars(last, small=False), small=True), "edges")
         common.discard(last)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

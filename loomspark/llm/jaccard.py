@@ -10,7 +10,9 @@ from both prefixes and sizes.
 3. stars     each list proposes few pairs; verified ones already join most copies into components
 4. rest      components that still meet in lists often enough are compared, in blocks of their documents
 
-Pairs inside one component are never formed, so a group of copies costs its size, not its square.
+A long list is held in pieces. No step pairs its pieces: stars go to documents of the piece and to few that the whole list
+has in common, and the rest pairs what a list holds of different components, each once. Pairs inside one component are
+never formed, so a group of copies costs its size, not its square. Verification compares words, not hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ SIZE, PERCENT = 5, 75
 #: Candidate lengths l of matches, and the work to verify a candidate against reading one entry.
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
-BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 6 << 20
+BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 4 << 20
+#: Entries of different components that are paired at once; comparisons in a group, and blocks against one hub there.
+MEETING, COMPARISONS, AT_HUB = 512, 100_000, 500
 #: Bytes of texts whose shingles are held at once.
 TEXT_BYTES = 2 << 20
 #: Entries of lists that one task takes of lists with one least component.
@@ -64,6 +68,28 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers that are equal for equal words only, the same in all these texts."""
+    codes, offs, _ = common.words_of(texts, lower=True)
+    counts = np.diff(offs)
+    row = np.repeat(np.arange(len(texts)), counts)
+    # a word behind each text's last ones: shorter runs are told apart too, and stand for texts of fewer words
+    left = offs[1:][row] - np.arange(len(codes))
+    key = codes.astype(np.int64) + 1
+    for k in range(1, size):
+        step = np.zeros(len(codes), np.int64)
+        step[: max(len(codes) - k, 0)] = codes[k:] + 1
+        step[left <= k] = 0
+        _, key = np.unique(key * (int(codes.max(initial=0)) + 2) + step, return_inverse=True)
+    keep = (left >= size) | (counts[row] < size) & (left == counts[row])
+    key, row = key[keep], row[keep]
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
+    key, row = key[new], row[new]
+    return np.split(key, np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else []
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -113,11 +139,10 @@ def choose_prefix(s: np.ndarray, level: np.ndarray, excess: np.ndarray, percent:
 
 
 def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent: int) -> DataFrame:
-    """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, family, tail, times).
+    """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, family, times).
 
     Blobs of a batch are keyed by bucket; a set that occurs again in a batch is sent once, and again once in a bucket. A
-    list of more than PIECE documents becomes pieces of one family (0: a list of one piece); `tail` marks where a row's second
-    piece begins (0: one piece).
+    list of more than PIECE documents becomes pieces of one family (0: a list of one piece).
     """
     mean = float(counts.sum(dtype=np.float64)) / len(counts)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -197,27 +222,20 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
                 seen[key][1] += 1
             else:
                 seen[key] = [doc[lo:hi], 1]
-        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "family", "tail", "times")}
-
-        def put(members: np.ndarray, family: int, tail: int, times: int) -> None:
-            for c, v in zip(out, (least[members], sizes[members], matches[members], family, tail, times)):
-                out[c].append(v)
-
+        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "family", "times")}
         for members, times in seen.values():
             members = members[np.lexsort((least[members], sizes[members]))]
-            pieces = [members[i : i + PIECE] for i in range(0, len(members), PIECE)]
-            family = xxhash.xxh3_64_intdigest(b"".join(v[members].tobytes() for v in (least, sizes, matches))) >> 1 if len(pieces) > 1 else 0
-            for i, a in enumerate(pieces):
-                put(a, family, 0, times)
-                for b in pieces[i + 1 :]:
-                    if 100 * sizes[a[-1]] >= percent * sizes[b[0]]:
-                        put(np.concatenate([a, b]), family, len(a), times)
+            family = xxhash.xxh3_64_intdigest(b"".join(v[members].tobytes() for v in (least, sizes, matches))) >> 1 if len(members) > PIECE else 0
+            for lo in range(0, len(members), PIECE):
+                part = members[lo : lo + PIECE]
+                for c, v in zip(out, (least[part], sizes[part], matches[part], family, times)):
+                    out[c].append(v)
         arrays = pa.list_(pa.int64())
         return pa.table({c: pa.array(out[c], arrays if c in ("docs", "ns", "ls") else pa.int64()) for c in out})
 
     blobs = docs.select("node", "text").mapInArrow(emit, "bucket int, blob binary")
-    lists = blobs.groupBy("bucket").applyInArrow(common.grouped(meet), "docs array<long>, ns array<long>, ls array<long>, family long, tail long, times long")
-    return lists.groupBy("docs", "ns", "ls", "family", "tail").agg(F.sum("times").alias("times"))
+    lists = common.dealt(blobs, "bucket", buckets * BUCKET_BYTES).groupBy("bucket").applyInArrow(common.grouped(meet), "docs array<long>, ns array<long>, ls array<long>, family long, times long")
+    return lists.groupBy("docs", "ns", "ls", "family").agg(F.sum("times").alias("times"))
 
 
 def least_shared(na, la, nb, lb, percent: int = PERCENT):
@@ -232,23 +250,31 @@ def least_shared(na, la, nb, lb, percent: int = PERCENT):
 
 
 def _with_totals(lists: DataFrame) -> DataFrame:
-    """Adds ts: for each document of a list the prefix shingles of it that any other document has too, in all lists.
+    """Adds ts, for each document of a list the prefix shingles of it that any other document has too, in all lists; and k1 and k2, which name a list, all its pieces alike.
 
-    k1 and k2 name a row by all that `_lists` keeps apart: long lists can begin alike, and rows of one doc_id can have sets of several sizes.
+    A row is put together again by all that `_lists` keeps apart: long lists can begin alike, and rows of one doc_id can have sets of several sizes.
     """
-    totals = lists.filter("tail = 0").select("times", F.explode("docs").alias("doc")).groupBy("doc").agg(F.sum("times").alias("t"))
-    row = ("docs", "ns", "ls", "family", "tail")
-    keyed = lists.select(F.xxhash64(*row, F.lit(1)).alias("k1"), F.xxhash64(*row, F.lit(2)).alias("k2"), "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
+    totals = lists.select("times", F.explode("docs").alias("doc")).groupBy("doc").agg(F.sum("times").alias("t"))
+    row = ("docs", "ns", "ls", "family")
+    keyed = lists.select(F.xxhash64(*row, F.lit(1)).alias("r1"), F.xxhash64(*row, F.lit(2)).alias("r2"), "family", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls")).alias("at", "e"))
     known = keyed.withColumn("doc", F.col("e.docs")).join(totals, "doc")
-    whole = known.groupBy("k1", "k2").agg(
-        F.first("family").alias("family"), F.first("tail").alias("tail"), F.first("times").alias("times"),
-        F.array_sort(F.collect_list(F.struct("at", "doc", F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), "t"))).alias("es"),
+    whole = known.groupBy("r1", "r2").agg(
+        F.first("family").alias("family"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("at", "doc", F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), "t"))).alias("es")
     )
-    return whole.selectExpr("k1", "k2", "family", "tail", "times", "es.doc as docs", "es.n as ns", "es.l as ls", "es.t as ts")
+    long = F.col("family") != 0
+    return whole.select(F.when(long, F.col("family")).otherwise(F.col("r1")).alias("k1"), F.when(long, 0).otherwise(F.col("r2")).alias("k2"), "family", "times", F.col("es.doc").alias("docs"), F.col("es.n").alias("ns"), F.col("es.l").alias("ls"), F.col("es.t").alias("ts"))
+
+
+def _tops(lists: DataFrame, percent: int) -> DataFrame:
+    """(family, tops): few documents of each list of several pieces, by orders that all lists have in common."""
+    e = lists.filter("family <> 0").select("family", F.explode(F.arrays_zip(F.col("docs").alias("node"), F.col("ns").alias("n"), F.col("ls").alias("l"), F.col("ts").alias("t"))).alias("e"))
+    ratio = F.col("e.t") / (F.col("e.n") - F.ceil(F.col("e.n") * percent / 100) + F.col("e.l"))
+    picks = [F.min_by("e", "e.node"), F.max_by("e", F.struct(ratio, -F.col("e.node"))), *(F.min_by("e", F.xxhash64("e.node", F.lit(r))) for r in (3, 5))]
+    return e.groupBy("family").agg(F.array_distinct(F.array(*picks)).alias("tops"))
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Few pairs of each list or pair of pieces: each document with the first in some orders that all lists have in common.
+    """Few pairs of each list: each document with the first in some orders that all lists have in common, of its piece and of the whole list.
 
     Half of the least shared shingles suffice, as a pair is not formed in all of its lists.
     """
@@ -258,7 +284,8 @@ def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 200):
                 yield _summed(_stars_of(batch.slice(lo, 200), percent), ["a", "b"])
 
-    pairs = lists.mapInArrow(emit, "a long, b long, need long, shared long")
+    own = lists.join(_tops(lists, percent), "family", "left").select("times", "docs", "ns", "ls", "ts", *(F.coalesce(F.col(f"tops.{c}"), F.array().cast("array<long>")).alias(f"top_{c}") for c in ("node", "n", "l", "t")))
+    pairs = own.mapInArrow(emit, "a long, b long, need long, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
     return pairs.filter("2 * shared >= need").select(F.array("a").alias("left"), F.array("b").alias("right"), F.col("b").alias("hub"))
 
@@ -271,11 +298,15 @@ def _stars_of(batch, percent: int) -> list[tuple[np.ndarray, ...]]:
     found = []
     for row, times in enumerate(batch.column("times").to_pylist()):
         node, n, l, t = _arrays(batch, row, "docs", "ns", "ls", "ts")
+        held = len(node)
         # of near copies, that with the most common prefix shingles has the fewest of its own and so is nearest to all
         central = np.lexsort((node, -t / (n - -(-percent * n // 100) + l)))[0]
         tops = {int(np.argmin(node)), int(central)} | {int(np.argmin(common.mix(node.astype(np.uint64) * np.uint64(r)))) for r in (3, 5)}
-        i = np.repeat(np.array(sorted(tops)), len(node))
-        j = np.tile(np.arange(len(node)), len(tops))
+        others = _arrays(batch, row, "top_node", "top_n", "top_l", "top_t")
+        new = np.flatnonzero(~np.isin(others[0], node[sorted(tops)]))
+        node, n, l = (np.concatenate([x, y[new]]) for x, y in zip((node, n, l), others))
+        i = np.repeat(np.array(sorted(tops) + list(range(held, len(node)))), held)
+        j = np.tile(np.arange(held), len(tops) + len(new))
         ok = (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
         found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i], l[i], n[j], l[j], percent), np.full(len(i), times)))
@@ -292,21 +323,35 @@ def _summed(found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], [*names, "need", "shared"])
 
 
+def _meetings(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """What each list holds of different components, in rows of at most two blocks of MEETING: (k1, lo, times, second, components, ns, ls, ts).
+
+    Documents of a component that are alike in all that counts are one entry. `second` is where the second block begins
+    (0: one block, all of whose entries are paired; else only those of different blocks). Entries of one component lie in one block.
+    """
+    entries = lists.select("k1", "k2", "times", F.explode(F.arrays_zip("docs", "ns", "ls", "ts")).alias("e"))
+    known = entries.withColumn("node", F.col("e.docs")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    alike = known.groupBy("k1", "k2", "component", F.col("e.ns").alias("n"), F.col("e.ls").alias("l")).agg(F.max("e.ts").alias("t"), F.max("times").alias("times"))
+    size = alike.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("times").alias("times")).filter("lo < hi")
+    size = size.withColumn("blocks", F.ceil(F.col("size") / MEETING))
+    dealt = alike.select("k1", "k2", F.struct("component", "n", "l", "t").alias("e")).join(size, ["k1", "k2"])
+    blocks = dealt.groupBy("k1", "k2", F.pmod(F.xxhash64("e.component"), "blocks").alias("block")).agg(F.first("lo").alias("lo"), F.first("times").alias("times"), F.first("blocks").alias("blocks"), F.sort_array(F.collect_list("e")).alias("es"))
+    blocks = common.materialize(blocks, "met")
+    one = blocks.select("k1", "lo", "times", F.lit(0).alias("second"), "es")
+    several = blocks.filter("blocks > 1")
+    left = several.select("k1", "k2", "lo", "times", F.col("block").alias("i"), F.col("es").alias("xs"), F.explode(F.expr("sequence(block + 1, blocks)")).alias("j")).filter("j > i")
+    two = left.join(several.select("k1", "k2", F.col("block").alias("j"), F.col("es").alias("ys")), ["k1", "k2", "j"]).select("k1", "lo", "times", F.size("xs").alias("second"), F.concat("xs", "ys").alias("es"))
+    return one.unionByName(two).selectExpr("k1", "lo", "times", "second", "es.component as components", "es.n as ns", "es.l as ls", "es.t as ts")
+
+
 def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Blocks of documents of different components that may still be similar (left, right, hub).
 
     Two components meet in lists; what any of their documents share is at most the lists where they meet. Only components
     that meet often enough for the least demand of their documents are compared.
     """
-    entries = lists.select("k1", "k2", "family", "tail", "times", F.posexplode(F.arrays_zip("docs", "ns", "ls", "ts")).alias("at", "e"))
-    known = entries.withColumn("node", F.col("e.docs")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = known.groupBy("k1", "k2").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("family").alias("family"), F.first("tail").alias("tail"), F.first("times").alias("times"),
-        F.array_sort(F.collect_list(F.struct("at", F.col("e.docs").alias("doc"), F.col("e.ns").alias("n"), F.col("e.ls").alias("l"), F.col("e.ts").alias("t"), "component"))).alias("es"),
-    )
-    mixed = whole.filter("lo < hi").selectExpr("k1", "lo", "size(es) as held", "family", "tail", "times", "es.n as ns", "es.l as ls", "es.t as ts", "es.component as components")
+    mixed = _meetings(lists, labels).withColumn("held", F.size("components"))
     # lists of the same documents mostly share their least component; where they come together, each pair is one row
-    mixed = common.materialize(mixed, "met")
     load = mixed.groupBy("lo").agg(F.sum("held").alias("load"))
     mixed = mixed.join(load, "lo").repartition("lo", F.pmod("k1", F.ceil(F.col("load") / HELD)))
 
@@ -315,14 +360,14 @@ def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 n, l, t, component = _arrays(batch, row, "ns", "ls", "ts", "components")
-                tail, times, family = (batch.column(c)[row].as_py() for c in ("tail", "times", "family"))
+                second, times = (batch.column(c)[row].as_py() for c in ("second", "times"))
                 names, own = np.unique(component, return_inverse=True)
-                # documents alike in all that counts here need one row
-                own, n, l, t, second = np.unique(np.stack([own, n, l, t, np.arange(len(n)) >= tail if tail else np.zeros(len(n), bool)]), axis=1)
-                i, j = np.triu_indices(len(own), 1)
+                if second:
+                    i = np.repeat(np.arange(second), len(own) - second)
+                    j = np.tile(np.arange(second, len(own)), second)
+                else:
+                    i, j = np.triu_indices(len(own), 1)
                 ok = (own[i] != own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                if tail:
-                    ok &= second[i] != second[j]
                 i, j = i[ok], j[ok]
                 need = least_shared(n[i], l[i], n[j], l[j], percent)
                 ok = need <= np.minimum(t[i], t[j])  # neither shares more with all others together
@@ -333,20 +378,18 @@ def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                     pair, need = pair[at], need[at]
                     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
                     pair, k = pair[first], len(first)
-                    found.append((np.full(k, family), names[pair // len(names)], names[pair % len(names)], np.minimum.reduceat(need, first), np.full(k, times)))
+                    found.append((names[pair // len(names)], names[pair % len(names)], np.minimum.reduceat(need, first), np.full(k, times)))
                     held += k
-                    if held > 1 << 20:
-                        rows = _summed(found, ["family", "a", "b"])
+                    if held > 1 << 19:
+                        rows = _summed(found, ["a", "b"])
                         found, held = [tuple(np.asarray(c) for c in rows.columns)], rows.num_rows
-                        if held > 1 << 19:
+                        if held > 1 << 18:
                             yield rows
                             found, held = [], 0
         if found:
-            # lists of one piece have one family, 0, and so are added here
-            yield _summed(found, ["family", "a", "b"])
+            yield _summed(found, ["a", "b"])
 
-    met = mixed.mapInArrow(meet, "family long, a long, b long, need long, shared long")
-    met = met.groupBy("family", "a", "b").agg(F.min("need").alias("need"), F.when(F.col("family") == 0, F.sum("shared")).otherwise(F.max("shared")).alias("shared"))
+    met = mixed.mapInArrow(meet, "a long, b long, need long, shared long")
     met = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).filter("shared >= need").select("a", "b")
     nodes = lists.select(F.explode("docs").alias("node")).distinct().join(labels, "node", "left")
     # a component's documents in blocks of bounded size
@@ -382,9 +425,9 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     packed = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     work = blocks.agg(F.sum(F.size("left") * F.size("right"))).first()[0] or 0
     # compressed texts are about a third of the texts, and a text may go to several groups
-    groups = max(1, -(-6 * packed // GROUP_BYTES), -(-work // 200_000))
+    groups = max(1, -(-4 * packed // GROUP_BYTES), -(-work // COMPARISONS))
     load = blocks.groupBy("hub").agg(F.sum(F.size("left")).alias("load"))
-    spread = F.when(F.col("load") > 1000, F.pmod(F.xxhash64("left"), F.ceil(F.col("load") / 1000))).otherwise(0)
+    spread = F.when(F.col("load") > AT_HUB, F.pmod(F.xxhash64("left"), F.ceil(F.col("load") / AT_HUB))).otherwise(0)
     dealt = blocks.join(load, "hub").select("left", "right", "hub", F.pmod(F.xxhash64("hub", spread), F.lit(groups)).alias("g"))
     wanted = _documents(dealt, "g").distinct()
     none = F.lit(None).cast("array<long>")
@@ -395,11 +438,10 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         unpack = zstandard.ZstdDecompressor().decompress
         sets: dict[int, list[np.ndarray]] = {}
         texts_ = group.filter(pc.is_valid(group.column("packed")))
-        for lo in range(0, texts_.num_rows, 1000):
-            part = texts_.slice(lo, 1000)
-            plain = pa.array([unpack(x.as_py()).decode() for x in part.column("packed")], pa.large_string())
-            for node, s in zip(part.column("node").to_pylist(), shingle_sets(plain, size)):
-                sets.setdefault(node, []).append(s)
+        plain = pa.array([unpack(x.as_py()).decode() for x in texts_.column("packed")], pa.large_string())
+        for node, s in zip(texts_.column("node").to_pylist(), exact_sets(plain, size)):
+            sets.setdefault(node, []).append(s)
+        del plain
         top: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -412,7 +454,7 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         out = []
         for left, right in sorted(zip(pairs.column("left").to_pylist(), pairs.column("right").to_pylist())):
             own = [(y, s) for y in right for s in sets.get(y, ())]
-            flat = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.uint64)
+            flat = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for _, s in own], dtype=np.int64)])
             for x in left:
                 if root(x) == root(right[0]):
@@ -427,7 +469,7 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                         break
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return rows.groupBy("g").applyInArrow(common.grouped(check), "a long, b long")
+    return common.dealt(rows, "g", groups * GROUP_BYTES).groupBy("g").applyInArrow(common.grouped(check), "a long, b long")
 
 
 def _documents(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -457,12 +499,26 @@ def _packed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return docs.select("node", "text", place.alias("place")).mapInArrow(pack, "node long, packed binary").join(wanted.hint("shuffle_hash"), "node", "left_semi")
 
 
-def _shared_ids(own: DataFrame, same: DataFrame) -> DataFrame:
-    """Edges between the representatives of sets that rows with one doc_id have."""
-    rows = own.filter("n > 0").join(own.groupBy("node").agg(F.count("*").alias("rows")).filter("rows > 1"), "node")
-    reps = rows.join(same, ["fp", "fq"]).select("node", "rep").distinct()
+def _shared_ids(linked: DataFrame) -> DataFrame:
+    """Edges between the representatives of sets that rows with one doc_id have. linked: node, rep."""
+    reps = linked.select("node", "rep").distinct()
     least = reps.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("node", "a")
-    return reps.join(least, "node").filter("rep > a").select("a", F.col("rep").alias("b"))
+    return reps.join(least, "node").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+
+
+#: Parts into which rows of one set are split where its representative is sought and told.
+SET_PARTS = 64
+
+
+def _sets(own: DataFrame) -> DataFrame:
+    """(fp, fq, parts, rep): the least document of each set and the parts that have rows of it; a set of very many rows is gathered part by part."""
+    parts = own.groupBy("fp", "fq", "part").agg(F.min("node").alias("least"))
+    return parts.groupBy("fp", "fq").agg(F.min("least").alias("rep"), F.collect_list("part").alias("parts"))
+
+
+def _told(own: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The rows with columns of their sets."""
+    return own.join(sets.select("fp", "fq", F.explode("parts").alias("part"), *columns), ["fp", "fq", "part"])
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -485,16 +541,17 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     stars = common.materialize(_star_pairs(lists, percent), "pairs")
     found = common.materialize(_verified(stars, docs, size, percent), "links")
     # documents with one set have one node in the lists, whichever they are
-    same = own.filter("n > 0").groupBy("fp", "fq").agg(F.min("node").alias("rep"))
+    full = own.filter("n > 0").withColumn("part", F.pmod(F.xxhash64("node", "tie"), F.lit(SET_PARTS)))
+    sets = common.materialize(_sets(full), "sets")
     labels = common.materialize(graph.components(found), "labels")
     rest = common.materialize(_rest_pairs(lists, labels, percent), "pairs")
     more = common.materialize(_verified(rest, docs, size, percent), "links")
-    final = graph.components(found.unionByName(more).unionByName(_shared_ids(own, same)))
+    final = graph.components(found.unionByName(more).unionByName(_shared_ids(_told(full, sets, "rep"))))
     final = common.materialize(final, "labels")
     for done in (lists, stars, rest, labels, found, more):
         common.discard(done)
-    linked = own.filter("n > 0").join(same, ["fp", "fq"])
-    linked = linked.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tie", "n", F.least("node", F.coalesce("component", "rep")).alias("component"))
+    classed = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "fq", "parts", F.coalesce("component", "rep").alias("least"))
+    linked = _told(full, classed, "least").select("node", "tie", "n", F.least("node", "least").alias("component"))
     alone = own.filter("n = 0").select("node", "tie", "n", F.col("node").alias("component"))
     out = linked.unionByName(alone)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def similar_corpus(seed=5):
 @pytest.mark.parametrize("piece", [2048, 16])
 def test_similarity_join(spark, monkeypatch, piece):
     monkeypatch.setattr(jaccard, "PIECE", piece)
+    monkeypatch.setattr(jaccard, "MEETING", min(piece, jaccard.MEETING) // 4)
     docs = similar_corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("component_id", F.lit(0))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()}
@@ -88,19 +90,44 @@ def test_similarity_join(spark, monkeypatch, piece):
 
 
 def test_long_lists_that_begin_alike_both_count(spark):
-    kind = "docs array<long>, ns array<long>, ls array<long>, family long, tail long, times long"
-    row = lambda docs, family, tail: (docs, [10] * len(docs), [1] * len(docs), family, tail, 1)
+    kind = "docs array<long>, ns array<long>, ls array<long>, family long, times long"
+    row = lambda docs, family: (docs, [10] * len(docs), [1] * len(docs), family, 1)
     # lists 1 2 3 4 and 1 2 5 6 in pieces of two; 1 and 2 share both, as many as they need
-    lists = [row([1, 2], f, 0) for f in (11, 22)] + [row([3, 4], 11, 0), row([1, 2, 3, 4], 11, 2), row([5, 6], 22, 0), row([1, 2, 5, 6], 22, 2)]
+    lists = [row([1, 2], f) for f in (11, 22)] + [row([3, 4], 11), row([5, 6], 22)]
     full = jaccard._with_totals(spark.createDataFrame(lists, kind))
-    assert sorted((r["docs"], r["family"], r["times"]) for r in full.filter("tail = 0").collect()) == [([1, 2], 11, 1), ([1, 2], 22, 1), ([3, 4], 11, 1), ([5, 6], 22, 1)]
+    assert sorted((r["docs"], r["family"], r["times"]) for r in full.collect()) == [([1, 2], 11, 1), ([1, 2], 22, 1), ([3, 4], 11, 1), ([5, 6], 22, 1)]
     pairs = jaccard._rest_pairs(full, spark.createDataFrame([], "node long, component long"), 75)
     assert [sorted(r["left"] + r["right"]) for r in pairs.collect()] == [[1, 2]]
     # one list of two documents, where one doc_id has sets of two sizes
-    two = [([1, 2], [n, 10], [1, 1], 0, 0, 1) for n in (10, 11)]
+    two = [([1, 2], [n, 10], [1, 1], 0, 1) for n in (10, 11)]
     assert jaccard._with_totals(spark.createDataFrame(two, kind)).count() == 2
 
 
+def test_exact_shingles_tell_what_hashes_may_not(monkeypatch):
+    texts = ["a b c d e f", "A b c d e f", "a b c d", "a b c d e", "b c d e f", "", " ", "x", "a b c d e a b c d e", "c d e f a"]
+    sets = jaccard.exact_sets(pa.array(texts, pa.large_string()))
+    names = {}
+    for t, s in zip(texts, sets, strict=True):
+        own = brute.shingle_set(t)
+        assert len(own) == len(s)
+        names[frozenset(own)] = names.get(frozenset(own), tuple(s.tolist()))
+        assert names[frozenset(own)] == tuple(s.tolist())
+    for a, x in zip(texts, sets):
+        for b, y in zip(texts, sets):
+            assert len(np.intersect1d(x, y)) == len(brute.shingle_set(a) & brute.shingle_set(b))
+
+
+def test_links_hold_where_hashes_collide(spark, monkeypatch):
+    plain = jaccard.common.hash_words
+    # a few hundred hashes for all words: many shingles collide, and only verified links count
+    monkeypatch.setattr(jaccard.common, "hash_words", lambda d: plain(d) % np.uint64(400))
+    docs = similar_corpus()[:120]
+    links = jaccard._verified(spark.createDataFrame([([a], [b], b) for a, _ in docs for b, _ in docs if a < b], "left array<long>, right array<long>, hub long"), spark.createDataFrame([(i, t or "") for i, t in docs], "node long, text string"), 5, 75)
+    top = brute.components(docs)
+    got = graph.components(links).distinct().collect()
+    assert {r["node"]: r["component"] for r in got if r["node"] != r["component"]} == {i: c for i, (_, c) in top.items() if i != c}
+
+
 def test_similarity_join_on_tables(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -135,3 +162,16 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(1, 2), (2, 3), (7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()}
     assert all(got[k] == 10 for k in range(10, 41)) and got[1] == got[2] == got[3] == 1
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_random_edges(spark):
+    r = random.Random(4)
+    for n, m in ((30, 12), (60, 45), (40, 80)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        top = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                top[a] = top[b] = min(top[a], top[b])
+        got = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: top[k] for a, b in edges if a != b for k in (a, b)}

@@ -7,12 +7,16 @@ these labels: weights of words and word beginnings, a bias, and weights of label
 Most words have no weighted feature. A run of them multiplies the messages by one power of a fixed 2 x 2 matrix, so
 forward and backward passes visit only words with features and give the same marginals as over all words.
 
-A document's score is a logistic function of its expected number of toxic words and its greatest marginal.
+A document's score is a logistic function of its expected number of toxic words and its greatest marginal. Runs of words that
+are more likely toxic than not are returned as offending spans of characters.
+
+The fit reads texts on the executors only: they count features, and give the places of words with features.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -114,32 +118,34 @@ def marginals(emit: np.ndarray, place: np.ndarray, offs: np.ndarray, lengths: np
     return out, log_z
 
 
-def _featured(texts: pa.Array, table: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
-    """Places, offsets by text and lengths of words with features in table, their features by distinct word, and which word each is."""
+def sparse(texts: pa.Array, table: dict[str, int]) -> tuple[list[list[int]], list[int], list[list[list[int]]]]:
+    """Of each text the places of its words with features in table, its number of words, and the features of those words."""
     codes, words, distinct = common.words_of(texts)
     rows = [[table[f] for f in features(w) if f in table] for w in distinct.to_pylist()]
     has = np.array([bool(r) for r in rows], bool) if rows else np.zeros(0, bool)
     at = np.flatnonzero(has[codes]) if len(codes) else np.zeros(0, np.int64)
-    owner = np.searchsorted(words, at, "right") - 1
-    offs = np.searchsorted(at, words)
-    return at - words[owner], offs, np.diff(words), rows, codes[at]
+    cuts = np.searchsorted(at, words).tolist()
+    found = (at - words[np.searchsorted(words, at, "right") - 1]).tolist()
+    own = [rows[c] for c in codes[at].tolist()]
+    return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])], np.diff(words).tolist(), [own[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _lower_bound(k: int, n: int) -> float:
+def _lower_bound(k: Column, n: Column) -> Column:
     """Wilson's lower bound of a share."""
     z = 1.96
-    return (k / n + z * z / (2 * n) - z * math.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-
-
-def fit(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0, 1.0)) -> Field:
-    """Fits a field to labelled texts. weight: of a text of class 0 and 1 in the document score."""
-    seen = Counter(), Counter()
-    for text, y in zip(texts, toxic):
-        seen[y].update({f for w in set(text.split()) for f in features(w)})
-    sure = [f for f, k in seen[1].items() if k >= LEAST_DOCS and _lower_bound(k * weight[1], k * weight[1] + seen[0][f] * weight[0]) >= SURE]
-    table = {f: i for i, f in enumerate(sorted(sure))}
-    place, offs, lengths, rows, word = _featured(pa.array(texts, pa.large_string()), table)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offs))
+    return (k / n + z * z / (2 * n) - z * F.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def fit(names: list[str], documents: list[tuple[int, list[int], int, list[list[int]]]], weight: tuple[float, float] = (1.0, 1.0)) -> Field:
+    """Fits a field to labelled documents (class, places, words, features of the word at each place). names: of the features; weight: of a text of class 0 and 1 in the document score."""
+    patterns: dict[tuple[int, ...], int] = {}
+    word = np.array([patterns.setdefault(tuple(f), len(patterns)) for d in documents for f in d[3]], np.int64)
+    rows = [list(f) for f in patterns]
+    place = np.array([p for d in documents for p in d[1]], np.int64)
+    offs = np.concatenate([[0], np.cumsum([len(d[1]) for d in documents])]).astype(np.int64)
+    lengths, toxic = np.array([d[2] for d in documents], np.int64), [d[0] for d in documents]
+    table = {f: i for i, f in enumerate(names)}
+    owner = np.repeat(np.arange(len(documents)), np.diff(offs))
     y = np.array(toxic, np.int64)
     label = y[owner] if len(owner) else np.zeros(0, np.int64)
     pick = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -154,7 +160,7 @@ def fit(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0,
         nxt = np.append(np.where(first[1:], 0, label[1:]), 0)
         ends = (label == 1) & (nxt == 0) & (place + 1 < lengths[owner])
     counts = np.array([label.sum(), ((label == 1) & (before == 0)).sum(), ends.sum(), ((label == 1) & (before == 1)).sum()], float)
-    n = max(1.0, float(len(texts)))
+    n = max(1.0, float(len(documents)))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     own = np.zeros(len(rows))
     for step in range(1, STEPS + 1):
@@ -219,27 +225,66 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Field:
     """Fits a field to at most most_rows labelled documents of each class that are not held out.
 
-    Counts of the classes are taken from all labelled rows that may be learnt from. Without labels of both classes every
-    text gets the share of toxic labels (one half without any).
+    Counts of the classes are taken from all labelled rows that may be learnt from. Without documents of both classes every
+    text gets the share of toxic labels (one half without any). Of several labels of one doc_id the greatest counts.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = min(max(counts.get(1, 0) / sum(counts.values()), 1e-3), 1 - 1e-3) if counts else 0.5
+    constant = Field({}, -5.0, (-3.0, 0.0, 0.0), (math.log(share / (1 - share)), 0.0, 0.0))
     if len(counts) < 2:
-        share = 0.5 if not counts else min(max(float(next(iter(counts))), 1e-3), 1 - 1e-3)
-        return Field({}, -5.0, (-3.0, 0.0, 0.0), (math.log(share / (1 - share)), 0.0, 0.0))
+        return constant
     some = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * most_rows ids
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("toxic", "text")
     # a text that occurs again teaches nothing new
-    rows = sorted({(r["text"], r["toxic"]): (r["doc_id"], r["toxic"], r["text"]) for r in sorted(rows, reverse=True)}.values())
-    used = Counter(r[1] for r in rows)
+    rows = common.materialize(rows.withColumn("key", F.sha2("text", 256)).dropDuplicates(["toxic", "key"]), "labelled")
+    used = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(used) < 2:
-        return learn(docs.limit(0), labels.limit(0))
-    return fit([r[2] for r in rows], [r[1] for r in rows], tuple(counts[y] / used[y] for y in (0, 1)))
+        return constant
+    weight = tuple(counts[y] / used[y] for y in (0, 1))
+
+    def count(batches):
+        for batch in common.slices(batches, "text"):
+            seen = Counter(), Counter()
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                seen[y].update({f for w in set(text.split()) for f in features(w)})
+            found = [(f, y, n) for y in (0, 1) for f, n in seen[y].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["feature", "toxic", "n"])
+
+    seen = rows.select("text", "toxic").mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("m"))
+    sure = seen.filter((F.col("k") >= LEAST_DOCS) & (_lower_bound(F.col("k") * weight[1], F.col("k") * weight[1] + F.col("m") * weight[0]) >= SURE))
+    names = sorted(r["feature"] for r in sure.select("feature").collect())  # of at most most_rows toxic texts, and only those that nearly none else has
+    table = {f: i for i, f in enumerate(names)}
+
+    def places(batches):
+        for batch in common.slices(batches, "text"):
+            at, n, own = sparse(batch.column("text"), table)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(own, pa.list_(pa.list_(pa.int32())))], ["key", "toxic", "places", "words", "features"])
+
+    found = rows.mapInArrow(places, "key string, toxic int, places array<int>, words long, features array<array<int>>").collect()  # no texts
+    common.discard(rows)
+    return fit(names, [(r["toxic"], r["places"], r["words"], r["features"]) for r in sorted(found, key=lambda r: (r["key"], r["toxic"]))], weight)
+
+
+_WORD = re.compile("[^ \t-\r]+")
+
+
+def _characters(text: str, places: list[int]) -> list[dict[str, int]]:
+    """Spans of characters (begin, end) of the runs of words at these places."""
+    wanted, out, last = set(places), [], -2
+    for k, m in enumerate(_WORD.finditer(text)):
+        if k in wanted:
+            if k == last + 1:
+                out[-1]["end"] = m.end()
+            else:
+                out.append({"begin": m.start(), "end": m.end()})
+            last = k
+    return out
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on) and toxic_words (places of words, counted from 0).
+    """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), toxic_words (places of words, counted from 0) and toxic_spans (characters that runs of them take).
 
     Only the text counts. Null and empty texts have no words and get the score of a text without toxic words. Texts of
     any length are read whole; equal texts score alike; other columns are ignored; no rows give no rows.
@@ -248,8 +293,11 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         for batch in common.slices(batches, "text"):
-            s, spans = tag(common.as_text(batch.column("text")), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "toxic_words"])
-
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, toxic_words array<long>")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_words")
+            texts = common.as_text(batch.column("text"))
+            s, spans = tag(texts, shared.value)
+            characters = [_characters(texts[k].as_py(), w) if w else [] for k, w in enumerate(spans)]
+            values = [pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.int64())), pa.array(characters, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *values], ["doc_id", "score", "predicted", "toxic_words", "toxic_spans"])
+
+    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, toxic_words array<long>, toxic_spans array<struct<begin:long,end:long>>")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_words", "toxic_spans")

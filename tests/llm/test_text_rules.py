@@ -311,6 +311,16 @@ def test_field_marginals():
         assert log_z[0] == pytest.approx(math.log(z)) and p.tolist() == pytest.approx([m[k] / z for k in at])
 
 
+def test_spans_of_characters():
+    assert toxicity._characters("é  bad\tworse\u3000x ok bad", [1, 2, 4]) == [{"begin": 3, "end": 14}, {"begin": 18, "end": 21}]
+
+
+def test_toxicity_on_tables(spark, sf):
+    rows = queries.op8_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 50 and sum(r["predicted"] == r["toxic"] for r in held) >= 0.9 * len(held)
+
+
 def test_toxicity(spark):
     r, voc, _ = items()
     docs = []
@@ -328,5 +338,13 @@ def test_toxicity(spark):
     assert 30 < len(held) < 100 and all(x["predicted"] == x["y"] for x in held)
     assert all(0 <= x["score"] <= 1 for x in got) and [x["toxic_words"] for x in got if x["doc_id"] == 3] == [[5, 20]]
     assert len({x["score"] for x in got if x["doc_id"] >= 900}) == 1
+    text = dict((d[0], d[1]) for d in docs)
+    for x in got:
+        if x["doc_id"] < 900:
+            w = text[x["doc_id"]].split()
+            assert [text[x["doc_id"]][a["begin"] : a["end"]].split() for a in x["toxic_spans"]] == [[w[k]] for k in x["toxic_words"]]
+    strangers = labels.withColumn("doc_id", F.col("doc_id") + 10_000)
+    share = {x["score"] for x in toxicity.score(df.limit(5), toxicity.learn(df, strangers)).collect()}
+    assert len(share) == 1 and 0.25 < share.pop() < 0.4
     none = toxicity.learn(df, labels.limit(0))
     assert {x["score"] for x in toxicity.score(df, none).collect()} == {0.5} and toxicity.score(df.limit(0), none).count() == 0

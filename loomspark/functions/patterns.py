@@ -73,3 +73,35 @@ SPEC_TESTS = [
 SMALL_MODEL = r"(^|[^0-9])(0\.5|1|1\.5|2|3|4)b\b|mini|small|tiny|nano|flash|lite"
 MID_MODEL = r"(^|[^0-9])(7|8|9|11|12|13|14)b\b"
 LARGE_HINTS = ("pro", "k2", "large", "70b", "405b")
+# How assignment puzzles list their items and people, what clues and the question look like.
+PUZZLE_ITEMS = r"different \w+s?\s*[:\-]\s*([^.?!]+)"
+PUZZLE_SEPARATOR = r",| and | or "
+PUZZLE_ARTICLE = r"^(a|an|the) "
+PUZZLE_NAME = r"\b([A-Z][a-z]+)\b"
+PUZZLE_NOT_NAMES = frozenset({"Three", "Four", "Five", "Two", "Six", "The", "A", "An", "If", "Who"})
+PUZZLE_HAS = r"\b([A-Z][a-z]+)\b (?:owns|has|likes|plays|drinks|wears|got|chose|picked)\s*(?:the |a |an )?(\w+)"
+PUZZLE_LACKS = r"\b([A-Z][a-z]+)\b\s+(?:does\s*not|doesn[’']t|do\s*not|did\s*not|never|is\s*not|isn[’']t)\s+(?:own|owns|have|has|like|likes|play|plays|drink|drinks|wear|wears|got|choose|pick)?\s*(?:the |a |an )?(\w+)"
+PUZZLE_ASKS = r"\bwho (?:owns|has|likes|plays|drinks|wears|got|chose|picked)\s*(?:the |a |an )?(\w+)"
+PUZZLE_SIZES = range(2, 7)
+# What code tests allow.
+CODE_SECONDS, CODE_TOLERANCE = 5.0, 1e-6
+# Abbreviations that end no sentence, and what a summary is asked for.
+ABBREVIATIONS = r"\b(e\.g|i\.e|etc|vs|Mr|Mrs|Ms|Dr|St)\."
+DECIMAL = r"\d+\.\d+"
+SENTENCE_END = r"[.!?]+(?:\s|$)"
+SENTENCES_EXACT = r"exactly (one|two|three|1|2|3) sentences?"
+SENTENCE_SINGLE = r"\bin (a|one) (single )?sentence\b|\bone-sentence\b|\bsingle sentence\b"
+WORDS_LIMIT = r"(no more than|at most|maximum(?: of)?|under|fewer than|less than|within|in) (\d+) words"
+WORDS_EXACT = r"exactly (\d+) words"
+# What is masked in prompts, and wording that varies between siblings of a template.
+MASKED_NUMBER = r"(?<!\w)(?:[$£€]\s*)?[+-]?(?:\d+(?:[.,]\d+)*)(?:%|st|nd|rd|th)?(?!\w)"
+MASKED_NAME = r"\b(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,})(?:\s+(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,}))*\b"
+CODEGEN_OPENING = r"(?i)^(?:write|implement|create)\s+(?:a\s+)?python\s+function\s+(?:that|which)\s+"
+DEBUG_BODY = r"(?s)(\bdef\s+[A-Za-z_]\w*\s*\(.*)"
+DEBUG_CLOSING = r"(?is)\s+(?:find\s+and\s+fix\s+it|identify\s+the\s+bug.*)$"
+SUMMARY_OPENING = r"(?is)^summarize\s+the\s+following\s+paragraph\b.*?:\s*"
+# Names of parameters by which a smoke test picks its argument, tried in order.
+SMOKE_ARGUMENTS = [("num|lst|list|arr|items|values|data|seq", '[{"args":[[3,1,2]]}]'), ("s$|str|text|word|sentence", '[{"args":["hello"]}]'), ("n$|num|count|x$|k$", '[{"args":[5]}]')]
+# Answers of the run.
+PATHS = ("local-verified", "local-unverified", "escalated", "fallback")
+RETRY_LEFT_S, EMERGENCY_LEFT_S = 4.0, 10.0

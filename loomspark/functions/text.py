@@ -75,9 +75,9 @@ def numbers_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 
 def sentence_count(x: Column | str) -> Column:
     """Sentences by their end signs; common abbreviations and decimals don't end one."""
-    t = F.regexp_replace(text_or_empty(x), P.unicode(r"\b(e\.g|i\.e|etc|vs|Mr|Mrs|Ms|Dr|St)\."), "$1")
-    t = strip(F.regexp_replace(t, P.unicode(r"\d+\.\d+"), "0"))
-    return F.size(F.filter(F.split(t, P.unicode(r"[.!?]+(?:\s|$)")), lambda s: F.regexp_replace(s, P.unicode(r"\s"), "") != ""))
+    t = F.regexp_replace(text_or_empty(x), P.unicode(P.ABBREVIATIONS), "$1")
+    t = strip(F.regexp_replace(t, P.unicode(P.DECIMAL), "0"))
+    return F.size(F.filter(F.split(t, P.unicode(P.SENTENCE_END)), lambda s: F.regexp_replace(s, P.unicode(r"\s"), "") != ""))
 
 
 def word_count(x: Column | str) -> Column:
@@ -95,13 +95,12 @@ def extract_code(x: Column | str) -> Column:
 def summary_constraints(prompt: Column | str) -> Column:
     """struct(sentences_exact, words_max, words_exact) that a prompt asks for; null: not asked."""
     p = F.lower(text_or_empty(prompt))
-    exact = F.regexp_extract(p, r"exactly (one|two|three|1|2|3) sentences?", 1)
+    exact = F.regexp_extract(p, P.SENTENCES_EXACT, 1)
     named = F.when(exact.isin("one", "1"), 1).when(exact.isin("two", "2"), 2).when(exact.isin("three", "3"), 3)
-    single = F.when(found(p, r"\bin (a|one) (single )?sentence\b|\bone-sentence\b|\bsingle sentence\b"), 1)
-    limit = r"(no more than|at most|maximum(?: of)?|under|fewer than|less than|within|in) (\d+) words"
-    how, n = F.regexp_extract(p, limit, 1), F.regexp_extract(p, limit, 2).try_cast("int")
+    single = F.when(found(p, P.SENTENCE_SINGLE), 1)
+    how, n = F.regexp_extract(p, P.WORDS_LIMIT, 1), F.regexp_extract(p, P.WORDS_LIMIT, 2).try_cast("int")
     strict = how.isin("under", "fewer than", "less than").cast("int")
-    words = F.regexp_extract(p, r"exactly (\d+) words", 1).try_cast("int")
+    words = F.regexp_extract(p, P.WORDS_EXACT, 1).try_cast("int")
     return F.struct(F.coalesce(named, single).alias("sentences_exact"), (n - strict).alias("words_max"), words.alias("words_exact"))
 
 
@@ -181,18 +180,18 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def masked(x: Column | str) -> Column:
     """A prompt with numbers and proper names masked, in lower case, white space collapsed."""
-    t = F.regexp_replace(text_or_empty(x), P.unicode(r"(?<!\w)(?:[$£€]\s*)?[+-]?(?:\d+(?:[.,]\d+)*)(?:%|st|nd|rd|th)?(?!\w)", "i"), " <num> ")
-    t = F.regexp_replace(t, P.unicode(r"\b(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,})(?:\s+(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,}))*\b"), " <name> ")
+    t = F.regexp_replace(text_or_empty(x), P.unicode(P.MASKED_NUMBER, "i"), " <num> ")
+    t = F.regexp_replace(t, P.unicode(P.MASKED_NAME), " <name> ")
     return strip(F.regexp_replace(F.lower(t), P.unicode(r"\s+"), " "))
 
 
 def canonical_template(scope: Column, prompt: Column, explicit: Column | None = None) -> Column:
     """Scope and masked prompt, without wording that only varies between siblings; or scope and an explicit template."""
     t, s = strip(text_or_empty(prompt)), F.lower(scope)
-    codegen = F.regexp_replace(t, r"(?i)^(?:write|implement|create)\s+(?:a\s+)?python\s+function\s+(?:that|which)\s+", "")
-    body = F.regexp_extract(t, r"(?s)(\bdef\s+[A-Za-z_]\w*\s*\(.*)", 1)
-    debug = F.when(body != "", F.regexp_replace(body, r"(?is)\s+(?:find\s+and\s+fix\s+it|identify\s+the\s+bug.*)$", "")).otherwise(t)
-    summary = F.regexp_replace(t, r"(?is)^summarize\s+the\s+following\s+paragraph\b.*?:\s*", "")
+    codegen = F.regexp_replace(t, P.CODEGEN_OPENING, "")
+    body = F.regexp_extract(t, P.DEBUG_BODY, 1)
+    debug = F.when(body != "", F.regexp_replace(body, P.DEBUG_CLOSING, "")).otherwise(t)
+    summary = F.regexp_replace(t, P.SUMMARY_OPENING, "")
     t = F.when(s.isin("codegen", "code_generation"), codegen).when(s.isin("debug", "code_debugging"), debug).when(s.isin("summarization", "summary"), summary).otherwise(t)
     out = F.concat(scope, F.lit("\n"), masked(t))
     if explicit is None:
@@ -227,7 +226,7 @@ def smoke_tests(code: Column | str) -> Column:
     names = F.transform(F.filter(F.split(inside, ","), lambda s: strip(s) != ""), lambda s: strip(F.regexp_extract(strip(s), r"^([^:=]*)", 1)))
     names = F.filter(names, lambda s: s != "self")
     name = F.lower(F.get(names, F.lit(0)))
-    call = F.when(name.rlike("num|lst|list|arr|items|values|data|seq"), '[{"args":[[3,1,2]]}]').when(name.rlike("s$|str|text|word|sentence"), '[{"args":["hello"]}]').when(name.rlike("n$|num|count|x$|k$"), '[{"args":[5]}]')
+    call = F.coalesce(*(F.when(name.rlike(p), tests) for p, tests in P.SMOKE_ARGUMENTS))
     return F.when(F.size(names) == 1, F.coalesce(call, F.lit("[]"))).otherwise("[]")
 
 

@@ -90,9 +90,15 @@ def remaining_budget(timeout: Column, started: Column, cap: Column, now: Column,
 
 
 def compact_number(x: Column) -> Column:
-    """Whole numbers without a point, others with six digits at most."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"0+$", ""), r"\.$", "")
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(short)
+    """Whole numbers without a point; others rounded to six places and given with six significant digits, with an exponent below -4 and from 6 on."""
+    y = F.round(x, 6)
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    long = F.format_string("%.5e", y)
+    power = F.regexp_extract(long, r"e([+-]\d+)$", 1).cast("int")
+    out = bare(long)
+    for k in range(-4, 6):
+        out = F.when(power == k, bare(F.format_string(f"%.{5 - k}f", y))).otherwise(out)
+    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(out)
 
 
 def usage_tokens(usage: Column) -> Column:

@@ -115,6 +115,15 @@ USAGE = """usage AS (SELECT o_orderkey % 4 AS k, o_orderkey AS o FROM orders)"""
 MODEL_RUNS = "model_runs AS (SELECT 'org/model-' || CAST(l_suppkey % 12 AS VARCHAR) AS model, l_quantity > 3 + l_suppkey % 12 AS ok, CAST(l_quantity AS BIGINT) AS tokens, (l_suppkey % 12) % 4 = 1 AND l_partkey % 50 = 0 AS bad FROM lineitem)"
 TEMPLATE_NUMBER = "CAST(o_orderkey AS VARCHAR)"
 
+ENDED = """ended AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 = 1 THEN 'local-verified' WHEN o_orderkey % 3 = 0 THEN 'escalated' WHEN o_orderkey % 5 = 0 THEN 'local-unverified' WHEN o_orderkey % 7 = 0 AND o_orderkey % 11 > 0 THEN CASE WHEN o_orderkey % 14 = 0 THEN 'local-verified' ELSE 'local-unverified' END ELSE 'fallback' END AS path FROM orders)"""
+
+EVALUATION = f"""WITH {POLICED}, sp AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'test' WHEN id % 5 = 1 THEN 'calibration' ELSE 'train' END AS split, always OR score >= 0.5 AS p, NOT (always OR score >= 0.5) AND NOT verified AND NOT trusted AS r FROM policed),
+m AS (SELECT split, count(*) AS n, count(*) FILTER (p AND NOT correct) AS tp, count(*) FILTER (p AND correct) AS fp, count(*) FILTER (NOT p AND correct) AS tn, count(*) FILTER (NOT p AND NOT correct) AS fn, count(*) FILTER (NOT correct AND (p OR r)) AS ef, count(*) FILTER (late) AS slow, count(*) FILTER (late AND p) AS slowp, count(*) FILTER (NOT p AND NOT r AND NOT correct) AS unsafe FROM sp GROUP BY split),
+v AS (SELECT split, unnest([{{'section': 'confusion', 'field': 'n', 'value': CAST(n AS DOUBLE)}}, {{'section': 'confusion', 'field': 'tp', 'value': CAST(tp AS DOUBLE)}}, {{'section': 'confusion', 'field': 'fp', 'value': CAST(fp AS DOUBLE)}}, {{'section': 'confusion', 'field': 'tn', 'value': CAST(tn AS DOUBLE)}}, {{'section': 'confusion', 'field': 'fn', 'value': CAST(fn AS DOUBLE)}},
+  {{'section': 'confusion', 'field': 'accuracy', 'value': {ratio('tp + tn', 'n')}}}, {{'section': 'confusion', 'field': 'escalate_precision', 'value': {ratio('tp', 'tp + fp')}}}, {{'section': 'confusion', 'field': 'escalate_recall', 'value': {ratio('tp', 'tp + fn')}}}, {{'section': 'confusion', 'field': 'local_precision', 'value': {ratio('tn', 'tn + fn')}}}, {{'section': 'confusion', 'field': 'local_recall', 'value': {ratio('tn', 'tn + fp')}}},
+  {{'section': 'safety', 'field': 'planned_recall', 'value': {ratio('tp', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'final_recall', 'value': {ratio('ef', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'slow_planned_recall', 'value': {ratio('slowp', 'slow', 1.0)}}}, {{'section': 'safety', 'field': 'unsafe_rate', 'value': {ratio('unsafe', 'n')}}}]) AS e FROM m),
+evaluation AS (SELECT split, e.section AS section, e.field AS field, e.value AS value FROM v)"""
+
 ORACLE: dict[str, str] = {
     "category_histogram": f"WITH {PROMPTS} SELECT {classified('prompt')} AS category, count(*) AS n FROM prompts GROUP BY ALL",
     "task_scope": f"""WITH {PROMPTS} SELECT CASE WHEN id % 5 = 0 THEN 'math' WHEN id % 5 = 1 THEN 'logic' ELSE {classified('prompt')} END AS scope, regexp_replace(task_id, '_[^_]*$', '') AS prefix, count(*) AS n FROM prompts GROUP BY ALL""",
@@ -199,4 +208,38 @@ SELECT *, call_errors = 0 AND accuracy >= 0.9 AS safe, CAST(row_number() OVER (O
     "code_test_runs": "SELECT r_regionkey, r_regionkey % 2 = 0 AS passes FROM region",
     "normalized_prompts": rf"WITH {PROMPTS} SELECT id, sha256(replace(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')), 'ß', 'ss')) AS digest FROM prompts",
     "puzzle_solver": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 THEN 'Cy' WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 = 0 THEN 'Cy' WHEN n_nationkey % 2 = 1 THEN 'Bob' END AS person, CASE WHEN n_nationkey % 2 = 1 OR n_nationkey % 3 = 0 THEN 'cat' END AS item FROM nation",
+    "math_solutions": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 97 + 1 AS a FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN 'Answer: ' || (a * 3) WHEN k % 4 = 0 THEN 'Answer: ' || (a * 3 + 1) || chr(10) || 'Final answer: ' || (a * 3) WHEN k % 4 = 1 THEN '**Answer:** ' || (a * 3) WHEN k % 4 = 2 THEN 'The answer is ' || (a * 3 + 1) ELSE 'Answer: 7.5' || chr(10) || 'Final answer: ' || (a * 3) END AS answer,
+  k % 3 = 0 OR k % 4 IN (1, 2) AS verified FROM o""",
+    "code_solutions": """WITH c AS (SELECT n_nationkey, n_nationkey % 5 AS k, '```python' || chr(10) || 'def f(n):' || chr(10) || '    return 1 if n < 2 else n * f(n - 1)' || chr(10) || '```' AS good, '```python' || chr(10) || 'def f(n):' || chr(10) || '    return n' || chr(10) || '```' AS bad FROM nation)
+SELECT n_nationkey, CASE k WHEN 0 THEN 'Here it is.' || chr(10) || good WHEN 1 THEN 'Try this:' || chr(10) || chr(10) || good WHEN 2 THEN 'So' || chr(10) || bad WHEN 3 THEN good ELSE 'No code' END AS answer, k IN (0, 1, 3) AS verified FROM c""",
+    "task_solutions": """WITH s AS (SELECT s_suppkey, s_suppkey % 10 AS k FROM supplier)
+SELECT s_suppkey, list_extract(['Mixed, as it has both positive and negative parts.', 'I find no label in there.', 'Ann - person' || chr(10) || 'Oslo - location', 'Ann is a person', 'Canberra is the capital of Australia.', 'I''m not sure about that at all.', 'This text is short.', 'It is still too.', 'Cy owns the cat. This is the only assignment consistent with all the constraints: Ann has the dog; Bob has the bird; Cy has the cat.', '**Answer:** the second of them, clearly'], CAST(k AS INT) + 1) AS answer,
+  k IN (0, 2, 4, 6, 7, 8, 9) AS verified FROM s""",
+    "remote_checks": "WITH p AS (SELECT p_partkey % 9 AS k FROM part) SELECT k, k IN (0, 3, 5, 8) AS verified, count(*) AS n FROM p GROUP BY ALL",
+    "hosted_answers": """WITH p AS (SELECT p_partkey, p_partkey % 9 AS k, p_partkey % 2 = 0 AS again FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'Answer: 42' WHEN 1 THEN CASE WHEN again THEN 'Answer: 42' ELSE 'Answer: 41' END WHEN 2 THEN 'Answer: 42' WHEN 3 THEN 'mixed feelings' WHEN 4 THEN CASE WHEN again THEN 'Neutral' ELSE 'no label' END WHEN 5 THEN 'One sentence only.' WHEN 6 THEN CASE WHEN again THEN 'One it is.' ELSE 'Two. Sentences.' END WHEN 7 THEN CASE WHEN again THEN 'Found by the other' ELSE '' END ELSE 'Any answer' END AS answer FROM p""",
+    "final_paths": f"WITH {ENDED} SELECT o_orderkey, CASE path WHEN 'local-verified' THEN CASE WHEN k % 8 = 1 THEN 'local' ELSE 'late' END WHEN 'escalated' THEN 'hosted' WHEN 'local-unverified' THEN CASE WHEN k % 5 = 0 THEN 'kept' ELSE 'late' END ELSE {quoted(P.FALLBACK_ANSWER)} END AS answer, path FROM ended",
+    "run_statistics": f"""WITH {ENDED} SELECT count(*) AS n, count(*) FILTER (path = 'local-verified') AS local_verified, count(*) FILTER (path = 'local-unverified') AS local_unverified, count(*) FILTER (path = 'escalated') AS escalated, count(*) FILTER (path = 'fallback') AS fallback, count(*) FILTER (k % 2 = 0) AS planned, count(*) FILTER (k % 3 < 2) AS attempted, count(*) FILTER (k % 3 = 0) AS succeeded,
+  CAST(sum(CASE WHEN k % 9 = 0 THEN 50 WHEN k % 6 = 0 THEN 27 ELSE 0 END) AS BIGINT) AS known_tokens, count(*) FILTER (k % 6 = 0 AND k % 9 > 0) AS usage_derived, count(*) FILTER (k % 3 = 0 AND k % 9 > 0 AND k % 6 > 0) AS usage_unknown FROM ended""",
+    "run_summary": f"WITH {ENDED} SELECT count(*) FILTER (path <> 'fallback') AS answered, count(*) FILTER (path = 'fallback') AS empty, round(avg(CAST(floor(o_totalprice) AS BIGINT) % 60), 2) AS mean_seconds FROM ended JOIN orders USING (o_orderkey)",
+    "response_fields": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 'Said ' || event_type END AS answer, CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(NULL AS BIGINT) AS completion_tokens, CAST(CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 6 END AS BIGINT) AS reasoning_tokens, CASE WHEN event_id % 4 > 0 THEN CAST(floor(value) AS BIGINT) END AS total_tokens FROM events",
+    "extra_options": """SELECT CASE WHEN p_partkey % 3 = 0 THEN '{"reasoning_effort":"none"}' ELSE '{}' END AS options, count(*) AS n FROM part GROUP BY ALL""",
+    "phase_timeouts": "WITH t AS (SELECT l_linenumber AS k, l_quantity / 2 AS r, least(3.0, greatest(0.25, l_quantity / 2 * 0.2)) AS c FROM lineitem) SELECT round(CAST(c AS DOUBLE), 6) AS connect, round(CAST(greatest(0.25, r - c - 0.25) AS DOUBLE), 6) AS read, CAST(CASE WHEN k = 1 THEN 5 ELSE least(1000, k * 400 - 400) END AS BIGINT) AS runs, count(*) AS n FROM t GROUP BY ALL",
+    "request_statuses": rf"""WITH {PROMPTS} SELECT CAST(CASE WHEN id % 10 = 0 THEN 415 WHEN strlen(CAST(to_json(prompt) AS VARCHAR)) + strlen('{{"prompt":,"category":"math","localDecision":{{"label":"","pEscalate":,"threshold":0.5,"latencyMs":3,"revision":" r1 "}}}}') + CASE WHEN id % 7 = 0 THEN 5 ELSE 8 END + CASE WHEN id % 9 = 0 THEN 3 ELSE 4 END > 24000 THEN 413
+  WHEN id % 7 = 0 OR id % 9 = 0 OR trim(prompt) = '' OR length(trim(prompt, ' ' || chr(9) || chr(10) || chr(13))) > 8000 THEN 400 END AS INT) AS status, count(*) AS n FROM prompts GROUP BY ALL""",
+    "decision_checks": f"WITH {RECORDS} SELECT id % 10 AS k, NOT (id % 10 IN (1, 2, 4, 5) OR (id % 10 = 3 AND label <> 'local_ok')) AS matches, count(*) AS n FROM records GROUP BY ALL",
+    "runtime_settings": f"""WITH {RECORDS}, t AS (SELECT * FROM records WHERE id % 5 > 1), o AS (SELECT category, count(*) AS n, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) FILTER (NOT verified) AS u, count(*) FILTER (correct AND NOT verified) AS uc, list_sort(list(completion_tokens)) AS ct, list_sort(list(latency_s)) AS lat FROM t GROUP BY category)
+SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AND {wilson('uc', 'u')} >= 0.9 THEN 'trust_local' ELSE 'none' END AS decision, ct[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS expected_tokens, round(lat[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1], 3) AS expected_latency FROM o""",
+    "split_evaluation": EVALUATION + " SELECT split, section, field, value FROM evaluation",
+    "recomputed_metrics": EVALUATION + " SELECT section, field, NOT (field IN ('fp', 'tp', 'accuracy')) AS ok, count(*) AS n FROM evaluation GROUP BY ALL UNION ALL SELECT 'projection', unnest(['expected_misses', 'expected_escalations', 'expected_tokens', 'local_share', 'projected_accuracy', 'planned_escalations', 'reactive_escalations', 'reactive_at_risk', 'fallback_misses', 'slow_recall']), TRUE, 3",
+    "score_metrics": f"WITH {RECORDS}, m AS (SELECT count(*) AS n, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn FROM (SELECT score >= 0.5 AS p, label = 'escalate' AS y FROM records)) SELECT n, round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0), 3) AS accuracy, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 3) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 3) AS recall FROM m",
+    "labeling_report": f"WITH {RECORDS}, o AS (SELECT category, count(*) AS n, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 3) AS accuracy, round(avg(latency_s), 2) AS mean_latency, list_sort(list(completion_tokens)) AS ct FROM records GROUP BY ROLLUP (category)) SELECT category, n, accuracy, mean_latency, ct[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS p90_tokens FROM o",
+    "provenance_checks": f"""WITH {RECORDS} SELECT count(*) AS records, count(*) FILTER (id % 10 = 0) AS missing, count(DISTINCT CASE WHEN id % 10 > 0 THEN id % 4 = 0 END) AS "distinct", count(*) FILTER (id % 10 = 0) = 0 AND count(DISTINCT CASE WHEN id % 10 > 0 THEN id % 4 = 0 END) = 1 AS ok FROM records""",
+    "excluded_groups": "WITH e AS (SELECT n_name AS task_id FROM nation UNION ALL SELECT unnest(['', 'CHINA']) FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 1)) SELECT task_id, count(*) AS n, count(*) = 1 AND task_id <> '' AS ok FROM e GROUP BY task_id",
+    "excluded_prompts": rf"WITH {PROMPTS}, k AS (SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS key FROM prompts) SELECT id, key IN (SELECT trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) FROM prompts WHERE id % 20 = 0) OR key IN (SELECT key FROM k WHERE id % 30 = 0) AS excluded FROM k",
+    "open_tasks": "SELECT c_custkey AS task_id, n_name AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "phrased_specs": "SELECT n_nationkey AS id, replace(p, '{}', lower(n_name)) AS prompt FROM nation CROSS JOIN (SELECT unnest(['Write a function for {}.', 'Please implement {} and {}', 'Code it']) AS p)",
+    "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, started, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
+    "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
 }

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import patterns as P
+from ..functions import payload as B
 from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import evaluate as E
 from ..operators import policy as S
+from ..operators import profile as O
 from ..operators import quality as Q
 from ..operators import routing as R
+from ..operators import solve as D
 from ..operators import templates as G
 from ..operators import training as L
 from ..sources import readers, writers
@@ -482,6 +485,202 @@ def trained_router(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(-1, bias), *weights.items()], "idx int, weight double").select("idx", F.round("weight", 6).alias("weight"))
 
 
+def _picked(values: list[str], at) -> "F.Column":
+    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+
+
+def math_solutions(spark: SparkSession, sf: str) -> DataFrame:
+    """First attempts that are right or off by one, and second ones that are missing, right, agree or differ."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.pmod("o_orderkey", F.lit(97)) + 1).alias("a"))
+    a, k = F.col("a"), F.pmod(F.col("o_orderkey"), F.lit(4))
+    first = F.format_string("Expression: %d * 3\nAnswer: %d", a, a * 3 + F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1))
+    second = F.when(k == 1, F.format_string("**Expression:** %d + %d * 2\n**Answer:** %d", a, a, a * 3)).when(k == 2, F.format_string("The answer is %d", a * 3 + 1)).when(k == 3, F.format_string("Expression: %d * 3\nAnswer: 7.5", a))
+    return o.select("o_orderkey", D.solve_math(first, second).alias("r")).select("o_orderkey", "r.answer", "r.verified")
+
+
+GOOD, BAD = "def f(n):\n    return 1 if n < 2 else n * f(n - 1)", "def f(n):\n    return n"
+
+
+def code_solutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed codes for each nation, right, wrong, mended, found by the second attempt or absent: never text of a table."""
+    n = table(spark, sf, "nation")
+    k = F.pmod("n_nationkey", F.lit(5))
+    first = _picked([f"Here it is.\n```python\n{GOOD}\n```", f"Try this:\n```python\n{BAD}\n```\nok", f"So\n```python\n{BAD}\n```", "I would rather say no", "No code"], k)
+    only, repair = F.when(k == 3, f"```python\n{GOOD}\n```"), F.when(k == 1, f"```python\n{GOOD}\n```").otherwise("none")
+    return n.select("n_nationkey", D.solve_code(F.lit("Write a factorial function"), first, only, repair).alias("r")).select("n_nationkey", "r.answer", "r.verified")
+
+
+def task_solutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of the categories that need no code or arithmetic, each by its own rules."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.pmod("s_suppkey", F.lit(10)).alias("k"))
+    k = F.col("k")
+    kinds = ["sentiment", "sentiment", "ner", "ner", "factual", "factual", "summarization", "summarization", "logic", "logic"]
+    prompts = ["", "", "", "", "", "", "Summarize in at most 4 words.", "Summarize in at most 4 words.", "Ann, Bob and Cy each own a different pet: cat, dog, bird. Ann owns the dog. Bob does not own the cat. Who owns the cat?", "Who is right?"]
+    first = ["Positive, as it has both positive and negative parts.", "I find no label in there.", "Ann - person\nOslo - location", "Ann is a person", "Canberra is the capital of Australia.", "I'm not sure about that at all.", "This text is short.", "This text is much longer than it may be.", "Answer: Bob", "**Answer:** the second of them, clearly"]
+    second = F.when(k == 7, "It is still too long, sadly.")
+    r = D.solve(_picked(kinds, k), _picked(prompts, k), _picked(first, k), second, F.lit(None).cast("string"))
+    return s.select("s_suppkey", r.alias("r")).select("s_suppkey", "r.answer", "r.verified")
+
+
+def _hosted(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", F.pmod("p_partkey", F.lit(9)).alias("k"))
+    k = F.col("k")
+    kinds = ["math", "math", "math", "sentiment", "sentiment", "summarization", "summarization", "factual", "logic"]
+    prompts = [""] * 5 + ["Summarize in exactly one sentence."] * 2 + [""] * 2
+    first = ["Expression: 6 * 7\nAnswer: 42", "Expression: 6 * 7\nAnswer: 41", "Answer: 42", " mixed feelings ", "no label", "One sentence only.", "Two. Sentences.", "  ", "Any answer "]
+    second = ["", "Expression: 40 + 2\nAnswer: 42", "Expression: 1 + 1\nAnswer: 3", "", "Neutral", "", "One it is.", "Found by the other", ""]
+    return p.select("p_partkey", "k", _picked(kinds, k).alias("category"), _picked(prompts, k).alias("prompt"), _picked(first, k).alias("first"), _picked(second, k).alias("second"), F.when(F.col("p_partkey") % 2 == 0, 4.0).otherwise(3.5).alias("left"))
+
+
+def remote_checks(spark: SparkSession, sf: str) -> DataFrame:
+    h = _hosted(spark, sf)
+    return h.groupBy("k", D.remote_verified(F.col("category"), F.col("prompt"), F.col("first")).alias("verified")).agg(F.count("*").alias("n"))
+
+
+def hosted_answers(spark: SparkSession, sf: str) -> DataFrame:
+    h = _hosted(spark, sf)
+    return h.select("p_partkey", D.escalated(F.col("category"), F.col("prompt"), F.col("first"), F.col("second"), F.col("left")).alias("answer"))
+
+
+def _ended(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    text = lambda d, r, x: F.when(k % d == r, x).otherwise(" ")
+    end = D.endgame(text(3, 0, "hosted"), text(4, 1, "local"), k % 8 == 1, text(5, 0, "kept"), text(7, 0, "late"), k % 14 == 0, F.when(k % 11 == 0, 9.0).otherwise(12.0))
+    usage = F.when(k % 3 > 0, None).when(k % 9 == 0, '{"total_tokens":50}').when(k % 6 == 0, '{"prompt_tokens":20,"completion_tokens":7}').otherwise("{}")
+    return o.select("o_orderkey", end.alias("e"), (k % 2 == 0).alias("planned"), (k % 3 < 2).alias("attempted"), (k % 3 == 0).alias("succeeded"), usage.alias("usage"), F.col("o_totalprice").alias("seconds"))
+
+
+def final_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _ended(spark, sf).select("o_orderkey", "e.answer", "e.path")
+
+
+def run_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return D.run_statistics(_ended(spark, sf).withColumn("path", F.col("e.path")))
+
+
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return D.run_summary(_ended(spark, sf).select(F.when(F.col("e.path") == "fallback", " ").otherwise(F.col("e.answer")).alias("answer"), (F.floor("seconds") % 60).alias("seconds")))
+
+
+def response_fields(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("v", F.floor("value").cast("string"))
+    data = F.concat(
+        F.lit('{"choices":[{"message":{"content":"'), F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" Said "), "event_type")), F.lit('"}}],"usage":{"prompt_tokens":'), "v", F.lit(',"completion_tokens":-1,"total_tokens":'), F.when(F.col("event_id") % 4 == 0, '"7"').otherwise(F.col("v")),
+        F.when(F.col("event_id") % 3 == 0, F.lit(',"reasoning_tokens":2}}')).when(F.col("event_id") % 3 == 1, F.lit(',"reasoning_tokens":2,"completion_tokens_details":{"reasoning_tokens":5.6}}}')).otherwise(F.lit("}}")),
+    )
+    u = B.usage(data)
+    return e.select("event_id", B.chat_text(data).alias("answer"), u["prompt"].alias("prompt_tokens"), u["completion"].alias("completion_tokens"), u["reasoning"].alias("reasoning_tokens"), u["total"].alias("total_tokens"))
+
+
+def extra_options(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    raw = F.when(F.col("p_partkey") % 3 == 0, '{"reasoning_effort":"none","api_key":"x"}').when(F.col("p_partkey") % 3 == 1, "[1]").otherwise("not json")
+    return p.groupBy(F.to_json(B.extra_options(raw)).alias("options")).agg(F.count("*").alias("n"))
+
+
+def phase_timeouts(spark: SparkSession, sf: str) -> DataFrame:
+    t = B.phase_timeouts(F.col("l_quantity") / 2)
+    most = B.positive_int(F.concat((F.col("l_linenumber") * 400 - 400).cast("string"), F.lit(" per run")), 5)
+    return table(spark, sf, "lineitem").groupBy(F.round(t["connect"], 6).alias("connect"), F.round(t["read"], 6).alias("read"), most.alias("runs")).agg(F.count("*").alias("n"))
+
+
+def request_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    p = A.prompts(spark, sf)
+    kind = F.when(F.col("id") % 10 == 0, "text/plain").otherwise("Application/JSON; charset=utf-8")
+    label, score = F.when(F.col("id") % 7 == 0, "maybe").otherwise("escalate"), F.when(F.col("id") % 9 == 0, "1.5").otherwise("0.25")
+    body = F.concat(F.lit('{"prompt":'), F.to_json(F.array("prompt")).substr(F.lit(2), F.length(F.to_json(F.array("prompt"))) - 2), F.lit(',"category":"math","localDecision":{"label":"'), label, F.lit('","pEscalate":'), score, F.lit(',"threshold":0.5,"latencyMs":3,"revision":" r1 "}}'))
+    return p.groupBy(B.rejected(kind, body).alias("status")).agg(F.count("*").alias("n"))
+
+
+def decision_checks(spark: SparkSession, sf: str) -> DataFrame:
+    r = A.records(spark, sf)
+    own = F.struct("category", F.lit("r1").alias("revision"), "label", F.col("score").alias("pEscalate"), F.lit(0.5).alias("threshold"))
+    sent = F.struct(F.when(F.col("id") % 10 == 1, "math").otherwise(F.col("category")).alias("category"), F.when(F.col("id") % 10 == 2, "r0").otherwise("r1").alias("revision"), F.when(F.col("id") % 10 == 3, "local_ok").otherwise(F.col("label")).alias("label"), (F.col("score") + F.when(F.col("id") % 10 == 4, 1e-9).otherwise(1e-14)).alias("pEscalate"), F.when(F.col("id") % 10 == 5, 0.6).otherwise(0.5).alias("threshold"))
+    return r.groupBy((F.col("id") % 10).alias("k"), B.decision_matches(sent, own).alias("matches")).agg(F.count("*").alias("n"))
+
+
+def _splits(spark: SparkSession, sf: str) -> DataFrame:
+    return A.records(spark, sf).withColumn("split", F.when(F.col("id") % 5 == 0, "test").when(F.col("id") % 5 == 1, "calibration").otherwise("train"))
+
+
+def _decisions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("de", "always_escalate"), ("en", "trust_local")], "category string, decision string")
+
+
+def runtime_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return O.runtime_settings(_splits(spark, sf).filter("split = 'train'"))
+
+
+def split_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return O.evaluation(_splits(spark, sf), _decisions(spark), THRESHOLD).filter("section <> 'projection'")
+
+
+def recomputed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Reported metrics of which some are off by more than the tolerance, one is missing and one is of nothing."""
+    computed = O.evaluation(_splits(spark, sf), _decisions(spark), THRESHOLD)
+    off = F.when(F.col("field") == "accuracy", 1e-3).when(F.col("field") == "tp", 1.0).when(F.col("field") == "local_recall", 1e-5).otherwise(0.0)
+    reported = computed.filter("field <> 'fp'").select("split", "section", "field", (F.col("value") + off).alias("value"))
+    return O.recomputed(reported, computed).groupBy("section", "field", "ok").agg(F.count("*").alias("n"))
+
+
+def calibrated_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    s = _splits(spark, sf)
+    return O.calibrated(s.filter("split = 'train'"), s.filter("split = 'calibration'")).select("threshold")
+
+
+def score_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return O.score_metrics(A.records(spark, sf), THRESHOLD)
+
+
+def labeling_report(spark: SparkSession, sf: str) -> DataFrame:
+    return O.labeling_report(A.records(spark, sf)).select("category", "n", "accuracy", "mean_latency", "p90_tokens")
+
+
+def provenance_checks(spark: SparkSession, sf: str) -> DataFrame:
+    d = A.records(spark, sf).withColumn("provenance", F.when(F.col("id") % 10 > 0, F.struct(F.lit(1).alias("schema_version"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("sha"))))
+    return O.provenance_problems(d)
+
+
+def excluded_groups(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("task_ids"))
+    twice = n.withColumn("task_ids", F.when(F.col("n_regionkey") == 1, F.concat("task_ids", F.array(F.lit(""), F.lit("CHINA")))).otherwise(F.col("task_ids")))
+    return O.excluded_ids(twice)
+
+
+def excluded_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    p = A.prompts(spark, sf)
+    a = p.filter("id % 20 = 0").select("task_id", F.replace("prompt", F.lit(" "), F.lit("  ")).alias("prompt"))
+    b = p.filter("id % 30 = 0").select("task_id", F.concat(F.lit("  "), "prompt").alias("prompt"))
+    public = O.excluded_tasks({"a.json": a, "b.json": b}, lambda c: T.strip(F.lower(F.regexp_replace(c, r"\s+", " "))))
+    kept, gone = O.split_by_prompt(p.select("id", "prompt"), public, lambda c: T.strip(F.lower(F.regexp_replace(c, r"\s+", " "))))
+    return kept.select("id", F.lit(False).alias("excluded")).unionByName(gone.select("id", F.lit(True).alias("excluded")))
+
+
+def open_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), "c_nationkey")
+    solved = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("task_id"))
+    truth = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("answer"))
+    return O.with_truth(O.unsolved(c, solved), truth, "c_nationkey").select("task_id", "answer")
+
+
+def phrased_specs(spark: SparkSession, sf: str) -> DataFrame:
+    specs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("spec"))
+    return O.phrased(specs, ["Write a function for {}.", "Please implement {} and {}", "Code it"]).select("id", "prompt")
+
+
+def run_timeouts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 6).alias("runId"), F.col("ts"), (F.col("event_id") % 4 == 3).alias("last"))
+    return V.timed_out(e, "runId", "ts", F.col("last"), 5 * 86400)
+
+
+def failure_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed codes only: never text of a table."""
+    r = table(spark, sf, "region")
+    code = _picked([GOOD, BAD, "x = 1", "def f(n):\n    return 1 // 0", "raise ValueError('no')"], F.col("r_regionkey"))
+    return r.select("r_regionkey", U.code_failures(code, F.lit('[{"args":[5],"expected":120},{"args":[0]}]')).alias("failures"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -491,5 +690,7 @@ QUERIES = {
         judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, late_events,
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, template_groups, template_exclusion, grouped_split, trained_router,
+        math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,
+        runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts,
     )
 }

@@ -62,14 +62,29 @@ def probe_waves(pending: DataFrame, part: str, order: str, first: int = 3) -> Da
     return pending.withColumn("wave", F.when(F.row_number().over(Window.partitionBy(part).orderBy(order)) <= first, 1).otherwise(2))
 
 
+def timed_out(events: DataFrame, key: str, time: str, last: Column, seconds: int) -> DataFrame:
+    """A row for each run: when it started, and whether its last event is missing or came later than `seconds` after the first. An aggregate, so a stream gives it too."""
+    seen = events.groupBy(key).agg(F.min(time).alias("started"), F.min(F.when(last, F.col(time))).alias("ended"))
+    late = F.unix_timestamp("ended") - F.unix_timestamp("started") > seconds
+    return seen.select(key, "started", F.coalesce(late, F.lit(True)).alias("timed_out"))
+
+
 def completed_runs(spark, path: str, out: str, checkpoint: str):
-    """Starts a stream over event files that keeps a table of each run's state up to date, and ends when the files are read."""
+    """Starts a stream over event files that adds the runs that changed in each batch to a table, and ends when the files are read.
+
+    A batch is a folder of its own, written whole or again, so a reader always finds the states of the batches before.
+    """
     from ..sources.readers import events
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     runs = lifecycle(events(spark, path, stream=True))
-    return runs.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return runs.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def latest_runs(spark, out: str, key: str = "runId") -> DataFrame:
+    """The latest state of each run that completed_runs has written."""
+    from ..sources.readers import last_wins
 
+    return last_wins(spark.read.parquet(out), key, "batch").drop("batch")

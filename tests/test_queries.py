@@ -41,13 +41,25 @@ def test_query(spark, sf, db, name):
 
 
 def test_entry_without_the_corpus_modules(monkeypatch):
-    import importlib.util
+    import importlib
 
     import __spark_entry__ as entry
 
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("loomspark.llm", "corpus_pipeline") else find(name, *a))
+    load = importlib.import_module
+
+    def without(missing):
+        def found(name, *a):
+            if name == missing:
+                raise ImportError(name)
+            return load(name, *a)
+
+        monkeypatch.setattr(importlib, "import_module", found)
+
+    # the folder is gone, or something that it needs
+    without("loomspark.llm.queries")
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
+    without("corpus_pipeline")
+    assert "pipeline" not in entry.queries()
 
 
 def test_trained_router_uses_the_operator_s_defaults(spark, sf, monkeypatch):

@@ -72,7 +72,8 @@ def build(records: DataFrame, dimension: int = 2048, **training) -> tuple[dict,
         "categoryPolicy": {d: sorted(r["category"] for r in settings if r["decision"] == d) for d in ("always_escalate", "trust_local")},
         "expectedCompletionTokens": {r["category"]: float(r["expected_tokens"]) for r in settings}, "expectedLocalLatencySeconds": {r["category"]: r["expected_latency"] for r in settings},
     }
-    profile["provenance"] = {"profileSemanticSha256": L.profile_digest(profile)}
+    profile["provenance"] = {}
+    profile["provenance"]["profileSemanticSha256"] = L.profile_digest(profile)
     return profile, evaluation(scored, decisions, threshold)
 
 

@@ -12,42 +12,80 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 
 
+#: Numbers of all examples that one task may hold; up to it all epochs run there, in one job.
+ONE_TASK = 4_000_000
+
+
+def _arrays(batches, dimension: int):
+    """(row, idx, value, label) of the examples of batches."""
+    rows, places, values, labels, n = [], [], [], [], 0
+    for b in batches:
+        at, x = b.column("at"), b.column("x")
+        size = np.asarray(at.value_lengths())
+        rows.append(np.repeat(np.arange(len(size)), size) + n)
+        places.append(np.asarray(at.flatten()))
+        values.append(np.asarray(x.flatten()))
+        labels.append(np.asarray(b.column("label")))
+        n += len(size)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    return tuple(np.concatenate(x) for x in (rows, places, values, labels))
+
+
+def _gradient(examples, w: np.ndarray, heavy: float) -> np.ndarray:
+    """Sums over the examples, the bias last."""
+    row, idx, value, y = examples
+    logit = w[-1] + np.bincount(row, w[idx] * value, len(y))
+    r = np.where(y == 1, heavy, 1.0) * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+    return np.append(np.bincount(idx, r[row] * value, len(w) - 1), r.sum())
+
+
+def _adam(gradient, dimension: int, epochs: int, rate: float, l2: float, norm: float) -> np.ndarray:
+    """Weights after all epochs; gradient: sums for weights."""
+    w, m, v = np.zeros(dimension + 1), np.zeros(dimension + 1), np.zeros(dimension + 1)
+    for t in range(1, epochs + 1):
+        g = gradient(w) / norm
+        g[:-1] += l2 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
 def fit(features: DataFrame, labels: DataFrame, dimension: int = 2048, epochs: int = 350, rate: float = 0.04, l2: float = 0.0002) -> tuple[float, dict[int, float]]:
     """(bias, weights by index). features: id, idx, value; labels: id, label (1: escalate).
 
-    Each epoch is one aggregation of `dimension` sums at most; examples never leave the executors. The rarer class weighs
-    as much as the other; the bias has no penalty; weights are rounded and tiny ones dropped.
+    Each epoch is one aggregation of `dimension` sums at most; examples never leave the executors. Where all examples fit
+    one task (ONE_TASK numbers), it runs all epochs: the sums are the same. The rarer class weighs as much as the other;
+    the bias has no penalty; weights are rounded and tiny ones dropped.
     """
+    import pyarrow as pa
+
     positives, count = labels.agg(F.sum("label"), F.count("*")).first()
     if not positives or positives == count:
         raise ValueError("both labels are needed")
     heavy = (count - positives) / positives
     norm = (count - positives) + positives * heavy
-    rows = features.groupBy("id").agg(F.collect_list("idx").alias("at"), F.collect_list("value").alias("x")).join(labels, "id").cache()
-    w, m, v = np.zeros(dimension + 1), np.zeros(dimension + 1), np.zeros(dimension + 1)
+    rows = features.groupBy("id").agg(F.collect_list("idx").alias("at"), F.collect_list("value").alias("x")).join(labels, "id").select("at", "x", F.col("label").cast("double").alias("label")).cache()
+
+    def vector(g: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    def whole(batches):
+        examples = _arrays(batches, dimension)
+        if len(examples[3]):
+            yield vector(_adam(lambda w: _gradient(examples, w, heavy), dimension, epochs, rate, l2, norm))
+
+    def epoch(w: np.ndarray) -> np.ndarray:
+        def sums(batches):
+            yield vector(sum((_gradient(_arrays([b], dimension), w, heavy) for b in batches), np.zeros(dimension + 1)))
 
-    def sums(batches, w):
-        import pyarrow as pa
-
-        total = np.zeros(dimension + 1)
-        for b in batches:
-            at, x = b.column("at"), b.column("x")
-            n = np.asarray(at.value_lengths())
-            row, idx, value = np.repeat(np.arange(len(n)), n), np.asarray(at.flatten()), np.asarray(x.flatten())
-            logit = w[-1] + np.bincount(row, w[idx] * value, len(n))
-            y = np.asarray(b.column("label"))
-            r = np.where(y == 1, heavy, 1.0) * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-            np.add.at(total, idx, r[row] * value)
-            total[-1] += r.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+        return np.sum([r["g"] for r in rows.mapInArrow(sums, "g array<double>").collect()], axis=0)  # a vector for each task
 
     try:
-        for t in range(1, epochs + 1):
-            parts = rows.select("at", "x", F.col("label").cast("double").alias("label")).mapInArrow(lambda b, w=w: sums(b, w), "g array<double>").collect()
-            g = np.sum([p["g"] for p in parts], axis=0) / norm  # a vector for each task
-            g[:-1] += l2 * w[:-1]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if (rows.agg(F.sum(F.size("at"))).first()[0] or 0) <= ONE_TASK:
+            w = np.array(rows.coalesce(1).mapInArrow(whole, "g array<double>").first()["g"])
+        else:
+            w = _adam(epoch, dimension, epochs, rate, l2, norm)
     finally:
         rows.unpersist()
     return round(float(w[-1]), 10), {i: round(float(x), 10) for i, x in enumerate(w[:-1]) if abs(x) >= 1e-9}

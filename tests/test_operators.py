@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from loomspark.functions import patterns as P
 from loomspark.operators import evaluate as E
 from loomspark.operators import policy as S
+from loomspark.operators import profile as O
 from loomspark.operators import quality as Q
 from loomspark.operators import routing as R
 from loomspark.operators import templates as G
 from loomspark.operators import training as L
+from loomspark.sources import config as C
 from loomspark.sources import readers, writers
 from loomspark.streaming import runs as V
 
@@ -178,3 +180,48 @@ def test_model_choice(spark):
     with pytest.raises(ValueError):
         R.configured_model(m, "other", [])
     assert E.named(m, "mini").count() == 1 and E.grid(m, ["a", "b"], ["c"]).count() == 8
+
+
+def test_training_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(k, i, float(r.random())) for k in range(60) for i in r.sample(range(20), 5)]
+    features, labels = spark.createDataFrame(rows, "id long, idx int, value double").repartition(3), spark.createDataFrame([(k, k % 3 == 0) for k in range(60)], "id long, b boolean").selectExpr("id", "cast(b as int) label")
+    one = L.fit(features, labels, 20, epochs=6)
+    monkeypatch.setattr(L, "ONE_TASK", 0)
+    many = L.fit(features, labels, 20, epochs=6)
+    assert one[0] == pytest.approx(many[0], abs=1e-7) and one[1] == pytest.approx(many[1], abs=1e-7)
+
+
+def test_a_profile_is_built_and_checked(spark, sf):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    records = d.selectExpr("doc_id id", "case when doc_id % 5 = 0 then 'test' when doc_id % 5 = 1 then 'calibration' else 'train' end split", "text prompt", "lang category", "if(quality = 1, 'local_ok', 'escalate') label", "quality = 1 correct", "toxic = 0 verified", "n_chars / 200.0D latency_s", "n_chars div 4 completion_tokens")
+    profile, computed = O.build(records, dimension=256, epochs=4)
+    assert not Q.profile_problems(profile) and profile["provenance"]["profileSemanticSha256"] == L.profile_digest(profile)
+    found = {x["rule"]: x["ok"] for x in O.checked(profile, computed, computed).collect()}
+    assert found["fields"] and found["digest"] and all(ok for rule, ok in found.items() if not rule.startswith("gate.")) and sum(r.startswith("gate.") for r in found) == 8
+    labels = {x["label"] for x in O.infer(records.select("id", "prompt", "category"), profile).collect()}
+    assert labels <= {"escalate", "local_ok"}
+    broken = {**profile, "threshold": 2.0}
+    assert not {x["rule"]: x["ok"] for x in O.checked(broken, computed, computed).collect()}["fields"]
+
+
+def test_settings(tmp_path):
+    assert C.env_pairs("# x\nA=1\n\nB = 'two'\nno\n") == {"A": "1", "B": "two"} and C.with_defaults({"A": "0"}, {"A": "1", "B": "2"}) == {"A": "0", "B": "2"}
+    good = {"schemaVersion": 1, "modelType": "hashed-logistic-v1", "dimension": 4, "bias": 0.0, "threshold": 0.3, "weights": {"1": 0.5}, "categoryPolicy": {"always_escalate": ["debug"]}}
+    paths = [str(tmp_path / n) for n in ("missing.json", "broken.json", "bad.json", "good.json")]
+    writers.write_copies("{", paths[1:2])
+    writers.write_copies(json.dumps({**good, "dimension": 0}), paths[2:3])
+    writers.write_copies(O.as_json(good), [paths[3], str(tmp_path / "deep" / "copy.json")])
+    assert (tmp_path / "good.json").read_bytes() == (tmp_path / "deep" / "copy.json").read_bytes()
+    assert C.first_profile(paths) == (paths[3], good) and C.first_profile(paths[:3]) is None
+    assert C.merged({"threshold": 0.7, "expectedCompletionTokens": {"math": 5}}, good) == {"threshold": 0.3, "always_escalate": ["debug"], "trust_local": [], "expected_tokens": {"math": 5.0}, "expected_latency": {}}
+    assert C.merged({}, None)["threshold"] == 0.5 and C.normalized_weights(good) == {1: 0.5}
+    with pytest.raises(ValueError):
+        C.normalized_weights({**good, "weights": {"4": 1.0}})
+
+
+def test_a_task_without_truth_is_an_error(spark):
+    todo, truth = spark.createDataFrame([("a",), ("b",)], "task_id string"), spark.createDataFrame([("a", "x")], "task_id string, answer string")
+    assert O.with_truth(todo.filter("task_id = 'a'"), truth).count() == 1
+    with pytest.raises(PySparkException):
+        O.with_truth(todo, truth).collect()

@@ -86,5 +86,68 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: 50-byte strings as hexadecimal digits, cut from blocks so that no cut starts far into a text.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, b * 500 AS start, least(500, n - 49 - b * 500) AS size, substr(h, CAST(b * 1000 + 1 AS BIGINT), 1098) AS part FROM (SELECT doc_id, n, h, unnest(range(0, (n - 49 + 499) // 500)) AS b FROM d WHERE n >= 50)
+), strings AS (
+  SELECT doc_id, start + i AS place, substr(part, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT *, unnest(range(0, size)) AS i FROM blocks)
+), hit AS (
+  SELECT doc_id, place FROM (SELECT doc_id, place, min(doc_id) OVER (PARTITION BY s) AS first FROM strings) WHERE first < doc_id
+), marked AS (
+  SELECT doc_id, place, coalesce(place > lag(place) OVER o + 50, TRUE) AS new FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+), spans AS (
+  SELECT doc_id, min(place) AS lo, max(place) + 50 AS hi FROM (SELECT doc_id, place, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS k FROM marked) GROUP BY doc_id, k
+), totals AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+), gaps AS (
+  SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM (SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, -1, 0 FROM totals)
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(h, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (coalesce(hi, n) - lo) AS BIGINT)), '' ORDER BY lo) AS rest FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Repeats of n words are runs of equal windows at one distance.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, len(w) AS n, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (SELECT unnest([3, 5]) AS k) WHERE len(w) >= k
+), h AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS x FROM g
+), again AS (SELECT doc_id, k, i, x FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, x) AS m FROM h) WHERE m > 1
+), covered AS (
+  SELECT doc_id, k, sum(least(k, coalesce(later - i, k))) AS words FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS later FROM again) GROUP BY ALL
+), runs AS (
+  SELECT a.doc_id, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS run FROM again a JOIN again b ON a.doc_id = b.doc_id AND a.k = 3 AND b.k = 3 AND a.x = b.x AND a.i < b.i
+), longest AS (SELECT doc_id, max(m) + 2 AS words FROM (SELECT doc_id, count(*) AS m FROM runs GROUP BY doc_id, gap, run) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(five.words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(three.words, 0) AS BIGINT) AS n_covered, CAST(coalesce(g.words, 0) AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN (SELECT * FROM covered WHERE k = 5) five USING (doc_id) LEFT JOIN (SELECT * FROM covered WHERE k = 3) three USING (doc_id) LEFT JOIN longest g USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * n_covered <= n_words AND longest_repeat <= 60 AS kept FROM m
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM d
+), n AS (
+  SELECT d.doc_id, count(shingle) AS n_shingles FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(x.n_shingles) + any_value(y.n_shingles) - count(*))
+), links AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (
+  WITH RECURSIVE r(node, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, links.b FROM r JOIN links ON r.other = links.a) SELECT * FROM r
+)
+SELECT n.doc_id, n_shingles, min(other) AS component_id FROM n JOIN reach ON node = n.doc_id GROUP BY ALL
+"""
+
 QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
-ORACLE: dict[str, str] = {"op7_url_filter": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL}

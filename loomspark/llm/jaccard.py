@@ -34,9 +34,9 @@ SIZE, PERCENT = 5, 75
 #: Candidate lengths l of matches, and the work to verify a candidate against reading one entry.
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
-BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 4 << 20
+BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 2 << 20
 #: Entries of different components that are paired at once; comparisons in a group, and blocks against one hub there.
-MEETING, COMPARISONS, AT_HUB = 512, 100_000, 500
+MEETING, COMPARISONS, AT_HUB = 512, 50_000, 250
 #: Bytes of texts whose shingles are held at once.
 TEXT_BYTES = 2 << 20
 #: Entries of lists that one task takes of lists with one least component.
@@ -284,8 +284,11 @@ def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 200):
                 yield _summed(_stars_of(batch.slice(lo, 200), percent), ["a", "b"])
 
-    own = lists.join(_tops(lists, percent), "family", "left").select("times", "docs", "ns", "ls", "ts", *(F.coalesce(F.col(f"tops.{c}"), F.array().cast("array<long>")).alias(f"top_{c}") for c in ("node", "n", "l", "t")))
-    pairs = own.mapInArrow(emit, "a long, b long, need long, shared long")
+    held, names = ["times", "docs", "ns", "ls", "ts"], ("node", "n", "l", "t")
+    # only pieces need the whole list's: all other lists have one family
+    short = lists.filter("family = 0").select(*held, *(F.array().cast("array<long>").alias(f"top_{c}") for c in names))
+    long = lists.filter("family <> 0").join(_tops(lists, percent), "family").select(*held, *(F.col(f"tops.{c}").alias(f"top_{c}") for c in names))
+    pairs = short.unionByName(long).mapInArrow(emit, "a long, b long, need long, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
     return pairs.filter("2 * shared >= need").select(F.array("a").alias("left"), F.array("b").alias("right"), F.col("b").alias("hub"))
 

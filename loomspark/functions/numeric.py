@@ -116,3 +116,18 @@ def poisoned_sum(x: Column) -> Column:
 
 def share(part: Column, whole: Column, empty: float = 0.0, digits: int = 4) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(empty)), digits)
+
+
+def finite(x: Column) -> Column:
+    """Whether a number is there and finite."""
+    d = x.cast("double")
+    return F.coalesce(~F.isnan(d) & (F.abs(d) < float("inf")), F.lit(False))
+
+
+def positive(x: Column) -> Column:
+    return finite(x) & F.coalesce(x > 0, F.lit(False))
+
+
+def ratio(x: Column) -> Column:
+    """Whether a number lies between 0 and 1."""
+    return finite(x) & F.coalesce(x.between(0, 1), F.lit(False))

@@ -90,6 +90,14 @@ def grid(models: DataFrame, modes: list[str], styles: list[str]) -> DataFrame:
     return models.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumn("style", F.explode(F.array(*map(F.lit, styles))))
 
 
+def choices(raw: str, allowed: list[str]) -> list[str]:
+    """The names of a comma list, each once; one that is not allowed is an error, and so is an empty list."""
+    found = list(dict.fromkeys(x.strip() for x in raw.split(",") if x.strip()))
+    if not found or set(found) - set(allowed):
+        raise ValueError(f"choose from {', '.join(allowed)}")
+    return found
+
+
 def named(models: DataFrame, wanted: str, key: str = "model") -> DataFrame:
     """The model of that id or last path part."""
     return models.filter((F.col(key) == wanted) | (F.element_at(F.split(key, "/"), -1) == wanted))

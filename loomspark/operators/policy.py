@@ -137,6 +137,10 @@ def simulate(records: DataFrame, threshold: float, size: int = 19, tokens: float
     return records.agg(F.count("*").alias("n"), *sums).select(F.lit(threshold).alias("threshold"), *_projection(size, tokens))
 
 
+#: Steps of the score between which running sums are carried over.
+STEPS = 1024
+
+
 def sweep(records: DataFrame, size: int = 19, tokens: float = 180.0, accuracy: float = 0.95) -> DataFrame:
     """simulate for each score that occurs and for 0, 0.5 and the sentinel that routes none.
 
@@ -152,11 +156,18 @@ def sweep(records: DataFrame, size: int = 19, tokens: float = 180.0, accuracy: f
     spark = records.sparkSession
     extra = spark.createDataFrame([(0.0,), (0.5,), (P.ROUTE_NONE,)], "score double").select("score", F.lit(0).cast("long").alias("m"), *zero)
     rows = by_score.unionByName(extra).groupBy("score").agg(*(F.sum(c).alias(c) for c in by_score.columns if c != "score"))
-    from_top = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = {k: F.sum(f"{k}_in").over(from_top) + F.sum(f"{k}_out").over(whole) - F.sum(f"{k}_out").over(from_top) + F.sum(f"{k}_always").over(whole) for k in parts}
-    # one row for each distinct score meets in this order
-    out = rows.select("score", F.sum("m").over(whole).alias("n"), *(v.alias(k) for k, v in totals.items()))
+    # sums from the top within steps of the score, and of all steps above: only the steps, of fixed number, meet in one order
+    step = F.greatest(F.lit(-1), F.least(F.lit(STEPS + STEPS // 50), F.floor(F.col("score") * STEPS)))
+    rows = rows.withColumn("step", step)
+    names = [c for c in rows.columns if c not in ("score", "step")]
+    steps = rows.groupBy("step").agg(*(F.sum(c).alias(c) for c in names))
+    above, whole = Window.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    steps = steps.select("step", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in names), *(F.sum(c).over(whole).alias(f"{c}_whole") for c in names))
+    here = Window.partitionBy("step").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(steps), "step")  # STEPS rows and some at most
+    top = lambda c: F.sum(c).over(here) + F.col(f"{c}_above")
+    totals = {k: top(f"{k}_in") + F.col(f"{k}_out_whole") - top(f"{k}_out") + F.col(f"{k}_always_whole") for k in parts}
+    out = rows.select("score", F.col("m_whole").alias("n"), *(v.alias(k) for k, v in totals.items()))
     return out.select(F.col("score").alias("threshold"), *_projection(size, tokens))
 
 

@@ -3,6 +3,7 @@ splits, and checks that recompute what a profile reports."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -161,6 +162,15 @@ def checked(profile: dict, reported: DataFrame, computed: DataFrame, copies: Col
     return fixed.unionByName(metrics).unionByName(gated.select(F.concat(F.lit("gate."), "rule").alias("rule"), "ok", F.col("value").cast("string").alias("detail")))
 
 
+def revision(profile: dict, ids: list[str]) -> str:
+    """A short name of a profile: a digest of what decides its answers and of the records that it was fitted to."""
+    decides = ("modelType", "dimension", "bias", "threshold", "weights")
+    told = ("categoryPolicy", "expectedCompletionTokens", "expectedLocalLatencySeconds", "split", "exclusion")
+    body = {k: profile[k] for k in decides} | {k: profile.get(k, {}) for k in told} | {"recordIds": sorted(ids)}
+    body["provenance"] = {k: v for k, v in profile.get("provenance", {}).items() if k != "profileSemanticSha256"}
+    return "compact-" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+
+
 def as_json(profile: dict) -> str:
     """The profile as text, the same for every destination."""
     return json.dumps(profile, indent=2, sort_keys=True) + "\n"

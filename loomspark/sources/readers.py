@@ -85,3 +85,9 @@ def merged(shards: list[DataFrame], manifest: DataFrame) -> DataFrame:
 def unlabeled(todo: DataFrame, done: DataFrame) -> DataFrame:
     """Tasks that no record has yet: what a run that starts again has left."""
     return todo.join(done.select("task_id").distinct(), "task_id", "left_anti")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, digest): the SHA-256 of each file's bytes, by its name."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("digest"))

@@ -225,3 +225,27 @@ def test_a_task_without_truth_is_an_error(spark):
     assert O.with_truth(todo.filter("task_id = 'a'"), truth).count() == 1
     with pytest.raises(PySparkException):
         O.with_truth(todo, truth).collect()
+
+
+def test_matches_say_what_was_matched(spark):
+    t = [("a", "s", "write a function that adds two given numbers", None), ("b", "s", "write a function that adds two given number", None), ("c", "s", "something else", None), ("d", "r", "something else entirely, long", None)]
+    grouped = G.groups(spark.createDataFrame(t, "task_id string, scope string, canonical string, explicit string")).withColumn("normalized", F.upper("canonical"))
+    public = spark.createDataFrame([("s", "write a function that adds two given numbers", "f1", "p1", "x"), ("q", "no", "f2", "p2", "SOMETHING ELSE ENTIRELY, LONG")], "scope string, canonical string, source string, task_id string, normalized string")
+    got = {r["leader"]: (r["task_id"], r["kind"]) for r in G.matches(grouped, public).collect()}
+    assert got == {r["leader"]: ("p1", "template") for r in grouped.filter("task_id = 'a'").collect()} | {"d": ("p2", "exact")}
+
+
+def test_guards_and_small_parsers(spark, tmp_path):
+    from loomspark.functions import numeric as N
+
+    x = F.col("x")
+    rows = spark.createDataFrame([(1.0,), (0.5,), (-1.0,), (float("nan"),), (float("inf"),), (None,)], "x double").select(N.finite(x), N.positive(x), N.ratio(x)).collect()
+    assert [tuple(r) for r in rows] == [(True, True, True), (True, True, True), (True, False, False)] + [(False, False, False)] * 3
+    assert E.choices(" a, b,a", ["a", "b", "c"]) == ["a", "b"]
+    for bad in ("", "z"):
+        with pytest.raises(ValueError):
+            E.choices(bad, ["a"])
+    (tmp_path / "x.txt").write_text("abc")
+    assert [tuple(r) for r in readers.file_digests(spark, str(tmp_path)).collect()] == [("x.txt", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
+    good = {"modelType": "m", "dimension": 4, "bias": 0.0, "threshold": 0.3, "weights": {}}
+    assert O.revision(good, ["b", "a"]) == O.revision(good, ["a", "b"]) != O.revision(good, ["a"]) and O.revision(good, []).startswith("compact-")

@@ -202,9 +202,13 @@ SELECT *, call_errors = 0 AND accuracy >= 0.9 AS safe, CAST(row_number() OVER (O
     "running_ids": f"WITH {RECORDS} SELECT id, category || '_' || lpad(CAST(row_number() OVER (PARTITION BY category ORDER BY id) AS VARCHAR), 6, '0') AS name FROM records",
     "record_digests": "WITH f AS (SELECT lang || '/' || source AS path, sha256(coalesce(text, '')) AS d FROM documents), p AS (SELECT path, sha256(count(*) || ':' || CAST(sum(CAST('0x' || d[1:8] AS BIGINT)) AS BIGINT)) AS digest FROM f GROUP BY path) SELECT sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) AS digest FROM p",
     "waived_digest": "SELECT sha256(string_agg(n_name || chr(0) || sha256(n_name) || chr(10), '' ORDER BY n_name)) AS digest FROM nation",
-    "label_violations": f"""WITH {RECORDS}, v AS (SELECT unnest(CASE WHEN len(b) = 0 THEN [NULL] ELSE b END) AS rule FROM (SELECT list_filter([CASE WHEN id % 9 = 0 THEN 'label is unknown' END, CASE WHEN id % 9 = 0 THEN 'label contradicts correct' END, CASE WHEN id % 6 = 0 THEN 'latency_s is negative or no number' END, CASE WHEN id % 8 = 0 THEN 'model is blank' END], lambda x: x IS NOT NULL) AS b FROM records)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "label_violations": f"""WITH {RECORDS}, v AS (SELECT unnest(CASE WHEN len(b) = 0 THEN [NULL] ELSE b END) AS rule FROM (SELECT list_filter([CASE WHEN id % 9 = 0 THEN 'label is unknown' END, CASE WHEN id % 17 = 0 THEN 'task_id is blank or untrimmed' END, CASE WHEN id % 9 = 0 THEN 'label contradicts correct' END, CASE WHEN id % 5 = 0 THEN 'category is unknown' END, CASE WHEN id % 5 = 0 THEN 'category is not the classifier''s' END, CASE WHEN id % 10 = 1 THEN 'dataset_category is unknown' END,
+  CASE WHEN id % 6 = 0 THEN 'latency_s is negative or no number' END, CASE WHEN id % 11 = 0 THEN 'completion_tokens is negative or missing' END, CASE WHEN id % 8 = 0 THEN 'model is blank' END, CASE WHEN id % 7 = 0 THEN 'provenance has another schema version' END, CASE WHEN id % 13 = 0 THEN 'provenance.gguf_sha256 is no digest' END, CASE WHEN id % 14 = 0 THEN 'provenance.budget_seconds is not positive' END, CASE WHEN id % 15 = 0 THEN 'provenance.threads is not positive' END], lambda x: x IS NOT NULL) AS b FROM records)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "records_digest": "WITH r AS (SELECT sha256(concat_ws('|', doc_id, coalesce(lang, '~'), coalesce(source, '~'), coalesce(CAST(n_chars AS VARCHAR), '~'), coalesce(sha256(text), '~'))) AS d FROM documents) SELECT sha256(concat_ws(':', count(*), "
+    + ", ".join(f"CAST(sum(CAST('0x' || d[{8 * k + 1}:{8 * k + 8}] AS BIGINT)) AS VARCHAR)" for k in range(8))
+    + ")) AS digest FROM r",
     "request_guards": f"WITH {PROMPTS} SELECT CASE WHEN trim(prompt) = '' THEN 'blank' WHEN length(trim(prompt)) > 8000 THEN 'too long' WHEN strlen(prompt) > 24000 THEN 'too large' ELSE 'ok' END AS reason, count(*) AS n FROM prompts GROUP BY ALL",
-    "safe_eval": """WITH d AS (SELECT DISTINCT l_quantity, l_linenumber FROM lineitem) SELECT l_quantity, l_linenumber, round(CASE l_linenumber WHEN 1 THEN l_quantity * 3 - 5 WHEN 2 THEN 1200.0::DOUBLE / l_quantity WHEN 3 THEN CAST(greatest(l_quantity, 7) ** 2 AS DOUBLE) WHEN 4 THEN NULL ELSE CAST(floor(-l_quantity / l_linenumber) AS DOUBLE) END, 6) AS value FROM d""",
+    "safe_eval": """SELECT l_quantity, l_linenumber, round(CASE l_linenumber WHEN 1 THEN l_quantity * 3 - 5 WHEN 2 THEN 1200.0::DOUBLE / l_quantity WHEN 3 THEN CAST(greatest(l_quantity, 7) ** 2 AS DOUBLE) WHEN 4 THEN NULL ELSE CAST(floor(-l_quantity / l_linenumber) AS DOUBLE) END, 6) AS value, count(*) AS n FROM lineitem GROUP BY ALL""",
     "code_test_runs": "SELECT r_regionkey, r_regionkey % 2 = 0 AS passes FROM region",
     "normalized_prompts": rf"WITH {PROMPTS} SELECT id, sha256(replace(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')), 'ß', 'ss')) AS digest FROM prompts",
     "puzzle_solver": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 THEN 'Cy' WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 = 0 THEN 'Cy' WHEN n_nationkey % 2 = 1 THEN 'Bob' END AS person, CASE WHEN n_nationkey % 2 = 1 OR n_nationkey % 3 = 0 THEN 'cat' END AS item FROM nation",

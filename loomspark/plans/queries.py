@@ -413,11 +413,18 @@ def waived_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_violations(spark: SparkSession, sf: str) -> DataFrame:
-    r = A.records(spark, sf).withColumn("model", F.when(F.col("id") % 8 == 0, " ").otherwise("m")).withColumn("latency_s", F.when(F.col("id") % 6 == 0, -1.0).otherwise(F.col("latency_s"))).withColumn("label", F.when(F.col("id") % 9 == 0, "maybe").otherwise(F.col("label")))
-    names = {"label is unknown", "label contradicts correct", "latency_s is negative or no number", "completion_tokens is negative or missing", "model is blank", "task_id is blank or untrimmed"}
-    r = r.withColumns({"prompt": F.col("task_id"), "dataset_category": F.lit("math"), "provenance": F.lit(None).cast(readers.PROVENANCE)})
-    broken = Q.violations([x for x in Q.label_rules() if x[0] in names])
-    return r.select(F.explode_outer(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    """Every rule for label records, over records of which each rule breaks some where stand-ins can."""
+    k, digest = F.col("id"), F.lit("0" * 64)
+    bad = lambda n, a, b: F.when(k % n == 0, a).otherwise(b)
+    hashes = {h: bad(13, F.lit("x"), digest) if h == "gguf_sha256" else digest for h in Q.HASHES}
+    provenance = F.struct(bad(7, 2, 1).alias("schema_version"), *(v.alias(h) for h, v in hashes.items()), bad(14, 0.0, 25.0).alias("budget_seconds"), bad(15, 0, 2).alias("threads"))
+    r = A.records(spark, sf).withColumns({"model": bad(8, " ", "m"), "latency_s": bad(6, F.lit(-1.0), F.col("latency_s")), "label": bad(9, F.lit("maybe"), F.col("label")), "completion_tokens": bad(11, F.lit(-1), F.col("completion_tokens"))})
+    r = r.withColumns({"prompt": F.col("task_id"), "category": bad(5, "poetry", "factual"), "dataset_category": F.when(k % 10 == 1, "odd").otherwise("math"), "provenance": provenance, "task_id": bad(17, F.concat("task_id", F.lit(" ")), F.col("task_id"))})
+    return r.select(F.explode_outer(Q.violations(Q.label_rules())).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def records_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.records_digest(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text")))
 
 
 def request_guards(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,10 +434,10 @@ def request_guards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def safe_eval(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_quantity", "l_linenumber").distinct()
+    li = table(spark, sf, "lineitem")
     q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     text = F.when(k == 1, F.format_string("%d * 3 - (4 + %d)", q, k)).when(k == 2, F.format_string("$1,200 / %d.", q)).when(k == 3, F.format_string("max(%d, 7) ** 2", q)).when(k == 4, F.format_string("import(%d)", q)).otherwise(F.format_string("-%d // %d", q, k))
-    return li.select("l_quantity", "l_linenumber", F.round(U.safe_eval(text), 6).alias("value"))
+    return li.select("l_quantity", "l_linenumber", F.round(U.safe_eval(text), 6).alias("value")).groupBy("l_quantity", "l_linenumber", "value").agg(F.count("*").alias("n"))
 
 
 def puzzle_solver(spark: SparkSession, sf: str) -> DataFrame:
@@ -691,6 +698,6 @@ QUERIES = {
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, template_groups, template_exclusion, grouped_split, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,
-        runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts,
+        runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts, records_digest,
     )
 }

@@ -35,6 +35,8 @@ SIZE, PERCENT = 5, 75
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
 BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 2 << 20
+#: Estimated documents of a shingle from which its list is made in several buckets.
+HOT = 50_000
 #: Entries of different components that are paired at once; comparisons in a group, and blocks against one hub there.
 MEETING, COMPARISONS, AT_HUB = 512, 50_000, 250
 #: Bytes of texts whose shingles are held at once.
@@ -142,7 +144,9 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
     """Lists of documents that share a prefix shingle, equal lists once with their number: (docs, ns, ls, family, times).
 
     Blobs of a batch are keyed by bucket; a set that occurs again in a batch is sent once, and again once in a bucket. A
-    list of more than PIECE documents becomes pieces of one family (0: a list of one piece).
+    list of more than PIECE documents becomes pieces of one family (0: a list of one piece). Entries of a shingle that very
+    many documents have (by the sketch, so that all agree) are dealt to several buckets by their sets; what the buckets
+    make of them are pieces of one family too, whose name is made of all of them.
     """
     mean = float(counts.sum(dtype=np.float64)) / len(counts)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -175,7 +179,9 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
             table["node"], table["l"] = nodes[rows], match
             table["fp"] = [fingerprint(sets[k])[0] for k in rows]
             table["n"] = [len(sets[k]) for k in rows]
-            where = (common.mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
+            print64 = table["fp"].astype(np.uint64)[entries["doc"]]
+            share = common.mix(print64) % _shares(entries["token"], counts)
+            where = (common.mix(entries["token"] + share * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             order, found = common.present(where, entries["token"])
             entries = entries[order]
             blobs = []
@@ -215,27 +221,43 @@ def _lists(docs: DataFrame, counts: np.ndarray, buckets: int, size: int, percent
         token, doc = token[new], doc[new]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
-        seen: dict[bytes, list] = {}
-        for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            key = doc[lo:hi].tobytes()
+        hot = _shares(token[starts], shared.value) > 1
+        keep = (ends - starts > 1) | hot
+        seen: dict[tuple[bytes, int], list] = {}
+        for lo, hi, name in zip(starts[keep].tolist(), ends[keep].tolist(), np.where(hot, token[starts].view(np.int64), 0)[keep].tolist()):
+            key = doc[lo:hi].tobytes(), name
             if key in seen:
                 seen[key][1] += 1
             else:
                 seen[key] = [doc[lo:hi], 1]
-        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "family", "times")}
-        for members, times in seen.values():
+        out: dict[str, list] = {c: [] for c in ("docs", "ns", "ls", "family", "times", "shingle")}
+        for (_, name), (members, times) in seen.items():
             members = members[np.lexsort((least[members], sizes[members]))]
             family = xxhash.xxh3_64_intdigest(b"".join(v[members].tobytes() for v in (least, sizes, matches))) >> 1 if len(members) > PIECE else 0
             for lo in range(0, len(members), PIECE):
                 part = members[lo : lo + PIECE]
-                for c, v in zip(out, (least[part], sizes[part], matches[part], family, times)):
+                for c, v in zip(out, (least[part], sizes[part], matches[part], family, times, name or None)):
                     out[c].append(v)
         arrays = pa.list_(pa.int64())
         return pa.table({c: pa.array(out[c], arrays if c in ("docs", "ns", "ls") else pa.int64()) for c in out})
 
     blobs = docs.select("node", "text").mapInArrow(emit, "bucket int, blob binary")
-    lists = common.dealt(blobs, "bucket", buckets * BUCKET_BYTES).groupBy("bucket").applyInArrow(common.grouped(meet), "docs array<long>, ns array<long>, ls array<long>, family long, times long")
-    return lists.groupBy("docs", "ns", "ls", "family").agg(F.sum("times").alias("times"))
+    lists = common.dealt(blobs, "bucket", buckets * BUCKET_BYTES).groupBy("bucket").applyInArrow(common.grouped(meet), "docs array<long>, ns array<long>, ls array<long>, family long, times long, shingle long")
+    lists = common.materialize(lists, "lists")
+    # equal lists of several shingles have equal pieces in all buckets, and so one name
+    hot = lists.filter("shingle is not null")
+    whole = hot.groupBy("shingle").agg(F.xxhash64(F.sum(F.xxhash64("docs", "ns", "ls").cast("decimal(38,0)")), F.count("*"), F.sum(F.size("docs"))).alias("family"))
+    named = hot.drop("family").join(whole.withColumn("family", F.when(F.col("family") != 0, F.col("family")).otherwise(1)), "shingle")
+    every = lists.filter("shingle is null").unionByName(named.select(lists.columns))
+    bare = common.materialize(every.groupBy("docs", "ns", "ls", "family").agg(F.sum("times").alias("times")), "lists")
+    common.discard(lists)
+    return bare
+
+
+def _shares(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """In how many parts the entries of each shingle are dealt."""
+    c = counts[sketch.place(tokens)] // np.uint32(HOT)
+    return (np.uint64(1) << np.ceil(np.log2(c + 1.0)).astype(np.uint64)).astype(np.uint64)
 
 
 def least_shared(na, la, nb, lb, percent: int = PERCENT):
@@ -538,7 +560,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     shingles, rows = own.agg(F.sum("n"), F.count("*")).first()
     counts = sketch.collected(first.filter("slice is not null").select("slice", "task", "blob"))
     buckets = max(1, -(-(shingles or 0) * 4 // BUCKET_BYTES))
-    bare = common.materialize(_lists(docs, counts, buckets, size, percent), "lists")
+    bare = _lists(docs, counts, buckets, size, percent)
     lists = common.materialize(_with_totals(bare), "lists")
     common.discard(bare)
     stars = common.materialize(_star_pairs(lists, percent), "pairs")

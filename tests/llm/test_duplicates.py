@@ -79,8 +79,11 @@ def similar_corpus(seed=5):
     return docs
 
 
-@pytest.mark.parametrize("piece", [2048, 16])
-def test_similarity_join(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, hot", [(2048, 50_000), (16, 50_000), (16, 8), (2048, 3)])
+def test_similarity_join(spark, monkeypatch, piece, hot):
+    shares = jaccard._shares
+    # workers take constants from the module's file, functions from the closure
+    monkeypatch.setattr(jaccard, "_shares", lambda tokens, counts: shares(tokens, counts * np.uint32(50_000 // hot)))
     monkeypatch.setattr(jaccard, "PIECE", piece)
     monkeypatch.setattr(jaccard, "MEETING", min(piece, jaccard.MEETING) // 4)
     docs = similar_corpus()

@@ -166,3 +166,23 @@ def run_summary(answers: DataFrame) -> DataFrame:
     """One row: answered and empty tasks, average seconds."""
     blank = ~_there(F.col("answer"))
     return answers.agg(F.count_if(~blank).alias("answered"), F.count_if(blank).alias("empty"), F.round(F.avg("seconds"), 2).alias("mean_seconds"))
+
+
+def presolved(category: Column, prompt: Column) -> Column:
+    """Whether a logic prompt is a puzzle that is solved exactly before anything is planned."""
+    return F.coalesce(U.solve_puzzle(F.when(category == "logic", prompt))["person"].isNotNull(), F.lit(False))
+
+
+def bulk_waves(pending: DataFrame, part: str, order: str, answered: Column, definitive: Column, first: int = 3) -> DataFrame:
+    """Adds wave and sent: the first rows of a part go at once; the others unless all of the first failed, and one for good."""
+    from ..streaming.runs import probe_waves
+
+    waves = probe_waves(pending.withColumns({"_answered": answered, "_definitive": definitive}), part, order, first)
+    probes = waves.filter("wave = 1").groupBy(part).agg(F.max(F.col("_answered").cast("int")).alias("_some"), F.max(F.col("_definitive").cast("int")).alias("_final"))
+    sent = (F.col("wave") == 1) | (F.col("_some") == 1) | (F.col("_final") == 0)
+    return waves.join(probes, part).withColumn("sent", sent).drop("_answered", "_definitive", "_some", "_final")
+
+
+def remote_cap(category: Column) -> Column:
+    """Tokens that a hosted answer may have."""
+    return N.by_name(P.REMOTE_CAPS, category, P.DEFAULT_REMOTE_CAP).cast("int")

@@ -247,4 +247,14 @@ SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AN
     "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, started, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
     "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
     "canonical_templates": "SELECT o_orderpriority || '/' || (o_orderkey // 1024) % 64 || chr(10) || 'please ' || list_extract(['ship', 'bill', 'cancel', 'explain'], CAST(o_orderkey % 4 AS INT) + 1) || ' order <num> worth <num> of ' || lower(c_mktsegment) AS canonical, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
+    "task_files": "SELECT row_number() OVER (ORDER BY n_name) - 1 AS idx, n_name AS task_id, 'Tell me of ' || n_name AS prompt FROM nation",
+    "truth_files": "SELECT n_name AS task_id, 'contains' AS kind, lower(n_name) AS answer FROM nation",
+    "result_files": "SELECT n_name AS task_id, lower(n_name) AS answer FROM nation UNION ALL SELECT CAST(c_custkey AS VARCHAR), lower(c_name) FROM customer",
+    "label_files": f"WITH {RECORDS} SELECT label, correct, FALSE AS broken, CAST(2 AS INT) AS threads, count(*) AS n, round(sum(latency_s), 3) AS seconds, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM records GROUP BY label, correct UNION ALL SELECT NULL, NULL, TRUE, NULL, 1, NULL, NULL",
+    "event_files": "WITH e AS (SELECT list_extract(['run.started', 'baseline.started', 'baseline.completed', 'answer.started', 'answer.completed', 'comparison.completed', 'run.error'], CAST((event_id * 5) % 7 AS INT) + 1) AS type, event_id // 6 AS run, CAST(floor(value) AS BIGINT) AS tokens FROM events) SELECT type, count(DISTINCT run) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens FROM e GROUP BY type",
+    "upserted_runs": f"WITH {RUNS} SELECT session, max(event_id) AS event_id, arg_max(stage, event_id) AS stage FROM runs GROUP BY session",
+    "presolved_plan": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 > 0 AND (n_nationkey % 2 = 1 OR n_nationkey % 3 = 0) THEN 'solved' WHEN n_nationkey / 25.0 >= 0.5 THEN 'remote' ELSE 'local' END AS route, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 400 ELSE 300 END AS INT) AS cap FROM nation",
+    "bulk_waves": f"WITH {RECORDS}, o AS (SELECT id % 7 AS part, row_number() OVER (PARTITION BY id % 7 ORDER BY id) AS k FROM records) SELECT part, CAST(CASE WHEN k <= 3 THEN 1 ELSE 2 END AS INT) AS wave, k <= 3 OR part <> 5 AS sent, count(*) AS n FROM o GROUP BY ALL",
+    "model_picks": "SELECT 'distinct' AS kind, 'org/' || lower(s_name) AS model, s_suppkey AS idx FROM supplier WHERE s_suppkey = 2 UNION ALL SELECT 'configured', 'org/' || lower(s_name), s_suppkey FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT * FROM (SELECT 'last', 'org/' || lower(s_name), s_suppkey FROM supplier ORDER BY s_suppkey DESC LIMIT 1)",
+    "credential_lists": "WITH s AS (SELECT s_suppkey, unnest([0, 1, 2]) AS place, unnest(['your_key', trim(s_name), CASE WHEN s_suppkey % 2 = 0 THEN 'Replace-Me' ELSE 'sk-1' END]) AS item FROM supplier) SELECT s_suppkey, CAST(place AS INT) AS place, item, item = 'your_key' OR item = 'Replace-Me' AS placeholder FROM s",
 }

@@ -688,6 +688,84 @@ def failure_texts(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("r_regionkey", U.code_failures(code, F.lit('[{"args":[5],"expected":120},{"args":[0]}]')).alias("failures"))
 
 
+def task_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of tasks written as one file and read as the object's array."""
+    path = A.scratch(spark, "tasks")
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("task_id"), F.concat(F.lit("Tell me of "), "n_name").alias("prompt"))
+    # one row for each task of a file, which is read whole in any case
+    n.agg(F.concat(F.lit('{"tasks":'), F.to_json(F.array_sort(F.collect_list(F.struct("task_id", "prompt")))), F.lit("}")).alias("value")).write.text(path)
+    return readers.tasks(spark, path).select("idx", "task_id", "prompt")
+
+
+def truth_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = A.scratch(spark, "truth")
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("k"), F.struct(F.lit("contains").alias("kind"), F.lower("n_name").alias("answer")).alias("v"))
+    n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).write.text(path)
+    return readers.truth(spark, path)
+
+
+def result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """An array of answers as one file, and the JSON lines of a larger table, written twice over each other."""
+    path, lines = A.scratch(spark, "results"), A.scratch(spark, "lines")
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("task_id"), F.lower("n_name").alias("answer"))
+    n.agg(F.to_json(F.collect_list(F.struct("task_id", "answer"))).alias("value")).write.text(path)
+    for text in (F.col("c_name"), F.lower("c_name")):
+        writers.write_json(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("task_id"), text.alias("answer")), lines)
+    return readers.results(spark, path).unionByName(spark.read.schema(readers.RESULT).json(lines))
+
+
+def label_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels appended in two steps, then a line that is none: what is read of each."""
+    path, r = A.scratch(spark, "labels"), A.records(spark, sf)
+    for part in (r.filter("id % 2 = 0"), r.filter("id % 2 = 1")):
+        writers.append_labels(part.select("task_id", "category", "label", "correct", "verified", "latency_s", F.col("completion_tokens").cast("int").alias("completion_tokens"), F.struct(F.lit(1).alias("schema_version"), F.lit(2).alias("threads")).alias("provenance")), path)
+    spark.createDataFrame([('{"task_id": "x", broken',)], "value string").write.mode("append").text(path)
+    read = readers.labels(spark, path)
+    return read.groupBy("label", "correct", F.col("broken").isNotNull().alias("broken"), F.col("provenance.threads").alias("threads")).agg(F.count("*").alias("n"), F.round(F.sum("latency_s"), 3).alias("seconds"), F.sum("completion_tokens").alias("tokens"))
+
+
+def event_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = A.scratch(spark, "events")
+    e = table(spark, sf, "events").select(_picked(list(V.STAGES), F.pmod(F.col("event_id") * 5, F.lit(7))).alias("type"), F.floor(F.col("event_id") / 6).cast("string").alias("runId"), F.struct(F.floor("value").cast("long").alias("totalTokens")).alias("usage"))
+    writers.as_lines(e).write.text(path)
+    return readers.events(spark, path).groupBy("type").agg(F.count_distinct("runId").alias("runs"), F.sum("usage.totalTokens").alias("tokens"))
+
+
+def upserted_runs(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.runs(spark, sf).select("session", "event_id", "stage")
+    old = writers.upsert(None, e.filter("event_id % 3 = 0"), "session", "event_id")
+    return writers.upsert(old, e.filter("event_id % 3 > 0"), "session", "event_id")
+
+
+def presolved_plan(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    puzzle = F.format_string("Ann, Bob and Cy each own a different pet: cat, dog, bird. Ann owns the %s. Bob does not own the %s. Who owns the cat?", F.when(k % 2 == 0, "dog").otherwise("bird"), F.when(k % 3 == 0, "cat").otherwise("dog"))
+    category = F.when(k % 5 == 0, "factual").otherwise("logic")
+    tasks = n.select("n_nationkey", category.alias("category"), (k / 25.0).alias("score"), D.presolved(category, puzzle).alias("solved"), D.remote_cap(category).alias("cap"))
+    return R.plan(tasks, 0.5, []).select("n_nationkey", "route", "cap")
+
+
+def bulk_waves(spark: SparkSession, sf: str) -> DataFrame:
+    r = A.records(spark, sf).withColumn("part", F.pmod("id", F.lit(7)))
+    out = D.bulk_waves(r, "part", "id", F.col("part") < 3, F.col("part") == 5)
+    return out.groupBy("part", "wave", "sent").agg(F.count("*").alias("n"))
+
+
+def model_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Another model than the first, the configured one, and the last where no hint fits."""
+    m = table(spark, sf, "supplier").select(F.concat(F.lit("org/"), F.lower("s_name")).alias("model"), F.col("s_suppkey").alias("idx"))
+    picks = {"distinct": R.distinct_model(m, ["org/supplier#000000001"], ["0002", "0003"]), "configured": R.configured_model(m, "org/supplier#000000003", []), "last": R.configured_model(m, "", ["none"], last=True)}
+    parts = [df.select(F.lit(k).alias("kind"), "model", "idx") for k, df in picks.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def credential_lists(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    text = F.concat(F.lit(" your_key ,, "), "s_name", F.lit(" ,"), F.when(F.col("s_suppkey") % 2 == 0, "Replace-Me").otherwise("sk-1"))
+    return s.select("s_suppkey", F.posexplode(T.csv_items(text)).alias("place", "item")).select("s_suppkey", "place", "item", T.placeholder("item").alias("placeholder"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -699,5 +777,6 @@ QUERIES = {
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, template_groups, template_exclusion, grouped_split, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,
         runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts, records_digest,
+        task_files, truth_files, result_files, label_files, event_files, upserted_runs, presolved_plan, bulk_waves, model_picks, credential_lists,
     )
 }

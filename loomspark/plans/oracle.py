@@ -244,7 +244,7 @@ SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AN
     "excluded_prompts": rf"WITH {PROMPTS}, k AS (SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS key FROM prompts) SELECT id, key IN (SELECT trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) FROM prompts WHERE id % 20 = 0) OR key IN (SELECT key FROM k WHERE id % 30 = 0) AS excluded FROM k",
     "open_tasks": "SELECT c_custkey AS task_id, n_name AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "phrased_specs": "SELECT n_nationkey AS id, replace(p, '{}', lower(n_name)) AS prompt FROM nation CROSS JOIN (SELECT unnest(['Write a function for {}.', 'Please implement {} and {}', 'Code it']) AS p)",
-    "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, started, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
+    "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
     "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
     "canonical_templates": "SELECT o_orderpriority || '/' || (o_orderkey // 1024) % 64 || chr(10) || 'please ' || list_extract(['ship', 'bill', 'cancel', 'explain'], CAST(o_orderkey % 4 AS INT) + 1) || ' order <num> worth <num> of ' || lower(c_mktsegment) AS canonical, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "task_files": "SELECT row_number() OVER (ORDER BY n_name) - 1 AS idx, n_name AS task_id, 'Tell me of ' || n_name AS prompt FROM nation",

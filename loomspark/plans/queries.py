@@ -678,7 +678,7 @@ def phrased_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_timeouts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 6).alias("runId"), F.col("ts"), (F.col("event_id") % 4 == 3).alias("last"))
-    return V.timed_out(e, "runId", "ts", F.col("last"), 5 * 86400)
+    return V.timed_out(e, "runId", "ts", F.col("last"), 5 * 86400).select("runId", "timed_out")
 
 
 def failure_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -132,6 +132,7 @@ class Templates:
                 n = len(self.sets[k])
                 both = math.ceil(least * n)
                 alike = min(alike, both / (width - SHINGLE + 1 + n - both))
+        self.shingles = [np.unique(np.concatenate([self.sets[k] for k in own])) for own, _, _ in self.classes]
         self.bands = 1 if alike >= 1 else math.ceil(math.log(MISS) / math.log(1 - alike))
         self.least = np.stack([self.signature(s) for s in self.sets])
 
@@ -161,12 +162,13 @@ def find(texts: pa.Array, templates: Templates, bands: bool = True) -> list[tupl
     """
     words, offs = tokens(texts)
     grams, ends = common.shingles(words, offs, SHINGLE)
-    hit = np.flatnonzero(np.isin(grams, templates.every))
-    row = np.searchsorted(ends, hit, "right") - 1
-    place = hit - ends[row]
+    any_hit = np.flatnonzero(np.isin(grams, templates.every))
     seen: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-    for own, width, stride in templates.classes:
+    for (own, width, stride), known in zip(templates.classes, templates.shingles):
         span = width - SHINGLE + 1  # shingles of a window
+        hit = any_hit[np.isin(grams[any_hit], known)]
+        row = np.searchsorted(ends, hit, "right") - 1
+        place = hit - ends[row]
         # windows that hold the shingle begin at multiples of stride
         last = place // stride
         first = np.maximum(-(-(place - span + 1) // stride), 0)
@@ -174,7 +176,7 @@ def find(texts: pa.Array, templates: Templates, bands: bool = True) -> list[tupl
         start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         windows, held_by = np.unique(np.stack([np.repeat(row, n), start * stride]), axis=1, return_counts=True) if len(start) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         fewest = templates.containment * min(len(templates.sets[t]) for t in own)
-        for r, at in windows[:, held_by >= fewest].T.tolist():  # others have too few shingles of any template
+        for r, at in windows[:, held_by >= fewest].T.tolist():  # others have too few shingles of the class
             lo, hi = ends[r] + at, min(ends[r] + at + span, ends[r + 1])
             a, b = np.searchsorted(hit, (lo, hi))
             some = grams[hit[a:b]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, url_filter
+from . import bpe, common, decontaminate, filter_audit, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, url_filter
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -86,6 +86,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: 50-byte strings as hexadecimal digits, cut from blocks so that no cut starts far into a text.
 OP2_SQL = r"""
 WITH d AS (
@@ -149,5 +153,28 @@ WITH d AS (
 SELECT n.doc_id, n_shingles, min(other) AS component_id FROM n JOIN reach ON node = n.doc_id GROUP BY ALL
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard}
-ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL}
+#: Every subset of filters as five bits; what an order has applied before a step is one of them.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), v AS (
+  SELECT part, doc_id, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, FALSE)] AS fails FROM d
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), kinds AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM v LEFT JOIN l USING (doc_id) GROUP BY ALL
+), f(k) AS (VALUES (1), (2), (3), (4), (5)
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks, 'ABCDE'[a.k] || 'ABCDE'[b.k] || 'ABCDE'[c.k] || 'ABCDE'[d.k] || 'ABCDE'[e.k] AS filter_order
+  FROM f a JOIN f b ON b.k <> a.k JOIN f c ON c.k NOT IN (a.k, b.k) JOIN f d ON d.k NOT IN (a.k, b.k, c.k) JOIN f e ON e.k NOT IN (a.k, b.k, c.k, d.k)
+), steps AS (SELECT filter_order, ks[: s.k - 1] AS before, CAST(s.k AS INT) AS step, ks[s.k] AS k FROM orders, f s
+), r AS (
+  SELECT part, filter_order, step, k, sum(CASE WHEN ok AND NOT fails[k] THEN n ELSE 0 END) AS kept, sum(CASE WHEN ok AND fails[k] THEN n ELSE 0 END) AS removed, sum(CASE WHEN NOT ok AND fails[k] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[k] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN ok AND fails[k] THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN ok AND fails[k] THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda x: fails[x])) = 0 AS ok FROM kinds, steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM r
+"""
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard, "op11_filter_audit": op11_filter_audit}
+ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL, "op11_filter_audit": OP11_SQL}

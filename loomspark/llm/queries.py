@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, filter_audit, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, url_filter
+from . import bpe, common, decontaminate, filter_audit, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, turn_repair, url_filter
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -90,6 +90,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 #: 50-byte strings as hexadecimal digits, cut from blocks so that no cut starts far into a text.
 OP2_SQL = r"""
 WITH d AS (
@@ -176,5 +180,56 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM r
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard, "op11_filter_audit": op11_filter_audit}
-ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL, "op11_filter_audit": OP11_SQL}
+def _edited(best: str, cost: str, edit: str) -> str:
+    """SQL: a state's best edits with one more. A state is its cost in nine digits and its audit, so that the least string is the best; ~ is none."""
+    return f"CASE WHEN {best} = '~' THEN '~' ELSE lpad(CAST(CAST({best}[:9] AS INT) + {cost} AS VARCHAR), 9, '0') || {best}[10:] || '{edit}' END"
+
+
+def _inserted(states: str) -> str:
+    """SQL: the four states (start, s, u, a) after any inserts."""
+    user = f"list_transform([{states}], lambda q: [q[1], q[2], least(q[3], {_edited('least(q[1], q[2], q[4])', '5', 'I')}), q[4]])[1]"
+    return f"list_transform([{user}], lambda q: [q[1], q[2], q[3], least(q[4], {_edited('q[3]', '5', 'I')})])[1]"
+
+
+_WANTED = {"3": "least(q[1], q[2], q[4])", "4": "q[3]"}
+_TURNED = ", ".join(
+    f"least({_edited(f'q[{k}]', '2', 'D')}, CASE WHEN t[1] = '{initial}' AND t[2] NOT IN ('blank', 'duplicate') THEN {_edited(source, cut, 'K')} ELSE '~' END"
+    + (f", CASE WHEN t[2] NOT IN ('blank', 'duplicate') THEN {_edited(source, '1 + ' + cut, 'R')} ELSE '~' END" if k in _WANTED else "") + ")"
+    for k, initial, source in (("1", "-", "'~'"), ("2", "s", "q[1]"), ("3", "u", _WANTED["3"]), ("4", "a", _WANTED["4"])) for cut in ["CASE WHEN t[2] = 'truncated' THEN 5 ELSE 0 END"]
+)
+#: The lattice is gone through turn by turn, with the best edits of each state.
+OP12_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), h AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM c
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) AS again(n) WHERE kind > 0 AND (n = 0 OR kind = 3)
+), placed AS (
+  SELECT *, role[1] AS initial, rtrim(text, E' 	
+') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role[1], md5(length(role) || ':' || role || ':' || text)) AS place FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY place) AS pair FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list([initial, fault, '', ''] ORDER BY place) AS turns FROM judged GROUP BY conv_id
+), best AS (
+  SELECT * EXCLUDE (turns, q), least(q[1], q[4]) AS best FROM (
+    SELECT *, list_transform([list_reduce(list_prepend(['000000000', '~', '~', '~'], turns), lambda acc, t: list_transform([{_inserted('acc')}], lambda q: [{_TURNED}])[1])], lambda acc: {_inserted('acc')})[1] AS q FROM counted)
+), edits AS (
+  SELECT conv_id, n, best[9 + n] AS edit, n - length(replace(best[10 : 9 + n], 'I', '')) AS inserted FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS n FROM best)
+), lines AS (
+  SELECT e.conv_id, n, edit, role, text, edit = 'K' AND initial = 's' AS system, count(*) OVER (PARTITION BY e.conv_id ORDER BY n) AS line, count(*) FILTER (edit = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id ORDER BY n) AS systems
+  FROM edits e LEFT JOIN judged j ON j.conv_id = e.conv_id AND edit <> 'I' AND place = n - inserted WHERE edit <> 'D'
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (line - systems) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY n) AS repaired FROM lines GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[:9] AS BIGINT), 0) AS cost, coalesce(best[10:], '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN best b ON b.conv_id = i.conv_id LEFT JOIN texts t ON t.conv_id = i.conv_id
+"""
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard, "op11_filter_audit": op11_filter_audit, "op12_turn_repair": op12_turn_repair}
+ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_turn_repair": OP12_SQL}

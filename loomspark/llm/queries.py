@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, filter_audit, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, turn_repair, url_filter
+from . import bpe, common, decontaminate, filter_audit, imatch, jaccard, licenses, main_text, repetition, substrings, token_store, toxicity, turn_repair, url_filter
 
 #: Fixed by the queries' contracts.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -94,6 +94,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 #: 50-byte strings as hexadecimal digits, cut from blocks so that no cut starts far into a text.
 OP2_SQL = r"""
 WITH d AS (
@@ -208,7 +212,8 @@ WITH c AS (
   FROM h, range(2) AS again(n) WHERE kind > 0 AND (n = 0 OR kind = 3)
 ), placed AS (
   SELECT *, role[1] AS initial, rtrim(text, E' 	
-') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role[1], md5(length(role) || ':' || role || ':' || text)) AS place FROM damaged
+
+') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role[1], md5(length(role) || ':' || role || ':' || text)) AS place FROM damaged
 ), judged AS (
   SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY place) AS pair FROM placed
@@ -231,5 +236,5 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN best b ON b.conv_id = i.conv_id LEFT JOIN texts t ON t.conv_id = i.conv_id
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard, "op11_filter_audit": op11_filter_audit, "op12_turn_repair": op12_turn_repair}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substrings": op2_substrings, "op3_main_text": op3_main_text, "op4_bpe": op4_bpe, "op5_licenses": op5_licenses, "op6_decontaminate": op6_decontaminate, "op7_url_filter": op7_url_filter, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_jaccard": op10_jaccard, "op11_filter_audit": op11_filter_audit, "op12_turn_repair": op12_turn_repair, "op13_imatch": op13_imatch}
 ORACLE: dict[str, str] = {"op2_substrings": OP2_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op10_jaccard": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_turn_repair": OP12_SQL}

@@ -190,6 +190,17 @@ SELECT *, call_errors = 0 AND accuracy >= 0.9 AS safe, CAST(row_number() OVER (O
     "run_lifecycle": "WITH e AS (SELECT event_id // 6 AS runId, (event_id * 5) % 7 AS k FROM events) SELECT runId, count(*) AS events, count(*) FILTER (k = 6) > 0 AS failed, count(*) FILTER (k = 2) > 0 AND count(*) FILTER (k = 4) > 0 AND count(*) FILTER (k = 5) > 0 AND count(*) FILTER (k = 6) = 0 AS complete FROM e GROUP BY runId",
     "late_events": f"WITH {RUNS} SELECT stage, count(*) AS n FROM runs WHERE ts <= date_trunc('day', ts) + INTERVAL 18 HOUR GROUP BY stage",
     "current_runs": f"WITH {RUNS}, s AS (SELECT session, event_id // 500 AS sequence, max(event_id // 500) OVER (PARTITION BY session) AS newest FROM runs) SELECT session, count(*) AS n, max(sequence) AS sequence FROM s WHERE sequence = newest GROUP BY session",
+    "run_states": """WITH e AS (SELECT event_id, event_id // 8 AS runId, event_id % 8 AS p, epoch_us(ts) + 60000000 * ((event_id * 37) % 11) AS micros FROM events),
+  k AS (SELECT *, CASE WHEN p < 6 THEN p + CASE WHEN runId % 11 = 0 THEN 1 ELSE 0 END WHEN p = 6 THEN runId % 8 ELSE (runId * 3) % 8 END AS k, min(micros) OVER (PARTITION BY runId) + 3600000000 AS deadline FROM e),
+  s AS (SELECT *, list_extract(['run.started', 'baseline.started', 'baseline.completed', 'answer.started', 'answer.completed', 'comparison.completed', 'run.error', 'run.note'], CAST(k + 1 AS INT)) AS kind FROM k),
+  o AS (SELECT *, row_number() OVER (PARTITION BY runId ORDER BY micros, event_id, kind) AS place FROM s),
+  a AS (SELECT runId, list(CASE WHEN micros > deadline THEN 9 ELSE k END ORDER BY place) AS ks, list_filter(list(CASE WHEN micros <= deadline THEN k END ORDER BY place), lambda x: x IS NOT NULL) AS timely FROM o GROUP BY runId),
+  f AS (SELECT o.*, list_reduce(list_prepend(0, ks[: place - 1]), lambda s, x: CASE WHEN s >= 100 THEN s WHEN x IN (6, 9) THEN 100 WHEN x = s THEN CASE WHEN s = 5 THEN 100 ELSE s + 1 END ELSE s END) AS state,
+    list_reduce(list_prepend(0, timely), lambda s, x: CASE WHEN s >= 100 THEN s WHEN x = 6 THEN 100 WHEN x = s THEN CASE WHEN s = 5 THEN 100 ELSE s + 1 END ELSE s END) AS final FROM o JOIN a USING (runId))
+SELECT runId, micros, event_id, kind, CASE WHEN state >= 100 OR micros > deadline THEN 'after the end' WHEN k = 6 OR k = state THEN 'accepted' WHEN k = 7 THEN 'unknown' WHEN k < state THEN 'repeated' ELSE 'out of order' END AS verdict FROM f
+UNION ALL SELECT runId, deadline, NULL, 'run.timeout', 'timed out' FROM f WHERE place = 1 AND final < 100""",
+    "superseded_events": f"WITH {RUNS}, s AS (SELECT *, event_id // 500 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS sequence FROM runs) SELECT event_id, session, sequence, CASE WHEN sequence >= max(sequence) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) THEN 'current' ELSE 'stale' END AS verdict FROM s",
+    "limited_requests": f"WITH {RUNS} SELECT event_id, session, CASE WHEN row_number() OVER (PARTITION BY session, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 THEN 'allowed' ELSE 'denied' END AS verdict FROM runs",
     "probe_waves": f"WITH {RECORDS}, o AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM records) SELECT category, CAST(CASE WHEN k <= 3 THEN 1 ELSE 2 END AS INT) AS wave, count(*) AS n, max(id) AS last FROM o GROUP BY ALL",
     "coverage_report": f"""WITH {PROMPTS}, f AS (SELECT task_id, CASE WHEN id % 10 > 0 AND id % 7 = 0 AND id % 21 <> 1 THEN 'missing' WHEN id % 10 = 0 AND (id % 7 > 0 OR id % 21 = 1) THEN 'extra' WHEN id % 10 > 0 AND id % 7 > 0 AND id % 21 = 1 THEN 'duplicate' WHEN id % 10 > 0 AND id % 7 > 0 AND id % 12 = 5 THEN 'mismatch' END AS finding FROM prompts) SELECT * FROM f WHERE finding IS NOT NULL""",
     "dedupe_last_wins": f"WITH {RUNS} SELECT session, max(event_id) AS last, arg_max(stage, event_id) AS stage, min(event_id) AS first FROM runs GROUP BY session",
@@ -244,7 +255,7 @@ SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AN
     "excluded_prompts": rf"WITH {PROMPTS}, k AS (SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS key FROM prompts) SELECT id, key IN (SELECT trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) FROM prompts WHERE id % 20 = 0) OR key IN (SELECT key FROM k WHERE id % 30 = 0) AS excluded FROM k",
     "open_tasks": "SELECT c_custkey AS task_id, n_name AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "phrased_specs": "SELECT n_nationkey AS id, replace(p, '{}', lower(n_name)) AS prompt FROM nation CROSS JOIN (SELECT unnest(['Write a function for {}.', 'Please implement {} and {}', 'Code it']) AS p)",
-    "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
+    "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, epoch_us(started) AS started_us, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
     "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
     "canonical_templates": "SELECT o_orderpriority || '/' || (o_orderkey // 1024) % 64 || chr(10) || 'please ' || list_extract(['ship', 'bill', 'cancel', 'explain'], CAST(o_orderkey % 4 AS INT) + 1) || ' order <num> worth <num> of ' || lower(c_mktsegment) AS canonical, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "task_files": "SELECT row_number() OVER (ORDER BY n_name) - 1 AS idx, n_name AS task_id, 'Tell me of ' || n_name AS prompt FROM nation",

@@ -20,6 +20,7 @@ from ..operators import templates as G
 from ..operators import training as L
 from ..sources import readers, writers
 from ..sources.readers import table
+from ..streaming import ordered as W
 from ..streaming import runs as V
 from . import adapters as A
 
@@ -343,6 +344,26 @@ def current_runs(spark: SparkSession, sf: str) -> DataFrame:
     return V.current(e, "session", "sequence").groupBy("session").agg(F.count("*").alias("n"), F.max("sequence").alias("sequence"))
 
 
+def run_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight events a run: its stages in order (of every 11th run a stage late), one of any kind, another one, in a time that mixes them up. Runs have an hour."""
+    e = table(spark, sf, "events")
+    run, place = F.floor(F.col("event_id") / 8), F.pmod("event_id", F.lit(8))
+    at = F.when(place < 6, place + F.when(F.pmod(run, F.lit(11)) == 0, 1).otherwise(0)).when(place == 6, F.pmod(run, F.lit(8))).otherwise(F.pmod(run * 3, F.lit(8)))
+    kind = F.element_at(F.array(*map(F.lit, (*W.PATH, W.ERROR, "run.note"))), (at + 1).cast("int"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.col("event_id") * 37, F.lit(11)) * 60_000_000
+    staged = e.select(run.alias("runId"), "event_id", kind.alias("kind"), F.timestamp_micros(micros).alias("time"))
+    return W.run_states(staged, "runId", "kind", "time", "event_id", 3600).select("runId", F.unix_micros("time").alias("micros"), "event_id", "kind", "verdict")
+
+
+def superseded_events(spark: SparkSession, sf: str) -> DataFrame:
+    sequence = F.floor(F.col("event_id") / 500) - F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)
+    return W.guarded(A.runs(spark, sf).withColumn("sequence", sequence), "session", "sequence", "ts", "event_id").select("event_id", "session", "sequence", "verdict")
+
+
+def limited_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return W.limited(A.runs(spark, sf), "session", "ts", "event_id", most=2, seconds=86400).select("event_id", "session", "verdict")
+
+
 def probe_waves(spark: SparkSession, sf: str) -> DataFrame:
     return V.probe_waves(A.records(spark, sf), "category", "id").groupBy("category", "wave").agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
@@ -678,7 +699,7 @@ def phrased_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_timeouts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 6).alias("runId"), F.col("ts"), (F.col("event_id") % 4 == 3).alias("last"))
-    return V.timed_out(e, "runId", "ts", F.col("last"), 5 * 86400).select("runId", "timed_out")
+    return V.timed_out(e, "runId", "ts", F.col("last"), 5 * 86400).select("runId", F.unix_micros(F.col("started").cast("timestamp")).alias("started_us"), "timed_out")
 
 
 def failure_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -772,7 +793,7 @@ QUERIES = {
         category_histogram, task_scope, hash_features, route_scores, local_cost, route_plan, route_plan_modes, deadline_admission, remaining_share, answer_paths, final_answers, last_number, labeled_line,
         sentence_word_counts, summary_constraints, enforced_summary, confidence_filter, answer_agreement, factual_consensus, sentiment_answers, entity_lines, baseline_labels, code_answers, spec_tests,
         compact_numbers, fallback_thresholds, remote_budget, category_stats, stats_with_total, wilson_policy, confusion_metrics, safety_metrics, simulate_threshold, threshold_sweep, picked_threshold, router_gates,
-        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, late_events,
+        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, superseded_events, limited_requests, late_events,
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, template_groups, template_exclusion, grouped_split, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TASK = "task_id string, prompt string, dataset_category string"
@@ -58,15 +58,13 @@ def events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key the last in order."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """Of rows with one key the last in order (null: the first); of several such any. Each task passes on one row a key."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(order)).alias("_row")).select("_row.*")
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with one key the first in order: later writes don't replace it."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("_row")).select("_row.*")
 
 
 def merged(shards: list[DataFrame], manifest: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ def rate_limited(requests: DataFrame, key: str, time: str, tie: str, most: int =
     return requests.withColumn("window_start", start).withColumn("allowed", place <= most)
 
 
-def windowed_counts(requests: DataFrame, key: str, time: str, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Requests and denials by key and window of a stream; state of windows older than `late` is dropped."""
+def windowed_counts(requests: DataFrame, key: str, time: str, most: int = 5, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Requests and denials (all but the first `most`) by key and window of a stream; state of windows older than `late` is dropped. ordered.limited says which requests those are."""
     counts = requests.withWatermark(time, late).groupBy(key, F.window(time, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("requests"))
-    return counts.select(key, F.col("w.start").alias("window_start"), "requests")
+    return counts.select(key, F.col("w.start").alias("window_start"), "requests", F.greatest(F.col("requests") - most, F.lit(0)).alias("denied"))
 
 
 def on_time(events: DataFrame, arrived: Column, finalized: Column) -> DataFrame:
@@ -52,9 +52,9 @@ def on_time(events: DataFrame, arrived: Column, finalized: Column) -> DataFrame:
 
 
 def current(events: DataFrame, client: str, sequence: str) -> DataFrame:
-    """Events of each client's latest run only."""
-    newest = F.max(sequence).over(Window.partitionBy(client))
-    return events.withColumn("_newest", newest).filter(F.col(sequence) == F.col("_newest")).drop("_newest")
+    """Events of each client's latest run only, of all that the table holds; ordered.guarded judges by what was known at each event."""
+    newest = events.groupBy(F.col(client).alias("_client")).agg(F.max(sequence).alias("_newest"))
+    return events.join(newest, F.col(client).eqNullSafe(F.col("_client")) & (F.col(sequence) == F.col("_newest"))).drop("_client", "_newest")
 
 
 def probe_waves(pending: DataFrame, part: str, order: str, first: int = 3) -> DataFrame:

@@ -94,6 +94,8 @@ SENTENCE_SINGLE = r"\bin (a|one) (single )?sentence\b|\bone-sentence\b|\bsingle
 WORDS_LIMIT = r"(no more than|at most|maximum(?: of)?|under|fewer than|less than|within|in) (\d+) words"
 WORDS_EXACT = r"exactly (\d+) words"
 # What is masked in prompts, and wording that varies between siblings of a template.
+# Fields that may name a record's template, the first that does so.
+TEMPLATE_FIELDS = ("template_id", "template_group", "prompt_template", "template")
 MASKED_NUMBER = r"(?<!\w)(?:[$£€]\s*)?[+-]?(?:\d+(?:[.,]\d+)*)(?:%|st|nd|rd|th)?(?!\w)"
 MASKED_NAME = r"\b(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,})(?:\s+(?:[A-Z][A-Za-z'’-]*|[A-Z]{2,}))*\b"
 CODEGEN_OPENING = r"(?i)^(?:write|implement|create)\s+(?:a\s+)?python\s+function\s+(?:that|which)\s+"

@@ -1,4 +1,4 @@
-"""Text rules as columns: classification, extraction, constraints and agreement. All run inside the JVM."""
+"""Text rules as columns: classification, extraction, constraints and agreement. All run inside the JVM, but for the normal form of characters other than ASCII."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import udfs as U
 
 
 def _c(x: Column | str) -> Column:
@@ -185,9 +186,21 @@ def masked(x: Column | str) -> Column:
     return strip(F.regexp_replace(F.lower(t), P.unicode(r"\s+"), " "))
 
 
+def explicit_template(*fields: str) -> Column:
+    """`field:value` of the first of these columns that has a template's id; null if none has."""
+    return F.coalesce(*(F.when(strip(text_or_empty(f)) != "", F.concat(F.lit(f"{f}:"), strip(text_or_empty(f)))) for f in fields))
+
+
+def composed(x: Column | str) -> Column:
+    """NFKC of a text. Only texts with other than ASCII characters go to Python."""
+    t = text_or_empty(x)
+    other = U.nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t))
+    return F.coalesce(other, t)
+
+
 def canonical_template(scope: Column, prompt: Column, explicit: Column | None = None) -> Column:
-    """Scope and masked prompt, without wording that only varies between siblings; or scope and an explicit template."""
-    t, s = strip(text_or_empty(prompt)), F.lower(scope)
+    """Scope and masked prompt, without wording that only varies between siblings; or scope and an explicit template (see explicit_template)."""
+    t, s = strip(composed(prompt)), F.lower(scope)
     codegen = F.regexp_replace(t, P.CODEGEN_OPENING, "")
     body = F.regexp_extract(t, P.DEBUG_BODY, 1)
     debug = F.when(body != "", F.regexp_replace(body, P.DEBUG_CLOSING, "")).otherwise(t)

@@ -5,9 +5,6 @@ Each adapter has a DataFrame form and the SQL of a WITH clause for the same rows
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +18,6 @@ OPENINGS = (
 )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads again: in the shared one, or a local one where there is none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomspark-')}"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     """(id, task_id, prompt) from documents: an opening and the text."""
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.pmod(F.col("doc_id"), F.lit(8)) + 1).cast("int"))

@@ -9,6 +9,13 @@ from .adapters import ANSWERS, PROMPTS, RECORDS, RUNS
 LATIN = r"regexp_replace({}, '[\x{{80}}-\x{{10FFFF}}]', 'z', 'g')"
 
 
+#: The stand-in records for templates: what the rules make of their prompts.
+TEMPLATES = r"""WITH o AS (SELECT *, o_orderkey AS k, 'T' || (o_orderkey // 50) % 3 AS named FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  p AS (SELECT *, CASE WHEN k % 100 = 0 THEN 'template_id:' || named WHEN k % 50 = 0 THEN 'template_group:' || named END AS explicit,
+    'please ' || list_extract(['ship', 'bill', 'cancel', 'explain'], CAST(k % 4 AS INT) + 1) || ' order <num> worth <num> of ' || lower(c_mktsegment) || ' for ' || lower(n_name) || list_extract(['', ' final', ' with <name> # <num>', ' <name>', ''], CAST(k % 5 AS INT) + 1) AS text FROM o),
+  t AS (SELECT CAST(k AS VARCHAR) AS task_id, o_orderpriority AS scope, explicit, o_orderpriority || chr(10) || CASE WHEN explicit IS NOT NULL THEN 'explicit:' || explicit ELSE text END AS canonical FROM p)"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -257,7 +264,15 @@ SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AN
     "phrased_specs": "SELECT n_nationkey AS id, replace(p, '{}', lower(n_name)) AS prompt FROM nation CROSS JOIN (SELECT unnest(['Write a function for {}.', 'Please implement {} and {}', 'Code it']) AS p)",
     "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, epoch_us(started) AS started_us, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
     "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
-    "canonical_templates": "SELECT o_orderpriority || '/' || (o_orderkey // 1024) % 64 || chr(10) || 'please ' || list_extract(['ship', 'bill', 'cancel', 'explain'], CAST(o_orderkey % 4 AS INT) + 1) || ' order <num> worth <num> of ' || lower(c_mktsegment) AS canonical, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
+    "canonical_templates": rf"{TEMPLATES} SELECT canonical, count(*) AS n FROM t GROUP BY canonical",
+    "explicit_groups": rf"{TEMPLATES} SELECT scope, explicit, min(task_id) AS leader, count(*) AS n, count(DISTINCT canonical) AS texts FROM t WHERE explicit IS NOT NULL GROUP BY scope, explicit",
+    "split_records": rf"""WITH {RECORDS}, g AS (SELECT id, category, label, row_number() OVER (PARTITION BY category, label ORDER BY md5('7::' || task_id), task_id) AS place FROM records),
+  c AS (SELECT category, label, count(*) AS n FROM g GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY category, label) AS k, floor(n * 0.6 + 1e-9) AS a, floor(n * 0.2 + 1e-9) AS b FROM c),
+  owed AS (SELECT k.*, n - a - 2 * b AS over, round((0.6 * n - a) / n, 9) AS x, round((0.2 * n - b) / n, 9) AS y FROM k),
+  firsts AS (SELECT *, CASE WHEN over > 0 AND x >= y THEN 1 ELSE 0 END AS a1, CASE WHEN over > 0 AND x < y THEN 1 ELSE 0 END AS b1 FROM owed),
+  seconds AS (SELECT *, round((0.6 * n - a - a1) / n, 9) AS x2, round((0.2 * n - b - b1) / n, 9) AS y2, round((0.2 * n - b) / n, 9) AS z2 FROM firsts),
+  ends AS (SELECT category, label, a + a1 + CASE WHEN over > 1 AND x2 >= y2 AND x2 >= z2 THEN 1 ELSE 0 END AS train, b + b1 + CASE WHEN over > 1 AND y2 > x2 AND y2 >= z2 THEN 1 ELSE 0 END AS cal FROM seconds)
+SELECT id, CASE WHEN place <= train THEN 'train' WHEN place <= train + cal THEN 'calibration' ELSE 'test' END AS split FROM g JOIN ends USING (category, label)""",
     "task_files": "SELECT row_number() OVER (ORDER BY n_name) - 1 AS idx, n_name AS task_id, 'Tell me of ' || n_name AS prompt FROM nation",
     "truth_files": "SELECT n_name AS task_id, 'contains' AS kind, lower(n_name) AS answer FROM nation",
     "result_files": "SELECT n_name AS task_id, lower(n_name) AS answer FROM nation UNION ALL SELECT CAST(c_custkey AS VARCHAR), lower(c_name) FROM customer",

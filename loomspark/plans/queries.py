@@ -18,7 +18,7 @@ from ..operators import routing as R
 from ..operators import solve as D
 from ..operators import templates as G
 from ..operators import training as L
-from ..sources import readers, writers
+from ..sources import readers, shared, writers
 from ..sources.readers import table
 from ..streaming import ordered as W
 from ..streaming import runs as V
@@ -479,30 +479,52 @@ def code_test_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
-    """Order prompts as templates; a scope is a few thousand orders, so the sequential pass stays small."""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    verb = F.element_at(F.array(*map(F.lit, ["ship", "bill", "cancel", "explain"])), (F.pmod(F.col("o_orderkey"), F.lit(4)) + 1).cast("int"))
-    prompt = F.concat(F.lit("please "), verb, F.lit(" order "), F.col("o_orderkey").cast("string"), F.lit(" worth $"), F.round("o_totalprice", 2).cast("string"), F.lit(" of "), F.lower("c_mktsegment"))
-    scope = F.concat("o_orderpriority", F.lit("/"), F.pmod(F.floor(F.col("o_orderkey") / 1024), F.lit(64)).cast("string"))
-    return o.select(F.col("o_orderkey").cast("string").alias("task_id"), scope.alias("scope"), T.canonical_template(scope, prompt).alias("canonical"), F.when(F.col("o_orderkey") % 50 == 0, "given").alias("explicit"), F.lit("math").alias("category"), F.when(F.col("o_orderkey") % 3 == 0, "escalate").otherwise("local_ok").alias("label"))
+    """Order prompts as templates. Some are written with full-width letters, a ligature or names; every 50th names its template in one of two fields."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("o_orderkey")
+    verb = _picked(["ship", "bill", "cancel", "explain"], F.pmod(key, F.lit(4)))
+    more = _picked(["", " \ufb01nal", " with ", " \uff23\uff35\uff33\uff34\uff2f\uff2d\uff25\uff32 Ann", ""], F.pmod(key, F.lit(5)))
+    prompt = F.concat(F.lit("please "), verb, F.lit(" order "), key.cast("string"), F.lit(" worth $"), F.round("o_totalprice", 2).cast("string"), F.lit(" of "), F.lower("c_mktsegment"), F.lit(" for "), F.lower("n_name"), more, F.when(key % 5 == 2, F.col("c_name")).otherwise(""))
+    named = F.concat(F.lit(" T"), F.pmod(F.floor(key / 50), F.lit(3)).cast("string"), F.lit(" "))
+    o = o.withColumns({"template_id": F.when(key % 100 == 0, named).when(key % 50 == 0, " "), "template_group": F.when(key % 50 == 0, named)})
+    scope, explicit = F.col("o_orderpriority"), T.explicit_template("template_id", "template_group")
+    return o.select(key.cast("string").alias("task_id"), scope.alias("scope"), T.canonical_template(scope, prompt, explicit).alias("canonical"), explicit.alias("explicit"), F.col("c_mktsegment").alias("category"), F.when(key % 3 == 0, "escalate").otherwise("local_ok").alias("label"))
 
 
 def canonical_templates(spark: SparkSession, sf: str) -> DataFrame:
     return _templates(spark, sf).groupBy("canonical").agg(F.count("*").alias("n"))
 
 
+def explicit_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of records that name their template, and of those of the same wording that don't."""
+    t = _templates(spark, sf)
+    return G.groups(t.filter("explicit is not null")).groupBy("scope", "explicit", "leader").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("texts"))
+
+
 def template_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return G.groups(_templates(spark, sf)).groupBy("scope", "leader").agg(F.count("*").alias("n"))
+    return G.groups(_templates(spark, sf)).groupBy("scope", "leader").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("texts"))
 
 
 def template_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    t = _templates(spark, sf)
-    grouped = G.groups(t)
-    return G.without(grouped, G.excluded(grouped, t.filter("label = 'escalate' and task_id like '%7'").select("scope", "canonical"))).select("task_id", "leader")
+    """Records whose group is like no public prompt; the public ones are those of some orders, in other words."""
+    t = shared.written(_templates(spark, sf), "templates")
+    grouped = shared.written(G.groups(t), "grouped")
+    public = t.filter("label = 'escalate' and task_id like '%7'").select("scope", F.concat("canonical", F.lit(" now")).alias("canonical")).distinct()
+    out = shared.written(G.without(grouped, G.excluded(grouped, public)).select("task_id", "leader"), "kept")
+    shared.dropped(t, grouped)
+    return out
 
 
 def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
-    return G.split(G.groups(_templates(spark, sf))).groupBy("split", "label").agg(F.count("*").alias("n"))
+    """Records by split and stratum."""
+    grouped = shared.written(G.groups(_templates(spark, sf)), "grouped")
+    parted = G.split(grouped)
+    return parted.groupBy("split", "category", "label").agg(F.count("*").alias("n"), F.count_distinct("scope", "leader").alias("groups"))
+
+
+def split_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A split where each record is its own group."""
+    return G.split_each(A.records(spark, sf)).select("id", "split")
 
 
 def trained_router(spark: SparkSession, sf: str) -> DataFrame:
@@ -711,7 +733,7 @@ def failure_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def task_files(spark: SparkSession, sf: str) -> DataFrame:
     """A list of tasks written as one file and read as the object's array."""
-    path = A.scratch(spark, "tasks")
+    path = shared.folder(spark, "tasks")
     n = table(spark, sf, "nation").select(F.col("n_name").alias("task_id"), F.concat(F.lit("Tell me of "), "n_name").alias("prompt"))
     # one row for each task of a file, which is read whole in any case
     n.agg(F.concat(F.lit('{"tasks":'), F.to_json(F.array_sort(F.collect_list(F.struct("task_id", "prompt")))), F.lit("}")).alias("value")).write.text(path)
@@ -719,7 +741,7 @@ def task_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truth_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = A.scratch(spark, "truth")
+    path = shared.folder(spark, "truth")
     n = table(spark, sf, "nation").select(F.col("n_name").alias("k"), F.struct(F.lit("contains").alias("kind"), F.lower("n_name").alias("answer")).alias("v"))
     n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).write.text(path)
     return readers.truth(spark, path)
@@ -727,7 +749,7 @@ def truth_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
     """An array of answers as one file, and the JSON lines of a larger table, written twice over each other."""
-    path, lines = A.scratch(spark, "results"), A.scratch(spark, "lines")
+    path, lines = shared.folder(spark, "results"), shared.folder(spark, "lines")
     n = table(spark, sf, "nation").select(F.col("n_name").alias("task_id"), F.lower("n_name").alias("answer"))
     n.agg(F.to_json(F.collect_list(F.struct("task_id", "answer"))).alias("value")).write.text(path)
     for text in (F.col("c_name"), F.lower("c_name")):
@@ -737,7 +759,7 @@ def result_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_files(spark: SparkSession, sf: str) -> DataFrame:
     """Labels appended in two steps, then a line that is none: what is read of each."""
-    path, r = A.scratch(spark, "labels"), A.records(spark, sf)
+    path, r = shared.folder(spark, "labels"), A.records(spark, sf)
     for part in (r.filter("id % 2 = 0"), r.filter("id % 2 = 1")):
         writers.append_labels(part.select("task_id", "category", "label", "correct", "verified", "latency_s", F.col("completion_tokens").cast("int").alias("completion_tokens"), F.struct(F.lit(1).alias("schema_version"), F.lit(2).alias("threads")).alias("provenance")), path)
     spark.createDataFrame([('{"task_id": "x", broken',)], "value string").write.mode("append").text(path)
@@ -746,7 +768,7 @@ def label_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = A.scratch(spark, "events")
+    path = shared.folder(spark, "events")
     e = table(spark, sf, "events").select(_picked(list(V.STAGES), F.pmod(F.col("event_id") * 5, F.lit(7))).alias("type"), F.floor(F.col("event_id") / 6).cast("string").alias("runId"), F.struct(F.floor("value").cast("long").alias("totalTokens")).alias("usage"))
     writers.as_lines(e).write.text(path)
     return readers.events(spark, path).groupBy("type").agg(F.count_distinct("runId").alias("runs"), F.sum("usage.totalTokens").alias("tokens"))
@@ -795,7 +817,7 @@ QUERIES = {
         compact_numbers, fallback_thresholds, remote_budget, category_stats, stats_with_total, wilson_policy, confusion_metrics, safety_metrics, simulate_threshold, threshold_sweep, picked_threshold, router_gates,
         judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, superseded_events, limited_requests, late_events,
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
-        waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, template_groups, template_exclusion, grouped_split, trained_router,
+        waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, explicit_groups, template_groups, template_exclusion, grouped_split, split_records, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,
         runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts, records_digest,
         task_files, truth_files, result_files, label_files, event_files, upserted_runs, presolved_plan, bulk_waves, model_picks, credential_lists,

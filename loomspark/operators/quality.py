@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.shared import dropped, written
 
 HASHES = ("gguf_sha256", "solver_bundle_sha256", "labeler_sha256", "task_manifest_sha256", "expected_answers_sha256")
 
@@ -67,6 +68,36 @@ def records_digest(df: DataFrame) -> DataFrame:
     return df.select(row.alias("d")).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(F.coalesce(p, F.lit("0")) for p in parts)), 256).alias("digest"))
 
 
+#: Digests that one node of a tree is made of.
+FAN = 1024
+
+
+def tree_digest(df: DataFrame, fan: int = FAN) -> DataFrame:
+    """One row: the root of a hash tree over all rows in order of their canonical JSON (columns by name, nulls left out).
+
+    A leaf is the SHA-256 of a row's JSON; a node that of `fan` digests behind one another, level after level until one is
+    left, so no other set of rows has the digest and none of the work is in one place: rows are sorted in ranges, each
+    knows its place from the sizes of those before it, and a node is a group of at most `fan` rows. Repeated rows count.
+    The digest of no rows is that of an empty text. It depends neither on order nor on the number of partitions.
+    """
+    rows = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("row"))
+    placed = written(rows.repartitionByRange("row").sortWithinPartitions("row").select(F.sha2("row", 256).alias("digest"), F.monotonically_increasing_id().alias("id")), "leaves")
+    part, inside = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))  # a row for each range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("before"))
+    level = placed.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("before") + inside).alias("place"), "digest")
+    count = placed.count()
+    while True:
+        node = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])), 256)
+        level = level.groupBy(F.floor(F.col("place") / fan).alias("place")).agg(node.alias("digest"))
+        count = -(-count // fan)
+        if count <= 1:
+            root = written(level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest")), "root")
+            dropped(placed)
+            return root
+
+
 def bundle_digest(files: DataFrame) -> DataFrame:
     """One row: the digest of a set of files (path, digest) in order of their paths."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda s: F.concat(s["path"], F.lit("\0"), s["digest"], F.lit("\n")))

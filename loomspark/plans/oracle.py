@@ -264,6 +264,10 @@ SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AN
     "phrased_specs": "SELECT n_nationkey AS id, replace(p, '{}', lower(n_name)) AS prompt FROM nation CROSS JOIN (SELECT unnest(['Write a function for {}.', 'Please implement {} and {}', 'Code it']) AS p)",
     "run_timeouts": "WITH r AS (SELECT event_id // 6 AS runId, min(ts) AS started, min(ts) FILTER (event_id % 4 = 3) AS ended FROM events GROUP BY ALL) SELECT runId, epoch_us(started) AS started_us, coalesce(floor(epoch(ended)) - floor(epoch(started)) > 432000, TRUE) AS timed_out FROM r",
     "failure_texts": "SELECT r_regionkey, list_extract(['tests failed', 'input [5], expected 120, got 5', 'no function defined', 'input [5], expected 120, raised ZeroDivisionError(''integer division or modulo by zero''); input [0], raised ZeroDivisionError(''integer division or modulo by zero'')', 'exec: ValueError(''no'')'], CAST(r_regionkey AS INT) + 1) AS failures FROM region",
+    "snapshot_runs": f"WITH {RUNS} SELECT session, max(event_id) AS event_id, arg_max(stage, event_id) AS stage, arg_max_null(tokens, event_id) AS tokens FROM runs GROUP BY session",
+    "orders_tree_digest": """WITH r AS (SELECT '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}' AS row FROM orders),
+  l AS (SELECT row_number() OVER (ORDER BY row) - 1 AS place, sha256(row) AS digest FROM r), n AS (SELECT place // 1024 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM l GROUP BY place // 1024)
+SELECT sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM n""",
     "canonical_templates": rf"{TEMPLATES} SELECT canonical, count(*) AS n FROM t GROUP BY canonical",
     "explicit_groups": rf"{TEMPLATES} SELECT scope, explicit, min(task_id) AS leader, count(*) AS n, count(DISTINCT canonical) AS texts FROM t WHERE explicit IS NOT NULL GROUP BY scope, explicit",
     "split_records": rf"""WITH {RECORDS}, g AS (SELECT id, category, label, row_number() OVER (PARTITION BY category, label ORDER BY md5('7::' || task_id), task_id) AS place FROM records),

@@ -18,7 +18,7 @@ from ..operators import routing as R
 from ..operators import solve as D
 from ..operators import templates as G
 from ..operators import training as L
-from ..sources import readers, shared, writers
+from ..sources import readers, shared, snapshot, writers
 from ..sources.readers import table
 from ..streaming import ordered as W
 from ..streaming import runs as V
@@ -774,6 +774,18 @@ def event_files(spark: SparkSession, sf: str) -> DataFrame:
     return readers.events(spark, path).groupBy("type").agg(F.count_distinct("runId").alias("runs"), F.sum("usage.totalTokens").alias("tokens"))
 
 
+def snapshot_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot of the latest event of each session after four batches, one of them old and one given twice."""
+    e, path = A.runs(spark, sf).select("session", "event_id", "stage", "tokens"), shared.folder(spark, "snapshot")
+    for part in (1, 0, 3, 2, 2):
+        snapshot.apply(e.filter(F.pmod(F.floor(F.col("event_id") / 64), F.lit(4)) == part), path, "session", "event_id")
+    return snapshot.read(spark, path)
+
+
+def orders_tree_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.tree_digest(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
 def upserted_runs(spark: SparkSession, sf: str) -> DataFrame:
     e = A.runs(spark, sf).select("session", "event_id", "stage")
     old = writers.upsert(None, e.filter("event_id % 3 = 0"), "session", "event_id")
@@ -820,6 +832,6 @@ QUERIES = {
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, explicit_groups, template_groups, template_exclusion, grouped_split, split_records, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,
         runtime_settings, split_evaluation, recomputed_metrics, calibrated_threshold, score_metrics, labeling_report, provenance_checks, excluded_groups, excluded_prompts, open_tasks, phrased_specs, run_timeouts, failure_texts, records_digest,
-        task_files, truth_files, result_files, label_files, event_files, upserted_runs, presolved_plan, bulk_waves, model_picks, credential_lists,
+        task_files, truth_files, result_files, label_files, event_files, upserted_runs, snapshot_runs, orders_tree_digest, presolved_plan, bulk_waves, model_picks, credential_lists,
     )
 }

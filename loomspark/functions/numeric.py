@@ -92,13 +92,12 @@ def remaining_budget(timeout: Column, started: Column, cap: Column, now: Column,
 def compact_number(x: Column) -> Column:
     """Whole numbers without a point; others rounded to six places and given with six significant digits, with an exponent below -4 and from 6 on."""
     y = F.round(x, 6)
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
-    long = F.format_string("%.5e", y)
-    power = F.regexp_extract(long, r"e([+-]\d+)$", 1).cast("int")
-    out = bare(long)
-    for k in range(-4, 6):
-        out = F.when(power == k, bare(F.format_string(f"%.{5 - k}f", y))).otherwise(out)
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(out)
+    # the exponent after rounding to six digits says how many places are left; worked out once for each number
+    power = lambda v: F.substring_index(v["long"], "e", -1).cast("int")
+    plain = lambda v: F.call_function("format_string", F.concat(F.lit("%."), (5 - power(v)).cast("string"), F.lit("f")), v["y"])
+    bare = lambda t: F.regexp_replace(t, r"(\.\d*?[1-9])0+(?=e|$)|\.0+(?=e|$)", "$1")
+    told = F.transform(F.array(F.struct(y.alias("y"), F.format_string("%.5e", y).alias("long"))), lambda v: F.when(power(v).between(-4, 5), plain(v)).otherwise(v["long"]))
+    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(bare(F.get(told, F.lit(0))))
 
 
 def usage_tokens(usage: Column) -> Column:

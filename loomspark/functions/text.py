@@ -243,6 +243,11 @@ def smoke_tests(code: Column | str) -> Column:
     return F.when(F.size(names) == 1, F.coalesce(call, F.lit("[]"))).otherwise("[]")
 
 
+def snippet(x: Column | str, most: int = 300) -> Column:
+    """The beginning of a text, for a message or a log."""
+    return F.left(strip(x), F.lit(most))
+
+
 def placeholder(x: Column | str) -> Column:
     """Whether a credential looks like a template's value."""
     return text_or_empty(x).rlike("(?i)" + P.PLACEHOLDER)

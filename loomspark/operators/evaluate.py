@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import text as T
+from ..sources.readers import last_wins
 
 
 def label_matches(got: Column, expected: Column) -> Column:
@@ -48,8 +49,13 @@ def _number_equal(got: Column, expected: Column) -> Column:
     return T.numbers_equal(got, expected.try_cast("double"))
 
 
-def judged(tasks: DataFrame, results: DataFrame, truth: DataFrame) -> DataFrame:
-    """Tasks (task_id, prompt) with category, ok and via (missing, det or judge); ok is null where a judge must say."""
+def judged(tasks: DataFrame, results: DataFrame, truth: DataFrame, order: str = "idx") -> DataFrame:
+    """Tasks (task_id, prompt) with category, ok and via (missing, det or judge); ok is null where a judge must say.
+
+    Of several answers or expectations of a task the last counts: by the column `order` where a table has it, else any. So
+    each task is one row for each time it stands in tasks.
+    """
+    results, truth = (last_wins(df if order in df.columns else df.withColumn(order, F.lit(0)), "task_id", order).drop(order) for df in (results, truth))
     joined = tasks.join(results, "task_id", "left").join(truth, "task_id", "left")
     missing = T.text_or_empty("answer") == ""
     ok = F.when(missing, F.lit(False)).when(F.col("kind").isNotNull(), grade(F.col("kind"), F.col("expected"), F.col("answer"), F.col("prompt")))

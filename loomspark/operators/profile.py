@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources import readers
 from . import policy as S
 from . import quality as Q
 from . import routing as R
@@ -162,6 +163,29 @@ def checked(profile: dict, reported: DataFrame, computed: DataFrame, copies: Col
     return fixed.unionByName(metrics).unionByName(gated.select(F.concat(F.lit("gate."), "rule").alias("rule"), "ok", F.col("value").cast("string").alias("detail")))
 
 
+def training_provenance(records: DataFrame, label_files: str, solver_files: str, labeler_file: str, required_file: str | None = None, excluded_files: str | None = None) -> dict:
+    """What a profile was made of: digests of its records, files and sources, and the labels' own run.
+
+    records have one provenance; a solver, labeler or manifest that is no longer the one that it names is an error. The
+    records' digest is a tree's over all of them (quality.tree_digest); files are read by Spark, so paths may be globs.
+    """
+    spark = records.sparkSession
+    told = provenance_problems(records).first()
+    if not told["ok"]:
+        raise ValueError(f"{told['missing']} records without provenance, {told['distinct']} different ones")
+    run = records.select("provenance").first()["provenance"].asDict(recursive=True)
+    listed = lambda path: [{"path": r["path"], "sha256": r["digest"]} for r in readers.file_digests(spark, path).orderBy("path").collect()] if path else []
+    solver = listed(solver_files)
+    now = {"solver_bundle_sha256": Q.bundle_digest(readers.file_digests(spark, solver_files)).first()[0], "labeler_sha256": listed(labeler_file)[0]["sha256"], "task_manifest_sha256": listed(required_file)[0]["sha256"] if required_file else run["task_manifest_sha256"]}
+    for name, digest in now.items():
+        if run[name] != digest:
+            raise ValueError(f"{name} is not that of the labels")
+    return {
+        "schemaVersion": 1, "labelRecordsSha256": Q.tree_digest(records).first()[0], "labelRecordCount": told["records"], "labelFiles": listed(label_files), "requiredTasksSha256": now["task_manifest_sha256"], "requiredTasksPath": required_file or "",
+        "excludedTaskFiles": listed(excluded_files), "labelRun": run, "solverBundleSha256": now["solver_bundle_sha256"], "labelerSha256": now["labeler_sha256"], "solverFiles": {f["path"]: f["sha256"] for f in solver},
+    }
+
+
 def revision(profile: dict, ids: list[str]) -> str:
     """A short name of a profile: a digest of what decides its answers and of the records that it was fitted to."""
     decides = ("modelType", "dimension", "bias", "threshold", "weights")

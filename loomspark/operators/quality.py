@@ -52,6 +52,22 @@ def coverage(required: DataFrame, labeled: DataFrame) -> DataFrame:
     return joined.select("task_id", finding.alias("finding")).filter("finding is not null")
 
 
+def first_tasks(findings: DataFrame, most: int = 10) -> DataFrame:
+    """(finding, n, task_ids): how many tasks each finding has, and the first of them for a message."""
+    place = F.row_number().over(Window.partitionBy("finding").orderBy("task_id"))
+    named = findings.withColumn("place", place).filter(F.col("place") <= most).groupBy("finding").agg(F.array_sort(F.collect_list("task_id")).alias("task_ids"))
+    return findings.groupBy("finding").agg(F.count("*").alias("n")).join(named, "finding")
+
+
+def class_support(records: DataFrame, least: int = 8, least_all: int = 40) -> DataFrame:
+    """One row: records by label, and whether both labels have enough for a test. A record without one of the two labels is an error when the row is read."""
+    kinds = ("local_ok", "escalate")
+    known = F.coalesce(F.col("label").isin(*kinds), F.lit(False))
+    counted = records.agg(F.count("*").alias("n"), F.count_if(~known).alias("unlabeled"), *(F.count_if(F.col("label") == k).alias(k) for k in kinds))
+    checked = F.when(F.col("unlabeled") > 0, F.raise_error(F.concat(F.col("unlabeled").cast("string"), F.lit(" records without a label"))).cast("long")).otherwise(F.col("n"))
+    return counted.select(checked.alias("n"), *kinds, ((F.col("n") >= least_all) & (F.least(*kinds) >= least)).alias("ok"), (F.least(*kinds) == 0).alias("one_class"))
+
+
 def split_report(splits: DataFrame, every: DataFrame) -> DataFrame:
     """One row of counts that must be zero: ids in several splits, ids of no record, records in no split, repeated ids. splits: task_id, split."""
     by_id = splits.groupBy("task_id").agg(F.count("*").alias("rows"), F.count_distinct("split").alias("kinds"))
@@ -104,10 +120,10 @@ def bundle_digest(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"))
 
 
-def waived_digest(recorded: DataFrame, current: DataFrame, waived: list[str]) -> DataFrame:
-    """The bundle's digest with recorded digests for waived files and current ones for all others: equal to the recorded bundle if only those changed."""
-    joined = recorded.withColumnRenamed("digest", "was").join(current, "path")
-    return bundle_digest(joined.select("path", F.when(F.col("path").isin(waived), F.col("was")).otherwise(F.col("digest")).alias("digest")))
+def waived_digest(recorded: DataFrame, current: DataFrame, waived: DataFrame) -> DataFrame:
+    """The bundle's digest with recorded digests for waived files (path) and current ones for all others: equal to the recorded bundle if only those changed."""
+    joined = recorded.withColumnRenamed("digest", "was").join(current, "path").join(waived.select("path").distinct().withColumn("waived", F.lit(True)), "path", "left")
+    return bundle_digest(joined.select("path", F.when(F.col("waived"), F.col("was")).otherwise(F.col("digest")).alias("digest")))
 
 
 def close(a: Column, b: Column) -> Column:

@@ -183,6 +183,15 @@ def bulk_waves(pending: DataFrame, part: str, order: str, answered: Column, defi
     return waves.join(probes, part).withColumn("sent", sent).drop("_answered", "_definitive", "_some", "_final")
 
 
+def system_text(category: Column, texts: dict[str, str], style: str = "category") -> Column:
+    """The instructions that go before a prompt: none in style raw, those of its category (texts) in style category; null where there are none."""
+    if style not in ("raw", "category"):
+        raise ValueError(f"no such style: {style}")
+    if style == "raw" or not texts:
+        return F.lit(None).cast("string")
+    return F.element_at(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair)), category)
+
+
 def remote_cap(category: Column) -> Column:
     """Tokens that a hosted answer may have."""
     return N.by_name(P.REMOTE_CAPS, category, P.DEFAULT_REMOTE_CAP).cast("int")

@@ -10,26 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources.shared import dropped, written
 
 
-#: Numbers of all examples that one task may hold; up to it all epochs run there, in one job.
-ONE_TASK = 4_000_000
+#: Numbers of the examples that one packed row holds, and rows of gradients that are added up before they go to the driver.
+PACKED, ADDED = 1 << 20, 64
 
 
-def _arrays(batches, dimension: int):
-    """(row, idx, value, label) of the examples of batches."""
-    rows, places, values, labels, n = [], [], [], [], 0
+def _packed(batches):
+    """Examples (at, x, label) as few rows of arrays: a row's examples behind one another."""
+    import pyarrow as pa
+
+    def row(held):
+        sizes, at, x, y = (np.concatenate(c) for c in zip(*held))
+        columns = [pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([x.tolist()], pa.list_(pa.float64())), pa.array([y.tolist()], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["sizes", "at", "x", "label"])
+
+    held, n = [], 0
     for b in batches:
         at, x = b.column("at"), b.column("x")
-        size = np.asarray(at.value_lengths())
-        rows.append(np.repeat(np.arange(len(size)), size) + n)
-        places.append(np.asarray(at.flatten()))
-        values.append(np.asarray(x.flatten()))
-        labels.append(np.asarray(b.column("label")))
-        n += len(size)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    return tuple(np.concatenate(x) for x in (rows, places, values, labels))
+        held.append((np.asarray(at.value_lengths(), dtype=np.int32), np.asarray(at.flatten()), np.asarray(x.flatten()), np.asarray(b.column("label"))))
+        n += len(held[-1][1])
+        if n >= PACKED:
+            yield row(held)
+            held, n = [], 0
+    if held:
+        yield row(held)
+
+
+def _arrays(batch, k: int):
+    """(row, idx, value, label) of the examples of a packed row."""
+    sizes, at, x, y = (np.asarray(batch.column(c)[k].values) for c in ("sizes", "at", "x", "label"))
+    return np.repeat(np.arange(len(sizes)), sizes), at, x, y
 
 
 def _gradient(examples, w: np.ndarray, heavy: float) -> np.ndarray:
@@ -54,9 +66,10 @@ def _adam(gradient, dimension: int, epochs: int, rate: float, l2: float, norm: f
 def fit(features: DataFrame, labels: DataFrame, dimension: int = 2048, epochs: int = 350, rate: float = 0.04, l2: float = 0.0002) -> tuple[float, dict[int, float]]:
     """(bias, weights by index). features: id, idx, value; labels: id, label (1: escalate).
 
-    Each epoch is one aggregation of `dimension` sums at most; examples never leave the executors. Where all examples fit
-    one task (ONE_TASK numbers), it runs all epochs: the sums are the same. The rarer class weighs as much as the other;
-    the bias has no penalty; weights are rounded and tiny ones dropped.
+    Each epoch is one job over examples that are written once, packed in few rows: every task gives one vector of
+    `dimension` sums, and where there are many tasks ADDED vectors are one before they come to the driver. Examples never
+    leave the executors, and every size goes the same way. The rarer class weighs as much as the other; the bias has no
+    penalty; weights are rounded and tiny ones dropped.
     """
     import pyarrow as pa
 
@@ -65,29 +78,28 @@ def fit(features: DataFrame, labels: DataFrame, dimension: int = 2048, epochs: i
         raise ValueError("both labels are needed")
     heavy = (count - positives) / positives
     norm = (count - positives) + positives * heavy
-    rows = features.groupBy("id").agg(F.collect_list("idx").alias("at"), F.collect_list("value").alias("x")).join(labels, "id").select("at", "x", F.col("label").cast("double").alias("label")).cache()
+    rows = features.groupBy("id").agg(F.collect_list("idx").alias("at"), F.collect_list("value").alias("x")).join(labels, "id").select("at", "x", F.col("label").cast("double").alias("label"))
+    packed = written(rows.mapInArrow(_packed, "sizes array<int>, at array<int>, x array<double>, label array<double>"), "examples")
+    tasks = packed.rdd.getNumPartitions()
 
     def vector(g: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], ["g"])
 
-    def whole(batches):
-        examples = _arrays(batches, dimension)
-        if len(examples[3]):
-            yield vector(_adam(lambda w: _gradient(examples, w, heavy), dimension, epochs, rate, l2, norm))
+    def added(batches):
+        yield vector(sum((np.asarray(v.values) for b in batches for v in b.column("g")), np.zeros(dimension + 1)))
 
     def epoch(w: np.ndarray) -> np.ndarray:
         def sums(batches):
-            yield vector(sum((_gradient(_arrays([b], dimension), w, heavy) for b in batches), np.zeros(dimension + 1)))
+            yield vector(sum((_gradient(_arrays(b, k), w, heavy) for b in batches for k in range(b.num_rows)), np.zeros(dimension + 1)))
 
-        return np.sum([r["g"] for r in rows.mapInArrow(sums, "g array<double>").collect()], axis=0)  # a vector for each task
+        vectors, left = packed.mapInArrow(sums, "g array<double>"), tasks
+        while left > ADDED:
+            left = -(-left // ADDED)
+            vectors = vectors.repartition(left).mapInArrow(added, "g array<double>")
+        return np.sum([r["g"] for r in vectors.collect()], axis=0)
 
-    try:
-        if (rows.agg(F.sum(F.size("at"))).first()[0] or 0) <= ONE_TASK:
-            w = np.array(rows.coalesce(1).mapInArrow(whole, "g array<double>").first()["g"])
-        else:
-            w = _adam(epoch, dimension, epochs, rate, l2, norm)
-    finally:
-        rows.unpersist()
+    w = _adam(epoch, dimension, epochs, rate, l2, norm)
+    dropped(packed)
     return round(float(w[-1]), 10), {i: round(float(x), 10) for i, x in enumerate(w[:-1]) if abs(x) >= 1e-9}
 
 

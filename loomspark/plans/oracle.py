@@ -94,9 +94,9 @@ s1 AS (SELECT count(*) AS n, count(*) FILTER (NOT correct) AS failures, count(*)
 safety AS (SELECT n, failures, slow_failures, unsafe_local, {ratio('pf', 'failures', 1.0)} AS planned_recall, {ratio('ef', 'failures', 1.0)} AS final_recall, {ratio('sp', 'slow_failures', 1.0)} AS slow_planned_recall, {ratio('unsafe_local', 'n')} AS unsafe_rate FROM s1)"""
 
 
-def simulated(thresholds: str) -> str:
+def simulated(thresholds: str, policed: str | None = None) -> str:
     """simulate for every threshold, by joining each with all records."""
-    return f"""{POLICED}, t AS ({thresholds}),
+    return f"""{policed or POLICED}, t AS ({thresholds}),
 q AS (SELECT threshold, *, always OR score >= threshold AS p, verified OR trusted AS k, latency_s > 17 AS tight FROM policed CROSS JOIN t),
 a AS (SELECT threshold, count(*) AS n, sum(CASE WHEN p THEN 1.0 - 0.95::DOUBLE WHEN k OR tight THEN (CASE WHEN correct THEN 0.0 ELSE 1.0 END) ELSE 1.0 - 0.95::DOUBLE END) AS misses, CAST(count(*) FILTER (p OR NOT k) AS DOUBLE) AS escalations, CAST(count(*) FILTER (NOT p AND k) AS DOUBLE) AS kept,
   CAST(count(*) FILTER (p) AS DOUBLE) AS planned, CAST(count(*) FILTER (NOT p AND NOT k) AS DOUBLE) AS reactive, CAST(count(*) FILTER (NOT p AND NOT k AND tight) AS DOUBLE) AS risk, CAST(count(*) FILTER (NOT p AND NOT k AND tight AND NOT correct) AS DOUBLE) AS fb, count(*) FILTER (late) AS slow_failures, count(*) FILTER (late AND p) AS sp FROM q GROUP BY threshold),
@@ -104,6 +104,10 @@ sim AS (SELECT CAST(threshold AS DOUBLE) AS threshold, round(misses * (19.0::DOU
   round(planned * (19.0::DOUBLE / n), 2) AS planned_escalations, round(reactive * (19.0::DOUBLE / n), 2) AS reactive_escalations, round(risk * (19.0::DOUBLE / n), 2) AS reactive_at_risk, round(fb * (19.0::DOUBLE / n), 3) AS fallback_misses, slow_failures, {ratio('sp', 'slow_failures', 1.0)} AS slow_recall FROM a)"""
 
 
+#: The calibration split under the policy of the training split.
+CALIBRATED = f"""{RECORDS}, ps AS (SELECT category, CAST(count(*) FILTER (correct) AS DOUBLE) / count(*) AS accuracy, count(*) FILTER (NOT verified) AS unverified, count(*) FILTER (correct AND NOT verified) AS k FROM records WHERE id % 5 > 1 GROUP BY category),
+pw AS (SELECT category, CASE WHEN accuracy < 0.70 THEN 'always_escalate' WHEN unverified >= 10 AND {wilson('k', 'unverified')} >= 0.90 THEN 'trust_local' ELSE 'none' END AS decision FROM ps),
+policed AS (SELECT records.*, coalesce(decision = 'always_escalate', FALSE) AS always, coalesce(decision = 'trust_local', FALSE) AS trusted, (NOT correct AND NOT verified AND latency_s > 17) AS late FROM records LEFT JOIN pw USING (category) WHERE id % 5 = 1)"""
 ALL_THRESHOLDS = "SELECT DISTINCT score AS threshold FROM policed UNION SELECT 0.0 UNION SELECT 0.5 UNION SELECT 1.01"
 GRADED = f"""{PROMPTS}, given AS (SELECT task_id, id, {pick(["The total is 1,250.", "Mixed feelings", "Canberra is the capital", "", "Ann and Bob met", "42", "red, green and blue"], 'id % 7')} AS answer,
   CASE WHEN id % 9 > 0 THEN nullif({pick(["number", "label", "contains", "contains", "entities", "judge", "contains_all", "contains_any"], '(id * 3) % 8')}, 'judge') END AS kind FROM prompts),
@@ -125,10 +129,12 @@ TEMPLATE_NUMBER = "CAST(o_orderkey AS VARCHAR)"
 ENDED = """ended AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 = 1 THEN 'local-verified' WHEN o_orderkey % 3 = 0 THEN 'escalated' WHEN o_orderkey % 5 = 0 THEN 'local-unverified' WHEN o_orderkey % 7 = 0 AND o_orderkey % 11 > 0 THEN CASE WHEN o_orderkey % 14 = 0 THEN 'local-verified' ELSE 'local-unverified' END ELSE 'fallback' END AS path FROM orders)"""
 
 EVALUATION = f"""WITH {POLICED}, sp AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'test' WHEN id % 5 = 1 THEN 'calibration' ELSE 'train' END AS split, always OR score >= 0.5 AS p, NOT (always OR score >= 0.5) AND NOT verified AND NOT trusted AS r FROM policed),
-m AS (SELECT split, count(*) AS n, count(*) FILTER (p AND NOT correct) AS tp, count(*) FILTER (p AND correct) AS fp, count(*) FILTER (NOT p AND correct) AS tn, count(*) FILTER (NOT p AND NOT correct) AS fn, count(*) FILTER (NOT correct AND (p OR r)) AS ef, count(*) FILTER (late) AS slow, count(*) FILTER (late AND p) AS slowp, count(*) FILTER (NOT p AND NOT r AND NOT correct) AS unsafe FROM sp GROUP BY split),
+m AS (SELECT split, count(*) AS n, count(*) FILTER (p AND NOT correct) AS tp, count(*) FILTER (p AND correct) AS fp, count(*) FILTER (NOT p AND correct) AS tn, count(*) FILTER (NOT p AND NOT correct) AS fn, count(*) FILTER (NOT correct AND (p OR r)) AS ef, count(*) FILTER (late) AS slow, count(*) FILTER (late AND p) AS slowp, count(*) FILTER (NOT p AND NOT r AND NOT correct) AS unsafe,
+  sum(CASE WHEN p THEN 1.0 - 0.95::DOUBLE WHEN verified OR trusted OR latency_s > 17 THEN (CASE WHEN correct THEN 0.0 ELSE 1.0 END) ELSE 1.0 - 0.95::DOUBLE END) AS misses, count(*) FILTER (p OR r) AS escalations, count(*) FILTER (NOT p AND NOT r) AS kept, count(*) FILTER (r) AS reactive, count(*) FILTER (r AND latency_s > 17) AS risk, count(*) FILTER (r AND latency_s > 17 AND NOT correct) AS fb, count(*) FILTER (p) AS planned FROM sp GROUP BY split),
 v AS (SELECT split, unnest([{{'section': 'confusion', 'field': 'n', 'value': CAST(n AS DOUBLE)}}, {{'section': 'confusion', 'field': 'tp', 'value': CAST(tp AS DOUBLE)}}, {{'section': 'confusion', 'field': 'fp', 'value': CAST(fp AS DOUBLE)}}, {{'section': 'confusion', 'field': 'tn', 'value': CAST(tn AS DOUBLE)}}, {{'section': 'confusion', 'field': 'fn', 'value': CAST(fn AS DOUBLE)}},
   {{'section': 'confusion', 'field': 'accuracy', 'value': {ratio('tp + tn', 'n')}}}, {{'section': 'confusion', 'field': 'escalate_precision', 'value': {ratio('tp', 'tp + fp')}}}, {{'section': 'confusion', 'field': 'escalate_recall', 'value': {ratio('tp', 'tp + fn')}}}, {{'section': 'confusion', 'field': 'local_precision', 'value': {ratio('tn', 'tn + fn')}}}, {{'section': 'confusion', 'field': 'local_recall', 'value': {ratio('tn', 'tn + fp')}}},
-  {{'section': 'safety', 'field': 'planned_recall', 'value': {ratio('tp', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'final_recall', 'value': {ratio('ef', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'slow_planned_recall', 'value': {ratio('slowp', 'slow', 1.0)}}}, {{'section': 'safety', 'field': 'unsafe_rate', 'value': {ratio('unsafe', 'n')}}}]) AS e FROM m),
+  {{'section': 'safety', 'field': 'planned_recall', 'value': {ratio('tp', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'final_recall', 'value': {ratio('ef', 'tp + fn', 1.0)}}}, {{'section': 'safety', 'field': 'slow_planned_recall', 'value': {ratio('slowp', 'slow', 1.0)}}}, {{'section': 'safety', 'field': 'unsafe_rate', 'value': {ratio('unsafe', 'n')}}},
+  {{'section': 'projection', 'field': 'expected_misses', 'value': round(misses * (19.0::DOUBLE / n), 3)}}, {{'section': 'projection', 'field': 'expected_escalations', 'value': round(escalations * (19.0::DOUBLE / n), 2)}}, {{'section': 'projection', 'field': 'expected_tokens', 'value': round(escalations * (19.0::DOUBLE / n) * 180, 0)}}, {{'section': 'projection', 'field': 'local_share', 'value': round(CAST(kept AS DOUBLE) / n, 3)}}, {{'section': 'projection', 'field': 'projected_accuracy', 'value': round(1 - misses / n, 4)}}, {{'section': 'projection', 'field': 'planned_escalations', 'value': round(planned * (19.0::DOUBLE / n), 2)}}, {{'section': 'projection', 'field': 'reactive_escalations', 'value': round(reactive * (19.0::DOUBLE / n), 2)}}, {{'section': 'projection', 'field': 'reactive_at_risk', 'value': round(risk * (19.0::DOUBLE / n), 2)}}, {{'section': 'projection', 'field': 'fallback_misses', 'value': round(fb * (19.0::DOUBLE / n), 3)}}, {{'section': 'projection', 'field': 'slow_recall', 'value': {ratio('slowp', 'slow', 1.0)}}}]) AS e FROM m),
 evaluation AS (SELECT split, e.section AS section, e.field AS field, e.value AS value FROM v)"""
 
 ORACLE: dict[str, str] = {
@@ -156,7 +162,7 @@ SELECT id, turn, CASE WHEN len(ws) > 9 THEN regexp_replace(array_to_string(list_
     "answer_agreement": f"""WITH {ANSWERS}, x AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'It is the ' || answer ELSE prompt END AS other FROM answers) SELECT id, turn, {agree('answer', 'other')} AS agree, FALSE AS clash FROM x""",
     "factual_consensus": f"""WITH {ANSWERS}, x AS (SELECT *, CASE WHEN id % 5 = 0 THEN '' ELSE prompt END AS b FROM answers)
 SELECT id, turn, sha256(CASE WHEN trim(b) = '' THEN answer WHEN trim(answer) = '' THEN b WHEN {agree('answer', 'b')} OR turn % 4 = 1 THEN answer ELSE b END) AS chosen FROM x""",
-    "sentiment_answers": rf"""WITH {ANSWERS}, x AS (SELECT id, turn, {SENTIMENT_TEXT} AS t FROM answers) SELECT id, turn, nullif(lower(regexp_extract({LATIN.format('t')}, '\b(positive|negative|neutral|mixed)\b', 1, 'i')), '') AS label, CASE id % 3 WHEN 0 THEN 'Mixed. It has both p' ELSE t[1:20] END AS settled FROM x""",
+    "sentiment_answers": rf"""WITH {ANSWERS}, x AS (SELECT id, turn, {SENTIMENT_TEXT} AS t FROM answers) SELECT id, turn, nullif(lower(regexp_extract({LATIN.format('t')}, '\b(positive|negative|neutral|mixed)\b', 1, 'i')), '') AS label, CASE id % 3 WHEN 0 THEN regexp_replace(t, '^Positive', 'Mixed') ELSE t END AS settled FROM x""",
     "entity_lines": "SELECT n_name, c_custkey % 3 < 2 AS ok, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "baseline_labels": rf"""WITH {PROMPTS} SELECT CASE id % 5 WHEN 1 THEN 'escalate' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'local_ok' END AS parsed, CASE WHEN {has(LATIN.format('prompt'), P.BASELINE_HARD, 'i')} OR length(prompt) > 280 THEN 'escalate' ELSE 'local_ok' END AS simulated, count(*) AS n FROM prompts GROUP BY ALL""",
     "code_answers": f"""WITH {CODES} SELECT p_partkey, code, CASE WHEN code = '' OR k = 4 THEN '[]' WHEN k IN (0, 3) THEN '[{{"args":[[3,1,2]]}}]' WHEN k = 2 THEN '[{{"args":[5]}}]' ELSE '[{{"args":["hello"]}}]' END AS smoke FROM codes""",
@@ -173,9 +179,9 @@ SELECT category, round(accuracy, 6) AS accuracy, unverified, round(wilson, 6) AS
     "confusion_metrics": f"WITH {CONFUSION} SELECT * FROM confusion",
     "safety_metrics": f"WITH {POLICED}, {SAFETY} SELECT * FROM safety",
     "simulate_threshold": f"WITH {simulated('SELECT 0.5::DOUBLE AS threshold')} SELECT * FROM sim",
-    "threshold_sweep": f"WITH {simulated(ALL_THRESHOLDS)} SELECT threshold, expected_misses, expected_escalations, expected_tokens, local_share, slow_recall FROM sim",
+    "threshold_sweep": f"WITH {simulated(ALL_THRESHOLDS)} SELECT * FROM sim",
     "picked_threshold": f"""WITH {simulated(ALL_THRESHOLDS)}, r AS (SELECT *, expected_misses <= 1.0 AND slow_recall >= 0.9 AS fits FROM sim)
-SELECT threshold, expected_misses, expected_tokens, slow_recall FROM r ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, CASE WHEN fits THEN expected_tokens ELSE -slow_recall END, expected_misses, CASE WHEN fits THEN 0 ELSE expected_tokens END, threshold LIMIT 1""",
+SELECT * EXCLUDE (fits) FROM r ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, CASE WHEN fits THEN expected_tokens ELSE -slow_recall END, expected_misses, CASE WHEN fits THEN 0 ELSE expected_tokens END, threshold LIMIT 1""",
     "router_gates": f"""WITH {simulated('SELECT 0.5::DOUBLE AS threshold')}, {CONFUSION.partition('policed AS')[2].partition('), m AS')[2].join(['m AS', ''])}, {SAFETY},
 g AS (SELECT unnest([{{'rule': 'count', 'value': c.n::DOUBLE, 'ok': c.n >= 40}}, {{'rule': 'class_support', 'value': least(tp + fn, tn + fp)::DOUBLE, 'ok': least(tp + fn, tn + fp) >= 8}}, {{'rule': 'balanced_accuracy', 'value': balanced_accuracy, 'ok': balanced_accuracy >= 0.65}}, {{'rule': 'escalate_recall', 'value': escalate_recall, 'ok': escalate_recall >= 0.80}},
   {{'rule': 'final_recall', 'value': final_recall, 'ok': final_recall >= 0.95}}, {{'rule': 'slow_recall', 'value': slow_planned_recall, 'ok': slow_planned_recall >= 0.90}}, {{'rule': 'unsafe_rate', 'value': unsafe_rate, 'ok': unsafe_rate <= 0.02}}, {{'rule': 'misses_19', 'value': expected_misses, 'ok': expected_misses <= 2.0}}]) AS x FROM confusion c, safety s, sim)
@@ -218,7 +224,9 @@ UNION ALL SELECT runId, deadline, NULL, 'run.timeout', 'timed out' FROM f WHERE
     "stratum_counts": f"WITH {RECORDS} SELECT category, label, count(*) AS n FROM records GROUP BY ALL",
     "subset_picks": f"WITH {RECORDS}, o AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM records) SELECT category, id, CAST(k AS INT) AS k FROM o WHERE k IN (0, n // 2, n - 1)",
     "running_ids": f"WITH {RECORDS} SELECT id, category || '_' || lpad(CAST(row_number() OVER (PARTITION BY category ORDER BY id) AS VARCHAR), 6, '0') AS name FROM records",
-    "record_digests": "WITH f AS (SELECT lang || '/' || source AS path, sha256(coalesce(text, '')) AS d FROM documents), p AS (SELECT path, sha256(count(*) || ':' || CAST(sum(CAST('0x' || d[1:8] AS BIGINT)) AS BIGINT)) AS digest FROM f GROUP BY path) SELECT sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) AS digest FROM p",
+    "record_digests": "WITH f AS (SELECT lang || '/' || source AS path, sha256(coalesce(text, '')) AS d FROM documents), p AS (SELECT path, sha256(concat_ws(':', count(*), "
+    + ", ".join(f"CAST(sum(CAST('0x' || d[{8 * k + 1}:{8 * k + 8}] AS BIGINT)) AS VARCHAR)" for k in range(8))
+    + ")) AS digest FROM f GROUP BY path) SELECT sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) AS digest FROM p",
     "waived_digest": "SELECT sha256(string_agg(n_name || chr(0) || sha256(n_name) || chr(10), '' ORDER BY n_name)) AS digest FROM nation",
     "label_violations": f"""WITH {RECORDS}, v AS (SELECT unnest(CASE WHEN len(b) = 0 THEN [NULL] ELSE b END) AS rule FROM (SELECT list_filter([CASE WHEN id % 9 = 0 THEN 'label is unknown' END, CASE WHEN id % 17 = 0 THEN 'task_id is blank or untrimmed' END, CASE WHEN id % 9 = 0 THEN 'label contradicts correct' END, CASE WHEN id % 5 = 0 THEN 'category is unknown' END, CASE WHEN id % 5 = 0 THEN 'category is not the classifier''s' END, CASE WHEN id % 10 = 1 THEN 'dataset_category is unknown' END,
   CASE WHEN id % 6 = 0 THEN 'latency_s is negative or no number' END, CASE WHEN id % 11 = 0 THEN 'completion_tokens is negative or missing' END, CASE WHEN id % 8 = 0 THEN 'model is blank' END, CASE WHEN id % 7 = 0 THEN 'provenance has another schema version' END, CASE WHEN id % 13 = 0 THEN 'provenance.gguf_sha256 is no digest' END, CASE WHEN id % 14 = 0 THEN 'provenance.budget_seconds is not positive' END, CASE WHEN id % 15 = 0 THEN 'provenance.threads is not positive' END], lambda x: x IS NOT NULL) AS b FROM records)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
@@ -254,9 +262,14 @@ SELECT p_partkey, CASE k WHEN 0 THEN 'Answer: 42' WHEN 1 THEN CASE WHEN again TH
     "runtime_settings": f"""WITH {RECORDS}, t AS (SELECT * FROM records WHERE id % 5 > 1), o AS (SELECT category, count(*) AS n, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) FILTER (NOT verified) AS u, count(*) FILTER (correct AND NOT verified) AS uc, list_sort(list(completion_tokens)) AS ct, list_sort(list(latency_s)) AS lat FROM t GROUP BY category)
 SELECT category, CASE WHEN accuracy < 0.7 THEN 'always_escalate' WHEN u >= 10 AND {wilson('uc', 'u')} >= 0.9 THEN 'trust_local' ELSE 'none' END AS decision, ct[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS expected_tokens, round(lat[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1], 3) AS expected_latency FROM o""",
     "split_evaluation": EVALUATION + " SELECT split, section, field, value FROM evaluation",
-    "recomputed_metrics": EVALUATION + " SELECT section, field, NOT (field IN ('fp', 'tp', 'accuracy')) AS ok, count(*) AS n FROM evaluation GROUP BY ALL UNION ALL SELECT 'projection', unnest(['expected_misses', 'expected_escalations', 'expected_tokens', 'local_share', 'projected_accuracy', 'planned_escalations', 'reactive_escalations', 'reactive_at_risk', 'fallback_misses', 'slow_recall']), TRUE, 3",
+    "recomputed_metrics": EVALUATION + " SELECT section, field, NOT (field IN ('fp', 'tp', 'accuracy')) AS ok, count(*) AS n FROM evaluation GROUP BY ALL",
     "score_metrics": f"WITH {RECORDS}, m AS (SELECT count(*) AS n, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn FROM (SELECT score >= 0.5 AS p, label = 'escalate' AS y FROM records)) SELECT n, round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0), 3) AS accuracy, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 3) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 3) AS recall FROM m",
-    "labeling_report": f"WITH {RECORDS}, o AS (SELECT category, count(*) AS n, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 3) AS accuracy, round(avg(latency_s), 2) AS mean_latency, list_sort(list(completion_tokens)) AS ct FROM records GROUP BY ROLLUP (category)) SELECT category, n, accuracy, mean_latency, ct[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS p90_tokens FROM o",
+    "labeling_report": f"""WITH {RECORDS}, every AS (SELECT * FROM records UNION ALL SELECT * REPLACE (NULL AS category) FROM records),
+  s AS (SELECT category, count(*) AS n, count(*) FILTER (correct) AS good, count(*) FILTER (correct AND verified) AS verified_correct, count(*) FILTER (correct AND NOT verified) AS unverified_correct, count(*) FILTER (NOT verified) AS unverified_count, round(avg(latency_s), 2) AS mean_latency, list_sort(list(completion_tokens)) AS toks, list_sort(list(latency_s)) AS lats FROM every GROUP BY category)
+SELECT category, n, round(CAST(good AS DOUBLE) / n, 3) AS accuracy, verified_correct, unverified_correct, unverified_count, round(CAST(unverified_correct AS DOUBLE) / nullif(unverified_count, 0), 4) AS unverified_accuracy, round({wilson('unverified_correct', 'unverified_count')}, 4) AS unverified_wilson,
+  toks[least(n - 1, CAST(floor(0.9::DOUBLE * n) AS BIGINT)) + 1] AS p90_tokens, round(lats[least(n - 1, CAST(floor(0.9::DOUBLE * n) AS BIGINT)) + 1], 3) AS p90_latency, mean_latency FROM s""",
+    "calibrated_threshold": f"""WITH {simulated(ALL_THRESHOLDS, CALIBRATED)}, r AS (SELECT *, expected_misses <= 1.0 AND slow_recall >= 0.9 AS fits FROM sim)
+SELECT * EXCLUDE (fits) FROM r ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, CASE WHEN fits THEN expected_tokens ELSE -slow_recall END, expected_misses, CASE WHEN fits THEN 0 ELSE expected_tokens END, threshold LIMIT 1""",
     "provenance_checks": f"""WITH {RECORDS} SELECT count(*) AS records, count(*) FILTER (id % 10 = 0) AS missing, count(DISTINCT CASE WHEN id % 10 > 0 THEN id % 4 = 0 END) AS "distinct", count(*) FILTER (id % 10 = 0) = 0 AND count(DISTINCT CASE WHEN id % 10 > 0 THEN id % 4 = 0 END) = 1 AS ok FROM records""",
     "excluded_groups": "WITH e AS (SELECT n_name AS task_id FROM nation UNION ALL SELECT unnest(['', 'CHINA']) FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 1)) SELECT task_id, count(*) AS n, count(*) = 1 AND task_id <> '' AS ok FROM e GROUP BY task_id",
     "excluded_prompts": rf"WITH {PROMPTS}, k AS (SELECT id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS key FROM prompts) SELECT id, key IN (SELECT trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) FROM prompts WHERE id % 20 = 0) OR key IN (SELECT key FROM k WHERE id % 30 = 0) AS excluded FROM k",

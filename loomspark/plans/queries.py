@@ -163,7 +163,7 @@ def factual_consensus(spark: SparkSession, sf: str) -> DataFrame:
 def sentiment_answers(spark: SparkSession, sf: str) -> DataFrame:
     a = A.answers(spark, sf)
     text = F.concat(F.when(F.col("id") % 3 == 0, "Positive. It has both positive and negative sides: ").when(F.col("id") % 3 == 1, "NEUTRAL. ").otherwise("Unclear. "), F.col("answer"))
-    return a.select("id", "turn", T.sentiment_label(text).alias("label"), F.left(T.settled_sentiment(text), F.lit(20)).alias("settled"))
+    return a.select("id", "turn", T.sentiment_label(text).alias("label"), T.settled_sentiment(text).alias("settled"))
 
 
 def entity_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,11 +242,11 @@ def simulate_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sweep(_policed(spark, sf)).select("threshold", "expected_misses", "expected_escalations", "expected_tokens", "local_share", "slow_recall")
+    return S.sweep(_policed(spark, sf))
 
 
 def picked_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return S.pick(S.sweep(_policed(spark, sf))).select("threshold", "expected_misses", "expected_tokens", "slow_recall")
+    return S.pick(S.sweep(_policed(spark, sf)))
 
 
 def router_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,16 +421,16 @@ def running_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def record_digests(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "source").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
-    # count and sum of digests: of fixed size, whatever the number of documents and their order
-    part = F.conv(F.substring("d", 1, 8), 16, 10).cast("long")
-    by_path = d.groupBy("path").agg(F.sha2(F.concat_ws(":", F.count("*"), F.sum(part)), 256).alias("digest"))
+    # count and sums of the digests' parts: of fixed size, whatever the number of documents and their order
+    parts = [F.sum(F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(8)]
+    by_path = d.groupBy("path").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
     return Q.bundle_digest(by_path)
 
 
 def waived_digest(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     recorded, now = n.select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("digest")), n.select(F.col("n_name").alias("path"), F.sha2(F.concat("n_name", F.when(F.col("n_nationkey") == 3, "x").otherwise("")), 256).alias("digest"))
-    return Q.waived_digest(recorded, now, [n.filter("n_nationkey = 3").first()["n_name"]])
+    return Q.waived_digest(recorded, now, n.filter("n_nationkey = 3").select(F.col("n_name").alias("path")))
 
 
 def label_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,7 +639,8 @@ def request_statuses(spark: SparkSession, sf: str) -> DataFrame:
     p = A.prompts(spark, sf)
     kind = F.when(F.col("id") % 10 == 0, "text/plain").otherwise("Application/JSON; charset=utf-8")
     label, score = F.when(F.col("id") % 7 == 0, "maybe").otherwise("escalate"), F.when(F.col("id") % 9 == 0, "1.5").otherwise("0.25")
-    body = F.concat(F.lit('{"prompt":'), F.to_json(F.array("prompt")).substr(F.lit(2), F.length(F.to_json(F.array("prompt"))) - 2), F.lit(',"category":"math","localDecision":{"label":"'), label, F.lit('","pEscalate":'), score, F.lit(',"threshold":0.5,"latencyMs":3,"revision":" r1 "}}'))
+    quoted = F.trim(F.to_json(F.array("prompt")), F.lit("[]"))  # a quoted text, which no bracket begins or ends
+    body = F.concat(F.lit('{"prompt":'), quoted, F.lit(',"category":"math","localDecision":{"label":"'), label, F.lit('","pEscalate":'), score, F.lit(',"threshold":0.5,"latencyMs":3,"revision":" r1 "}}'))
     return p.groupBy(B.rejected(kind, body).alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -663,7 +664,7 @@ def runtime_settings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    return O.evaluation(_splits(spark, sf), _decisions(spark), THRESHOLD).filter("section <> 'projection'")
+    return O.evaluation(_splits(spark, sf), _decisions(spark), THRESHOLD)
 
 
 def recomputed_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -676,7 +677,7 @@ def recomputed_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def calibrated_threshold(spark: SparkSession, sf: str) -> DataFrame:
     s = _splits(spark, sf)
-    return O.calibrated(s.filter("split = 'train'"), s.filter("split = 'calibration'")).select("threshold")
+    return O.calibrated(s.filter("split = 'train'"), s.filter("split = 'calibration'"))
 
 
 def score_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -684,7 +685,7 @@ def score_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labeling_report(spark: SparkSession, sf: str) -> DataFrame:
-    return O.labeling_report(A.records(spark, sf)).select("category", "n", "accuracy", "mean_latency", "p90_tokens")
+    return O.labeling_report(A.records(spark, sf))
 
 
 def provenance_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -754,7 +755,7 @@ def result_files(spark: SparkSession, sf: str) -> DataFrame:
     n.agg(F.to_json(F.collect_list(F.struct("task_id", "answer"))).alias("value")).write.text(path)
     for text in (F.col("c_name"), F.lower("c_name")):
         writers.write_json(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("task_id"), text.alias("answer")), lines)
-    return readers.results(spark, path).unionByName(spark.read.schema(readers.RESULT).json(lines))
+    return readers.results(spark, path).drop("idx").unionByName(spark.read.schema(readers.RESULT).json(lines))
 
 
 def label_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,7 +41,8 @@ def labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT).option("multiLine", True).json(path)
+    """Answers of JSON arrays with their place as idx, so that of several of one task the last is known."""
+    return spark.read.schema(RESULT).option("multiLine", True).json(path).withColumn("idx", F.monotonically_increasing_id())
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +69,20 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def merged(shards: list[DataFrame], manifest: DataFrame) -> DataFrame:
-    """Shards of labels in the manifest's order (task_id, idx). Differing records of one task, or a task too many or missing, are an error."""
+    """Shards of labels in the manifest's order (task_id, idx). Differing records of one task, or a task too many or missing, are an error when the rows are read.
+
+    Where records have a provenance, one without it or two different ones are an error at once: all shards must be of one run.
+    """
     every = shards[0]
     for s in shards[1:]:
         every = every.unionByName(s)
     columns = [c for c in every.columns if c != "task_id"]
-    one = every.groupBy("task_id").agg(*(F.first(c).alias(c) for c in columns), F.count_distinct(F.xxhash64(*columns)).alias("_kinds"))
+    if "provenance" in columns:
+        told = F.to_json("provenance")
+        seen = every.agg(F.count_if(F.col("provenance").isNull()).alias("without"), F.min(told).alias("least"), F.max(told).alias("most")).first()
+        if seen["without"] or seen["least"] != seen["most"]:
+            raise ValueError(f"{seen['without']} labels without provenance" if seen["without"] else "labels of different provenance")
+    one = every.groupBy("task_id").agg(*(F.first(c).alias(c) for c in columns), F.count_distinct(F.struct(*columns)).alias("_kinds"))
     joined = one.withColumn("_has", F.lit(1)).join(manifest.select("task_id", "idx"), "task_id", "full_outer")
     fault = F.when(F.col("_has").isNull(), "no label").when(F.col("idx").isNull(), "not in the manifest").when(F.col("_kinds") > 1, "labels differ")
     checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.col("task_id"), F.lit(": "), fault)).cast("long")).otherwise(F.col("idx"))

@@ -183,7 +183,8 @@ def test_training_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
     rows = [(k, i, float(r.random())) for k in range(60) for i in r.sample(range(20), 5)]
     features, labels = spark.createDataFrame(rows, "id long, idx int, value double").repartition(3), spark.createDataFrame([(k, k % 3 == 0) for k in range(60)], "id long, b boolean").selectExpr("id", "cast(b as int) label")
     one = L.fit(features, labels, 20, epochs=6)
-    monkeypatch.setattr(L, "ONE_TASK", 0)
+    monkeypatch.setattr(L, "PACKED", 3)
+    monkeypatch.setattr(L, "ADDED", 2)
     many = L.fit(features, labels, 20, epochs=6)
     assert one[0] == pytest.approx(many[0], abs=1e-7) and one[1] == pytest.approx(many[1], abs=1e-7)
 

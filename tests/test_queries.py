@@ -50,16 +50,19 @@ def test_entry_without_the_corpus_modules(monkeypatch):
     def without(missing):
         def found(name, *a):
             if name == missing:
-                raise ImportError(name)
+                raise ModuleNotFoundError(name, name=name)
             return load(name, *a)
 
         monkeypatch.setattr(importlib, "import_module", found)
 
-    # the folder is gone, or something that it needs
     without("loomspark.llm.queries")
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
     without("corpus_pipeline")
     assert "pipeline" not in entry.queries()
+    # what they need is another matter
+    monkeypatch.setattr(importlib, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("zstandard", name="zstandard")))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
 
 
 def test_trained_router_uses_the_operator_s_defaults(spark, sf, monkeypatch):

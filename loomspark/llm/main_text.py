@@ -2,10 +2,13 @@
 
 Every node gets a density: its characters per tag, adjusted by how much of the text is links, times a weight. The weight
 tells what its name, role and class say of it: 0 for what is never an article (menus, page headers and footers, sidebars,
-notices, adverts, forms, reader comments), WEAK where a class only hints at that, else 1; it holds for all below. A node's
-sum adds the densities of its children, and the article is around the node with the greatest sum. The least density on
-the path from there to the body is the threshold: what is beside the path counts as text if it or its children together
-are as dense, if it holds a main heading, or if it is a paragraph, heading, list or the like.
+notices, adverts, forms, reader comments), WEAK where a class only hints at that, else 1; it holds for all below. A name
+has no say over a node that holds what the page has to read: a wrapper around paragraphs beside which there is next to
+nothing gets weight 1. A node's sum adds the densities of its children, and the article is around the node with the
+greatest sum. The least density on the path from there to the body is the threshold: what is beside the path counts as
+text if it or its children together are as dense, if it holds a main heading, or if it is a paragraph, heading or the
+like. Where a `main`, or else the page's only `article`, holds most of the text, the article is in it, and what lies
+outside of it is no text but for a main heading.
 """
 
 from __future__ import annotations
@@ -49,7 +52,12 @@ ROOTS = frozenset(["html", "body", "main", "article"])
 LINK_PART = 0.6
 MENUS = frozenset("ul ol dl menu dir table div section".split())
 #: Blocks of running text, which count beside the densest node however short they are.
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol dl table figure figcaption details summary li dt dd".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption details summary li dt dd".split())
+#: Words of a class that name reader comments, whose weight stays 0 however much they hold; elements whose weight a name gives.
+READERS = frozenset("comment comments comentarios kommentare commentaires disqus respond reply replies discussion".split())
+NAMED = frozenset("div section article main span center td aside dialog".split())
+#: What a wrapper holds for its name to have no say: so many paragraphs of so many characters, and so many times the text outside.
+PARAGRAPHS, LONG, TIMES = 3, 80, 4
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -153,10 +161,11 @@ def weight(tag: str, attributes: dict[str, str], in_article: bool) -> float | No
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "weight", "article", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "own", "weight", "article", "readers", "out", "chars", "tags", "link_chars", "link_tags", "shown", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, weight: float, article: bool):
-        self.tag, self.parent, self.weight, self.article, self.out = tag, parent, weight, article, False
+    def __init__(self, tag: str, parent: Node | None, own: float, article: bool, readers: bool = False):
+        self.tag, self.parent, self.own, self.article, self.readers, self.out = tag, parent, own, article, readers, False
+        self.weight = own * (parent.weight if parent else 1.0)
         self.parts: list[str | Node] = []
 
 
@@ -198,7 +207,7 @@ def parse(page: str) -> Node:
                 if hidden >= len(open_.nodes):
                     hidden = 0
             elif x == "p" and not hidden:
-                top.parts.append(Node("p", top, top.weight, top.article))
+                top.parts.append(Node("p", top, 1.0, top.article))
             continue
         if x == "html" or x in ("body", "form") and open_.last(x):
             continue
@@ -218,7 +227,8 @@ def parse(page: str) -> Node:
                 hidden = 0
         top = open_.nodes[-1]
         own = None if hidden else weight(x, attributes, top.article)
-        node = Node(x, top, top.weight * (own or 0.0), top.article or x in ("article", "main"))
+        readers = own == 0 and any(w.lower() in READERS for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+        node = Node(x, top, own or 0.0, top.article or x in ("article", "main"), readers)
         if own is not None:
             top.parts.append(node)
         if x not in VOID and "/" not in attributes:
@@ -238,6 +248,13 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _show(nodes: list[Node]) -> None:
+    """The characters below each node that are no link and have a weight. nodes: parents first."""
+    for n in reversed(nodes):
+        own = sum(len(p) - p.count(" ") - p.count("\n") for p in n.parts if isinstance(p, str))
+        n.shown = own + sum(p.shown for p in n.parts if not isinstance(p, str)) if n.weight and n.tag != "a" else 0
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, density and sum of every node."""
     nodes = _order(root)
@@ -254,11 +271,13 @@ def measure(root: Node) -> list[Node]:
         if n.tag == "a":
             n.link_chars = n.chars
     body = next((n for n in nodes if n.tag == "body"), root)
-    # a form around most of the page is no form of its own
-    for n in nodes:
-        if n.tag == "form" and n.weight == 0 and (n.parent is None or n.parent.weight) and 2 * n.chars > body.chars and any(p.tag in ("p", "article", "main") for p in _order(n)):
-            for p in _order(n):
-                p.weight = 1.0 if p.tag != "form" and p.tag not in APART or p is n else p.weight
+    _show(nodes)
+    wrapper = next((n for n in nodes if _wraps(n, body)), None)
+    if wrapper is not None:
+        wrapper.own = 1.0
+        for n in _order(wrapper):
+            n.weight = n.own * (n.parent.weight if n.parent else 1.0)
+        _show(nodes)
     share = body.link_chars / body.chars if body.chars else 0.0
     for n in nodes:
         n.density = 0.0
@@ -272,23 +291,55 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _wraps(n: Node, body: Node) -> bool:
+    """Whether a node of weight 0 is around what the page has to read: a form with most of the characters, or a named wrapper of paragraphs beside which little is."""
+    if n.weight or n.parent is not None and not n.parent.weight:
+        return False
+    below = _order(n)
+    if n.tag == "form":
+        return 2 * n.chars > body.chars and any(p.tag in ("p", "article", "main") for p in below)
+    if n.tag not in NAMED or n.readers or n.chars - n.link_chars <= TIMES * body.shown:
+        return False
+    long = sum(p.tag == "p" and p.chars - p.link_chars >= LONG for p in below)
+    return long >= PARAGRAPHS or any(p.tag in ("h1", "article", "main") and p.chars for p in below) and long > 0
+
+
+def _bounds(nodes: list[Node]) -> Node | None:
+    """The first main, or else the page's only article, if it holds most of the text that is no link and has a weight."""
+    mains, articles = ([n for n in nodes if n.tag == tag] for tag in ("main", "article"))
+    found = next(iter(mains), articles[0] if len(articles) == 1 else None)
+    return found if found is not None and 2 * found.shown > nodes[0].shown else None
+
+
 def _menu(n: Node) -> bool:
     return n.tag in MENUS and n.link_tags > 1 and n.link_chars > LINK_PART * n.chars
 
 
+def _heads(n: Node) -> bool:
+    return any(x.tag == "h1" and x.chars for x in _order(n))
+
+
 def article(root: Node) -> tuple[Node, set[int]] | None:
     """The node around the main text, and the nodes (by identity) whose lists of links are text; what is beside the article and no text is marked as left out."""
     nodes = [n for n in measure(root) if n.chars and n.weight]
     if not nodes:
         return None
-    best = max(nodes, key=lambda n: (n.sum, n.density, n.chars))
+    best, bounds = max(nodes, key=lambda n: (n.sum, n.density, n.chars)), _bounds(nodes)
+    around = bounds
+    while around is not None and around is not best:
+        around = around.parent
+    best = bounds if around is not None else best  # the densest node is around the bounds: few of its children are the article
     path = [best]
     while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
     for n in path[1:]:
         n.out = False
+    outside = False
     for inner, n in zip(path, path[1:]):
+        outside = outside or inner is bounds
+        if outside:
+            n.parts = [p for p in n.parts if p is inner or not isinstance(p, str) and _heads(p)]
         loose = [p for p in n.parts if isinstance(p, str) or p is not inner and not p.out and p.tag not in BLOCK]
         links = [p.link_chars for p in loose if not isinstance(p, str)]
         if sum(links) > LINK_PART * sum(len("".join(p.split())) if isinstance(p, str) else p.chars for p in loose):
@@ -298,7 +349,7 @@ def article(root: Node) -> tuple[Node, set[int]] | None:
             # what is beside the path is text if it is dense itself or holds dense parts; lines of text and headings need not be
             if not isinstance(p, str) and p is not inner and not p.out and p.chars:
                 text = p.tag not in BLOCK or p.tag in TEXT and p.weight == n.weight
-                p.out = not text and max(p.density, p.sum) < threshold and not any(x.tag == "h1" and x.chars for x in _order(p))
+                p.out = not text and max(p.density, p.sum) < threshold and not _heads(p)
     return path[-1], {id(n) for n in _order(best)} if best.tag not in ("body", "html") else set()
 
 

@@ -286,6 +286,62 @@ def test_links_of_an_article_are_text(tag):
     assert main_text.main_text(page) == "\n".join(["Text of some length, with no link at all.", f"{lines[0]} and {lines[1]}", *lines, *lines[:2]])
 
 
+def random_page(r, depth=0):
+    """A random tree of elements, names and texts."""
+    words = lambda n: " ".join(r.choices(["one", "two", "three&amp;", "und", "weiter", "a"], k=n))
+    out = []
+    for _ in range(r.randint(1, 4 if depth < 3 else 2)):
+        kind = r.random()
+        if depth > 4 or kind < 0.25:
+            out.append(words(r.choice([0, 1, 6, 40])))
+        elif kind < 0.35:
+            out.append(f"<a href=x>{words(r.randint(1, 8))}</a>")
+        elif kind < 0.6:
+            out.append(f"<p>{words(r.choice([2, 20, 45]))}</p>")
+        else:
+            tag = r.choice(["div", "div", "div", "section", "article", "main", "ul", "li", "table", "nav", "footer", "aside", "form", "span", "h1", "h2", "blockquote", "header", "b"])
+            name = r.choice(["", "", "", "", " class=ad", " class='content comments'", " class=modal", " class='side x'", " role=banner", " class=banner"])
+            out.append(f"<{tag}{name}>{random_page(r, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_main_text_is_the_plain_one():
+    r = random.Random(12)
+    found = 0
+    for k in range(1500):
+        page = f"<html><body>{random_page(r)}</body></html>"
+        plain = brute.Plain(main_text.parse(page)).text()
+        assert main_text.main_text(page) == plain, page
+        found += bool(plain)
+    assert found > 1000
+
+
+LINE = "A sentence of the text, long enough to be one of many that a reader meets on a page like this one here."
+PARAGRAPHS = "".join(f"<p>{LINE} Number {k}.</p>" for k in range(6))
+MANY = "\n".join(f"{LINE} Number {k}." for k in range(6))
+MENU = "<nav><a href=a>Home</a><a href=b>About</a></nav>"
+
+
+@pytest.mark.parametrize("name", ["banner", "modal", "popup overlay", "cookie"])
+def test_a_name_has_no_say_over_the_article(name):
+    assert main_text.main_text(f"<body>{MENU}<div class='{name}'>{PARAGRAPHS}</div><footer>x</footer></body>") == MANY
+    inner = f"<article><h1>Top</h1>{PARAGRAPHS}<div class=ad>Buy this.</div></article>"
+    assert main_text.main_text(f"<body>{MENU}<div class='{name}'>{inner}</div><p>outside</p></body>") == f"Top\n{MANY}"
+    # beside an article it is what it says, and comments always are
+    assert main_text.main_text(f"<body><div class='{name}'>{PARAGRAPHS}</div><article><p>{LINE}</p><p>{LINE}</p></article></body>") == f"{LINE}\n{LINE}"
+    assert main_text.main_text(f"<body><article><p>{LINE}</p></article><div class=comments>{PARAGRAPHS}</div></body>") == LINE
+    assert main_text.main_text(f"<body>{MENU}<div class=comments>{PARAGRAPHS}</div></body>") == ""
+
+
+@pytest.mark.parametrize("advert", ["<p>Buy our wonderful cheese now, it is very good.</p>", "<ul><li>Buy our cheese now</li><li>and our wine</li></ul>", "<table><tr><td>Buy our wonderful cheese</td></tr></table>", "<div>Buy our wonderful cheese now, it is very good.</div>", "Buy cheese"])
+def test_what_is_outside_of_main_is_no_text(advert):
+    for tag in ("main", "article"):
+        for inner, want in ((PARAGRAPHS, MANY), (f"<p>{LINE}</p>", LINE), (f"<div><div>{PARAGRAPHS}</div><p>End.</p></div>", f"{MANY}\nEnd.")):
+            for page in (f"{advert}<{tag}>{inner}</{tag}>", f"<{tag}>{inner}</{tag}>{advert}", f"<div><{tag}>{inner}</{tag}></div>{advert}"):
+                assert main_text.main_text(f"<body>{MENU}{page}</body>") == want
+                assert main_text.main_text(f"<body><div><h1>Top</h1></div>{page}</body>") == f"Top\n{want}"
+
+
 def test_main_text_of_tables(spark, sf):
     import html
     import re

@@ -70,38 +70,44 @@ def planned(threshold: float) -> Column:
     return F.col("always") | (F.col("score") >= threshold)
 
 
+def confusion_sums(threshold: float) -> list[Column]:
+    p, y = planned(threshold), ~F.col("correct")
+    return [F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn")]
+
+
+def confusion_fields(c=F.col) -> dict[str, Column]:
+    tp, fp, tn, fn = (c(x) for x in ("tp", "fp", "tn", "fn"))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {
+        "tp": tp, "fp": fp, "tn": tn, "fn": fn, "n": tp + fp + tn + fn, "accuracy": N.share(tp + tn, tp + fp + tn + fn), "escalate_precision": N.share(tp, tp + fp), "escalate_recall": N.share(tp, tp + fn),
+        "local_precision": N.share(tn, tn + fn), "local_recall": N.share(tn, tn + fp), "balanced_accuracy": F.round((rate(tp, tp + fn) + rate(tn, tn + fp)) / 2, 4),
+    }
+
+
 def confusion(records: DataFrame, threshold: float) -> DataFrame:
     """One row: the confusion matrix of escalating what is planned, and ratios from it. records: with_policy."""
-    p, y = planned(threshold), ~F.col("correct")
-    m = records.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return m.select(
-        "*",
-        (tp + fp + tn + fn).alias("n"),
-        N.share(tp + tn, tp + fp + tn + fn).alias("accuracy"),
-        N.share(tp, tp + fp).alias("escalate_precision"),
-        N.share(tp, tp + fn).alias("escalate_recall"),
-        N.share(tn, tn + fn).alias("local_precision"),
-        N.share(tn, tn + fp).alias("local_recall"),
-        F.round((F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)) + F.coalesce(F.try_divide(tn, tn + fp), F.lit(0.0))) / 2, 4).alias("balanced_accuracy"),
-    )
+    return records.agg(*confusion_sums(threshold)).select(*(v.alias(k) for k, v in confusion_fields().items()))
 
 
-def safety(records: DataFrame, threshold: float) -> DataFrame:
-    """One row: which failures are escalated up front or after a failed check, and which wrong answers stay."""
+def safety_sums(threshold: float) -> list[Column]:
     p, ok, seen = planned(threshold), F.col("correct"), F.col("verified")
     reactive, late = ~p & ~seen & ~F.col("trusted"), slow_failure(ok, seen, F.col("latency_s"))
-    m = records.agg(
+    return [
         F.count("*").alias("n"), F.count_if(~ok).alias("failures"), F.count_if(~ok & p).alias("planned_failures"), F.count_if(~ok & (p | reactive)).alias("escalated_failures"),
         F.count_if(late).alias("slow_failures"), F.count_if(late & p).alias("slow_planned"), F.count_if(~p & ~reactive & ~ok).alias("unsafe_local"),
-    )
-    return m.select(
-        "n", "failures", "slow_failures", "unsafe_local",
-        N.share(F.col("planned_failures"), F.col("failures"), 1.0).alias("planned_recall"),
-        N.share(F.col("escalated_failures"), F.col("failures"), 1.0).alias("final_recall"),
-        N.share(F.col("slow_planned"), F.col("slow_failures"), 1.0).alias("slow_planned_recall"),
-        N.share(F.col("unsafe_local"), F.col("n")).alias("unsafe_rate"),
-    )
+    ]
+
+
+def safety_fields(c=F.col) -> dict[str, Column]:
+    return {
+        "n": c("n"), "failures": c("failures"), "slow_failures": c("slow_failures"), "unsafe_local": c("unsafe_local"), "planned_recall": N.share(c("planned_failures"), c("failures"), 1.0),
+        "final_recall": N.share(c("escalated_failures"), c("failures"), 1.0), "slow_planned_recall": N.share(c("slow_planned"), c("slow_failures"), 1.0), "unsafe_rate": N.share(c("unsafe_local"), c("n")),
+    }
+
+
+def safety(records: DataFrame, threshold: float) -> DataFrame:
+    """One row: which failures are escalated up front or after a failed check, and which wrong answers stay."""
+    return records.agg(*safety_sums(threshold)).select(*(v.alias(k) for k, v in safety_fields().items()))
 
 
 def _parts(accuracy: float) -> dict[str, tuple[Column, Column]]:
@@ -119,22 +125,28 @@ def _parts(accuracy: float) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def _projection(size: int, tokens: float) -> list[Column]:
-    c, n = F.col, F.col("n")
+def projection_fields(size: int = 19, tokens: float = 180.0, c=F.col) -> dict[str, Column]:
+    n = c("n")
     scale = F.lit(float(size)) / n
-    return [
-        F.round(c("misses") * scale, 3).alias("expected_misses"), F.round(c("escalations") * scale, 2).alias("expected_escalations"), F.round(c("escalations") * scale * tokens, 0).alias("expected_tokens"),
-        F.round(c("kept") / n, 3).alias("local_share"), F.round(1 - c("misses") / n, 4).alias("projected_accuracy"), F.round(c("planned") * scale, 2).alias("planned_escalations"),
-        F.round(c("reactive") * scale, 2).alias("reactive_escalations"), F.round(c("at_risk") * scale, 2).alias("reactive_at_risk"), F.round(c("fallback") * scale, 3).alias("fallback_misses"),
-        c("slow").cast("long").alias("slow_failures"), F.round(F.coalesce(F.try_divide(c("slow_planned"), c("slow")), F.lit(1.0)), 4).alias("slow_recall"),
-    ]
+    return {
+        "expected_misses": F.round(c("misses") * scale, 3), "expected_escalations": F.round(c("escalations") * scale, 2), "expected_tokens": F.round(c("escalations") * scale * tokens, 0), "local_share": F.round(c("kept") / n, 3),
+        "projected_accuracy": F.round(1 - c("misses") / n, 4), "planned_escalations": F.round(c("planned") * scale, 2), "reactive_escalations": F.round(c("reactive") * scale, 2), "reactive_at_risk": F.round(c("at_risk") * scale, 2),
+        "fallback_misses": F.round(c("fallback") * scale, 3), "slow_failures": c("slow").cast("long"), "slow_recall": F.round(F.coalesce(F.try_divide(c("slow_planned"), c("slow")), F.lit(1.0)), 4),
+    }
+
+
+def projection_sums(threshold: float, accuracy: float = 0.95) -> list[Column]:
+    p = planned(threshold)
+    return [F.count("*").alias("n"), *(F.sum(F.when(p, a).otherwise(b)).alias(k) for k, (a, b) in _parts(accuracy).items())]
+
+
+def _projection(size: int, tokens: float) -> list[Column]:
+    return [v.alias(k) for k, v in projection_fields(size, tokens).items()]
 
 
 def simulate(records: DataFrame, threshold: float, size: int = 19, tokens: float = 180.0, accuracy: float = 0.95) -> DataFrame:
     """One row: misses, escalations and tokens to expect of `size` tasks. records: with_policy."""
-    p = planned(threshold)
-    sums = [F.sum(F.when(p, a).otherwise(b)).alias(k) for k, (a, b) in _parts(accuracy).items()]
-    return records.agg(F.count("*").alias("n"), *sums).select(F.lit(threshold).alias("threshold"), *_projection(size, tokens))
+    return records.agg(*projection_sums(threshold, accuracy)).select(F.lit(threshold).alias("threshold"), *_projection(size, tokens))
 
 
 #: Steps of the score between which running sums are carried over.

@@ -33,19 +33,16 @@ def calibrated(train: DataFrame, calibration: DataFrame, most_misses: float = 1.
     return S.pick(S.sweep(S.with_policy(calibration, S.policy(train))), most_misses)
 
 
-def _long(row: DataFrame, section: str) -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in REPORTED[section]))
-    return row.select(F.lit(section).alias("section"), F.explode(fields).alias("f")).select("section", "f.field", "f.value")
-
-
 def evaluation(scored: DataFrame, decisions: DataFrame, threshold: float) -> DataFrame:
-    """(split, section, field, value) of every split. scored: records with split and score; decisions: category, decision."""
-    known = S.with_policy(scored, decisions)
-    parts = []
-    for name in SPLITS:
-        own = known.filter(F.col("split") == name)
-        parts += [_long(f(own, threshold), s).select(F.lit(name).alias("split"), "section", "field", "value") for s, f in (("confusion", S.confusion), ("safety", S.safety), ("projection", S.simulate))]
-    return reduce(DataFrame.unionByName, parts)
+    """(split, section, field, value) of every split that has records, in one aggregation. scored: records with split and score; decisions: category, decision."""
+    known = S.with_policy(scored, decisions).filter(F.col("split").isin(*SPLITS))
+    sections = {"confusion": (S.confusion_sums(threshold), S.confusion_fields), "safety": (S.safety_sums(threshold), S.safety_fields), "projection": (S.projection_sums(threshold), lambda c: S.projection_fields(c=c))}
+    sums = known.groupBy("split").agg(*(F.struct(*columns).alias(section) for section, (columns, _) in sections.items()))
+    values = []
+    for section, (_, fields) in sections.items():
+        told = fields(lambda name, section=section: F.col(f"{section}.{name}"))
+        values += [F.struct(F.lit(section).alias("section"), F.lit(f).alias("field"), told[f].cast("double").alias("value")) for f in REPORTED[section]]
+    return sums.select("split", F.explode(F.array(*values)).alias("v")).select("split", "v.*")
 
 
 def recomputed(reported: DataFrame, computed: DataFrame) -> DataFrame:

@@ -301,3 +301,6 @@ SELECT id, CASE WHEN place <= train THEN 'train' WHEN place <= train + cal THEN
     "model_picks": "SELECT 'distinct' AS kind, 'org/' || lower(s_name) AS model, s_suppkey AS idx FROM supplier WHERE s_suppkey = 2 UNION ALL SELECT 'configured', 'org/' || lower(s_name), s_suppkey FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT * FROM (SELECT 'last', 'org/' || lower(s_name), s_suppkey FROM supplier ORDER BY s_suppkey DESC LIMIT 1)",
     "credential_lists": "WITH s AS (SELECT s_suppkey, unnest([0, 1, 2]) AS place, unnest(['your_key', trim(s_name), CASE WHEN s_suppkey % 2 = 0 THEN 'Replace-Me' ELSE 'sk-1' END]) AS item FROM supplier) SELECT s_suppkey, CAST(place AS INT) AS place, item, item = 'your_key' OR item = 'Replace-Me' AS placeholder FROM s",
 }
+# streams give what tables give
+ORACLE |= {"streamed_states": ORACLE["run_states"], "streamed_runs": ORACLE["run_lifecycle"]}
+ORACLE["merged_labels"] = f"WITH {RECORDS} SELECT id * 7919 % 100003 AS idx, task_id, label, correct FROM records"

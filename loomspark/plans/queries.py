@@ -327,10 +327,13 @@ def rate_limit_windows(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("session", "window_start").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
-def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+def _lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
     stage = F.element_at(F.array(*map(F.lit, V.STAGES)), (F.pmod(F.col("event_id") * 5, F.lit(7)) + 1).cast("int"))
-    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 6).alias("runId"), stage.alias("type"))
-    return V.lifecycle(e)
+    return table(spark, sf, "events").select(F.floor(F.col("event_id") / 6).alias("runId"), stage.alias("type"))
+
+
+def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    return V.lifecycle(_lifecycle_events(spark, sf))
 
 
 def late_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,15 +347,46 @@ def current_runs(spark: SparkSession, sf: str) -> DataFrame:
     return V.current(e, "session", "sequence").groupBy("session").agg(F.count("*").alias("n"), F.max("sequence").alias("sequence"))
 
 
-def run_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight events a run: its stages in order (of every 11th run a stage late), one of any kind, another one, in a time that mixes them up. Runs have an hour."""
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight events a run: its stages in order (of every 11th run a stage late), one of any kind, another one, in a time that mixes them up."""
     e = table(spark, sf, "events")
     run, place = F.floor(F.col("event_id") / 8), F.pmod("event_id", F.lit(8))
     at = F.when(place < 6, place + F.when(F.pmod(run, F.lit(11)) == 0, 1).otherwise(0)).when(place == 6, F.pmod(run, F.lit(8))).otherwise(F.pmod(run * 3, F.lit(8)))
     kind = F.element_at(F.array(*map(F.lit, (*W.PATH, W.ERROR, "run.note"))), (at + 1).cast("int"))
     micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.col("event_id") * 37, F.lit(11)) * 60_000_000
-    staged = e.select(run.alias("runId"), "event_id", kind.alias("kind"), F.timestamp_micros(micros).alias("time"))
-    return W.run_states(staged, "runId", "kind", "time", "event_id", 3600).select("runId", F.unix_micros("time").alias("micros"), "event_id", "kind", "verdict")
+    return e.select(run.alias("runId"), "event_id", kind.alias("kind"), F.timestamp_micros(micros).alias("time"))
+
+
+def run_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs have an hour."""
+    return W.run_states(_staged(spark, sf), "runId", "kind", "time", "event_id", 3600).select("runId", F.unix_micros("time").alias("micros"), "event_id", "kind", "verdict")
+
+
+def streamed_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stream over files of the events; a last event of another run lets time go on past them."""
+    e, source, out = _staged(spark, sf), shared.folder(spark, "staged"), shared.folder(spark, "states")
+    e.repartition(4, "event_id").write.parquet(source)
+    e.groupBy().agg(F.lit(-1).cast("long").alias("runId"), F.lit(-1).cast("long").alias("event_id"), F.lit("run.note").alias("kind"), (F.max("time") + F.expr("interval 30 days")).alias("time")).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    judged = W.run_states(stream, "runId", "kind", "time", "event_id", 3600, late="10 days", keep=30 * 86400)
+    judged.writeStream.option("path", out).option("checkpointLocation", shared.folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(out).filter("runId >= 0").select("runId", F.unix_micros("time").alias("micros"), "event_id", "kind", "verdict")
+
+
+def streamed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The lifecycle of runs as a stream over lines of events leaves it, state by state."""
+    e, source, out = _lifecycle_events(spark, sf), shared.folder(spark, "lines"), shared.folder(spark, "runs")
+    e.write.json(source)
+    V.completed_runs(spark, source, out, shared.folder(spark, "offsets")).awaitTermination()
+    return V.latest_runs(spark, out).select(F.col("runId").cast("long").alias("runId"), "events", "failed", "complete")
+
+
+def merged_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of three shards, some in two of them, in the order of a manifest."""
+    r = A.records(spark, sf).select("id", "task_id", "label", "correct", F.struct(F.lit("r1").alias("run")).alias("provenance"))
+    shards = [r.filter(F.pmod("id", F.lit(3)) == k).unionByName(r.filter(F.pmod("id", F.lit(9)) == 3 * (k % 2))).drop("id") for k in range(3)]
+    manifest = r.select("task_id", (F.col("id") * 7919 % 100_003).alias("idx"))
+    return readers.merged(shards, manifest).select("idx", "task_id", "label", "correct")
 
 
 def superseded_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -828,7 +862,7 @@ QUERIES = {
         category_histogram, task_scope, hash_features, route_scores, local_cost, route_plan, route_plan_modes, deadline_admission, remaining_share, answer_paths, final_answers, last_number, labeled_line,
         sentence_word_counts, summary_constraints, enforced_summary, confidence_filter, answer_agreement, factual_consensus, sentiment_answers, entity_lines, baseline_labels, code_answers, spec_tests,
         compact_numbers, fallback_thresholds, remote_budget, category_stats, stats_with_total, wilson_policy, confusion_metrics, safety_metrics, simulate_threshold, threshold_sweep, picked_threshold, router_gates,
-        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, superseded_events, limited_requests, late_events,
+        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, streamed_states, streamed_runs, merged_labels, superseded_events, limited_requests, late_events,
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, explicit_groups, template_groups, template_exclusion, grouped_split, split_records, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,

@@ -35,6 +35,8 @@ SIZE, PERCENT = 5, 75
 MATCHES, VERIFY_COST = (1, 2, 3, 4, 6, 8), 20.0
 #: Bytes of prefixes in a bucket, documents in one piece of a list, bytes of texts in a group that verifies pairs.
 BUCKET_BYTES, PIECE, GROUP_BYTES = 6 << 20, 2048, 2 << 20
+#: Shingles of the documents in one block of a component, so that few long texts are a block as many short ones are.
+PIECE_SHINGLES = 1 << 19
 #: Estimated documents of a shingle from which its list is made in several buckets.
 HOT = 50_000
 #: Entries of different components that are paired at once; comparisons in a group, and blocks against one hub there.
@@ -348,8 +350,8 @@ def _summed(found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], [*names, "need", "shared"])
 
 
-def _meetings(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """What each list holds of different components, in rows of at most two blocks of MEETING: (k1, lo, times, second, components, ns, ls, ts).
+def _meetings(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each list holds of different components, in rows of at most two blocks of MEETING: (k1, lo, times, second, components, ns, ls, ts); and the written table that this reads.
 
     Documents of a component that are alike in all that counts are one entry. `second` is where the second block begins
     (0: one block, all of whose entries are paired; else only those of different blocks). Entries of one component lie in one block.
@@ -366,7 +368,7 @@ def _meetings(lists: DataFrame, labels: DataFrame) -> DataFrame:
     several = blocks.filter("blocks > 1")
     left = several.select("k1", "k2", "lo", "times", F.col("block").alias("i"), F.col("es").alias("xs"), F.explode(F.expr("sequence(block + 1, blocks)")).alias("j")).filter("j > i")
     two = left.join(several.select("k1", "k2", F.col("block").alias("j"), F.col("es").alias("ys")), ["k1", "k2", "j"]).select("k1", "lo", "times", F.size("xs").alias("second"), F.concat("xs", "ys").alias("es"))
-    return one.unionByName(two).selectExpr("k1", "lo", "times", "second", "es.component as components", "es.n as ns", "es.l as ls", "es.t as ts")
+    return one.unionByName(two).selectExpr("k1", "lo", "times", "second", "es.component as components", "es.n as ns", "es.l as ls", "es.t as ts"), blocks
 
 
 def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -375,7 +377,8 @@ def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     Two components meet in lists; what any of their documents share is at most the lists where they meet. Only components
     that meet often enough for the least demand of their documents are compared.
     """
-    mixed = _meetings(lists, labels).withColumn("held", F.size("components"))
+    mixed, entries = _meetings(lists, labels)
+    mixed = mixed.withColumn("held", F.size("components"))
     # lists of the same documents mostly share their least component; where they come together, each pair is one row
     load = mixed.groupBy("lo").agg(F.sum("held").alias("load"))
     mixed = mixed.join(load, "lo").repartition("lo", F.pmod("k1", F.ceil(F.col("load") / HELD)))
@@ -416,17 +419,20 @@ def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     met = mixed.mapInArrow(meet, "a long, b long, need long, shared long")
     met = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).filter("shared >= need").select("a", "b")
-    nodes = lists.select(F.explode("docs").alias("node")).distinct().join(labels, "node", "left")
-    # a component's documents in blocks of bounded size
-    size = nodes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"))
+    nodes = lists.select(F.explode(F.arrays_zip("docs", "ns")).alias("e")).groupBy(F.col("e.docs").alias("node")).agg(F.max("e.ns").alias("n")).join(labels, "node", "left")
+    # a component's documents in blocks of a bounded number and of bounded texts
+    size = nodes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     dealt = nodes.withColumn("component", F.coalesce("component", "node")).join(size, "component")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PIECE)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("size") / PIECE, F.col("shingles") / PIECE_SHINGLES))))
     blocks = dealt.groupBy("component", "block").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     one = blocks.select(F.col("component").alias("a"), F.col("nodes").alias("x"))
     two = blocks.select(F.col("component").alias("b"), F.col("nodes").alias("y"))
     both = met.join(one, "a").join(two, "b")
     larger = F.size("x") >= F.size("y")
-    return both.select(F.when(larger, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(larger, F.col("x")).otherwise(F.col("y")).alias("right")).withColumn("hub", F.xxhash64("right"))
+    out = both.select(F.when(larger, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(larger, F.col("x")).otherwise(F.col("y")).alias("right")).withColumn("hub", F.xxhash64("right"))
+    out = common.materialize(out, "pairs")
+    common.discard(entries)
+    return out
 
 
 def first_similar(z: np.ndarray, flat: np.ndarray, ends: np.ndarray, percent: int) -> int:
@@ -494,7 +500,9 @@ def _verified(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                         break
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return common.dealt(rows, "g", groups * GROUP_BYTES).groupBy("g").applyInArrow(common.grouped(check), "a long, b long")
+    links = common.materialize(common.dealt(rows, "g", groups * GROUP_BYTES).groupBy("g").applyInArrow(common.grouped(check), "a long, b long"), "links")
+    common.discard(texts)
+    return links
 
 
 def _documents(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -564,13 +572,13 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     lists = common.materialize(_with_totals(bare), "lists")
     common.discard(bare)
     stars = common.materialize(_star_pairs(lists, percent), "pairs")
-    found = common.materialize(_verified(stars, docs, size, percent), "links")
+    found = _verified(stars, docs, size, percent)
     # documents with one set have one node in the lists, whichever they are
     full = own.filter("n > 0").withColumn("part", F.pmod(F.xxhash64("node", "tie"), F.lit(SET_PARTS)))
     sets = common.materialize(_sets(full), "sets")
     labels = common.materialize(graph.components(found), "labels")
-    rest = common.materialize(_rest_pairs(lists, labels, percent), "pairs")
-    more = common.materialize(_verified(rest, docs, size, percent), "links")
+    rest = _rest_pairs(lists, labels, percent)
+    more = _verified(rest, docs, size, percent)
     final = graph.components(found.unionByName(more).unionByName(_shared_ids(_told(full, sets, "rep"))))
     final = common.materialize(final, "labels")
     for done in (lists, stars, rest, labels, found, more):

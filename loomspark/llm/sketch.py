@@ -33,10 +33,11 @@ def packed(counts: np.ndarray, task: int) -> tuple[list[int], list[int], list[by
 
 def _added(rows: DataFrame, key: list) -> DataFrame:
     def add_up(group: pa.Table) -> pa.Table:
-        total = np.zeros((1 << BITS) // SLICES, np.uint32)
+        total = np.zeros((1 << BITS) // SLICES, np.uint64)
         for blob in group.column("blob"):
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
-        blob = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        # a counter that is full stays full: what is that frequent needs no finer order
+        blob = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes())
         return pa.table({"slice": group.column("slice")[:1], "task": group.column("task")[:1], "blob": pa.array([blob], pa.binary())})
 
     return rows.groupBy(*key).applyInArrow(add_up, SCHEMA)

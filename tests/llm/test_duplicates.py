@@ -85,6 +85,7 @@ def test_similarity_join(spark, monkeypatch, piece, hot):
     # workers take constants from the module's file, functions from the closure
     monkeypatch.setattr(jaccard, "_shares", lambda tokens, counts: shares(tokens, counts * np.uint32(50_000 // hot)))
     monkeypatch.setattr(jaccard, "PIECE", piece)
+    monkeypatch.setattr(jaccard, "PIECE_SHINGLES", 40 * piece)  # a few texts a block
     monkeypatch.setattr(jaccard, "MEETING", min(piece, jaccard.MEETING) // 4)
     docs = similar_corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("component_id", F.lit(0))

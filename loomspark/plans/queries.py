@@ -536,7 +536,7 @@ def explicit_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def template_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return G.groups(_templates(spark, sf)).groupBy("scope", "leader").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("texts"))
+    return G.groups(shared.written(_templates(spark, sf), "templates")).groupBy("scope", "leader").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("texts"))
 
 
 def template_exclusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -551,7 +551,9 @@ def template_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
     """Records by split and stratum."""
-    grouped = shared.written(G.groups(_templates(spark, sf)), "grouped")
+    t = shared.written(_templates(spark, sf), "templates")
+    grouped = shared.written(G.groups(t), "grouped")
+    shared.dropped(t)
     parted = G.split(grouped)
     return parted.groupBy("split", "category", "label").agg(F.count("*").alias("n"), F.count_distinct("scope", "leader").alias("groups"))
 

@@ -24,6 +24,11 @@ JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _ms(micros: int) -> int:
+    """The first millisecond that is not before a time."""
+    return -(-micros // 1000)
+
+
 class InOrder(StatefulProcessor):
     """Holds a key's events until the watermark passes them and hands them on in order of (time, tie).
 
@@ -41,8 +46,7 @@ class InOrder(StatefulProcessor):
         new = [tuple(r) for df in rows for r in df[["micros", "tie", "row"]].itertuples(index=False)]
         new = [(int(m), int(t), r) for m, t, r in new]
         self.waiting.appendList(new)
-        for ms in {-(-m // 1000) for m, *_ in new}:
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(_ms(min(m for m, *_ in new)))  # later ones get theirs when it expires
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -55,6 +59,8 @@ class InOrder(StatefulProcessor):
         if due:
             rest = events[len(due) :]
             self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self.handle.registerTimer(_ms(rest[0][0]))
         record = json.loads(self.record.get()[0]) if self.record.exists() else {}
         out = []
         for micros, tie, row in due:

@@ -105,10 +105,11 @@ def candidates(left: DataFrame, right: DataFrame, ordered: bool = False) -> Data
 
 def similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs that are similar. Counts of letters turn away most others in the JVM; Python compares the rest."""
-    side = lambda i: nodes.select(F.col("id").alias(i), F.col("text").alias(f"{i}_text"), F.col("letters").alias(f"{i}_letters"), F.col("n").alias(f"{i}_n"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda i, *columns: nodes.select(F.col("id").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in columns))
+    met = pairs.join(side("a", "letters", "n"), "a").join(side("b", "letters", "n"), "b")
     shared = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    met = met.filter((F.greatest("a_n", "b_n") > 32767) | (2 * shared >= F.col("needs") * (F.col("a_n") + F.col("b_n"))))
+    met = met.filter((F.greatest("a_n", "b_n") > 32767) | (2 * shared >= F.col("needs") * (F.col("a_n") + F.col("b_n")))).select("a", "b")
+    met = met.join(side("a", "text"), "a").join(side("b", "text"), "b")
     told = met.select("a", "b", _similarity("a_text", "b_text", F.lit(least)).alias("similarity"))
     return told.filter(F.col("similarity") >= least)
 

@@ -212,6 +212,9 @@ SELECT *, call_errors = 0 AND accuracy >= 0.9 AS safe, CAST(row_number() OVER (O
     list_reduce(list_prepend(0, timely), lambda s, x: CASE WHEN s >= 100 THEN s WHEN x = 6 THEN 100 WHEN x = s THEN CASE WHEN s = 5 THEN 100 ELSE s + 1 END ELSE s END) AS final FROM o JOIN a USING (runId))
 SELECT runId, micros, event_id, kind, CASE WHEN state >= 100 OR micros > deadline THEN 'after the end' WHEN k = 6 OR k = state THEN 'accepted' WHEN k = 7 THEN 'unknown' WHEN k < state THEN 'repeated' ELSE 'out of order' END AS verdict FROM f
 UNION ALL SELECT runId, deadline, NULL, 'run.timeout', 'timed out' FROM f WHERE place = 1 AND final < 100""",
+    "final_events": """WITH e AS (SELECT event_id, event_id // 8 AS runId, event_id % 8 AS p, epoch_us(ts) + 60000000 * ((event_id * 37) % 11) AS micros FROM events),
+  k AS (SELECT *, CASE WHEN p < 6 THEN p + CASE WHEN runId % 11 = 0 THEN 1 ELSE 0 END WHEN p = 6 THEN runId % 8 ELSE (runId * 3) % 8 END AS k, row_number() OVER (PARTITION BY runId ORDER BY micros, event_id) AS place FROM e)
+SELECT runId, event_id, CASE WHEN place > min(place) FILTER (k = 6) OVER (PARTITION BY runId) THEN 'late' ELSE 'on time' END AS verdict FROM k""",
     "superseded_events": f"WITH {RUNS}, s AS (SELECT *, event_id // 500 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS sequence FROM runs) SELECT event_id, session, sequence, CASE WHEN sequence >= max(sequence) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) THEN 'current' ELSE 'stale' END AS verdict FROM s",
     "limited_requests": f"WITH {RUNS} SELECT event_id, session, CASE WHEN row_number() OVER (PARTITION BY session, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 THEN 'allowed' ELSE 'denied' END AS verdict FROM runs",
     "probe_waves": f"WITH {RECORDS}, o AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM records) SELECT category, CAST(CASE WHEN k <= 3 THEN 1 ELSE 2 END AS INT) AS wave, count(*) AS n, max(id) AS last FROM o GROUP BY ALL",

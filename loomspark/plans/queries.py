@@ -394,6 +394,11 @@ def superseded_events(spark: SparkSession, sf: str) -> DataFrame:
     return W.guarded(A.runs(spark, sf).withColumn("sequence", sequence), "session", "sequence", "ts", "event_id").select("event_id", "session", "sequence", "verdict")
 
 
+def final_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What comes after a run's first error."""
+    return W.before_final(_staged(spark, sf), "runId", "kind", W.ERROR, "time", "event_id").select("runId", "event_id", "verdict")
+
+
 def limited_requests(spark: SparkSession, sf: str) -> DataFrame:
     return W.limited(A.runs(spark, sf), "session", "ts", "event_id", most=2, seconds=86400).select("event_id", "session", "verdict")
 
@@ -864,7 +869,7 @@ QUERIES = {
         category_histogram, task_scope, hash_features, route_scores, local_cost, route_plan, route_plan_modes, deadline_admission, remaining_share, answer_paths, final_answers, last_number, labeled_line,
         sentence_word_counts, summary_constraints, enforced_summary, confidence_filter, answer_agreement, factual_consensus, sentiment_answers, entity_lines, baseline_labels, code_answers, spec_tests,
         compact_numbers, fallback_thresholds, remote_budget, category_stats, stats_with_total, wilson_policy, confusion_metrics, safety_metrics, simulate_threshold, threshold_sweep, picked_threshold, router_gates,
-        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, streamed_states, streamed_runs, merged_labels, superseded_events, limited_requests, late_events,
+        judge_accuracy, judge_paths, model_ranking, model_grid, hint_pick, usage_tokens, policy_tokens, null_poisoned_totals, session_totals, recent_history, rate_limit_windows, run_lifecycle, run_states, streamed_states, streamed_runs, merged_labels, superseded_events, final_events, limited_requests, late_events,
         current_runs, probe_waves, coverage_report, dedupe_last_wins, unlabeled_tasks, split_invariants, exact_decontamination, jaccard_near_dups, stratum_counts, subset_picks, running_ids, record_digests,
         waived_digest, label_violations, request_guards, safe_eval, puzzle_solver, normalized_prompts, code_test_runs, canonical_templates, explicit_groups, template_groups, template_exclusion, grouped_split, split_records, trained_router,
         math_solutions, code_solutions, task_solutions, remote_checks, hosted_answers, final_paths, run_statistics, run_summary, response_fields, extra_options, phase_timeouts, request_statuses, decision_checks,

@@ -191,6 +191,28 @@ def guarded(events: DataFrame, client: str, sequence: str, time: str, tie: str,
     return events.withColumn("verdict", F.when(F.col(sequence) >= newest, "current").otherwise("stale"))
 
 
+class _Final(InOrder):
+    """Whether a key is final; forgotten `keep` after its last event."""
+
+    def __init__(self, kind: str, final: str, keep: int):
+        self.kind, self.final, self.keep = kind, final, keep * 1_000_000
+
+    def verdict(self, record: dict, micros: int, row: dict) -> str:
+        record["until"] = max(record.get("until", 0), micros + self.keep)
+        if record.get("final"):
+            return "late"
+        record["final"] = row.get(self.kind) == self.final
+        return "on time"
+
+
+def before_final(events: DataFrame, key: str, kind: str, final: str, time: str, tie: str, late: str = "10 minutes", keep: int = 86400) -> DataFrame:
+    """Adds verdict: late for what comes after the first event of kind `final` of its key, which nothing may change any more; else on time."""
+    if events.isStreaming:
+        return _rows(_streamed(events, [F.col(key)], time, tie, late, _Final(kind, final, keep)), events.schema)
+    first = F.min(F.when(F.col(kind) == final, F.struct(F.col(time).alias("t"), F.col(tie).alias("i")))).over(Window.partitionBy(key))
+    return events.withColumn("verdict", F.when(F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) > first, "late").otherwise("on time"))
+
+
 class _Limit(InOrder):
     """How many requests of one key and window there have been; forgotten when the window has passed."""
 

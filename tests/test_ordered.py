@@ -103,6 +103,18 @@ def test_streamed_guard(spark, stream):
     assert listed(got, *columns) == listed(table, *columns) and {r[0] for r in table.select("verdict").distinct().collect()} == {"stale", "current"}
 
 
+def test_nothing_comes_after_the_final_event(spark, stream):
+    rows = some_events(8)
+    table = O.before_final(spark.createDataFrame(rows, SCHEMA), "run", "kind", O.ERROR, "at", "id")
+    got = stream(lambda s, late: O.before_final(s, "run", "kind", O.ERROR, "at", "id", late), rows, "2 days", seed=8).filter("run <> 'end'")
+    assert listed(got, *table.columns) == listed(table, *table.columns)
+    for run in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == run), key=lambda r: r[4:])
+        kinds = [r[3] for r in own]
+        on_time = kinds.index(O.ERROR) + 1 if O.ERROR in kinds else len(own)
+        assert sorted(r["id"] for r in table.filter(F.col("run") == run).filter("verdict = 'on time'").collect()) == sorted(r[5] for r in own[:on_time])
+
+
 def test_streamed_limit(spark, stream):
     rows = some_events(6)
     table = O.limited(spark.createDataFrame(rows, SCHEMA), "client", "at", "id", most=3, seconds=60)

@@ -101,7 +101,7 @@ def audit(docs: DataFrame, filters: dict[str, Column], part: Column, gains: dict
     root = docs.select(F.coalesce(part, F.lit("")).alias("part"), *(F.coalesce(c, no).alias(f) for f, c in filters.items()), *(F.coalesce(c, no).alias(g) for g, c in gains.items()))
     folder = common.new_folder(docs.sparkSession, "trie")
     for node in trie(root, names, flags):  # one job for each node, while its survivors are held
-        node.write.mode("append").parquet(folder)
+        node.write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(folder)
     counted = docs.sparkSession.read.schema(node.schema).parquet(folder)
     every = counted.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("state", F.struct("kept", *(f"edge_{k}" for k in range(len(names))))))).alias("nodes"))
     return _orders(every, names, flags)

@@ -57,7 +57,7 @@ def elements(text: str, least: float) -> list[tuple[str, int]]:
 
 
 def index(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, entries) of distinct texts (scope, text), both written. nodes: id (ascending by scope and text), scope, text, n, letters; entries: scope, element, id, n and the sequence similarity that a pair which only meets in this kind of element needs."""
+    """(nodes, entries) of distinct texts (scope, text), both written. nodes: id (ascending by scope and text), scope, text, n, letters, tokens; entries: scope, element, id, n and the sequence similarity that a pair which only meets in this kind of element needs."""
 
     def spread(batches):
         for batch in batches:
@@ -71,8 +71,9 @@ def index(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
                 prefix += [p for _, p in listed]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scopes, pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int32()), pa.array(prefix, pa.int32())], ["id", "scope", "element", "n", "prefix"])
 
+    tokens = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN.pattern), F.lit(0))), lambda t: F.xxhash64(t))
     ordered = texts.select("scope", "text").distinct().repartitionByRange("scope", "text").sortWithinPartitions("scope", "text")
-    nodes = written(ordered.withColumn("id", F.monotonically_increasing_id()).withColumns({"n": F.length("text"), "letters": letter_counts("text")}), "nodes")
+    nodes = written(ordered.withColumn("id", F.monotonically_increasing_id()).withColumns({"n": F.length("text"), "letters": letter_counts("text"), "tokens": tokens}), "nodes")
     every = nodes.select("id", "scope", "text").mapInArrow(spread, "id long, scope string, element string, n int, prefix int")
     keyed = every.select("id", "scope", F.xxhash64("element").alias("element"), F.left("element", F.lit(1)).alias("kind"), "n", "prefix")
     often = keyed.groupBy("scope", "element").agg(F.count("*").alias("times"))
@@ -104,9 +105,14 @@ def candidates(left: DataFrame, right: DataFrame, ordered: bool = False) -> Data
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that are similar. Counts of letters turn away most others in the JVM; Python compares the rest."""
+    """(a, b, similarity) of the pairs that are similar. Tokens say what sequence similarity a pair needs, lengths and counts of letters whether it can have it; these turn away most others in the JVM, and Python compares the rest."""
     side = lambda i, *columns: nodes.select(F.col("id").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in columns))
-    met = pairs.join(side("a", "letters", "n"), "a").join(side("b", "letters", "n"), "b")
+    known = ("letters", "tokens", "n")
+    met = pairs.join(side("a", *known), "a").join(side("b", *known), "b")
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    overlap = F.coalesce(F.try_divide(both.cast("double"), F.size("a_tokens") + F.size("b_tokens") - both), F.lit(1.0))
+    met = met.withColumn("needs", F.when(overlap >= least, F.col("needs")).otherwise(F.lit(float(max(least, P.SEQUENCE_ESCAPE)))))
+    met = met.filter(2 * F.least("a_n", "b_n") >= F.col("needs") * (F.col("a_n") + F.col("b_n")))
     shared = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
     met = met.filter((F.greatest("a_n", "b_n") > 32767) | (2 * shared >= F.col("needs") * (F.col("a_n") + F.col("b_n")))).select("a", "b")
     met = met.join(side("a", "text"), "a").join(side("b", "text"), "b")

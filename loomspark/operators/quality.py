@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +90,25 @@ def records_digest(df: DataFrame) -> DataFrame:
 FAN = 1024
 
 
-def tree_digest(df: DataFrame, fan: int = FAN) -> DataFrame:
+def _joined_digest(batches):
+    """The digest of all digests behind one another, a batch at a time."""
+    import pyarrow as pa
+
+    joined = hashlib.sha256()
+    for b in batches:
+        joined.update("".join(b.column("digest").to_pylist()).encode())
+    yield pa.RecordBatch.from_arrays([pa.array([joined.hexdigest()])], ["digest"])
+
+
+def tree_digest(df: DataFrame, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """One row: the root of a hash tree over all rows in order of their canonical JSON (columns by name, nulls left out).
 
     A leaf is the SHA-256 of a row's JSON; a node that of `fan` digests behind one another, level after level until one is
     left, so no other set of rows has the digest and none of the work is in one place: rows are sorted in ranges, each
     knows its place from the sizes of those before it, and a node is a group of at most `fan` rows. Repeated rows count.
     The digest of no rows is that of an empty text. It depends neither on order nor on the number of partitions.
+    levels: of nodes, at most. The root then takes all digests of the level before, however many; one task hashes them in
+    order, a batch at a time, as a SHA-256 has no parts: with two levels a digest for every `fan` rows.
     """
     rows = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("row"))
     placed = written(rows.repartitionByRange("row").sortWithinPartitions("row").select(F.sha2("row", 256).alias("digest"), F.monotonically_increasing_id().alias("id")), "leaves")
@@ -103,8 +117,13 @@ def tree_digest(df: DataFrame, fan: int = FAN) -> DataFrame:
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("before"))
     level = placed.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("before") + inside).alias("place"), "digest")
-    count = placed.count()
+    count, above = placed.count(), 0
     while True:
+        above += 1
+        if above == levels and count > fan:
+            root = written(level.repartition(1).sortWithinPartitions("place").mapInArrow(_joined_digest, "digest string"), "root")
+            dropped(placed)
+            return root
         node = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])), 256)
         level = level.groupBy(F.floor(F.col("place") / fan).alias("place")).agg(node.alias("digest"))
         count = -(-count // fan)

@@ -117,3 +117,25 @@ def test_tree_digest(spark, size):
     df = spark.createDataFrame([(r["b"], r["a"]) for r in rows], "b string, a long")
     for parts in (1, 5):
         assert Q.tree_digest(df.repartition(parts), fan=8).collect()[0][0] == want
+
+
+@pytest.mark.parametrize("size", [0, 5, 64, 65, 700])
+def test_tree_digest_of_two_levels(spark, size):
+    rows = sorted(json.dumps({"a": k}, separators=(",", ":")) for k in range(size))
+    leaves = [hashlib.sha256(r.encode()).hexdigest() for r in rows]
+    nodes = [hashlib.sha256("".join(leaves[k : k + 8]).encode()).hexdigest() for k in range(0, size, 8)]
+    want = nodes[0] if len(nodes) == 1 else hashlib.sha256("".join(nodes).encode()).hexdigest()
+    assert Q.tree_digest(spark.range(size).toDF("a").repartition(3), fan=8, levels=2).collect()[0][0] == want
+
+
+def test_orders_digest_is_its_sql_s_beyond_a_million_rows(spark, tmp_path):
+    import duckdb
+
+    from loomspark.plans.oracle import ORACLE
+    from loomspark.plans.queries import orders_tree_digest
+
+    made = spark.range(1024 * 1024 + 1500).selectExpr("id o_orderkey", "id % 999 o_custkey", "'O' o_orderstatus", "'1-URGENT' o_orderpriority")
+    made.coalesce(4).write.parquet(str(tmp_path / "orders.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+        assert orders_tree_digest(spark, str(tmp_path)).collect()[0][0] == db.sql(ORACLE["orders_tree_digest"]).fetchall()[0][0]

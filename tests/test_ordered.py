@@ -121,3 +121,67 @@ def test_streamed_limit(spark, stream):
     got = stream(lambda s, late: O.limited(s, "client", "at", "id", 3, 60, late), rows, "2 days", seed=6).filter("client <> 'end'")
     assert listed(got, *table.columns) == listed(table, *table.columns)
     assert table.filter("verdict = 'allowed'").groupBy("client", F.window("at", "60 seconds")).count().agg({"count": "max"}).first()[0] == 3
+
+
+class Store:
+    """State in memory, and how often it was asked."""
+
+    def __init__(self):
+        self.asked, self.timers = 0, set()
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+    def getMapState(self, *schema):
+        return self.state(dict())
+
+    getValueState = getListState = getMapState
+
+    def state(self, held):
+        store = self
+
+        class State:
+            def __getattribute__(self, name):
+                store.asked += 1
+                return {
+                    "exists": lambda: bool(held), "clear": held.clear, "keys": lambda: iter(list(held)), "containsKey": lambda k: k in held, "updateValue": held.__setitem__, "getValue": held.get, "removeKey": held.pop,
+                    "get": lambda: held.get(0), "update": lambda v: held.__setitem__(0, v), "put": lambda v: held.__setitem__(0, v), "appendList": lambda v: held.__setitem__(0, held.get(0, []) + v),
+                }[name]
+
+        return State()
+
+
+@pytest.mark.parametrize("piece", [3, 1024])
+def test_state_is_asked_by_bucket_not_by_key(monkeypatch, piece):
+    import pandas as pd
+
+    if hasattr(O, "PIECE"):
+        monkeypatch.setattr(O, "PIECE", piece)
+    rows, store, out = some_events(5, 1600), Store(), []
+    micros = lambda t: (t - T0) // timedelta(microseconds=1) + 10**15
+    rule = O._Runs("kind", 60, 86400)
+    rule.init(store)
+    new = pd.DataFrame({"bucket": 0, "key": [r[1] for r in rows], "micros": [micros(r[4]) for r in rows], "tie": [r[5] for r in rows], "row": [json.dumps({"kind": r[3]} if r[3] else {}) for r in rows]})
+    for part in (new[::2], new[1::2]):
+        assert not list(rule.handleInputRows((0,), iter([part]), None))
+    for mark in (T0 + timedelta(seconds=2000), T0 + timedelta(seconds=2000, milliseconds=1), T0 + timedelta(seconds=9000)):
+        ms = micros(mark) // 1000
+        if min(store.timers) > ms:
+            continue
+        store.timers = {t for t in store.timers if t > ms}
+        timer = type("", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+        for df in rule.handleExpiredTimer((0,), timer, None):
+            out += [(r.key, T0 + timedelta(microseconds=r.micros - 10**15), None if pd.isna(r.tie) else int(r.tie), json.loads(r.row).get("kind") if r.row else O.TIMEOUT, r.verdict) for r in df.itertuples()]
+    assert sorted(map(repr, out)) == fold(rows, 60)
+    assert piece == 3 or store.asked < 50  # 200 runs
+
+
+def test_keys_of_all_types_come_back(spark, stream):
+    rows = some_events(7)
+    keyed = lambda df: df.withColumn("n", F.when(F.col("seq").isNotNull(), F.col("seq") + (1 << 60)))
+    table = O.limited(keyed(spark.createDataFrame(rows, SCHEMA)), "n", "at", "id", most=2, seconds=60)
+    got = stream(lambda s, late: O.limited(keyed(s), "n", "at", "id", 2, 60, late), rows, "2 days", seed=7).filter("client <> 'end'")
+    assert listed(got, *table.columns) == listed(table, *table.columns)
+    got = stream(lambda s, late: O._streamed(keyed(s), [F.col("n"), F.col("at")], "at", "id", late, O._Limit(9, 60), 4), rows, "2 days", seed=8)
+    assert {(r["key0"], r["key1"]) for r in got.filter("row not like '%\"end\"%'").collect()} == {((r[2] + (1 << 60)) if r[2] is not None else None, r[4]) for r in rows}

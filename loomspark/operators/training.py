@@ -17,14 +17,24 @@ from ..sources.shared import dropped, written
 PACKED, ADDED = 1 << 20, 64
 
 
-def _packed(batches):
-    """Examples (at, x, label) as few rows of arrays: a row's examples behind one another."""
+#: A packed row as bytes, which Spark copies whole where it would go through arrays number by number, in every epoch.
+EXAMPLES = "sizes binary, at binary, values binary, x binary, label binary"
+
+
+def _least(n: int) -> np.dtype:
+    """The narrowest type for places among n."""
+    return np.min_scalar_type(max(n - 1, 0))
+
+
+def _packed(batches, dimension: int):
+    """Examples (at, x, label) as few rows of bytes: a row's examples behind one another. x is a place among its distinct values, which are few where features are counts."""
     import pyarrow as pa
 
     def row(held):
         sizes, at, x, y = (np.concatenate(c) for c in zip(*held))
-        columns = [pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([x.tolist()], pa.list_(pa.float64())), pa.array([y.tolist()], pa.list_(pa.float64()))]
-        return pa.RecordBatch.from_arrays(columns, ["sizes", "at", "x", "label"])
+        values, place = np.unique(x, return_inverse=True)
+        columns = (sizes, at.astype(_least(dimension)), values, place.astype(_least(len(values))), y)
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["sizes", "at", "values", "x", "label"])
 
     held, n = [], 0
     for b in batches:
@@ -38,18 +48,19 @@ def _packed(batches):
         yield row(held)
 
 
-def _arrays(batch, k: int):
-    """(row, idx, value, label) of the examples of a packed row."""
-    sizes, at, x, y = (np.asarray(batch.column(c)[k].values) for c in ("sizes", "at", "x", "label"))
-    return np.repeat(np.arange(len(sizes)), sizes), at, x, y
+def _arrays(batch, k: int, dimension: int):
+    """(sizes, idx, value, label) of the examples of a packed row."""
+    read = lambda c, kind: np.frombuffer(batch.column(c)[k].as_buffer(), kind)
+    values = read("values", np.float64)
+    return read("sizes", np.int32), read("at", _least(dimension)), values[read("x", _least(len(values)))], read("label", np.float64)
 
 
 def _gradient(examples, w: np.ndarray, heavy: float) -> np.ndarray:
-    """Sums over the examples, the bias last."""
-    row, idx, value, y = examples
-    logit = w[-1] + np.bincount(row, w[idx] * value, len(y))
+    """Sums over the examples, of which each has a feature at least; the bias last."""
+    sizes, idx, value, y = examples
+    logit = w[-1] + np.add.reduceat(w[idx] * value, np.cumsum(sizes) - sizes)
     r = np.where(y == 1, heavy, 1.0) * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-    return np.append(np.bincount(idx, r[row] * value, len(w) - 1), r.sum())
+    return np.append(np.bincount(idx, np.repeat(r, sizes) * value, len(w) - 1), r.sum())
 
 
 def _adam(gradient, dimension: int, epochs: int, rate: float, l2: float, norm: float) -> np.ndarray:
@@ -79,7 +90,7 @@ def fit(features: DataFrame, labels: DataFrame, dimension: int = 2048, epochs: i
     heavy = (count - positives) / positives
     norm = (count - positives) + positives * heavy
     rows = features.groupBy("id").agg(F.collect_list("idx").alias("at"), F.collect_list("value").alias("x")).join(labels, "id").select("at", "x", F.col("label").cast("double").alias("label"))
-    packed = written(rows.mapInArrow(_packed, "sizes array<int>, at array<int>, x array<double>, label array<double>"), "examples")
+    packed = written(rows.mapInArrow(lambda batches: _packed(batches, dimension), EXAMPLES), "examples")
     tasks = packed.rdd.getNumPartitions()
 
     def vector(g: np.ndarray):
@@ -90,7 +101,7 @@ def fit(features: DataFrame, labels: DataFrame, dimension: int = 2048, epochs: i
 
     def epoch(w: np.ndarray) -> np.ndarray:
         def sums(batches):
-            yield vector(sum((_gradient(_arrays(b, k), w, heavy) for b in batches for k in range(b.num_rows)), np.zeros(dimension + 1)))
+            yield vector(sum((_gradient(_arrays(b, k, dimension), w, heavy) for b in batches for k in range(b.num_rows)), np.zeros(dimension + 1)))
 
         vectors, left = packed.mapInArrow(sums, "g array<double>"), tasks
         while left > ADDED:

@@ -246,3 +246,28 @@ def test_guards_and_small_parsers(spark, tmp_path):
     assert [tuple(r) for r in readers.file_digests(spark, str(tmp_path)).collect()] == [("x.txt", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
     good = {"modelType": "m", "dimension": 4, "bias": 0.0, "threshold": 0.3, "weights": {}}
     assert O.revision(good, ["b", "a"]) == O.revision(good, ["a", "b"]) != O.revision(good, ["a"]) and O.revision(good, []).startswith("compact-")
+
+
+def test_an_epoch_reads_examples_as_bytes(spark, monkeypatch):
+    """Epochs read packed examples again and again: three bytes a number for counts, and the very numbers come back."""
+    import math
+
+    import numpy as np
+
+    seen, written = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    monkeypatch.setattr(L, "dropped", lambda *tables: None)
+    r = random.Random(4)
+    rows = [(k, i, 1 + math.log(r.randrange(1, 9))) for k in range(90) for i in r.sample(range(1000), 40)]
+    L.fit(spark.createDataFrame(rows, "id long, idx int, value double").repartition(3), spark.createDataFrame([(k, k % 3 == 0) for k in range(90)], "id long, b boolean").selectExpr("id", "cast(b as int) label"), 1000, epochs=1)
+    (packed,) = seen
+    assert {f.dataType.simpleString() for f in packed.schema} == {"binary"}
+    batches = packed.toArrow().to_batches()
+    assert sum(c.nbytes for b in batches for c in b.columns) < 4 * len(rows)
+    back = []
+    for b in batches:
+        for k in range(b.num_rows):
+            sizes, at, x, y = L._arrays(b, k, 1000)
+            ends = np.cumsum(sizes)
+            back += [(float(label), sorted(zip(at[e - n : e].tolist(), x[e - n : e].tolist()))) for n, e, label in zip(sizes, ends, y)]
+    assert sorted(back) == sorted((float(k % 3 == 0), sorted((i, v) for j, i, v in rows if j == k)) for k in range(90))

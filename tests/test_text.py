@@ -134,3 +134,19 @@ def test_templates_mask(spark):
     got = one(spark, T.canonical_template(F.lit("math"), F.lit("Ann Lee paid $1,200 on the 3rd.")))
     assert got == "math\n<name> paid <num> on the <num> ."
     assert one(spark, T.canonical_template(F.lit("codegen"), F.lit("Write a Python function that adds"))) == "codegen\nadds"
+
+
+@pytest.mark.parametrize("rule", ["normalized_prompt", "nfkc"])
+def test_python_gets_whole_texts_in_batches_of_bounded_size(spark, rule):
+    import pandas as pd
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    held = F.pandas_udf(lambda x: pd.Series([int(x.str.len().sum())] * len(x)), "long")
+    texts = spark.range(3000).coalesce(1).select(F.concat(F.lit("Ä "), F.repeat(F.lit("ｘy "), 1000)).alias("x"))
+    out = texts.select(held("x").alias("held"), F.length(getattr(U, rule)("x")).alias("n")).agg(F.max("held").alias("held"), F.count_if(F.col("n") >= 3000).alias("n")).first()
+    assert out["n"] == 3000 and out["held"] < 2 << 20  # 9 million characters
+    spark.conf.set(name, "300k")
+    getattr(U, rule)("x")
+    assert spark.conf.get(name) == "300k"  # a smaller setting stays
+    spark.conf.unset(name)
